@@ -1,0 +1,9 @@
+"""Catalogue of named queries over the test tables, with DuckDB twins."""
+
+
+def queries():
+    return {}
+
+
+def oracle_sql():
+    return {}
