@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagelode.llm import exact_dedup, line_dedup, sharding
-from pagelode.llm.common import documents
+import public_tokenizers
+
+from pagelode.llm import bpe, exact_dedup, language_id, line_dedup, quality, sharding, toxicity
+from pagelode.llm.common import documents, learning_sample, remainder, table
 
 
 def op1_sharding(spark, sf_dir):
@@ -14,12 +16,58 @@ def op1_sharding(spark, sf_dir):
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_language_id(spark, sf_dir):
+    """Language of every document by nearest centroid, learned from the rows that aren't held out."""
+    docs = documents(spark, sf_dir)
+    held_out = remainder(F.col("doc_id"), 4) == 2
+    labels = docs.select("doc_id", "lang")
+    model = language_id.learn(learning_sample(docs, labels, "lang", ~held_out, language_id.BOUND))
+    return language_id.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op3_quality(spark, sf_dir):
+    """Calibrated quality score of every document, learned from the labelled rows that aren't held out."""
+    docs = documents(spark, sf_dir)
+    held_out = remainder(F.col("doc_id"), 4) == 2
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    model = quality.learn(learning_sample(docs, labels, "quality", ~held_out, quality.BOUND))
+    predicted = (F.col("score") >= quality.PREDICT).cast("int")
+    return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
+
+
 def op4_exact_dedup(spark, sf_dir):
     """Every document with the smallest id among equal normalised texts."""
     out = exact_dedup.exact_dedup(documents(spark, sf_dir))
     return out.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), "kept", F.col("digest").alias("text_sha256"))
 
 
+def op5_byte_bpe(spark, sf_dir):
+    """Token ids of every document and what they decode to, as digests."""
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = bpe.encode(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
+    return bpe.decode(encoded, ranks).select(
+        "doc_id",
+        F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"),
+    )
+
+
+def op7_toxicity(spark, sf_dir):
+    """Toxicity score of every document, learned from the labelled rows that aren't held out."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    held_out = remainder(F.col("doc_id"), 5) == 0
+    scored = toxicity.score(docs, toxicity_model(docs, table(spark, sf_dir, "labels")))
+    predicted = (F.col("score") >= 0.5).cast("int")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
+
+
+def toxicity_model(docs, labels):
+    """Model learned from the labelled rows whose id isn't held out."""
+    rows = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)")
+    return toxicity.learn(learning_sample(docs, rows, "toxic", remainder(F.col("doc_id"), 5) != 0, toxicity.BOUND))
+
+
 def op8_line_dedup(spark, sf_dir):
     """Per document: its lines, the lines dropped and the digest of the text that stays."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
@@ -36,7 +84,11 @@ def op8_line_dedup(spark, sf_dir):
 def queries():
     return {
         "op1_sharding": op1_sharding,
+        "op2_language_id": op2_language_id,
+        "op3_quality": op3_quality,
         "op4_exact_dedup": op4_exact_dedup,
+        "op5_byte_bpe": op5_byte_bpe,
+        "op7_toxicity": op7_toxicity,
         "op8_line_dedup": op8_line_dedup,
     }
 
