@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from pagelode.llm import bpe, exact_dedup, language_id, line_dedup, quality, sharding, toxicity
+from pagelode.llm import bpe, exact_dedup, language_id, line_dedup, near_dedup, quality, sharding, toxicity
 from pagelode.llm.common import documents, learning_sample, remainder, table
 
 
@@ -81,6 +81,11 @@ def op8_line_dedup(spark, sf_dir):
     )
 
 
+def op10_near_dedup(spark, sf_dir):
+    """Every document with the least id of its class of near copies."""
+    return near_dedup.near_dedup(documents(spark, sf_dir))
+
+
 def queries():
     return {
         "op1_sharding": op1_sharding,
@@ -90,6 +95,7 @@ def queries():
         "op5_byte_bpe": op5_byte_bpe,
         "op7_toxicity": op7_toxicity,
         "op8_line_dedup": op8_line_dedup,
+        "op10_near_dedup": op10_near_dedup,
     }
 
 
