@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from pagelode.llm import bpe, exact_dedup, language_id, line_dedup, near_dedup, quality, sharding, toxicity
+from pagelode.llm import bpe, decontamination, exact_dedup, language_id, line_dedup, near_dedup, quality, sharding, toxicity
 from pagelode.llm.common import documents, learning_sample, remainder, table
 
 
@@ -81,6 +81,11 @@ def op8_line_dedup(spark, sf_dir):
     )
 
 
+def op9_decontamination(spark, sf_dir):
+    """Documents that hold a copy of a benchmark item, exact or edited."""
+    return decontamination.contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def op10_near_dedup(spark, sf_dir):
     """Every document with the least id of its class of near copies."""
     return near_dedup.near_dedup(documents(spark, sf_dir))
@@ -95,6 +100,7 @@ def queries():
         "op5_byte_bpe": op5_byte_bpe,
         "op7_toxicity": op7_toxicity,
         "op8_line_dedup": op8_line_dedup,
+        "op9_decontamination": op9_decontamination,
         "op10_near_dedup": op10_near_dedup,
     }
 
