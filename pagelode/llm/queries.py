@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from pagelode.llm import bpe, decontamination, exact_dedup, language_id, line_dedup, near_dedup, quality, sharding, toxicity
+from pagelode.llm import bpe, decontamination, exact_dedup, language_id, line_dedup, near_dedup, pii, quality, sharding, toxicity
 from pagelode.llm.common import documents, learning_sample, remainder, table
 
 
@@ -53,6 +53,13 @@ def op5_byte_bpe(spark, sf_dir):
     )
 
 
+def op6_pii(spark, sf_dir):
+    """Personal data of every document: counts and places of the base kinds, and all spans with disclosing terms."""
+    found = pii.sensitive_spans(documents(spark, sf_dir))
+    counts = [pii.count_of(F.col("base"), kind).alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.concat("base", "terms")).alias("spans"))
+
+
 def op7_toxicity(spark, sf_dir):
     """Toxicity score of every document, learned from the labelled rows that aren't held out."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
@@ -98,6 +105,7 @@ def queries():
         "op3_quality": op3_quality,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_byte_bpe": op5_byte_bpe,
+        "op6_pii": op6_pii,
         "op7_toxicity": op7_toxicity,
         "op8_line_dedup": op8_line_dedup,
         "op9_decontamination": op9_decontamination,
