@@ -26,6 +26,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CACHE_PIECES = 400_000
 CACHE_CHARS = 48
@@ -113,9 +115,16 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.slice(at, SLICE_ROWS)
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """(doc_id, ids) of every row. ``pattern`` splits texts; each match is merged separately."""
+def encode(docs: DataFrame, ranks_path: str, pattern: str, carry_digest: bool = False) -> DataFrame:
+    """(doc_id, ids) of every row. ``pattern`` splits texts; each match is merged separately.
+
+    ``carry_digest`` adds text_sha256, by which a reader can tell whether decoded ids are intact.
+    """
     shared = docs.sparkSession.sparkContext.broadcast({"ranks": read_ranks(ranks_path), "cache": {}})  # one vocabulary
+    rows = docs.select("doc_id", "text")
+    if carry_digest:
+        rows = rows.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
+    also = ["text_sha256"] * carry_digest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
@@ -124,9 +133,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         ranks, cache = shared.value["ranks"], shared.value["cache"]
         for b in _sliced(batches):
             packed = [encode_text(t, split, ranks, cache) if t else b"" for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(packed, pa.binary())], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(packed, pa.binary()), *[b.column(c) for c in also]], ["doc_id", "ids", *also])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
+    return rows.mapInArrow(run, "doc_id long, ids binary" + ", text_sha256 string" * carry_digest)
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
@@ -137,6 +146,6 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
         token = shared.value.__getitem__
         for b in _sliced(batches):
             out = [b"".join(map(token, np.frombuffer(ids, "<u4").tolist())) for ids in b.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("ids"), pa.array(out, pa.binary())], ["doc_id", "ids", "bytes"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*b.schema.names, "bytes"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, bytes binary")
+    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("bytes", T.BinaryType())]))
