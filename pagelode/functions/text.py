@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}_]+"
 
 
+def once(df: DataFrame, keep: list[str], made: dict[str, Column]) -> DataFrame:
+    """``keep`` and the ``made`` columns, each worked out once a row.
+
+    A generator over a one-element array: the optimiser merges plain
+    projections, which would repeat costly expressions for every later use.
+    """
+    cells = F.array(F.struct(*[c.alias(n) for n, c in made.items()]))
+    return df.select(*keep, F.inline(cells))
+
+
 def without_blocks(html: Column) -> Column:
     """HTML without script, style and noscript blocks and comments."""
     for tag in ("script", "style", "noscript"):
@@ -26,8 +36,9 @@ def collapsed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[\s ]+", " "))
 
 
-def visible_text(html: Column) -> Column:
-    return unescaped(F.regexp_replace(without_blocks(html), r"<[^>]*>", " "))
+def visible_text(clean: Column) -> Column:
+    """Text between the tags; ``clean`` has no blocks."""
+    return unescaped(F.regexp_replace(clean, r"<[^>]*>", " "))
 
 
 def word_count(text: Column) -> Column:
@@ -46,16 +57,15 @@ def attribute(tag: Column, name: str) -> Column:
     return F.regexp_extract(tag, rf'(?is)\s{name}\s*=\s*"([^"]*)"', 1)
 
 
-def tag_texts(html: Column, tag: str) -> Column:
-    """Texts of all elements of a tag, blank ones dropped."""
-    found = F.regexp_extract_all(without_blocks(html), F.lit(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>"), F.lit(1))
+def tag_texts(clean: Column, tag: str) -> Column:
+    """Texts of all elements of a tag, blank ones dropped; ``clean`` has no blocks."""
+    found = F.regexp_extract_all(clean, F.lit(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>"), F.lit(1))
     return F.filter(F.transform(found, lambda x: collapsed(unescaped(F.regexp_replace(x, r"<[^>]*>", " ")))), lambda x: x != "")
 
 
-def links(html: Column) -> Column:
-    """array<struct(href, anchor)> in document order."""
+def links(clean: Column) -> Column:
+    """array<struct(href, anchor)> in document order; ``clean`` has no blocks."""
     pattern = r'(?is)<a\b[^>]*?\shref="([^"]*)"[^>]*>(.*?)</a\s*>'
-    clean = without_blocks(html)
     hrefs = F.regexp_extract_all(clean, F.lit(pattern), F.lit(1))
     anchors = F.transform(F.regexp_extract_all(clean, F.lit(pattern), F.lit(2)), lambda x: collapsed(unescaped(F.regexp_replace(x, r"<[^>]*>", " "))))
     return F.zip_with(F.transform(hrefs, unescaped), anchors, lambda h, a: F.struct(h.alias("href"), a.alias("anchor")))

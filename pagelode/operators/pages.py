@@ -10,10 +10,9 @@ from pagelode.functions import text as X
 
 def native_record(pages: DataFrame) -> DataFrame:
     """The record fields that columns can express, from (page_id, url, html)."""
-    html, clean = F.col("html"), X.without_blocks(F.col("html"))
-    visible = X.visible_text(html)
-    host = X.netloc(F.col("url"))
-    found = X.links(html)
+    pages = X.once(pages, ["page_id", "url", "html"], {"clean": X.without_blocks(F.col("html"))})
+    pages = X.once(pages, ["page_id", "url", "html", "clean"], {"found": X.links(F.col("clean")), "visible": X.visible_text(F.col("clean")), "host": X.netloc(F.col("url"))})
+    html, clean, visible, host, found = map(F.col, ("html", "clean", "visible", "host", "found"))
     internal = F.size(F.filter(found, lambda x: X.internal_in_lint(host, x["href"])))
     title = X.title(html)
     return pages.select(
@@ -22,8 +21,8 @@ def native_record(pages: DataFrame) -> DataFrame:
         title.alias("title"),
         F.length(title).alias("title_length"),
         F.trim(F.regexp_extract(html, r'(?is)<html\b[^>]*\slang="([^"]*)"', 1)).alias("html_lang"),
-        X.tag_texts(html, "h1").alias("h1"),
-        X.tag_texts(html, "h2").alias("h2"),
+        X.tag_texts(clean, "h1").alias("h1"),
+        X.tag_texts(clean, "h2").alias("h2"),
         X.word_count(visible).alias("word_count"),
         internal.alias("internal_link_count"),
         (F.size(found) - internal).alias("external_link_count"),
@@ -42,7 +41,7 @@ def native_record(pages: DataFrame) -> DataFrame:
 def links(pages: DataFrame) -> DataFrame:
     """(page_id, pos, href, anchor, target, internal) edges; target is resolved against the page."""
     host = X.netloc(F.col("url"))
-    out = pages.select("page_id", "url", F.posexplode(X.links(F.col("html"))).alias("pos", "x"))
+    out = pages.select("page_id", "url", F.posexplode(X.links(X.without_blocks(F.col("html")))).alias("pos", "x"))
     target = X.joined_url(F.col("url"), F.col("x.href"))
     return out.select("page_id", "pos", F.col("x.href").alias("href"), F.substring("x.anchor", 1, 120).alias("anchor"), target.alias("target"), (X.netloc(target) == host).alias("internal"))
 

@@ -125,7 +125,7 @@ def spa_verdict(pages: DataFrame, key: list[str]) -> DataFrame:
     marks = F.lit(0)
     for m in W.FRAMEWORK_MARKERS:
         marks = marks + F.when(F.contains(html, F.lit(m)), 1).otherwise(0)
-    words, large = X.word_count(X.visible_text(html)), F.length(html) > 10 * 1024
+    words, large = X.word_count(X.visible_text(X.without_blocks(html))), F.length(html) > 10 * 1024
     anchors, scripts = X.tag_count(html, "a"), X.tag_count(html, "script")
     score = shell + F.least(F.lit(2), marks) + F.when((words < 150) & large, 2).otherwise(0) + F.when((anchors < 5) & large, 1).otherwise(0) + F.when((scripts > 10) & (words < 100), 1).otherwise(0)
     out = pages.select(*key, score.cast("int").alias("spa_score"))
