@@ -291,7 +291,7 @@ def _linked(texts: DataFrame, likely: DataFrame, wanted: DataFrame, words: int,
 
 
 def _linked_in_regions(texts: DataFrame, long_lists: DataFrame, heavy: DataFrame, words: int, share, block_docs: int) -> DataFrame:
-    inside = long_lists.join(heavy.select("doc_id"), "doc_id", "left_semi").select("v", "doc_id")
+    inside = cut(long_lists.join(heavy.select("doc_id"), "doc_id", "left_semi").select("v", "doc_id"))
     hubs = inside.groupBy("v").agg(F.min("doc_id").alias("hub"))
     regions = components(inside.join(hubs, "v").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")))
     # similar sets have sizes in one class or in neighbouring ones
