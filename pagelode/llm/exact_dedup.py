@@ -39,6 +39,7 @@ class DigestIndex:
 
     def __init__(self, spark, path: str):
         self.spark, self.path, self.levels = spark, path, []
+        self.id_type = "bigint"
 
     def _write(self, rows: DataFrame, level: str) -> str:
         to = f"{self.path}/{level}"
@@ -55,11 +56,13 @@ class DigestIndex:
 
     def flush(self, entries: DataFrame, memtables: int = MEMTABLES) -> None:
         """Flush (doc_id, digest) as ``memtables`` sorted runs; equal digests of a memtable are merged before the shuffle."""
+        self.id_type = dict(entries.dtypes)["doc_id"]
         filled = entries.withColumn("memtable", F.pmod(F.xxhash64("doc_id"), F.lit(memtables)).cast("int"))
         self._write(filled.groupBy("memtable", "digest").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n")), f"run{len(self.levels)}")
 
     def runs(self) -> DataFrame:
-        read = [self.spark.read.parquet(x).select("digest", "keep_id", "n") for x in self.levels]
+        schema = f"digest string, keep_id {self.id_type}, n bigint"  # a run without rows has no file to infer it from
+        read = [self.spark.read.schema(schema).parquet(x).select("digest", "keep_id", "n") for x in self.levels]
         out = read[0]
         for x in read[1:]:
             out = out.unionByName(x)
