@@ -12,26 +12,31 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pagelode.functions import words as W
 
 
+def timed(events: DataFrame, late: str) -> DataFrame:
+    """Watermarked on ts; a zoneless ts is read in the session's zone."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+
+
 def daily_counts(events: DataFrame, late: str = "1 day") -> DataFrame:
     """Tumbling days per type; rows later than the watermark are dropped."""
     day = F.window("ts", "1 day")
-    grouped = events.withWatermark("ts", late).groupBy(day, "type").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
+    grouped = timed(events, late).groupBy(day, "type").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
     return grouped.select(F.col("window.start").alias("day"), "type", "n", "value")
 
 
 def trailing_cost(events: DataFrame, span: str = "7 days", step: str = "1 day", late: str = "1 day") -> DataFrame:
     window = F.window("ts", span, step)
-    return events.withWatermark("ts", late).groupBy(window).agg(F.sum("value").alias("cost"), F.count("*").alias("calls")).select(F.col("window.end").alias("until"), "cost", "calls")
+    return timed(events, late).groupBy(window).agg(F.sum("value").alias("cost"), F.count("*").alias("calls")).select(F.col("window.end").alias("until"), "cost", "calls")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     s = F.session_window("ts", gap)
-    return events.withWatermark("ts", late).groupBy("user_id", s).agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("stop"), "n")
+    return timed(events, late).groupBy("user_id", s).agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("stop"), "n")
 
 
 def distinct_raises(events: DataFrame, late: str = "1 hour") -> DataFrame:
     """Raise events without repeats of one id inside the watermark."""
-    return events.where("event = 'raise'").withWatermark("ts", late).dropDuplicatesWithinWatermark(["id"])
+    return timed(events.where("event = 'raise'"), late).dropDuplicatesWithinWatermark(["id"])
 
 
 STATE = "id string, status string, times_raised long, created long, updated long, severity string"
