@@ -140,7 +140,9 @@ def disclosing_terms(
         .agg(F.count("*").alias("c"))
         .where(F.col("c") >= support)
     )
-    joint = cut(joint)
+    # texts with the term beside any entity are at most df(t): pairs that fail against them fail against df(t) too
+    beside = near.select("t64", F.explode("terms").alias("term")).distinct().groupBy("term").agg(F.count("*").alias("least_df"))
+    joint = cut(joint.join(beside, "term").where(F.col("c") >= posterior * F.col("least_df")).drop("least_df"))
     terms = joint.select("term").distinct()
     count = terms.count()
     if count:
