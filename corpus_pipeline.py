@@ -47,14 +47,13 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode_checked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, intact): packed token ids of every document, and whether they decode to its text."""
+    """(doc_id, n_tokens, ids, decoded_sha256): packed token ids of every document, and the digest of what they decode to."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    decoded = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN, carry_digest=True), ranks)
-    return decoded.select(
+    return bpe.encode(docs, ranks, public_tokenizers.PATTERN, decoded=True).select(
         "doc_id",
         F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         "ids",
-        (F.sha2("bytes", 256) == F.col("text_sha256")).alias("intact"),
+        F.sha2("bytes", 256).alias("decoded_sha256"),
     )
 
 

@@ -26,10 +26,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-CACHE_PIECES = 400_000
+CACHE_PIECES = 250_000
 CACHE_CHARS = 48
 SLICE_ROWS = 256
 
@@ -115,37 +113,40 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.slice(at, SLICE_ROWS)
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, carry_digest: bool = False) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, decoded: bool = False) -> DataFrame:
     """(doc_id, ids) of every row. ``pattern`` splits texts; each match is merged separately.
 
-    ``carry_digest`` adds text_sha256, by which a reader can tell whether decoded ids are intact.
+    ``decoded`` adds bytes, what the packed ids decode to, in the same pass.
     """
-    shared = docs.sparkSession.sparkContext.broadcast({"ranks": read_ranks(ranks_path), "cache": {}})  # one vocabulary
-    rows = docs.select("doc_id", "text")
-    if carry_digest:
-        rows = rows.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
-    also = ["text_sha256"] * carry_digest
+    ranks = read_ranks(ranks_path)
+    tokens = {rank: token for token, rank in ranks.items()} if decoded else {}
+    shared = docs.sparkSession.sparkContext.broadcast({"ranks": ranks, "tokens": tokens, "cache": {}})  # one vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         split = regex.compile(pattern).findall
-        ranks, cache = shared.value["ranks"], shared.value["cache"]
+        ranks, tokens, cache = (shared.value[k] for k in ("ranks", "tokens", "cache"))
         for b in _sliced(batches):
             packed = [encode_text(t, split, ranks, cache) if t else b"" for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(packed, pa.binary()), *[b.column(c) for c in also]], ["doc_id", "ids", *also])
+            more = {"bytes": pa.array([decode_ids(x, tokens) for x in packed], pa.binary())} if decoded else {}
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(packed, pa.binary()), *more.values()], ["doc_id", "ids", *more])
 
-    return rows.mapInArrow(run, "doc_id long, ids binary" + ", text_sha256 string" * carry_digest)
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary" + ", bytes binary" * decoded)
+
+
+def decode_ids(ids: bytes, tokens: dict[int, bytes]) -> bytes:
+    """Concatenated tokens of packed ids."""
+    return b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
-    """Adds bytes, the concatenated tokens of ids."""
+    """(doc_id, ids, bytes): what stored ids decode to."""
     shared = encoded.sparkSession.sparkContext.broadcast({rank: token for token, rank in read_ranks(ranks_path).items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = shared.value.__getitem__
         for b in _sliced(batches):
-            out = [b"".join(map(token, np.frombuffer(ids, "<u4").tolist())) for ids in b.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*b.schema.names, "bytes"])
+            out = [decode_ids(ids, shared.value) for ids in b.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("ids"), pa.array(out, pa.binary())], ["doc_id", "ids", "bytes"])
 
-    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("bytes", T.BinaryType())]))
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, bytes binary")

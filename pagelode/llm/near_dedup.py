@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelode.llm.common import cut, small_side
+from pagelode.llm.common import arrow_rows, cut, small_side
 
 WORDS = 5
 SHARE = (75, 100)
@@ -47,8 +47,10 @@ LONG_LIST = 64
 #: Documents and set members of a block at most.
 BLOCK_DOCS = 512
 BLOCK_MEMBERS = 400_000
+#: Rows of an Arrow batch that carries texts or whole sets.
+BATCH_ROWS = 500
 COLUMNS = 4096
-WORD_CACHE = 500_000
+WORD_CACHE = 150_000
 #: Fixed odd multipliers that place a word inside its shingle, and the finaliser's.
 PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
@@ -237,7 +239,11 @@ def near_dedup(
     block_docs: int = BLOCK_DOCS,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document."""
-    texts = docs.select("doc_id", "text")
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):  # every Python step below ends in a written table before this block does
+        return _near_dedup(docs.select("doc_id", "text"), words, share, k, least_shared, long_list, block_docs)
+
+
+def _near_dedup(texts: DataFrame, words: int, share: tuple[int, int], k: int, least_shared: int, long_list: int, block_docs: int) -> DataFrame:
     sketched = cut(texts.mapInArrow(_sketched(words, k), "doc_id long, n long, key binary, sketch array<long>"))
     # one document stands for all with the same set
     heads = cut(sketched.where("n > 0").groupBy("key").agg(F.min(F.struct("doc_id", "n", "sketch")).alias("s")).select("key", "s.*"))

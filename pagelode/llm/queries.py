@@ -44,8 +44,7 @@ def op4_exact_dedup(spark, sf_dir):
 def op5_byte_bpe(spark, sf_dir):
     """Token ids of every document and what they decode to, as digests."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = bpe.encode(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
-    return bpe.decode(encoded, ranks).select(
+    return bpe.encode(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN, decoded=True).select(
         "doc_id",
         F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -64,7 +64,7 @@ def prefixes(word: str) -> list[str]:
 class Symbols(dict):
     """Word to (symbol, weight), worked out once a word; emptied when it grows large."""
 
-    LIMIT = 300_000
+    LIMIT = 120_000
 
     def __init__(self, stems: dict[str, float]):
         super().__init__()

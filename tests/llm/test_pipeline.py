@@ -1,3 +1,4 @@
+import hashlib
 import random
 import struct
 
@@ -52,7 +53,8 @@ def test_pipeline_matches_brute_force(spark, folder):
     token = {v: k for k, v in ranks.items()}
     for i, r in got.items():
         ids = struct.unpack(f"<{r.n_tokens}I", bytes(r.ids))
-        assert r.intact and b"".join(token[x] for x in ids).decode() == (kept[i] or "")
+        assert b"".join(token[x] for x in ids).decode() == (kept[i] or "")
+        assert r.decoded_sha256 == hashlib.sha256((kept[i] or "").encode()).hexdigest()
 
 
 def test_stage_columns(spark, folder):

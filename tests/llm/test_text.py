@@ -39,6 +39,8 @@ def test_bpe_round_trip(odd, none):
     encoded = bpe.encode(odd, RANKS, public_tokenizers.PATTERN)
     got = {r.doc_id: bytes(r.bytes).decode() for r in bpe.decode(encoded, RANKS).collect()}
     assert got == {i: t or "" for i, t in ODD}
+    both = bpe.encode(odd, RANKS, public_tokenizers.PATTERN, decoded=True)
+    assert {r.doc_id: bytes(r.bytes).decode() for r in both.collect()} == got
     assert bpe.encode(none, RANKS, public_tokenizers.PATTERN).count() == 0
 
 
