@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pagelode.functions import html as H
 from pagelode.functions import text as X
 from pagelode.functions import words as W
-from pagelode.operators import fixes, graph, history, logs, pages, recommendations, scoring, visibility
+from pagelode.operators import crawl, fixes, graph, history, logs, pages, recommendations, reports, scoring, visibility
 from pagelode.plans import inputs, oracle, rules
 from pagelode.plans.inputs import read
 
@@ -111,6 +111,11 @@ def lint_rollup(spark, sf_dir):
     return f.select(F.coalesce("category", F.lit("all")).alias("category"), F.coalesce("severity", F.lit("all")).alias("severity"), "n", "lost")
 
 
+@query
+def lint_annotations(spark, sf_dir):
+    return reports.annotation(found(spark, sf_dir))
+
+
 # -- crawl
 
 
@@ -147,6 +152,16 @@ def near_dup_classes(spark, sf_dir):
     return heads.groupBy("head").agg(F.count("*").alias("n")).where("n > 1")
 
 
+@query
+def crawl_order(spark, sf_dir):
+    """Crawl of the derived link graph, without a budget; addresses that begin with 7 are closed to robots."""
+    name = lambda c: F.concat(F.lit("https://site.example/"), F.col(c).cast("string"))
+    table = inputs.nodes(spark, sf_dir).select(name("node").alias("url"), F.when(F.col("node") % 13 == 5, 404).otherwise(200).alias("status"))
+    links = inputs.edges(spark, sf_dir).select(name("src").alias("src"), "pos", name("dst").alias("dst"))
+    out = crawl.crawl(table, links, "https://site.example/0", None, [("/7", False)])
+    return out.select("url", "depth", "status", "blocked_by_robots")
+
+
 # -- link graph
 
 
@@ -329,6 +344,11 @@ def health_trend(spark, sf_dir):
     return history.trend(history.health(s, ["snap"]).withColumn("domain", F.lit("site")), "domain", "snap")
 
 
+@query
+def drift_chart(spark, sf_dir):
+    return reports.chart_rows(history.drift_stats(history.drift_rankings(*versions(spark, sf_dir), ["keyword"])))
+
+
 def forecast_rows(spark, sf_dir):
     old, new = versions(spark, sf_dir)
     return history.forecast(old.select("keyword", "volume"), new)
@@ -420,6 +440,12 @@ def pr_gate(spark, sf_dir):
     return out.select("path", "before_score", "after_score", F.array_join("reasons", "|").alias("reasons"), F.array_join("new_rules", "|").alias("new_rules"))
 
 
+@query
+def pr_summary(spark, sf_dir):
+    after = linted(spark, sf_dir).select(F.col("page_id").alias("path"), "score", F.col("findings.rule_id").alias("rules"))
+    return reports.change_table(recommendations.gate(after.withColumn("path", F.col("path") - 1), after, min_score=30))
+
+
 # -- ledgers
 
 

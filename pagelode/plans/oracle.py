@@ -276,3 +276,13 @@ SQL["breadcrumb_json"] = (
     " i AS (SELECT page_id, root, parts, list_transform(range(1, len(parts) + 1), lambda k: '{\"type\":\"ListItem\",\"position\":' || k || ',\"name\":\"' || array_to_string(list_transform(string_split(replace(replace(regexp_replace(parts[k], '\\.[a-z]+$', ''), '-', ' '), '_', ' '), ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ') || '\",\"item\":\"' || root || '/' || array_to_string(parts[1:k], '/') || '\"}') AS items FROM p)"
     " SELECT page_id, '[' || array_to_string(items, ',') || ']' AS breadcrumb FROM i"
 )
+
+SQL["lint_annotations"] = FOUND + " SELECT r.url AS file, '::' || CASE WHEN severity IN ('critical', 'high') THEN 'error' WHEN severity = 'medium' THEN 'warning' ELSE 'notice' END || ' file=' || replace(replace(replace(r.url, '%', '%25'), ':', '%3A'), ',', '%2C') || ',title=' || rule_id || '::' || category || ' ' || rule_id AS line FROM f JOIN r USING (page_id)"
+SQL["pr_summary"] = "SELECT path, '| ' || path || ' | ' || coalesce(before_score::VARCHAR, 'new') || ' | ' || after_score || ' | ' || CASE WHEN before_score IS NULL THEN '' WHEN after_score > before_score THEN '+' || (after_score - before_score) ELSE (after_score - before_score)::VARCHAR END || ' | ' || replace(reasons, '|', ', ') || ' |' AS line FROM (" + SQL["pr_gate"] + ")"
+SQL["drift_chart"] = "SELECT upper(left(label, 1)) || substr(label, 2) AS label, value FROM (UNPIVOT (" + SQL["drift_stats"] + ") ON COLUMNS(*) INTO NAME label VALUE value)"
+SQL["crawl_order"] = (
+    f"WITH RECURSIVE {EDGES}, w(node, depth) AS (SELECT page_id, 0 FROM pages WHERE page_id = 0"
+    " UNION SELECT kn.dst, w.depth + 1 FROM w JOIN kn ON kn.src = w.node WHERE w.depth < 40 AND w.node % 13 <> 5 AND NOT starts_with(w.node::VARCHAR, '7')),"
+    " d AS (SELECT node, min(depth) AS depth, starts_with(node::VARCHAR, '7') AS b FROM w GROUP BY node)"
+    " SELECT 'https://site.example/' || node AS url, depth, CASE WHEN b THEN NULL WHEN node % 13 = 5 THEN 404 ELSE 200 END AS status, b AS blocked_by_robots FROM d"
+)

@@ -227,3 +227,20 @@ def test_sources(spark, tmp_path):
     assert [tuple(r) for r in readers.edges_of(readers.crawl_file(spark, str(crawl))).collect()] == [("a", 0, "b", "B")]
     readers.write_log(spark.createDataFrame([("d", 1)], "domain string, ts long"), str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 1
+
+
+def test_crawl_waves_budget_and_robots(spark):
+    from pagelode.operators import crawl, reports
+
+    u = lambda x: f"https://a/{x}"
+    table = spark.createDataFrame([(u(x), 404 if x == "dead" else 200) for x in ("", "x", "y", "z", "dead", "admin/q", "far")], "url string, status int")
+    links = spark.createDataFrame([(u(a), i, u(b)) for i, (a, b) in enumerate([("", "y"), ("", "x"), ("", "admin/q"), ("x", "z"), ("y", "dead"), ("dead", "far"), ("admin/q", "far"), ("z", "")])], "src string, pos int, dst string")
+    rules = [(r.prefix, r.allow) for r in crawl.robots_rules(spark, "User-agent: *\nDisallow: /admin # closed\nAllow: /admin/open\n\nUser-agent: other\nDisallow: /").collect()]
+    assert rules == [("/admin", False), ("/admin/open", True)]
+    got = crawl.crawl(table, links, u(""), robots=rules).orderBy("depth", "place").collect()
+    assert [(r.url.rpartition("a/")[2] if "admin" not in r.url else "admin", r.depth, r.status) for r in got] == [("", 0, 200), ("y", 1, 200), ("x", 1, 200), ("admin", 1, None), ("dead", 2, 404), ("z", 2, 200)]
+    few = crawl.crawl(table, links, u(""), max_pages=3)
+    assert few.count() == 3 and crawl.truncated(few, links)
+    f = spark.createDataFrame([("a:b,c", "r", "cat", "medium")], "url string, rule_id string, category string, severity string")
+    assert reports.annotation(f).first().line == "::warning file=a%3Ab%2Cc,title=r::cat r"
+    assert reports.text_line(f).first().line == "[MEDIUM] r (cat)"
