@@ -6,7 +6,7 @@ the leftmost). The root is the next merge. A merge touches three leaves: the
 merged token's, the swallowed token's and the left live neighbour's, each a
 logarithmic point update; so a piece of n bytes takes O(n log n), however long.
 
-Pieces repeat, so each worker keeps the ids of the pieces it has met; the table
+Pieces repeat, so each task keeps the ids of the pieces it has met; the table
 is emptied when CACHE_PIECES is reached and never holds pieces over CACHE_CHARS.
 
 Ids travel as little-endian unsigned 32-bit integers in one binary, which is
@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-CACHE_PIECES = 250_000
+CACHE_PIECES = 120_000
 CACHE_CHARS = 48
 SLICE_ROWS = 256
 
@@ -120,13 +120,14 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, decoded: bool = False
     """
     ranks = read_ranks(ranks_path)
     tokens = {rank: token for token, rank in ranks.items()} if decoded else {}
-    shared = docs.sparkSession.sparkContext.broadcast({"ranks": ranks, "tokens": tokens, "cache": {}})  # one vocabulary
+    shared = docs.sparkSession.sparkContext.broadcast({"ranks": ranks, "tokens": tokens})  # one vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         split = regex.compile(pattern).findall
-        ranks, tokens, cache = (shared.value[k] for k in ("ranks", "tokens", "cache"))
+        ranks, tokens = shared.value["ranks"], shared.value["tokens"]
+        cache: dict[str, bytes] = {}  # a task's own, so that an idle worker holds none
         for b in _sliced(batches):
             packed = [encode_text(t, split, ranks, cache) if t else b"" for t in b.column("text").to_pylist()]
             more = {"bytes": pa.array([decode_ids(x, tokens) for x in packed], pa.binary())} if decoded else {}
