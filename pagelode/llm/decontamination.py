@@ -1,14 +1,13 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-Texts are compared as words (lower-cased, without ASCII punctuation). A first
-pass counts in how many documents each word n-gram of the test items occurs;
-each item keeps the rarer half of its n-grams as seeds, at least MIN_SEEDS. The
-rank, not a frequency limit, decides, so an item copied into a third of the
-corpus keeps its seeds. A second pass finds the seeds in every document; seeds
-of one item that lie close open a window, and the window is aligned with the
-item word by word (Smith-Waterman, linear gaps). The score is the alignment's
-share of a perfect copy's, so edited and paraphrased copies score high and
-chance hits low.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+
+Texts are compared as words (lower-cased, without ASCII punctuation). Every word
+n-gram of an item is a seed, however frequent: an edited copy keeps any of them,
+and often only common ones. Seeds of one item that lie close open a window;
+windows that share too few words with the item to reach the score are dropped,
+which loses nothing, and the others are aligned with the item word by word
+(Smith-Waterman, linear gaps). The score is the alignment's share of a perfect
+copy's, so edited and paraphrased copies score high and chance hits low. A copy
+without SEED_WORDS words in a row left isn't found.
 
 Test items are sent to the workers in blocks of BLOCK_ITEMS, so what is
 broadcast doesn't grow with the corpus nor, beyond a block, with the benchmark.
@@ -31,7 +30,6 @@ from pyspark.sql import functions as F
 from pagelode.llm.near_dedup import PLACES, mixed
 
 SEED_WORDS = 3
-MIN_SEEDS = 8
 SCORE = 0.4
 MIN_WORDS = 6
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -81,6 +79,7 @@ class Items:
         self.owner = np.concatenate(owner).astype(np.int64) if owner else np.zeros(0, np.int64)
         self.at = np.concatenate(at).astype(np.int64) if at else np.zeros(0, np.int64)
         self.code = np.concatenate(code).astype(np.uint64) if code else np.zeros(0, np.uint64)
+        self.length = np.array([len(w) for w in self.words], np.int64)
         self.short = [i for i, w in enumerate(self.words) if len(w) < n]
 
     def ids(self, text: str | None) -> np.ndarray:
@@ -89,17 +88,6 @@ class Items:
         return np.fromiter((get(w, 0) for w in found), np.int64, len(found))
 
 
-def rarer_half(items: Items, frequency: dict[int, int]) -> np.ndarray:
-    """Mask of the n-grams each item keeps as seeds: its rarer half, MIN_SEEDS at least; ties go to earlier ones."""
-    keep = np.zeros(len(items.code), bool)
-    df = np.array([frequency.get(int(c), 0) for c in items.code], np.int64)
-    for i in range(len(items.words)):
-        mine = np.flatnonzero(items.owner == i)
-        order = mine[np.argsort(df[mine], kind="stable")]
-        keep[order[: max(MIN_SEEDS, -(-len(order) // 2))]] = True
-    return keep
-
-
 def align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Best local alignment score of each pair of word sequences, and where in the window it ends.
 
@@ -134,24 +122,20 @@ def windows_of(items: Items, ids: np.ndarray, seeds) -> list[tuple[int, int, int
     if len(at) and len(codes):
         place = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
         hit = codes[place] == code
-        spans: dict[int, list[tuple[int, int]]] = {}
-        for p, k in zip(at[hit].tolist(), place[hit].tolist(), strict=True):
-            for j in range(first[k], first[k + 1]):
-                i = int(owner[j])
-                length = len(items.words[i])
-                slack = 4 + length // 4
-                start = p - int(offset[j])
-                spans.setdefault(i, []).append((max(0, start - slack), min(len(ids), start + length + slack)))
-        for i, x in spans.items():
-            x.sort()
-            start, stop = x[0]
-            for s, e in x[1:]:
-                if s > stop:
-                    out.append((i, start, stop))
-                    start, stop = s, e
-                else:
-                    stop = max(stop, e)
-            out.append((i, start, stop))
+        at, place = at[hit], place[hit]
+        n = first[place + 1] - first[place]
+        k = np.repeat(first[place] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        i, length = owner[k], items.length[owner[k]]
+        slack = 4 + length // 4
+        start = np.repeat(at, n) - offset[k]
+        apart = i * (len(ids) + 1)  # windows of different items never touch
+        stop = apart + np.minimum(len(ids), start + length + slack)
+        start = apart + np.maximum(0, start - slack)
+        order = np.argsort(start, kind="stable")
+        i, start, stop, apart = i[order], start[order], np.maximum.accumulate(stop[order]), apart[order]
+        head = np.flatnonzero(np.append(True, (start[1:] > stop[:-1]) | (i[1:] != i[:-1]))) if len(i) else np.zeros(0, np.int64)
+        tail = np.append(head[1:], len(i))[: len(head)] - 1
+        out += zip(i[head].tolist(), (start - apart)[head].tolist(), (stop - apart)[tail].tolist(), strict=True)
     for i in items.short:
         word = items.words[i]
         for p in np.flatnonzero(ids[: len(ids) - len(word) + 1] == word[0]).tolist():
@@ -161,35 +145,32 @@ def windows_of(items: Items, ids: np.ndarray, seeds) -> list[tuple[int, int, int
     return out
 
 
-def _frequencies(items_of):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = items_of()
-        codes = np.unique(items.code)
-        count = np.zeros(len(codes), np.int64)
-        for b in batches:
-            for text in b.column("text").to_pylist():
-                _, code = seed_codes(items.ids(text), items.n)
-                if len(code) and len(codes):
-                    place = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
-                    count[np.unique(place[codes[place] == code])] += 1
-        hit = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(codes[hit].view(np.int64), pa.int64()), pa.array(count[hit], pa.int64())], ["code", "df"])
-
-    return run
+def can_reach(words: np.ndarray, window: np.ndarray, least: float, least_words: int) -> bool:
+    """Whether a window could align at ``least``: an alignment that does matches at least that share of the item's words, in a bounded stretch."""
+    size = len(words)
+    need = max(least * size - 1e-9, min(least_words, size))
+    known, there = np.unique(words, return_counts=True)
+    place = np.minimum(np.searchsorted(known, window), len(known) - 1)
+    hit = known[place] == window
+    if np.minimum(np.bincount(place[hit], minlength=len(known)), there).sum() < need:
+        return False
+    # 2 m - edits >= 2 least size and m <= size, so at most (3 - 2 least) size words of the document take part
+    stretch = int((3 - 2 * least) * size) + 1
+    total = np.append(0, np.cumsum(hit))
+    return bool((total[stretch:] - total[:-stretch]).max() >= need) if len(window) > stretch else True
 
 
-def _matches(items_of, kept: np.ndarray, least: float, least_words: int):
+def _matches(items_of, least: float, least_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = items_of()
-        code, owner, at = items.code[kept], items.owner[kept], items.at[kept]
-        order = np.argsort(code, kind="stable")
-        codes, first = np.unique(code[order], return_index=True)
-        seeds = (codes, [*first.tolist(), len(code)], owner[order], at[order])
+        order = np.argsort(items.code, kind="stable")
+        codes, first = np.unique(items.code[order], return_index=True)
+        seeds = (codes, np.append(first, len(order)), items.owner[order], items.at[order])
         for b in batches:
             found = []
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 ids = items.ids(text)
-                found += [(doc, i, s, ids[s:e]) for i, s, e in windows_of(items, ids, seeds)]
+                found += [(doc, i, s, ids[s:e]) for i, s, e in windows_of(items, ids, seeds) if can_reach(items.words[i], ids[s:e], least, least_words)]
             found.sort(key=lambda x: (len(x[3]), len(items.words[x[1]])))
             out = []
             while found:
@@ -230,10 +211,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, seed_words: int = SEED_WORDS,
         def items_of(shared=shared):
             return Items(shared.value, seed_words)
 
-        df = texts.mapInArrow(_frequencies(items_of), "code long, df long").groupBy("code").agg(F.sum("df").alias("df")).collect()  # a row for each n-gram of the block
-        frequency = {r["code"] & ((1 << 64) - 1): r["df"] for r in df}
-        kept = rarer_half(items_of(), frequency)
-        out = out.unionByName(texts.mapInArrow(_matches(items_of, kept, least, least_words), schema))
+        out = out.unionByName(texts.mapInArrow(_matches(items_of, least, least_words), schema))
     return out
 
 

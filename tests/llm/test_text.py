@@ -224,6 +224,30 @@ def test_decontamination_finds_copies_and_edits(spark, odd, none):
     assert decontamination.contaminated(odd, bench.limit(0)).count() == 0
 
 
+def test_decontamination_keeps_seeds_of_edited_copies(spark):
+    """Trigrams that an edit broke or that no document holds never stand in for those a copy still has."""
+    rnd = random.Random(10)
+    edited, halved = [f"e{i}" for i in range(20)], [f"h{i}" for i in range(40)]
+    bench = spark.createDataFrame([(1, " ".join(edited)), (2, " ".join(halved))], "item_id long, text string")
+    copy = ["changed" if i in (3, 7, 11, 15) else w for i, w in enumerate(edited)]
+    late = ["changed" if i % 5 == 0 else w for i, w in enumerate(halved)][15:]
+    docs = [(0, " ".join(words(30, rnd) + copy + words(30, rnd))), (1, " ".join(late))]
+    docs += [(100 + i, " ".join(words(10, rnd) + halved[:20] + words(10, rnd))) for i in range(30)]
+    docs += [(200 + i, " ".join(words(60, rnd) + edited[4:7])) for i in range(10)]
+    got = {r.doc_id: (r.item_id, round(r.score, 2)) for r in decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == {0: (1, 0.7), 1: (2, 0.45), **{100 + i: (2, 0.5) for i in range(30)}}
+
+
+def test_windows_left_out_could_not_align():
+    rnd = random.Random(11)
+    for _ in range(400):
+        item = np.array([rnd.randint(1, 30) for _ in range(rnd.randint(3, 30))])
+        window = np.array([rnd.choice([0, rnd.randint(1, 30), *item.tolist()]) for _ in range(rnd.randint(3, 90))])
+        score = sw(item.tolist(), window.tolist())
+        if score >= 0.8 * len(item) and score >= 2 * min(6, len(item)):
+            assert decontamination.can_reach(item, window, 0.4, 6)
+
+
 @pytest.mark.parametrize("name", ["op2_language_id", "op3_quality", "op7_toxicity"])
 def test_learned_queries_hold_out(spark, name):
     """Held-out rows aren't learned from, and the contract's columns come out whole."""
