@@ -117,16 +117,17 @@ def canonical_audit(traces: DataFrame, sites: DataFrame) -> DataFrame:
     return j.withColumn("v", verdict).groupBy("site").agg(overall.alias("overall"), F.count_if(~good).alias("failures"), F.count_if(F.col("v") == "redirect_chain").alias("chains"))
 
 
-def near_duplicate_pairs(docs: DataFrame, words: int = 5, least: float = 0.9, sample: int = 5000) -> tuple[DataFrame, DataFrame]:
+def near_duplicate_pairs(docs: DataFrame, words: int = 5, least: float = 0.9, sample: int | None = 5000) -> tuple[DataFrame, DataFrame]:
     """((a, b, similarity), (doc_id, head)): pairs of distinct shingle sets, and which document stands for each.
 
-    Sets come from the first ``sample`` characters, as the page crawl compares them.
+    Sets come from the first ``sample`` characters, as the page crawl compares them, or from whole texts if it is None.
 
     An inverted index with a prefix filter: of a set's shingles in order of
     rarity only the first n - ceil(least * n) + 1 are indexed, which no pair at
     the threshold can avoid; candidates are then counted on full sets.
     """
-    tokens = F.regexp_extract_all(F.lower(F.substring("text", 1, sample)), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    text = F.col("text") if sample is None else F.substring("text", 1, sample)
+    tokens = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
     w = docs.select(F.col("doc_id"), tokens.alias("w"))
     last = F.greatest(F.size("w") - (words - 1), F.lit(1))
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.array_join(F.slice("w", i, words), " "))))

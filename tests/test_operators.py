@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from pagelode.functions import text as X
 from pagelode.operators import fixes, graph, history, logs, pages, recommendations, scoring, visibility
+from pagelode.plans import catalog
 from pagelode.sources import readers
 
 
@@ -244,3 +245,12 @@ def test_crawl_waves_budget_and_robots(spark):
     f = spark.createDataFrame([("a:b,c", "r", "cat", "medium")], "url string, rule_id string, category string, severity string")
     assert reports.annotation(f).first().line == "::warning file=a%3Ab%2Cc,title=r::cat r"
     assert reports.text_line(f).first().line == "[MEDIUM] r (cat)"
+
+
+def test_near_duplicates_compare_whole_texts(spark, tmp_path):
+    body = lambda mark, n: " ".join(f"{mark}{i}" for i in range(n))
+    long = body("same", 900)  # beyond 5,000 characters
+    rows = [(1, f"{long} {body('a', 900)}"), (2, f"{long} {body('b', 900)}"), (3, f"{body('x', 100)} {body('rest', 3000)}"), (4, f"{body('y', 100)} {body('rest', 3000)}")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert [(r.a, r.b) for r in catalog.near_dup_pairs(spark, str(tmp_path)).collect()] == [(3, 4)]
+    assert catalog.near_dup_classes(spark, str(tmp_path)).count() == 0
