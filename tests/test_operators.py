@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from pagelode.functions import text as X
 from pagelode.operators import fixes, graph, history, logs, pages, recommendations, scoring, visibility
-from pagelode.plans import catalog
+from pagelode.plans import catalog, inputs
 from pagelode.sources import readers
 
 
@@ -254,3 +254,9 @@ def test_near_duplicates_compare_whole_texts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert [(r.a, r.b) for r in catalog.near_dup_pairs(spark, str(tmp_path)).collect()] == [(3, 4)]
     assert catalog.near_dup_classes(spark, str(tmp_path)).count() == 0
+
+
+def test_every_supplier_is_ranked(spark):
+    at = "/root/testdata/sf0.01"
+    sold = spark.read.parquet(f"{at}/lineitem.parquet").where(F.year("l_shipdate") == 1998)
+    assert inputs.supplier_rankings(spark, at, 1998).select("supplier").distinct().count() == sold.select("l_suppkey").distinct().count() == 100
