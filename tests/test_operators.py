@@ -260,3 +260,11 @@ def test_every_supplier_is_ranked(spark):
     at = "/root/testdata/sf0.01"
     sold = spark.read.parquet(f"{at}/lineitem.parquet").where(F.year("l_shipdate") == 1998)
     assert inputs.supplier_rankings(spark, at, 1998).select("supplier").distinct().count() == sold.select("l_suppkey").distinct().count() == 100
+
+
+def test_every_part_is_ranked(spark):
+    at = "/root/testdata/sf0.01"
+    sold = spark.read.parquet(f"{at}/lineitem.parquet").where(F.year("l_shipdate") == 1998).groupBy("l_partkey").agg(F.sum("l_quantity").alias("q")).collect()
+    expected = [f"part {r.l_partkey}" for r in sorted(sold, key=lambda r: (-r.q, r.l_partkey))]
+    got = inputs.rankings(spark, at, 1998).orderBy("position").collect()
+    assert [r.keyword for r in got] == expected and [r.position for r in got] == list(range(1, len(expected) + 1))
