@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +41,7 @@ def allowed(rules: list[tuple[str, bool]]) -> Column:
     return out
 
 
-def crawl(pages: DataFrame, links: DataFrame, start: str, max_pages: int | None = 200, robots: list[tuple[str, bool]] = (), max_depth: int = 50) -> DataFrame:
+def crawl(pages: DataFrame, links: DataFrame, start: str, max_pages: int | None = 200, robots: list[tuple[str, bool]] = (), max_depth: int | None = None) -> DataFrame:
     """(url, depth, place, status, blocked_by_robots), at most ``max_pages`` (the crawl's budget; None: all).
 
     pages: (url, status), links: (src, pos, dst). Waves follow depth. place is
@@ -51,7 +53,7 @@ def crawl(pages: DataFrame, links: DataFrame, start: str, max_pages: int | None
     table = cut(table.withColumn("blocked", ~allowed(list(robots))))
     wave = cut(table.where(F.col("url") == start).select("url", F.lit(0).alias("depth"), F.array().cast("array<int>").alias("place")))
     seen, taken = wave, wave.count()
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         if max_pages is not None and taken >= max_pages:
             break
         live = wave.join(table.where("not blocked and status = 200"), "url", "left_semi")
@@ -66,6 +68,8 @@ def crawl(pages: DataFrame, links: DataFrame, start: str, max_pages: int | None
             break
         taken += n
         seen = seen.unionByName(wave)
+        if depth % 8 == 0:
+            seen = cut(seen)
     out = seen.join(table, "url")
     return out.select("url", "depth", "place", F.when(~F.col("blocked"), F.col("status")).alias("status"), F.col("blocked").alias("blocked_by_robots"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,12 +23,12 @@ def orphans(nodes: DataFrame, edges: DataFrame, start) -> DataFrame:
     return nodes.where(F.col("node") != start).join(edges.select(F.col("dst").alias("node")).distinct(), "node", "left_anti").select("node")
 
 
-def depths(nodes: DataFrame, edges: DataFrame, start, max_depth: int = 50) -> DataFrame:
-    """(node, depth) of what links reach from start; each level joins only its frontier and drops what was seen."""
+def depths(nodes: DataFrame, edges: DataFrame, start, max_depth: int | None = None) -> DataFrame:
+    """(node, depth) of what links reach from start, within ``max_depth`` levels if given; each level joins only its frontier and drops what was seen."""
     steps = cut(edges.join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst").distinct())
     seen = cut(nodes.where(F.col("node") == start).select("node", F.lit(0).alias("depth")))
     frontier = seen
-    for d in range(1, max_depth + 1):
+    for d in count(1) if max_depth is None else range(1, max_depth + 1):
         frontier = cut(frontier.join(steps, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(d)))
         if frontier.isEmpty():
             break

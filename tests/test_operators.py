@@ -268,3 +268,10 @@ def test_every_part_is_ranked(spark):
     expected = [f"part {r.l_partkey}" for r in sorted(sold, key=lambda r: (-r.q, r.l_partkey))]
     got = inputs.rankings(spark, at, 1998).orderBy("position").collect()
     assert [r.keyword for r in got] == expected and [r.position for r in got] == list(range(1, len(expected) + 1))
+
+
+def test_depth_beyond_fifty_links(spark):
+    n = 53
+    nodes = spark.range(n).withColumnRenamed("id", "node")
+    edges = spark.range(n - 1).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert graph.depths(nodes, edges, 0).agg(F.max("depth")).first()[0] == n - 1
