@@ -22,17 +22,23 @@ def ranks():
 def test_bpe_matches_library(ranks):
     tiktoken = pytest.importorskip("tiktoken")
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    split, cache, rnd = regex.compile(public_tokenizers.PATTERN).findall, {}, random.Random(3)
-    texts = [t for _, t in ODD if t] + ["".join(rnd.choice("ab é日本\n\t 12'sS't😀\x85\x1c<|endoftext|>") for _ in range(rnd.randint(0, 200))) for _ in range(300)]
-    for t in [*texts, "ab" * 30_000, "日" * 2000]:
-        ids = library.encode_ordinary(t)
-        assert bpe.encode_text(t, split, ranks, cache) == struct.pack(f"<{len(ids)}I", *ids)
+    split, rnd = regex.compile(public_tokenizers.PATTERN).findall, random.Random(3)
+    texts = [t for _, t in ODD] + ["".join(rnd.choice("ab é日本\n\t 12'sS't😀\x85\x1c<|endoftext|>") for _ in range(rnd.randint(0, 200))) for _ in range(300)]
+    texts += ["ab" * 30_000, "日" * 2000, *("x" * n for n in range(1, 140))]
+    merges = bpe.Merges(ranks)
+    for pieces in (bpe.Pieces(merges), bpe.Pieces(merges, limit=20)):  # the second forgets often
+        for at in range(0, len(texts), 40):
+            part = texts[at : at + 40]
+            ids = [library.encode_ordinary(t or "") for t in part]
+            assert bpe.encode_texts(part, split, pieces) == [struct.pack(f"<{len(x)}I", *x) for x in ids]
 
 
 def test_bpe_merges_leftmost_of_equal_ranks():
     ranks = {b"a": 0, b"b": 1, b"aa": 2, b"aaa": 3}
     assert bpe.merge_piece(b"aaaab", ranks) == [2, 2, 1]
     assert bpe.merge_piece(b"a", ranks) == [0]
+    unpacked = [list(struct.unpack(f"<{len(x) // 4}I", x)) for x in bpe.Merges(ranks).packed(["aaaab", "a", "b" * 9, "ab" * 40])]
+    assert unpacked == [bpe.merge_piece(x, ranks) for x in (b"aaaab", b"a", b"b" * 9, b"ab" * 40)]
 
 
 def test_bpe_round_trip(odd, none):
