@@ -32,6 +32,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from pagelode.llm.common import over_texts
+
 CACHE_PIECES = 60_000
 CACHE_CHARS = 48
 TREE_BYTES = 64
@@ -242,7 +244,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, decoded: bool = False
             more = {"bytes": pa.array([decode_ids(x, tokens) for x in packed], pa.binary())} if decoded else {}
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(packed, pa.binary()), *more.values()], ["doc_id", "ids", *more])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary" + ", bytes binary" * decoded)
+    return over_texts(docs.select("doc_id", "text"), run, "doc_id long, ids binary" + ", bytes binary" * decoded)
 
 
 def decode_ids(ids: bytes, tokens: dict[int, bytes]) -> bytes:
@@ -259,4 +261,4 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
             out = [decode_ids(ids, shared.value) for ids in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("ids"), pa.array(out, pa.binary())], ["doc_id", "ids", "bytes"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, bytes binary")
+    return over_texts(encoded.select("doc_id", "ids"), run, "doc_id long, ids binary, bytes binary")

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of longs that may be broadcast: a hashed relation of them stays under about 64 MB.
 BROADCAST_KEYS = 1_000_000
+#: Rows of an Arrow batch that carries whole texts.
+TEXT_ROWS = 500
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,9 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """Folder that driver and executors share: spark.checkpoint.dir; a local one where it is unset and Spark runs in one process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="pagelode-checkpoints-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
@@ -44,13 +53,43 @@ def cut(df: DataFrame) -> DataFrame:
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int):
     """Arrow batches of at most ``rows`` rows for what is executed inside; rows that carry whole sets are large."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+    before = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, str(rows))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        spark.conf.set(ARROW_ROWS, before)
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def over_texts(docs: DataFrame, run: Callable[[Batches], Batches], schema) -> DataFrame:
+    """mapInArrow over rows with whole texts, in bounded memory.
+
+    The session's Arrow batches shrink to TEXT_ROWS rows at most and stay so, as
+    the result may run later; a finished task hands its free memory back.
+    """
+    spark = docs.sparkSession
+    rows = int(spark.conf.get(ARROW_ROWS))
+    if not 0 < rows <= TEXT_ROWS:
+        spark.conf.set(ARROW_ROWS, str(TEXT_ROWS))
+    return docs.mapInArrow(released(run), schema)
+
+
+def released(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``run``; when it ends, free memory of Arrow and of the allocator goes back to the system, as workers idle on."""
+
+    def outer(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return outer
 
 
 def partitions(spark: SparkSession) -> int:

@@ -10,27 +10,32 @@ labelled texts are from their own are marked rejected.
 Learning uses at most ``bound`` labelled texts of each language (a documented
 parameter); prediction reads whole texts of all rows.
 
-Defined results: a null text or one without a letter is ``und`` with score 0;
-ties go to the first language in order; without labelled rows every text is
+Defined results: a null text or one without a letter (Unicode category L) is
+``und`` with score 0; repeated rows get the same prediction each; ties go to
+the first language in order; without labelled rows every text is
 ``und``; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from pagelode.llm.common import over_texts
+
 DIMS = 1 << 14
 CENTROIDS = 3
 BOUND = 1500
 ROUNDS = 8
 REJECT_QUANTILE = 0.001
 CHUNK = 1 << 20
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: Runs of anything but letters (categories L*); numerals such as halves and superscripts count as word characters, so they are named.
+NOT_LETTERS = re.compile(r"[\W\d_%s]+" % "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal()))
 
 
 def gram_counts(text: str) -> np.ndarray | None:
@@ -76,7 +81,7 @@ def _clusters(x: np.ndarray, k: int) -> np.ndarray:
 
 def learn(sample: DataFrame) -> dict:
     """Model from labelled (text, lang) rows, a bounded sample."""
-    rows = sample.select("text", "lang").mapInArrow(_sparse, "lang string, at binary, value binary").collect()  # at most ``bound`` rows a language
+    rows = over_texts(sample.select("text", "lang"), _sparse, "lang string, at binary, value binary").collect()  # at most ``bound`` rows a language
     rows.sort(key=lambda r: (r["lang"], bytes(r["at"]), bytes(r["value"])))
     if not rows:
         return {"langs": [], "centres": np.zeros((0, DIMS), np.float32), "owner": [], "idf": np.ones(DIMS, np.float32), "reject": 0.0}
@@ -124,4 +129,4 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
                 rejected.append(bool(cosine[best] < m["reject"]))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(name, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], ["doc_id", "lang_pred", "score", "rejected"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return over_texts(docs.select("doc_id", "text"), run, "doc_id long, lang_pred string, score double, rejected boolean")

@@ -14,7 +14,8 @@ read whole texts of all rows.
 
 Defined results: a null text scores like the empty one, the calibrated score of
 no difference; repeated rows score alike; with only one label value every score
-is its share, without any 0.5; further columns are ignored.
+is its share, without any 0.5; an empty table gives an empty result; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
+from pagelode.llm.common import over_texts
+
 BOUND = 2500
 DICT_SIZE = 64 << 10
 DICT_BYTES = 6 << 20
@@ -161,4 +164,4 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
                 out = np.zeros(0)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.float64())], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return over_texts(docs.select("doc_id", "text"), run, "doc_id long, score double")
