@@ -13,18 +13,24 @@ near copies) would make lists whose pairs grow with the square. A list longer
 than LONG_LIST is not paired. A similar pair that shares only such values must
 hold LEAST_SHARED of them in either sketch, so only documents with that many
 (or all, for smaller sets) go on; they fall into regions connected by long-list
-values, and a region is cut into blocks of like set sizes. Each pair of blocks
-whose sizes are compatible is one task item: exact intersections of all its
-sets come from one matrix product, and what leaves it is a spanning forest of
-the links found, never the pairs.
+values, and a region is cut into blocks of like set sizes. First every block is
+compared with itself and with a representative of its class and of the classes
+beside it, which ships each set once and links most of a group of near copies.
+Documents of a region's largest component need no further links among
+themselves; only the others are then compared, block by block, with each other
+and with it. Exact intersections of two blocks come from one matrix product,
+and what leaves it is a spanning forest of the links found, never the pairs.
 
 Classes are linked by label propagation with pointer jumping on tables; no
-link or label reaches the driver.
+link or label reaches the driver. Inside, a distinct set is a node with a
+number of its own; ids come back at the end.
 
 Defined results: a document without words (or a null text) has no shingles and
-is linked with nothing; fewer words than a shingle make one shingle; rows with
-one doc_id count as one document; an empty table gives an empty result; further
-columns are ignored.
+is linked with nothing; fewer words than a shingle make one shingle; each row
+counts by its own text, also where rows share a doc_id, and all rows of a
+class's least id are kept; rows without an id take the component of their class
+and are kept only if no row of it has an id; an empty table gives an empty
+result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,13 +43,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelode.llm.common import arrow_rows, cut, small_side
+from pagelode.llm.common import BROADCAST_KEYS, arrow_rows, cut, over_texts, small_side
 
 WORDS = 5
 SHARE = (75, 100)
 K = 32
 LEAST_SHARED = 10
 LONG_LIST = 64
+#: Rows with a value that occurs more often don't meet in one task.
+HOT_VALUE = 1024
 #: Documents and set members of a block at most.
 BLOCK_DOCS = 512
 BLOCK_MEMBERS = 400_000
@@ -102,7 +110,7 @@ def _sketched(words: int, k: int):
                 n.append(len(s))
                 key.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 sketch.append(s[:k].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sketch, pa.list_(pa.int64()))], ["doc_id", "n", "key", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sketch, pa.list_(pa.int64()))], ["doc_id", "th", "n", "key", "sketch"])
 
     return run
 
@@ -114,7 +122,7 @@ def _sets(words: int):
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
                 sets = [shingle_set(t, words, hashes).tobytes() for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "members"])
+                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], ["key", "members"])
 
     return run
 
@@ -178,7 +186,7 @@ def forest(n: int, pairs: np.ndarray) -> list[tuple[int, int]]:
 
 def _block_links(share: tuple[int, int]):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        ids = np.array(table.column("doc_id").to_pylist(), np.int64)
+        ids = np.array(table.column("node").to_pylist(), np.int64)
         side = np.array(table.column("side").to_pylist(), np.int64)
         sets = [np.frombuffer(x, np.uint64) for x in table.column("members").to_pylist()]
         left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)  # 0: one block against itself
@@ -237,91 +245,144 @@ def near_dedup(
     least_shared: int = LEAST_SHARED,
     long_list: int = LONG_LIST,
     block_docs: int = BLOCK_DOCS,
+    hot_value: int = HOT_VALUE,
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every document."""
+    """(doc_id, th, n_shingles, component_id, kept) of every row; th is the xxhash64 of its text."""
+    texts = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
     with arrow_rows(docs.sparkSession, BATCH_ROWS):  # every Python step below ends in a written table before this block does
-        return _near_dedup(docs.select("doc_id", "text"), words, share, k, least_shared, long_list, block_docs)
+        return _near_dedup(texts, words, share, k, least_shared, long_list, block_docs, hot_value)
 
 
-def _near_dedup(texts: DataFrame, words: int, share: tuple[int, int], k: int, least_shared: int, long_list: int, block_docs: int) -> DataFrame:
-    sketched = cut(texts.mapInArrow(_sketched(words, k), "doc_id long, n long, key binary, sketch array<long>"))
-    # one document stands for all with the same set
-    heads = cut(sketched.where("n > 0").groupBy("key").agg(F.min(F.struct("doc_id", "n", "sketch")).alias("s")).select("key", "s.*"))
+def _near_dedup(texts: DataFrame, words: int, share: tuple[int, int], k: int, least_shared: int, long_list: int, block_docs: int, hot_value: int) -> DataFrame:
+    sketched = cut(over_texts(texts, _sketched(words, k), "doc_id long, th long, n long, key binary, sketch array<long>"))
+    # one node stands for all rows with the same set; its number is fixed by the written table
+    heads = sketched.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("n", "sketch")).alias("s")).select("key", "doc_id", "s.*")
+    heads = cut(heads.withColumn("node", F.monotonically_increasing_id()))
 
-    posted = heads.select("doc_id", "n", F.size("sketch").alias("kept_values"), F.explode("sketch").alias("v"))
-    lengths = posted.groupBy("v").count().where("count > 1")
-    lists = cut(posted.join(lengths, "v"))
-
-    members = F.collect_list(F.struct("n", "doc_id"))
-    short = lists.where(F.col("count") <= long_list).groupBy("v").agg(F.array_sort(members).alias("docs"))  # at most long_list each
-    firsts = short.select(F.posexplode("docs").alias("i", "x"), "docs")
-    pairs = firsts.select("x", F.explode(F.slice("docs", F.col("i") + 2, F.size("docs"))).alias("y"))
+    lists = _lists(heads, max(hot_value, long_list))
+    short_lists = lists.where(F.col("count") <= long_list)
+    members = F.collect_list(F.struct("n", "node"))
+    short = short_lists.groupBy("v").agg(F.array_sort(members).alias("nodes"))  # at most long_list each
+    firsts = short.select(F.posexplode("nodes").alias("i", "x"), "nodes")
+    pairs = firsts.select("x", F.explode(F.slice("nodes", F.col("i") + 2, F.size("nodes"))).alias("y"))
     pairs = (
         pairs.where(F.col("x.n") * share[1] >= F.col("y.n") * share[0])  # sorted by size: x is the smaller
-        .select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
-        .where("a <> b")
+        .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
         .distinct()
     )
-    sa = heads.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa"))
-    sb = heads.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb"))
+    sa = heads.select(F.col("node").alias("a"), F.col("sketch").alias("sa"))
+    sb = heads.select(F.col("node").alias("b"), F.col("sketch").alias("sb"))
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
     shared = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
     need = F.least(F.lit(least_shared), F.ceil(F.size(union) * (least_shared / k)))
     likely = cut(pairs.join(sa, "a").join(sb, "b").where(shared >= need).select("a", "b"))
 
-    wanted = likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).distinct()
+    wanted = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
     long_lists = lists.where(F.col("count") > long_list)
     share_of_values = F.least(F.lit(least_shared), F.ceil(F.max("kept_values") * (least_shared / k)))
-    heavy = cut(long_lists.groupBy("doc_id", "n").agg(F.count("*").alias("hot"), share_of_values.alias("need")).where("hot >= need").select("doc_id", "n"))
-    links = _linked(texts, likely, wanted, words, share).unionByName(_linked_in_regions(texts, long_lists, heavy, words, share, block_docs))
-
-    found = components(links)
-    labelled = heads.select("key", "doc_id").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", F.coalesce("label", "doc_id").alias("component_id"))
-    out = sketched.select("doc_id", "n", "key").join(labelled, "key", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
-
-
-def _members(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(doc_id, members) of the wanted documents, from their whole texts."""
-    wanted = cut(wanted)
-    picked = texts.join(small_side(wanted, wanted.count()), "doc_id", "left_semi")
-    return picked.mapInArrow(_sets(words), "doc_id long, members binary").dropDuplicates(["doc_id"])
+    heavy = cut(long_lists.groupBy("node", "n").agg(F.count("*").alias("hot"), share_of_values.alias("need")).where("hot >= need").select("node", "n"))
+    links = _linked(_members(texts, heads, wanted, words), likely, share)
+    if not heavy.isEmpty():
+        links = links.unionByName(_linked_in_regions(_members(texts, heads, heavy.select("node"), words), long_lists, heavy, share, block_docs))
+
+    found = components(links).withColumnRenamed("id", "node")
+    labelled = heads.select("key", "doc_id", "node").join(found, "node", "left")
+    linked = labelled.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least_id"))
+    labelled = labelled.join(linked, "label", "left").select("key", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least_id")).alias("component_id"))
+    columns = ["doc_id", "th", F.col("n").alias("n_shingles")]
+    filled = sketched.where("n > 0").join(labelled, "key").select(*columns, "component_id")  # a hot key's rows are split by AQE
+    out = filled.unionByName(sketched.where("n = 0").select(*columns, F.col("doc_id").alias("component_id")))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _lists(heads: DataFrame, hot_value: int) -> DataFrame:
+    """(v, node, n, kept_values, count) of the retained values that several nodes hold; count says how many."""
+    posted = heads.select("node", "n", F.size("sketch").alias("kept_values"), F.explode("sketch").alias("v"))
+    lengths = cut(posted.groupBy("v").count().where("count > 1"))
+    hot = lengths.where(F.col("count") > hot_value)
+    n_hot = hot.count()
+    if not 0 < n_hot <= BROADCAST_KEYS:
+        return cut(posted.join(lengths, "v"))
+    # rows of hot values get their count where they are; only the others are dealt by value
+    tagged = posted.join(F.broadcast(hot), "v", "left")
+    calm = lengths.where(F.col("count") <= hot_value)
+    rest = tagged.where("count is null").drop("count").join(calm, "v")
+    return cut(rest.unionByName(tagged.where("count is not null").select(rest.columns)))
+
+
+def _members(texts: DataFrame, heads: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(node, members) of the wanted nodes, from whole texts of their rows."""
+    wanted = cut(heads.join(wanted, "node", "left_semi").select("node", "key", "doc_id"))
+    n = wanted.count()
+    ids = wanted.select(F.col("doc_id").alias("id")).distinct()
+    picked = texts.join(small_side(ids, n), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    sets = over_texts(picked.select("text"), _sets(words), "key binary, members binary")
+    # rows of a wanted id may hold other texts; copies of a text under one id count once
+    return sets.join(small_side(wanted.select("key", "node"), n, BROADCAST_KEYS // 4), "key").drop("key").dropDuplicates(["node"])
+
+
+def _linked(sets: DataFrame, likely: DataFrame, share) -> DataFrame:
+    ma = sets.select(F.col("node").alias("a"), F.col("members").alias("ma"))
+    mb = sets.select(F.col("node").alias("b"), F.col("members").alias("mb"))
+    return likely.join(ma, "a").join(mb, "b").mapInArrow(_confirmed(share), "a long, b long")
 
 
-def _linked(texts: DataFrame, likely: DataFrame, wanted: DataFrame, words: int, share) -> DataFrame:
-    sets = _members(texts, wanted, words)
-    ma = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("ma"))
-    mb = sets.select(F.col("doc_id").alias("b"), F.col("members").alias("mb"))
-    return likely.join(ma, "a").join(mb, "b").mapInArrow(_confirmed(share), "a long, b long")
+def _regions(long_lists: DataFrame, heavy: DataFrame) -> DataFrame:
+    """(node, region) of nodes connected by long-list values."""
+    inside = cut(long_lists.join(heavy.select("node"), "node", "left_semi").select("v", "node"))
+    hubs = cut(inside.groupBy("v").agg(F.min("node").alias("hub")))
+    edges = inside.join(small_side(hubs, hubs.count()), "v").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    return components(edges).withColumnRenamed("id", "node").withColumnRenamed("label", "region")
 
 
-def _linked_in_regions(texts: DataFrame, long_lists: DataFrame, heavy: DataFrame, words: int, share, block_docs: int) -> DataFrame:
-    inside = cut(long_lists.join(heavy.select("doc_id"), "doc_id", "left_semi").select("v", "doc_id"))
-    hubs = inside.groupBy("v").agg(F.min("doc_id").alias("hub"))
-    regions = components(inside.join(hubs, "v").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")))
-    # similar sets have sizes in one class or in neighbouring ones
-    base = share[1] / share[0]
-    sized = heavy.join(regions.select(F.col("id").alias("doc_id"), F.col("label").alias("region")), "doc_id").withColumn("cls", F.floor(F.log(F.col("n")) / F.log(F.lit(base)) + 1e-9).cast("int"))
+def _linked_in_regions(sets: DataFrame, long_lists: DataFrame, heavy: DataFrame, share, block_docs: int) -> DataFrame:
+    base = share[1] / share[0]  # similar sets have sizes in one class or in neighbouring ones
+    cls = F.floor(F.log(F.col("n")) / F.log(F.lit(base)) + 1e-9).cast("int")
+    sized = cut(heavy.join(_regions(long_lists, heavy), "node").withColumn("cls", cls))
     room = F.greatest(F.lit(16), F.least(F.lit(block_docs), F.floor(F.lit(BLOCK_MEMBERS) / F.pow(F.lit(base), F.col("cls") + 1)))).cast("int")
-    classes = cut(sized.groupBy("region", "cls").count().withColumn("blocks", F.ceil(F.col("count") / room).cast("int")))
-    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    own = sized.join(classes.select("region", "cls", "blocks"), ["region", "cls"]).withColumn("block", block)
-    above = classes.select("region", (F.col("cls") - 1).alias("cls"), F.col("blocks").alias("above"))
-    below = classes.select("region", (F.col("cls") + 1).alias("cls"), F.col("blocks").alias("below"))
-    own = own.join(above, ["region", "cls"], "left").join(below, ["region", "cls"], "left")
-
-    def item(c1, b1, c2, b2, side):
-        return F.struct(c1.cast("int").alias("c1"), b1.cast("int").alias("b1"), c2.cast("int").alias("c2"), b2.cast("int").alias("b2"), side.cast("int").alias("side"))
-
-    cls, at = F.col("cls"), F.col("block")
-    same = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda o: item(cls, F.least(at, o), cls, F.greatest(at, o), F.when(o == at, 0).when(at < o, 1).otherwise(2)),
-    )
-    none = F.array().cast("array<struct<c1:int,b1:int,c2:int,b2:int,side:int>>")
-    up = F.when(F.col("above").isNotNull(), F.transform(F.sequence(F.lit(0), F.col("above") - 1), lambda o: item(cls, at, cls + 1, o, F.lit(1)))).otherwise(none)
-    down = F.when(F.col("below").isNotNull(), F.transform(F.sequence(F.lit(0), F.col("below") - 1), lambda o: item(cls - 1, o, cls, at, F.lit(2)))).otherwise(none)
-    dealt = own.select("region", "doc_id", F.explode(F.concat(same, up, down)).alias("i")).select("region", "doc_id", "i.*")
-    sets = _members(texts, heavy.select("doc_id"), words)
-    return dealt.join(sets, "doc_id").groupBy("region", "c1", "b1", "c2", "b2").applyInArrow(_block_links(share), "a long, b long")
+    sets = cut(sets)
+
+    def blocked(of: DataFrame, extra: list[str]) -> tuple[DataFrame, DataFrame]:
+        """Nodes with the number of their block, and the number of blocks of each class."""
+        by = ["region", *extra, "cls"]
+        classes = cut(of.groupBy(*by).agg(F.count("*").alias("n_nodes"), F.min("node").alias("first")).withColumn("blocks", F.ceil(F.col("n_nodes") / room).cast("int")))
+        found = of.join(small_side(classes, classes.count(), BROADCAST_KEYS // 4), by)
+        return found.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), classes
+
+    def compared(dealt: DataFrame) -> DataFrame:
+        """Links within work items: (item..., node, side) rows; side 1 against side 2, side 0 on both."""
+        by = [c for c in dealt.columns if c not in ("node", "side")]
+        return dealt.join(sets, "node").groupBy(*by).applyInArrow(_block_links(share), "a long, b long")
+
+    # every block with itself and with representatives of its class and of those beside it
+    own, classes = blocked(sized, [])
+    near = F.explode(F.array(F.col("cls") - 1, F.col("cls"), F.col("cls") + 1))
+    first = classes.select("region", F.col("first").alias("node"), near.alias("cls"))
+    every = classes.select("region", "cls", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    visiting = first.join(every, ["region", "cls"]).select("region", "cls", "block", "node")
+    item = own.select("region", "cls", "block", "node").unionByName(visiting).distinct().withColumn("side", F.lit(0))
+    links = cut(compared(item))
+
+    # a region's largest component needs no more links inside; the others meet each other and it
+    label = components(links).withColumnRenamed("id", "node")
+    marked = sized.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    biggest = marked.groupBy("region", "label").count().groupBy("region").agg(F.max(F.struct("count", "label")).alias("m"), F.sum("count").alias("total"))
+    # regions of one block have met already, and a region in one component is done
+    open_ = cut(biggest.where("m.count < total").select("region", F.col("m.label").alias("most")))
+    if open_.isEmpty():
+        return links
+    marked = marked.join(small_side(open_, open_.count(), BROADCAST_KEYS // 4), "region")
+    parted, classes = blocked(marked.withColumn("apart", (F.col("label") != F.col("most")).cast("int")).select("region", "apart", "cls", "node"), ["apart"])
+    others = classes.select("region", F.col("apart").alias("apart2"), F.col("cls").alias("cls2"), F.col("blocks").alias("blocks2"))
+    mine = ["region", "apart", "cls", "block"]
+    # each block of documents that are apart is an item with each block of the classes around it
+    left = classes.where("apart = 1").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*mine)
+    facing = left.join(others, "region").where(F.abs(F.col("cls") - F.col("cls2")) <= 1).withColumn("block2", F.explode(F.sequence(F.lit(0), F.col("blocks2") - 1)))
+    # a pair of blocks that are both apart is one item, by order
+    facing = facing.where((F.col("apart2") == 0) | (F.struct("cls", "block") <= F.struct(F.col("cls2").alias("cls"), F.col("block2").alias("block"))))
+    facing = cut(facing.select(*mine, "apart2", "cls2", "block2"))
+    key = [*mine, "apart2", "cls2", "block2"]
+    same = (F.col("apart2") == 1) & (F.col("cls") == F.col("cls2")) & (F.col("block") == F.col("block2"))
+    one = parted.select(*mine, "node").join(facing, mine).select(*key, "node", F.when(same, 0).otherwise(1).alias("side"))
+    two = parted.select("region", F.col("apart").alias("apart2"), F.col("cls").alias("cls2"), F.col("block").alias("block2"), "node").join(facing.where(~same), ["region", "apart2", "cls2", "block2"])
+    return links.unionByName(compared(one.unionByName(two.select(*key, "node", F.lit(2).alias("side")))))

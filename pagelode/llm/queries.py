@@ -94,7 +94,7 @@ def op9_decontamination(spark, sf_dir):
 
 def op10_near_dedup(spark, sf_dir):
     """Every document with the least id of its class of near copies."""
-    return near_dedup.near_dedup(documents(spark, sf_dir))
+    return near_dedup.near_dedup(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def queries():
