@@ -9,12 +9,15 @@ which loses nothing, and the others are aligned with the item word by word
 copy's, so edited and paraphrased copies score high and chance hits low. A copy
 without SEED_WORDS words in a row left isn't found.
 
-Test items are sent to the workers in blocks of BLOCK_ITEMS, so what is
-broadcast doesn't grow with the corpus nor, beyond a block, with the benchmark.
-
-Defined results: null and empty texts match nothing; an item with fewer words
-than a seed is matched by its whole word sequence; repeated rows match alike;
-items with one id but several texts are separate; no items give an empty
+Test items are sent to the workers in blocks of BLOCK_ITEMS or BLOCK_CHARS, so
+what the driver holds and broadcasts doesn't grow with the corpus nor, beyond a
+block, with the benchmark.
+
+Defined results: null and empty texts and items match nothing; an item of fewer
+than MIN_WORDS words is common speech and counts only where it makes up half of
+a document's words or more; repeated rows match alike and rows with one doc_id
+give one result; ties go to the smallest item and the first place; items with
+one id but several texts are separate; no items or documents give an empty
 result; further columns are ignored.
 """
 
@@ -27,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagelode.llm.common import over_texts
 from pagelode.llm.near_dedup import PLACES, mixed
 
 SEED_WORDS = 3
@@ -34,6 +38,7 @@ SCORE = 0.4
 MIN_WORDS = 6
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_ITEMS = 20_000
+BLOCK_CHARS = 16_000_000
 CELLS = 1 << 20
 #: Bytes of ASCII that are no letter or digit become spaces.
 APART = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -114,7 +119,7 @@ def align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarra
     return best, end
 
 
-def windows_of(items: Items, ids: np.ndarray, seeds) -> list[tuple[int, int, int]]:
+def windows_of(items: Items, ids: np.ndarray, seeds, least_words: int = MIN_WORDS) -> list[tuple[int, int, int]]:
     """(item, start, stop) windows of a document around the seeds it holds."""
     codes, first, owner, offset = seeds
     at, code = seed_codes(ids, items.n)
@@ -136,7 +141,11 @@ def windows_of(items: Items, ids: np.ndarray, seeds) -> list[tuple[int, int, int
         head = np.flatnonzero(np.append(True, (start[1:] > stop[:-1]) | (i[1:] != i[:-1]))) if len(i) else np.zeros(0, np.int64)
         tail = np.append(head[1:], len(i))[: len(head)] - 1
         out += zip(i[head].tolist(), (start - apart)[head].tolist(), (stop - apart)[tail].tolist(), strict=True)
+    brief = 2 * items.length < len(ids)  # items too short for this document
+    out = [x for x in out if items.length[x[0]] >= least_words or not brief[x[0]]]
     for i in items.short:
+        if brief[i]:
+            continue
         word = items.words[i]
         for p in np.flatnonzero(ids[: len(ids) - len(word) + 1] == word[0]).tolist():
             if (ids[p : p + len(word)] == word).all():
@@ -170,7 +179,7 @@ def _matches(items_of, least: float, least_words: int):
             found = []
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 ids = items.ids(text)
-                found += [(doc, i, s, ids[s:e]) for i, s, e in windows_of(items, ids, seeds) if can_reach(items.words[i], ids[s:e], least, least_words)]
+                found += [(doc, i, s, ids[s:e]) for i, s, e in windows_of(items, ids, seeds, least_words) if can_reach(items.words[i], ids[s:e], least, least_words)]
             found.sort(key=lambda x: (len(x[3]), len(items.words[x[1]])))
             out = []
             while found:
@@ -190,6 +199,19 @@ def _matches(items_of, least: float, least_words: int):
     return run
 
 
+def item_blocks(benchmark: DataFrame, block: int = BLOCK_ITEMS) -> Iterator[list[tuple[int, str]]]:
+    """Items in order, at most ``block`` of them or about BLOCK_CHARS at a time."""
+    rows, chars = [], 0
+    for r in benchmark.select("item_id", "text").where("text is not null").orderBy("item_id", "text").toLocalIterator():
+        if rows and (len(rows) == block or chars + len(r["text"]) > BLOCK_CHARS):
+            yield rows
+            rows, chars = [], 0
+        rows.append((r["item_id"], r["text"]))
+        chars += len(r["text"])
+    if rows:
+        yield rows
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, seed_words: int = SEED_WORDS, least: float = SCORE, least_words: int = MIN_WORDS, block: int = BLOCK_ITEMS) -> DataFrame:
     """(doc_id, item_id, score, start, stop) of every window that aligns with a test item; positions count words.
 
@@ -199,19 +221,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, seed_words: int = SEED_WORDS,
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull())
     schema = "doc_id long, item_id long, score double, start long, stop long"
     out = spark.createDataFrame([], schema)
-    rows, blocks = [], []
-    for r in benchmark.select("item_id", "text").where("text is not null").orderBy("item_id", "text").toLocalIterator():
-        rows.append((r["item_id"], r["text"]))
-        if len(rows) == block:
-            blocks.append(rows)
-            rows = []
-    for part in [*blocks, rows] if rows else blocks:
-        shared = spark.sparkContext.broadcast(part)  # at most ``block`` items
+    for part in item_blocks(benchmark, block):
+        shared = spark.sparkContext.broadcast(part)
 
         def items_of(shared=shared):
             return Items(shared.value, seed_words)
 
-        out = out.unionByName(texts.mapInArrow(_matches(items_of, least, least_words), schema))
+        out = out.unionByName(over_texts(texts, _matches(items_of, least, least_words), schema))
     return out
 
 
