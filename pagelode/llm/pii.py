@@ -4,7 +4,8 @@ Base spans come from four patterns (email, ip, card, phone) with their checks.
 Every distinct base value is a protected entity. Terms are letter runs of at
 least TERM_LETTERS letters, lower-cased. Corpus co-occurrence says how strongly
 a term reveals an entity: over distinct texts, with c texts in which the term
-stands within CONTEXT characters of the entity, df(t) and df(e) texts that hold
+stands within CONTEXT characters of the entity (and no further than the next
+value of its kind), df(t) and df(e) texts that hold
 either and N texts in all,
 
     posterior(e | t) = c / df(t)        bits(t; e) = log2(c * N / (df(t) * df(e)))
@@ -14,7 +15,8 @@ entity: its occurrences become spans of kind ``term`` in every document (unless
 they overlap a base span), to be generalised or removed like the base ones.
 
 Only DataFrame and SQL operations are used. Patterns are possessive and anchored
-to the start of their character run, so long runs cost linear time and no stack.
+to the start of their character run, so long runs cost linear time and no stack,
+and places come from sums of sums, so many matches cost hardly more than few.
 
 Defined results: a null text counts as empty and has no spans; repeated rows get
 the same spans and count as one text in the statistics; an empty table gives an
@@ -29,16 +31,18 @@ from pyspark.sql import functions as F
 from pagelode.llm.common import BROADCAST_KEYS, cut, small_side
 
 KINDS = ("email", "ip", "card", "phone")
-#: Fixed formats of the base kinds, in possessive form.
+#: Fixed formats of the base kinds, in possessive form. Shorter runs of digits can't be cards, so they don't match at all.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9]++(?:[\x20-][0-9]++)*+",
+    "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: A text without this can't match.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 CONTEXT = 80
+#: Elements that are summed at a time.
+CHUNK = 64
 TERM_LETTERS = 4
 SUPPORT = 5
 POSTERIOR = 0.6
@@ -75,33 +79,69 @@ def valid(kind: str, x: Column) -> Column:
     return F.lit(True)
 
 
-def _placed(text: Column, pattern: Column) -> Column:
-    """array<struct(start, end, value)> of all matches. Text between matches and the matches alternate, so lengths give places."""
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once; inside a lambda a plain column would be worked out again for each element."""
+    return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
+
+
+def _before(steps: Column, levels: int = 3) -> Column:
+    """Exclusive prefix sums of an array of integers. Sums of CHUNK elements are summed first, so n elements take about n * CHUNK steps."""
+
+    def total(values: Column, start: Column, n) -> Column:
+        return F.aggregate(F.slice(values, start, n), F.lit(0), lambda a, v: a + v)
+
+    if not levels:
+        return F.transform(steps, lambda v, i: total(steps, F.lit(1), i))
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / CHUNK).cast("int")), lambda c: total(steps, c * CHUNK + 1, F.lit(CHUNK)))
+    at = lambda i: F.floor(i / CHUNK).cast("int")
+    return _let(
+        _let(chunks, lambda c: _before(c, levels - 1)),
+        lambda sums: F.transform(steps, lambda v, i: F.element_at(sums, at(i) + 1) + total(steps, at(i) * CHUNK + 1, i % CHUNK)),
+    )
+
+
+def _placed(text: Column, pattern: Column, context: int = 0) -> Column:
+    """array<struct(start, end, value, left, right)> of all matches. Text between matches and the matches alternate, so lengths give places.
+
+    left and right hold up to ``context`` characters beside the match, as far as
+    the matches beside it, without a word that this cuts.
+    """
+    fields = "array<struct<start:int,end:int,value:string,left:string,right:string>>"
     found = F.regexp_extract_all(text, pattern, F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    sizes = F.transform(found, F.length)
 
-    def until(lengths: Column, n: Column) -> Column:
-        return F.aggregate(F.slice(lengths, F.lit(1), n), F.lit(0), lambda a, v: a + v)
+    def of(parts: Column) -> Column:
+        lengths = F.transform(parts["found"], lambda x, i: F.struct(F.length(F.element_at(parts["gaps"], i + 1)).alias("gap"), F.length(x).alias("own")))
+        return _let(lengths, lambda n: _let(_before_of(n), lambda at: F.transform(parts["found"], lambda x, i: one(parts, n, at, x, i))))
 
-    def one(x: Column, i: Column) -> Column:
-        start = until(gaps, i + 1) + until(sizes, i)
-        return F.struct(start.alias("start"), (start + F.length(x)).alias("end"), x.alias("value"))
+    def _before_of(n: Column) -> Column:
+        return _let(F.transform(n, lambda x: x["gap"] + x["own"]), _before)
 
-    return F.when(F.size(found) > 0, F.transform(found, one)).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
+    def one(parts: Column, n: Column, at: Column, x: Column, i: Column) -> Column:
+        size = F.element_at(n, i + 1)
+        start = F.element_at(at, i + 1) + size["gap"]
+        left, right = F.lit(""), F.lit("")
+        if context:
+            gap, after = F.element_at(parts["gaps"], i + 1), F.element_at(parts["gaps"], i + 2)
+            left = F.when(size["gap"] > context, F.regexp_replace(F.substring(gap, size["gap"] - context, F.lit(context + 1)), r"\A\p{L}+", "")).otherwise(gap)
+            right = F.when(F.length(after) > context, F.regexp_replace(F.substring(after, F.lit(1), F.lit(context + 1)), r"\p{L}+\z", "")).otherwise(after)
+        return F.struct(start.alias("start"), (start + size["own"]).alias("end"), x.alias("value"), left.alias("left"), right.alias("right"))
+
+    placed = _let(F.struct(found.alias("found"), F.split(text, pattern, -1).alias("gaps")), of)
+    return F.when(F.regexp_like(text, pattern), placed).otherwise(F.array().cast(fields))
+
+
+def _found(text: Column, kind: str, context: int = 0) -> Column:
+    """Valid matches of one kind, placed."""
+    checked = F.filter(_placed(text, F.lit(PATTERNS[kind]), context), lambda s: valid(kind, s["value"]))
+    if NEEDS[kind] is None:
+        return checked
+    return F.when(F.contains(text, F.lit(NEEDS[kind])), checked).otherwise(F.array().cast("array<struct<start:int,end:int,value:string,left:string,right:string>>"))
 
 
 def base_spans(text: Column, kind: str) -> Column:
     """Valid spans of one kind, as SPAN."""
     order = KINDS.index(kind)
-    placed = _placed(text, F.lit(PATTERNS[kind]))
-    if kind == "card":  # shorter runs of digits can't be cards; they needn't be placed one by one
-        enough = text.rlike(r"[0-9](?:[\x20-]?[0-9]){13}")
-    else:
-        enough = F.contains(text, F.lit(NEEDS[kind]))
-    checked = F.filter(placed, lambda s: valid(kind, s["value"]))
-    spans = F.transform(checked, lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("ord"), s["end"].alias("end"), s["value"].alias("value")))
-    return F.when(enough, spans).otherwise(F.array()).cast(SPAN)
+    return F.transform(_found(text, kind), lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("ord"), s["end"].alias("end"), s["value"].alias("value"))).cast(SPAN)
 
 
 def with_base(docs: DataFrame) -> DataFrame:
@@ -114,23 +154,22 @@ def words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}{%d,}+" % TERM_LETTERS), F.lit(0)))
 
 
-def _near(text: Column, span: Column) -> Column:
-    """The characters around a span, without words that the cut would split and without other base values' marks."""
-    left = F.substring(text, F.greatest(F.lit(1), span["start"] - CONTEXT), F.least(F.lit(CONTEXT + 1), span["start"]))
-    left = F.when(span["start"] > CONTEXT, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)
-    right = F.regexp_replace(F.substring(text, span["end"] + 1, F.lit(CONTEXT + 1)), r"\p{L}+$", "")
-    return F.concat(left, F.lit(" "), right)
+def surroundings(text: Column) -> Column:
+    """array<struct(entity, terms)> of every base span: its kind and lower-cased value, and the terms within CONTEXT characters, as far as the next value of its kind."""
+
+    def one(order: int, s: Column) -> Column:
+        entity = F.struct(F.lit(order).alias("ord"), F.lower(s["value"]).alias("value"))
+        return F.struct(entity.alias("entity"), words(_strip(F.concat(s["left"], F.lit(" "), s["right"]))).alias("terms"))
+
+    return F.concat(*[F.transform(_found(text, kind, CONTEXT), lambda s, order=order: one(order, s)) for order, kind in enumerate(KINDS)])
 
 
 def disclosing_terms(
     based: DataFrame, support: int = SUPPORT, posterior: float = POSTERIOR, bits: float = BITS
 ) -> DataFrame:
     """(term, kind_ord, entity, c, df_term, df_entity, bits) of the terms above the thresholds, from (doc_id, text, base) rows."""
-    holding = based.where(F.size("base") > 0).select("text", "base").dropDuplicates(["text"])
-    near = cut(
-        holding.select(F.xxhash64("text").alias("t64"), "text", F.explode("base").alias("s"))
-        .select("t64", F.struct(F.col("s.ord").alias("ord"), F.lower("s.value").alias("value")).alias("entity"), words(_strip(_near(F.col("text"), F.col("s")))).alias("terms"))
-    )
+    holding = based.where(F.size("base") > 0).select("text").distinct()
+    near = cut(holding.select(F.xxhash64("text").alias("t64"), F.explode(surroundings(F.col("text"))).alias("s")).select("t64", "s.*"))
     df_entity = near.groupBy("entity").agg(F.count_distinct("t64").alias("df_entity")).where(F.col("df_entity") >= support)
     joint = (
         near.join(df_entity, "entity")
@@ -148,7 +187,7 @@ def disclosing_terms(
     if count:
         seen = based.select(F.xxhash64("text").alias("t64"), F.explode(words(F.col("text"))).alias("term"))
         df_term = seen.join(small_side(terms, count, BROADCAST_KEYS // 4), "term").distinct().groupBy("term").agg(F.count("*").alias("df_term"))
-        total = based.agg(F.approx_count_distinct(F.xxhash64("text"), 0.01)).first()[0]
+        total = based.select(F.xxhash64("text").alias("t64")).distinct().count()
     else:
         df_term, total = terms.withColumn("df_term", F.lit(0).cast("long")), 1
     information = F.log2(F.col("c") * F.lit(float(total)) / (F.col("df_term") * F.col("df_entity")))
