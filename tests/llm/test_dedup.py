@@ -27,8 +27,16 @@ def test_exact_dedup_splits_clashing_digests(odd):
     """A digest with three values: byte verification has to part the texts."""
     got = {r.doc_id: r.keep_id for r in exact_dedup.exact_dedup(odd, digest=lambda t: (F.length(t) % 3).cast("string")).collect()}
     assert got == {1: 1, 2: 2, 3: 2, 4: 4, 5: 1, 6: 6, 7: 7, 8: 8, 9: 8, 10: 10}
-    same = {r.doc_id: r.keep_id for r in exact_dedup.exact_dedup(odd, broadcast_keys=0).collect()}
-    assert same == got
+    for options in ({"broadcast_keys": 0}, {"broadcast_keys": 0, "filter_bytes": 0}, {"memtable_rows": 1}):
+        other = exact_dedup.exact_dedup(odd, digest=lambda t: (F.length(t) % 3).cast("string"), **options)
+        assert {r.doc_id: r.keep_id for r in other.collect()} == got
+
+
+def test_filter_loses_no_hit_and_drops_most_others(spark):
+    rows = spark.range(4000).select(F.sha2(F.col("id").cast("string"), 256).alias("digest"), "id")
+    known = exact_dedup.Filter(rows.where("id < 300"), 300)
+    got = {r.id: r.maybe for r in known.flagged(rows).collect()}
+    assert len(got) == 4000 and all(got[i] for i in range(300)) and sum(got.values()) < 900
 
 
 def test_digest_index_lookup_and_null_ids(spark, tmp_path):
@@ -38,6 +46,10 @@ def test_digest_index_lookup_and_null_ids(spark, tmp_path):
     assert {tuple(r) for r in index.lookup(["a", "c"]).collect()} == {("a", 1, 3), ("c", 7, 1)}
     assert {tuple(r) for r in index.compact().collect()} == {("a", 1, 3), ("b", 9, 2), ("c", 7, 1)}
     assert len(index.levels) == 1
+    index.flush(spark.createDataFrame([(0, "a"), (8, "c"), (3, "d")], "doc_id long, digest string"))
+    assert {tuple(r) for r in index.compact().collect()} == {("a", 0, 4), ("b", 9, 2), ("c", 7, 2), ("d", 3, 1)}
+    plan = index.runs().groupBy("digest").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan  # runs lie in buckets, so compaction doesn't shuffle
 
 
 def lines_by_hand(rows):
@@ -168,3 +180,38 @@ def test_repeated_rows(spark):
     assert lines_of(df) == {1: (1, 0, rows[0][1]), 2: (1, 1, "")}
     placed = sharding.shard(df).collect()
     assert sorted(r.slot for r in placed) == [0, 1, 2] and len({r.shard for r in placed}) == 1
+
+
+def test_rows_of_one_id_with_other_texts(spark):
+    long = "one two three four five six seven eight nine ten"
+    rows = [(1, "shared line of text\nanother"), (2, "shared line of text\nanother"), (2, "a unique line, only here"), (3, long), (4, long), (4, "alone with these few words"), (None, long), (None, "nobody knows this text"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    counted = df.withColumn("n", F.length("text"))
+    done = line_dedup.apply_bitmaps(counted, line_dedup.line_dedup(df)).collect()
+    assert sorted(r.text for r in done if r.doc_id == 2) == ["a unique line, only here", "another"]
+    assert {r.text for r in done if r.doc_id is None} == {long, "nobody knows this text", None}
+    found = sorted(((r.doc_id or 0, r.n_shingles, r.component_id or 0, r.kept) for r in near_dedup.near_dedup(df).collect()))
+    assert found == sorted([(1, 1, 1, True), (2, 1, 1, False), (2, 1, 2, True), (3, 6, 3, True), (4, 6, 3, False), (4, 1, 4, True), (0, 6, 3, False), (0, 1, 0, True), (0, 0, 0, True)])
+
+
+def test_near_dedup_counts_null_ids_in_a_hot_group(spark, corpus):
+    rows = [*corpus, (None, corpus[0][1]), (None, None)]
+    got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), long_list=6, block_docs=16, hot_value=8).collect()
+    expected = near_by_hand(corpus)
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got if r.doc_id is not None} == expected
+    assert sorted((r.n_shingles, r.kept) for r in got if r.doc_id is None)[0] == (0, True)
+
+
+def test_sharding_is_the_plain_schedule_over_all_groups(spark, corpus):
+    """With every group dealt one by one, loads equal longest processing time over all groups."""
+    got = sharding.shard(spark.createDataFrame(corpus, "doc_id long, text string"), shards=5, heavy=10**9, bundles=1).collect()
+    groups = defaultdict(int)
+    for _, t in corpus:
+        groups[t] += len(t.encode()) + 1
+    load = [0] * 5
+    for size in sorted(groups.values(), reverse=True):
+        load[load.index(min(load))] += size
+    mine = defaultdict(int)
+    for r in got:
+        mine[r.shard] += r["size"]
+    assert sorted(mine.values()) == sorted(load)

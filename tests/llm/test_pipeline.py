@@ -4,6 +4,7 @@ import struct
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pagelode.llm import bpe, decontamination, toxicity
@@ -40,8 +41,8 @@ def test_pipeline_matches_brute_force(spark, folder):
     to, rows, items = folder
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, to).collect()}
     model = corpus_pipeline.queries.toxicity_model(spark.read.parquet(f"{to}/documents.parquet"), spark.read.parquet(f"{to}/labels.parquet"))
-    symbols = toxicity.Symbols(model["stems"])
-    kept = [(i, t) for i, t, *_ in rows if toxicity.score_text(t, symbols, model["kinds"]) < 0.5]
+    symbols, machine = toxicity.Symbols(model["stems"]), toxicity.grammar(model["kinds"])
+    kept = [(i, t) for i, t, *_ in rows if toxicity.score_text(t, symbols, machine, model["kinds"]) < 0.5]
     assert not any("idiot" in (t or "") for _, t in kept)
     kept = [(i, text) for i, (_, _, text) in lines_by_hand(kept).items()]
     classes = near_by_hand(kept)
@@ -64,3 +65,44 @@ def test_stage_columns(spark, folder):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, to)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_stages_keep_clashing_columns_and_rows_of_one_id(spark, folder):
+    """Columns named like inner ones stay as they are; rows that share an id go by their own text."""
+    to, _, items = folder
+    shared = "a line that both of these rows hold"
+    rows = [
+        (1, f"{shared}\nfirst text of its own", "mine", "n"),
+        (2, shared, "mine", "n"),
+        (2, "a unique line, only here", "mine", "n"),
+        (3, "some words " + items[0][1], "mine", "n"),
+        (3, "quite another text without any copy", "mine", "n"),
+        (4, "quite another text without any copy", "mine", "n"),
+        (5, "you are an idiot, a stupid clown and a moron", "mine", "n"),
+        (5, "you are all most welcome here", "mine", "n"),
+        (None, None, "mine", "n"),
+        (None, shared, "mine", "n"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string, n_dropped string")
+    for name in ("keep_bitmap", "th", "label", "stop", "node", "maybe"):
+        docs = docs.withColumn(name, F.lit("mine"))
+    columns = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, to)
+        assert docs.columns == columns
+        docs = docs.cache()
+    got = docs.collect()
+    assert all(r.score == r.th == r.keep_bitmap == "mine" and r.n_dropped == "n" for r in got)
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == sorted([
+        (1, f"{shared}\nfirst text of its own"), (2, ""), (2, "a unique line, only here"), (3, "quite another text without any copy"),
+        (4, ""), (5, "you are all most welcome here"), (0, ""), (0, shared),
+    ])
+    assert corpus_pipeline.encode_checked(spark, docs, to).count() == len(got)
+
+
+def test_stages_pass_an_empty_table(spark, folder, none):
+    to, _, _ = folder
+    docs = none
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, to)
+    assert docs.count() == 0

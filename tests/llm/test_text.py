@@ -1,6 +1,7 @@
 import random
 import re
 import struct
+import time
 
 import numpy as np
 import public_tokenizers
@@ -103,8 +104,8 @@ def test_quality_blocks_cover_text():
 
 
 def test_toxicity_grammar():
-    symbols = toxicity.Symbols({})
-    kinds = lambda t: sorted(k for k, _ in toxicity.matches(t, symbols))
+    symbols, machine = toxicity.Symbols({}), toxicity.grammar(toxicity.PRIOR)
+    kinds = lambda t: sorted(k for k, _ in toxicity.matches(t, symbols, machine))
     assert kinds("you are an idiot. fine day") == ["directed"]
     assert kinds("what a clown") == ["plain"]
     assert kinds("you are not an idiot") == ["negated"]
@@ -112,10 +113,38 @@ def test_toxicity_grammar():
     assert kinds("I will kill you") == ["threat"] and kinds("kill the process") == []
     assert kinds("not today. a clown; an idiot idiot") == ["plain", "plain"]
     assert kinds("nothing here") == []
-    score = lambda t: toxicity.score_text(t, symbols, toxicity.PRIOR)
+    score = lambda t: toxicity.score_text(t, symbols, machine, toxicity.PRIOR)
     assert score("you idiot") > score("an idiot") > 0.5 > score("not an idiot") > 0 == score(None) == score("")
 
 
+def every_path(parts, symbols):
+    """Weight and outputs of each accepting path through a chain of transducers, one after the other."""
+    found = [(1.0, list(symbols))]
+    for part in parts:
+        following = []
+        for weight, word in found:
+            paths = [(weight, [], state) for state in part.starts]
+            for symbol in word:
+                paths = [(w * v, [*out, o], to) for w, out, state in paths for o, v, to in part.arcs[state].get(symbol, ())]
+            following += [(w, out) for w, out, state in paths if state in part.accepting]
+        found = following
+    return found
+
+
+def test_composed_machine_equals_its_parts_in_turn():
+    rnd = random.Random(12)
+    kinds = toxicity.PRIOR
+    parts = [toxicity.negation(), toxicity.reported(), toxicity.target(), toxicity.insult(kinds), toxicity.threat(kinds)]
+    machine = toxicity.grammar(kinds)
+    names = [toxicity.INSULT, toxicity.THREAT, toxicity.TARGET, toxicity.NEGATION, toxicity.REPORT, toxicity.OTHER]
+    for _ in range(600):
+        clause = [rnd.choice(names) for _ in range(rnd.randint(0, 9))]
+        paths = every_path(parts, clause)
+        assert len(paths) == 1  # unambiguous
+        weight, out = machine.run(clause)
+        assert out == paths[0][1] and abs(weight - paths[0][0]) < 1e-12
+
+
 def test_toxicity_learns_stems(spark, odd, none):
     rnd = random.Random(4)
     words = ["mela", "torvi", "sanu", "pelko", "ridan", "osta"]
@@ -171,6 +200,21 @@ def test_pii_base_spans_match_brute_force(spark, odd, none):
     assert pii.sensitive_spans(none).count() == 0
 
 
+def test_pii_many_matches_in_one_text(spark):
+    """Places cost about the same however many matches a text holds."""
+    card = "4111 1111 1111 1111"
+    runs = "\n".join(str(i) for i in range(100_000)) + "\n" + card + "\n" + "\n".join(f"u{i}@site.org" for i in range(30_000))
+    df = spark.createDataFrame([(1, runs)], "doc_id long, text string")
+    pii.with_base(df.limit(0)).collect()
+    began = time.monotonic()
+    base = pii.with_base(df).select("base").first().base
+    assert time.monotonic() - began < 20
+    at = runs.index(card)
+    assert [(s.start, s.end) for s in base if s.ord == 2] == [(at, at + len(card))]
+    mails = [(m.start(), m.end()) for m in re.finditer(r"u\d+@site\.org", runs)]
+    assert [(s.start, s.end) for s in base if s.ord == 0] == mails
+
+
 def test_pii_terms_that_disclose(spark):
     rows = [(i, f"note {chr(97 + i) * 5}: Falkenrath wrote from anna@site.org, number {i}") for i in range(8)]
     rows += [(100 + i, f"other words about wrote number {i} again") for i in range(900)] + [(2000, "Only Falkenrath and nobody else"), (2001, None), (0, rows[0][1])]
@@ -254,6 +298,75 @@ def test_windows_left_out_could_not_align():
             assert decontamination.can_reach(item, window, 0.4, 6)
 
 
+def test_decontamination_matches_alignment_of_every_pair(spark):
+    """Every document against every item by the plain recurrence: what scores 0.4 and keeps three words in a row is found, nothing else."""
+    rnd = random.Random(14)
+    items = [words(rnd.randint(8, 25), rnd) for _ in range(6)]
+    docs = []
+    for _ in range(60):
+        copy = list(rnd.choice(items))
+        for _ in range(rnd.randint(0, 12)):
+            copy[rnd.randrange(len(copy))] = rnd.choice(["one", "two", "three"])
+        docs.append(words(rnd.randint(0, 20), rnd) + copy + words(rnd.randint(0, 20), rnd))
+    expected = {}
+    for d, doc in enumerate(docs):
+        grams = {tuple(doc[i : i + 3]) for i in range(len(doc) - 2)}
+        best = [(sw(item, doc) / (2 * len(item)), -i) for i, item in enumerate(items) if any(tuple(item[k : k + 3]) in grams for k in range(len(item) - 2)) and sw(item, doc) >= max(0.8 * len(item), 12)]
+        if best:
+            expected[d] = (round(max(best)[0], 6), -max(best)[1])
+    df = spark.createDataFrame([(d, " ".join(x)) for d, x in enumerate(docs)] + [(0, " ".join(docs[0]))], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = decontamination.contaminated(df, bench).collect()
+    assert {r.doc_id: (round(r.score, 6), r.item_id) for r in got} == expected and len(got) == len(expected) > 10
+
+
+def test_short_items_need_most_of_a_document(spark):
+    bench = spark.createDataFrame([(1, "river"), (2, "the river bank today")], "item_id long, text string")
+    docs = [(1, "down by the river bank today we sat and talked for hours"), (2, "River!"), (3, "see the river bank today"), (4, "by the river")]
+    got = {r.doc_id: r.item_id for r in decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == {2: 1, 3: 2}
+
+
+def test_language_vectors_match_plain_cosine(spark):
+    """Predictions equal cosines of plainly counted TF-IDF vectors with the model's centroids."""
+    rnd = random.Random(15)
+    model = language_id.learn(spark.createDataFrame([(t, name) for name in LANGUAGES for t in sentences(name, 30, rnd)], "text string, lang string"))
+    texts = [(k, t) for k, t in enumerate(t for name in LANGUAGES for t in sentences(name, 10, rnd))] + [(100, "½ ² ① Ⅷ"), (101, "kalo ½"), (102, "_ 12 !")]
+    got = {r.doc_id: r for r in language_id.predict(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()}
+    for k, t in texts:
+        letters = "".join(c if c.isalpha() else " " for c in t.lower())
+        raw = (" " + " ".join(letters.split()) + " ").encode()
+        if not letters.strip():
+            assert (got[k].lang_pred, got[k].score) == ("und", 0.0)
+            continue
+        v = np.zeros(language_id.DIMS)
+        for i in range(len(raw) - 2):
+            v[(((raw[i] << 16 | raw[i + 1] << 8 | raw[i + 2]) * 2654435761) % 2**32) >> 18] += 1
+        v = np.log1p(v) * model["idf"]
+        cosine = model["centres"] @ (v / np.linalg.norm(v))
+        assert got[k].lang_pred == model["langs"][model["owner"][int(cosine.argmax())]] and abs(got[k].score - cosine.max()) < 1e-4
+
+
+@pytest.mark.parametrize("name", [n for n in queries.queries() if n not in ("op2_language_id", "op3_quality", "op7_toxicity")])
+def test_other_queries_run(spark, name):
+    """Contract columns, one row a document, and the SQL text where there is one."""
+    import duckdb
+
+    folder = "/root/testdata/sf0.001"
+    out = queries.queries()[name](spark, folder)
+    rows = out.collect()
+    n = spark.read.parquet(f"{folder}/documents.parquet").count()
+    assert name == "op9_decontamination" or len({r.doc_id for r in rows}) == len(rows) == n
+    sql = queries.oracle_sql().get(name)
+    if sql:
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+        found = con.execute(sql)
+        names = [c[0] for c in found.description]
+        assert sorted(names) == sorted(out.columns)
+        assert sorted(tuple(r[c] for c in names) for r in rows) == sorted(found.fetchall())
+
+
 @pytest.mark.parametrize("name", ["op2_language_id", "op3_quality", "op7_toxicity"])
 def test_learned_queries_hold_out(spark, name):
     """Held-out rows aren't learned from, and the contract's columns come out whole."""
