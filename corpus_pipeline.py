@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next stage's docs. All but the last return the
-columns of ``documents``.
+columns of ``documents``, further columns of the input included, whatever their
+names. Stages judge rows, not ids: rows that share a doc_id but not their text
+stay or go by their own text. An empty table passes every stage as an empty one.
 """
 
 from __future__ import annotations
@@ -15,39 +17,55 @@ from pagelode.llm import bpe, decontamination, line_dedup, near_dedup, queries,
 from pagelode.llm.common import BROADCAST_KEYS, cut, documents, fresh_path, small_side, table
 
 TOXIC = 0.5
+#: Columns of the pipeline's own, which no input is expected to have.
+SCORE, DROPPED, BITMAP = "__pipeline_toxicity", "__pipeline_dropped", "__pipeline_bitmap"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score stays below TOXIC."""
-    columns = docs.columns
+    """Documents whose toxicity score stays below TOXIC; null, empty and wordless texts score 0 and stay, repeated rows score alike."""
     model = queries.toxicity_model(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where(F.col("score") < TOXIC).select(*columns)
+    return toxicity.score(docs, model, SCORE).where(F.col(SCORE) < TOXIC).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that an earlier document holds; n_chars follows the text."""
-    columns = docs.columns
-    done = line_dedup.apply_bitmaps(docs, line_dedup.line_dedup(docs))
-    if "n_chars" in columns:
-        cut_short = F.col("keep_bitmap").isNotNull()
+    """All documents, without lines that an earlier document holds; n_chars follows the text.
+
+    A document whose lines all go stays with an empty text, and null texts and
+    rows without an id stay as they are; lines repeated within the document
+    that keeps them, or in rows that share its id, stay.
+    """
+    done = line_dedup.apply_bitmaps(docs, line_dedup.line_dedup(docs), DROPPED, BITMAP)
+    if "n_chars" in docs.columns:
+        cut_short = F.col(BITMAP).isNotNull()
         done = done.withColumn("n_chars", F.when(cut_short, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return done.select(*columns)
+    return done.select(*docs.columns)
+
+
+def without(docs: DataFrame, gone: DataFrame, *by) -> DataFrame:
+    """Rows of ``docs`` without a match in ``gone``, whose columns k0, k1, ... face ``by``; nulls match nulls."""
+    gone = cut(gone.distinct())
+    on = by[0].eqNullSafe(F.col("k0"))
+    for i, key in enumerate(by[1:], 1):
+        on = on & key.eqNullSafe(F.col(f"k{i}"))
+    columns = docs.columns
+    return docs.join(small_side(gone, gone.count(), BROADCAST_KEYS // 2), on, "left_anti").select(*columns)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each class of near copies."""
-    gone = cut(near_dedup.near_dedup(docs).where(~F.col("kept")).select("doc_id").distinct())
-    return docs.join(small_side(gone, gone.count(), BROADCAST_KEYS), "doc_id", "left_anti").select(*docs.columns)
+    """The document with the least id of each class of near copies; documents without words all stay, and so do rows without an id unless their class has one."""
+    found = near_dedup.near_dedup(docs).where(~F.col("kept"))
+    return without(docs, found.select(F.col("doc_id").alias("k0"), F.col("th").alias("k1")), docs["doc_id"], F.xxhash64(docs["text"]))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a copy of a benchmark item."""
-    gone = cut(decontamination.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id"))
-    return docs.join(small_side(gone, gone.count(), BROADCAST_KEYS), "doc_id", "left_anti").select(*docs.columns)
+    """Documents without a copy of a benchmark item; null and empty texts stay, and without items all do."""
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text")  # matches go by row
+    found = decontamination.contaminated(keyed, table(spark, sf_dir, "benchmark"))
+    return without(docs, found.select(F.col("doc_id").alias("k0")), F.xxhash64(docs["doc_id"], docs["text"]))
 
 
 def encode_checked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, decoded_sha256): packed token ids of every document, and the digest of what they decode to."""
+    """(doc_id, n_tokens, ids, decoded_sha256): packed token ids of every row, and the digest of what they decode to; null and empty texts have no ids."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.encode(docs, ranks, public_tokenizers.PATTERN, decoded=True).select(
         "doc_id",
