@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -91,23 +90,45 @@ RECOMMENDED = {
 }
 
 
+#: Types by the names they are asked for.
+TYPE_NAMES = {name.lower(): name for name in RECOMMENDED} | {"video": "VideoObject"}
+
+
 def coerced(value: str):
-    """A property's text as list, bool, number or text."""
-    if "," in value and not value.startswith("http"):
-        return [coerced(x.strip()) for x in value.split(",") if x.strip()]
+    """A property's text as list, bool, number or text: commas part a list, and what reads as a number is one."""
+    if "," in value:
+        return [coerced(x.strip()) for x in value.split(",")]
     if value.lower() in ("true", "false"):
         return value.lower() == "true"
-    if re.fullmatch(r"-?\d+", value):
-        return int(value)
-    return float(value) if re.fullmatch(r"-?\d+\.\d+", value) else value
+    for kind in (int, float):
+        try:
+            return kind(value)
+        except ValueError:
+            continue
+    return value
 
 
 def json_ld(kind: str, properties: dict[str, str]) -> tuple[str, list[str]]:
     """JSON-LD of a type from dotted properties, and the expected properties that are missing."""
-    out: dict = {"@context": "https://schema.org", "@type": kind}
+    name = TYPE_NAMES.get(kind.lower(), kind)
+    out: dict = {"@context": "https://schema.org", "@type": name}
     for path, value in properties.items():
-        node, rest = out, path.split(".")
-        for name in rest[:-1]:
-            node = node.setdefault(name, {})
-        node[rest[-1]] = coerced(value)
-    return json.dumps(out, ensure_ascii=False), [p for p in RECOMMENDED.get(kind, []) if p not in out]
+        node, rest = out, path.strip().split(".")
+        for part in rest[:-1]:
+            node = node.setdefault(part, {})
+            if not isinstance(node, dict):
+                raise ValueError(f"{part} of {path} already holds a plain value")
+        node[rest[-1]] = coerced(value.strip())
+    return json.dumps(out, ensure_ascii=False), [p for p in RECOMMENDED.get(name, []) if p not in out]
+
+
+#: Types whose properties an entity of the same type can fill.
+ENTITY_TYPES = ("Organization", "Person", "Product")
+
+
+def entity_properties(entities: DataFrame, kind: str, site_url: str = "") -> DataFrame:
+    """Properties (name, description, sameAs, url, jobTitle) of the first entity, by pos, of a type; none for types without entities."""
+    name = TYPE_NAMES.get(kind.lower(), kind)
+    first = entities.where((F.col("type") == name) & F.lit(name in ENTITY_TYPES)).orderBy("pos").limit(1)
+    site = F.nullif(F.rtrim(F.lit(site_url), F.lit("/")), F.lit(""))
+    return first.select("name", F.nullif("description", F.lit("")).alias("description"), F.when(F.size("sameAs") > 0, F.array_join("sameAs", ",")).alias("sameAs"), F.when(F.lit(name == "Organization"), site).alias("url"), F.when(F.lit(name == "Person"), F.nullif("role", F.lit(""))).alias("jobTitle"))

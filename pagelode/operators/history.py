@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelode.functions import words as W
+from pagelode.operators.impact import by_page as impact  # noqa: F401 - the verdict of values around a change
 
 
 def drift_rankings(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, was, now, change (gained, lost, up, down, same), delta; the later of equal keywords counts upstream."""
+    """keys, was, now, change (gained, lost, up, down, same), delta; of equal keywords the last by seq counts, where rows have one."""
+    if "seq" in old.columns:
+        old, new = (x.groupBy(*keys).agg(F.max_by("position", "seq").alias("position")) for x in (old, new))
     a = old.select(*keys, F.col("position").alias("was"))
     b = new.select(*keys, F.col("position").alias("now"))
     j = a.join(b, keys, "full_outer")
@@ -22,6 +25,11 @@ def drift_stats(drift: DataFrame) -> DataFrame:
     return drift.agg(*[F.count_if(F.col("change") == c).alias(c) for c in ("gained", "lost", "up", "down", "same")])
 
 
+def drift_moves(drift: DataFrame, change: str, keys: list[str]) -> DataFrame:
+    """Keywords that moved up or down, the furthest first; equal moves by name."""
+    return drift.where(F.col("change") == change).orderBy(F.desc(F.abs("delta")), *keys)
+
+
 def drift_values(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Metrics that both versions have with different values."""
     a, b = old.select(*keys, F.col("value").alias("was")), new.select(*keys, F.col("value").alias("now"))
@@ -29,13 +37,13 @@ def drift_values(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def health(scores: DataFrame, group: list[str]) -> DataFrame:
-    """Weighted pillars if all five are there, else their mean; one decimal."""
+    """Weighted pillars if all five are there, else their mean; one decimal, half to even."""
     weight = F.lit(None).cast("int")
     for name, w in W.PILLARS.items():
         weight = F.when(F.col("pillar") == name, round(w * 100)).otherwise(weight)  # whole percents keep the sum exact
     g = scores.groupBy(*group).agg(F.count_distinct(F.when(weight.isNotNull(), F.col("pillar"))).alias("named"), F.sum(F.col("value") * weight).alias("weighted"), F.avg("value").alias("mean"))
     raw = F.when(F.col("named") == len(W.PILLARS), F.col("weighted") / 100).otherwise(F.col("mean"))
-    return g.select(*group, (F.floor(raw * 10 + 0.5) / 10).alias("health"))
+    return g.select(*group, F.bround(raw, 1).alias("health"))
 
 
 def trend(values: DataFrame, group: str, order: str, last: int = 12, least: int = 3) -> DataFrame:
@@ -87,11 +95,6 @@ def asof(left: DataFrame, right: DataFrame, by: list[str], on: str, value: str)
     return out.where("_side = 1").drop("_side", "_value")
 
 
-def impact(before: Column, after: Column) -> Column:
-    """Verdict of a change from positions around it: lower is better."""
-    return F.when(before.isNull() | after.isNull(), "insufficient_data").when(after < before, "improved").when(after > before, "worse").otherwise("no_change")
-
-
 def rank_losses(previous: DataFrame, current: DataFrame, group: str, cap: int = 10) -> DataFrame:
     """Keywords that were in the top 20 and are gone or fell by 5 or more; the worst ``cap`` of a group (the report's size)."""
     j = previous.select(group, "keyword", F.col("position").alias("was"), "volume").join(current.select(group, "keyword", F.col("position").alias("now")), [group, "keyword"], "left")
@@ -123,6 +126,11 @@ def cost_periods(ledger: DataFrame, now: int) -> DataFrame:
     return ledger.agg(*[F.sum(F.when(age <= s, F.col("cost")).otherwise(0.0)).alias(k) for k, s in spans.items()], F.sum("cost").alias("all_time"), F.count("*").alias("calls"))
 
 
+def expired(cache: DataFrame, now: int, days: int) -> DataFrame:
+    """Cache files that clearing by age removes: those last written more than ``days`` before ``now``."""
+    return cache.where(F.lit(now) - F.col("created") > days * 86400)
+
+
 def cost_by_command(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("command").agg(F.sum("cost").alias("cost"), F.count("*").alias("calls"))
 

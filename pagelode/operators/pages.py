@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelode.functions import text as X
@@ -69,9 +69,62 @@ def set_diff(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return a.join(b, key, "left_anti").withColumn("side", F.lit("left")).unionByName(b.join(a, key, "left_anti").withColumn("side", F.lit("right")))
 
 
-def sitemap_locations(xml: DataFrame, column: str = "xml") -> DataFrame:
-    """(source, loc) of all <loc> values; sitemap indexes yield their children's addresses."""
-    return xml.select("source", F.explode(F.regexp_extract_all(column, F.lit(r"(?is)<loc>\s*(.*?)\s*</loc>"), F.lit(1))).alias("loc")).withColumn("loc", X.unescaped(F.col("loc")))
+#: A crawl's fetched pages, as a table made beforehand.
+FETCHED = "url string, status int, content_type string, body string, headers map<string,string>, final_url string"
+#: Response headers behind the security fields of a record.
+SECURITY = {"security_hsts": "strict-transport-security", "security_csp": "content-security-policy", "security_xfo": "x-frame-options", "security_xcto": "x-content-type-options"}
+
+
+def with_security(records: DataFrame, headers: str = "headers") -> DataFrame:
+    """``records`` with a field for each security header that the response had, whatever the case of its name."""
+    names = F.transform(F.coalesce(F.map_keys(headers), F.array().cast("array<string>")), F.lower)
+    return records.withColumns({field: F.array_contains(names, name) for field, name in SECURITY.items()})
+
+
+def sitemap_locations(xml: DataFrame, column: str = "xml", limit: int | None = None) -> DataFrame:
+    """(source, loc) of the <loc> values of each sitemap, the first ``limit`` of it if given."""
+    found = F.regexp_extract_all(column, F.lit(r"<loc>\s*([^<]+?)\s*</loc>"), F.lit(1))
+    if limit is not None:
+        found = F.slice(found, 1, limit)
+    return xml.select("source", F.explode(found).alias("loc")).withColumn("loc", X.unescaped(F.trim("loc")))
+
+
+def sitemap_urls(roots: DataFrame, fetched: DataFrame, max_sitemaps: int = 10) -> DataFrame:
+    """(source, url) of the addresses below sitemaps; an index that names child sitemaps yields only their addresses.
+
+    roots, fetched: source, xml. Of an index, the first ``max_sitemaps``
+    children count (what a crawl fetches).
+    """
+    listed = roots.select("source", F.posexplode(F.regexp_extract_all("xml", F.lit(r"<loc>\s*([^<]+?)\s*</loc>"), F.lit(1))).alias("pos", "loc"))
+    child = F.contains(F.lower("loc"), F.lit("sitemap")) & F.endswith("loc", F.lit(".xml"))
+    index = listed.where(child)
+    plain = listed.join(index.select("source").distinct(), "source", "left_anti").select("source", F.trim("loc").alias("url"))
+    first = F.row_number().over(Window.partitionBy("source").orderBy("pos"))
+    taken = index.withColumn("n", first).where(F.col("n") <= max_sitemaps).select(F.col("source").alias("root"), F.col("loc").alias("source"))
+    below = taken.join(fetched, "source").select(F.col("root").alias("source"), F.explode(F.regexp_extract_all("xml", F.lit(r"<loc>\s*([^<]+?)\s*</loc>"), F.lit(1))).alias("url"))
+    return plain.unionByName(below.withColumn("url", F.trim("url"))).distinct()
+
+
+#: Addresses that a sitemap report names of each kind.
+REPORTED = 50
+
+
+def sitemap_report(crawled: DataFrame, sitemap: DataFrame, limit: int = REPORTED) -> DataFrame:
+    """(kind, url) rows of a sitemap report, each kind sorted and cut to the report's ``limit``.
+
+    crawled: url, status (null: not fetched). Kinds: crawled_not_in_sitemap,
+    sitemap_not_crawled, and non_200_in_sitemap with the address as crawled.
+    """
+    bare = F.rtrim(F.col("url"), F.lit("/"))
+    seen = crawled.where(F.coalesce("status", F.lit(0)) != 0)
+    a, b = seen.select(bare.alias("url")).distinct(), sitemap.select(bare.alias("url")).distinct()
+    failed = seen.where("status <> 200").withColumn("bare", bare).join(b.withColumnRenamed("url", "bare"), "bare", "left_semi")
+    parts = {"crawled_not_in_sitemap": a.join(b, "url", "left_anti"), "sitemap_not_crawled": b.join(a, "url", "left_anti"), "non_200_in_sitemap": failed.select("url")}
+    out = None
+    for kind, rows in parts.items():
+        part = rows.select("url").orderBy("url").limit(limit).select(F.lit(kind).alias("kind"), "url")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def soft404(probes: DataFrame) -> DataFrame:

@@ -36,31 +36,59 @@ def normalise(recs: DataFrame) -> DataFrame:
     )
 
 
+#: Detail fields that a repeated raise refreshes where it says something.
+DETAILS = ("severity", "confidence", "why", "fix", "evidence", "auto_fixable", "category")
+
+
 def replay(events: DataFrame, key: list[str]) -> DataFrame:
     """Final state of each recommendation from its events in order of seq.
 
-    events: key, seq, ts, event (raise or status), status, severity. A raise on
-    a new id opens it; another raise counts up and reopens done and resolved
-    ones; a status event on an unknown id or with an unknown status is ignored.
+    events: key, seq, ts, event (raise or status), status, severity; further
+    detail fields and a note where the log has them. A raise on a new id opens
+    it; another raise counts up, refreshes details that aren't empty and reopens
+    done and resolved ones; a status event on an unknown id or with an unknown
+    status is ignored.
+
+    The state is a plain aggregate: the last valid status event after the first
+    raise decides, unless it closed the finding and a later raise reopened it.
+    So partial states merge before the shuffle, however long an id's log is.
     """
-    steps = events.select(*key, F.struct("seq", "ts", "event", "status", "severity").alias("e"))
-    log = steps.groupBy(*key).agg(F.array_sort(F.collect_list("e")).alias("log"))
-    zero = F.struct(
-        F.lit(None).cast("string").alias("status"), F.lit(0).cast("long").alias("times_raised"), F.lit(None).cast("long").alias("created"),
-        F.lit(None).cast("long").alias("updated"), F.lit(None).cast("string").alias("severity"),
-    )
-
-    def step(s: Column, e: Column) -> Column:
-        raised = F.struct(
-            F.when(s["status"].isNull() | s["status"].isin("done", "resolved"), "open").otherwise(s["status"]).alias("status"),
-            (s["times_raised"] + 1).alias("times_raised"), F.coalesce(s["created"], e["ts"]).alias("created"), e["ts"].alias("updated"),
-            F.coalesce(F.nullif(e["severity"], F.lit("")), s["severity"]).alias("severity"),
-        )
-        moved = F.struct(e["status"].alias("status"), s["times_raised"].alias("times_raised"), s["created"].alias("created"), e["ts"].alias("updated"), s["severity"].alias("severity"))
-        known = s["status"].isNotNull() & e["status"].isin(*W.STATUSES)
-        return F.when(e["event"] == "raise", raised).when((e["event"] == "status") & known, moved).otherwise(s)
-
-    return log.select(*key, F.aggregate("log", zero, step).alias("s")).where("s.status is not null").select(*key, "s.*")
+    raised = F.col("event") == "raise"
+    moved = (F.col("event") == "status") & F.col("status").isin(*W.STATUSES)
+    seq = F.col("seq")
+    text = lambda c: F.nullif(F.col(c).cast("string"), F.lit(""))
+    last = lambda c: F.max_by(c, F.when(raised & text(c).isNotNull(), seq))
+    found = [c for c in DETAILS if c in events.columns]
+    cells = [
+        F.min(F.when(raised, seq)).alias("_born"), F.max(F.when(raised, seq)).alias("_raised"), F.max(F.when(moved, seq)).alias("_moved"),
+        F.count_if(raised).alias("times_raised"), F.min_by("ts", F.when(raised, seq)).alias("created"),
+        F.max_by("ts", F.when(raised, seq)).alias("_raised_ts"), F.max_by("ts", F.when(moved, seq)).alias("_moved_ts"), F.max_by("status", F.when(moved, seq)).alias("_status"),
+        *[last(c).alias(c) for c in found],
+    ]
+    if "note" in events.columns:
+        noted = F.when(moved & text("note").isNotNull(), seq)
+        cells += [F.max(noted).alias("_noted"), F.max_by("note", noted).alias("_note")]
+    s = events.groupBy(*key).agg(*cells).where("_born is not null")
+    counts = F.coalesce(F.col("_moved") > F.col("_born"), F.lit(False))
+    later = F.col("_raised") > F.col("_moved")
+    status = F.when(~counts | (later & F.col("_status").isin("done", "resolved")), "open").otherwise(F.col("_status"))
+    updated = F.when(counts & ~later, F.col("_moved_ts")).otherwise(F.col("_raised_ts"))
+    more = [F.when(F.col("_noted") > F.col("_born"), F.col("_note")).alias("last_note")] if "note" in events.columns else []
+    return s.select(*key, status.alias("status"), "times_raised", "created", updated.alias("updated"), *found, *more)
+
+
+def history(events: DataFrame, id_: object, key: str = "id") -> DataFrame:
+    """All events of one recommendation, in order."""
+    return events.where(F.col(key) == F.lit(id_)).orderBy("seq")
+
+
+def listed(state: DataFrame, status: str | None = None, severity: str | None = None, include_closed: bool = False) -> DataFrame:
+    """Recommendations with a status; without one, those not closed unless ``include_closed``; of one severity if given."""
+    if status:
+        state = state.where(F.col("status") == status)
+    elif not include_closed:
+        state = state.where(~F.col("status").isin(*W.CLOSED))
+    return state.where(F.col("severity") == severity) if severity else state
 
 
 def summary(state: DataFrame) -> DataFrame:
@@ -69,6 +97,8 @@ def summary(state: DataFrame) -> DataFrame:
         F.count("*").alias("total"),
         *[F.count_if(F.col("status") == s).alias(s) for s in W.STATUSES],
         *[F.count_if(open_ & (F.col("severity") == s)).alias(f"actionable_{s}") for s in W.SEVERITIES],
+        F.count_if(open_).alias("actionable"),
+        *([F.count_if(open_ & F.col("auto_fixable")).alias("auto_fixable_open")] if "auto_fixable" in state.columns else []),
     )
 
 
@@ -77,28 +107,73 @@ def auto_resolved(open_recs: DataFrame, linted: DataFrame, rules_run: DataFrame,
     return open_recs.join(linted.select("url").distinct(), "url", "left_semi").join(rules_run.select("rule_id").distinct(), "rule_id", "left_semi").join(firing.select("url", "rule_id"), ["url", "rule_id"], "left_anti")
 
 
+def save_lint(state: DataFrame, found: DataFrame, linted: DataFrame, rules_run: DataFrame) -> DataFrame:
+    """Events that saving a lint run appends: (url, rule_id, event, kind, status).
+
+    Every finding is raised (kind rec_raised if new, rec_reopened if it was done
+    or resolved, else raised_again); open rule findings of linted pages whose
+    rule ran and no longer fires are resolved (rec_status). state: url, rule_id,
+    status. found: url, rule_id.
+    """
+    known = state.select("url", "rule_id", F.col("status").alias("was"))
+    was = F.col("was")
+    kind = F.when(was.isNull(), "rec_raised").when(was.isin("done", "resolved"), "rec_reopened").otherwise("raised_again")
+    status = F.when(was.isNull() | was.isin("done", "resolved"), "open").otherwise(was)
+    raised = found.select("url", "rule_id").join(known, ["url", "rule_id"], "left").select("url", "rule_id", F.lit("raise").alias("event"), kind.alias("kind"), status.alias("status"))
+    gone = auto_resolved(state.where(~F.col("status").isin(*W.CLOSED)), linted, rules_run, found)
+    return raised.unionByName(gone.select("url", "rule_id", F.lit("status").alias("event"), F.lit("rec_status").alias("kind"), F.lit("resolved").alias("status")))
+
+
+def saved(state: DataFrame, events: DataFrame) -> DataFrame:
+    """Counters of a saved run: raised, reopened, resolved, open_total."""
+    changed = events.select("url", "rule_id", "event", "kind", F.col("status").alias("now"))
+    return state.select("url", "rule_id", "status").join(changed, ["url", "rule_id"], "full_outer").agg(
+        F.count_if(F.col("event") == "raise").alias("raised"),
+        F.count_if(F.col("kind") == "rec_reopened").alias("reopened"),
+        F.count_if(F.col("now") == "resolved").alias("resolved"),
+        F.count_if(F.coalesce("now", "status").isin("open", "accepted")).alias("open_total"),
+    )
+
+
+def compare(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(path, before_score, after_score, delta, new_rules, fixed_rules) of changed files; a file without a version before has only new ones.
+
+    before, after: path, score, rules array<string>.
+    """
+    b = before.select("path", F.col("score").alias("before_score"), F.col("rules").alias("was"))
+    j = after.select("path", F.col("score").alias("after_score"), F.col("rules").alias("now")).join(b, "path", "left")
+    was = F.coalesce("was", F.array().cast("array<string>"))
+    new, fixed = F.array_sort(F.array_except("now", was)), F.array_sort(F.array_except(was, F.col("now")))
+    return j.select("path", "before_score", "after_score", (F.col("after_score") - F.col("before_score")).alias("delta"), new.alias("new_rules"), fixed.alias("fixed_rules"))
+
+
 def order(recs: DataFrame, by: str = "priority") -> DataFrame:
     rank = F.when(F.col("severity") == "critical", 0).when(F.col("severity") == "high", 1).when(F.col("severity") == "medium", 2).otherwise(3)
     return recs.orderBy(F.desc("priority"), rank, "id") if by == "priority" else recs.orderBy(rank, F.desc("updated"), "id")
 
 
-def gate(before: DataFrame, after: DataFrame, min_score: int = 60, max_drop: int = 5) -> DataFrame:
-    """(path, before_score, after_score, reasons) of files that fail; reasons: below_min, dropped, new_findings.
+#: Severities whose new findings fail a change.
+FAILING = ("critical", "high")
 
-    before, after: path, score, rules array<string>.
+
+def gate(before: DataFrame, after: DataFrame, min_score: int | None = 60, max_drop: int | None = 5, mild: list[str] | None = None) -> DataFrame:
+    """(path, before_score, after_score, reasons, new_rules) of files that fail; reasons: below_min, dropped, new_findings.
+
+    before, after as for ``compare``. New findings fail a change unless their
+    rule is ``mild``, by default all known rules below FAILING severity.
     """
-    b = before.select("path", F.col("score").alias("before_score"), F.col("rules").alias("was"))
-    a = after.select("path", F.col("score").alias("after_score"), F.col("rules").alias("now"))
-    j = a.join(b, "path", "left")
-    new = F.array_except("now", F.coalesce("was", F.array().cast("array<string>")))
-    reasons = F.array_compact(
-        F.array(
-            F.when(F.col("after_score") < min_score, "below_min"),
-            F.when(F.col("before_score") - F.col("after_score") > max_drop, "dropped"),
-            F.when(F.size(new) > 0, "new_findings"),
-        )
-    )
-    return j.select("path", "before_score", "after_score", reasons.alias("reasons"), F.array_sort(new).alias("new_rules")).where(F.size("reasons") > 0)
+    if mild is None:
+        from pagelode.plans.rules import load_rules
+
+        mild = [r.id for r in load_rules() if r.severity not in FAILING]
+    j = compare(before, after)
+    bad = F.filter("new_rules", lambda x: ~x.isin(*mild)) if mild else F.col("new_rules")
+    reasons = [F.when(F.size(bad) > 0, "new_findings")]
+    if max_drop is not None:
+        reasons.insert(0, F.when(-F.col("delta") > max_drop, "dropped"))
+    if min_score is not None:
+        reasons.insert(0, F.when(F.col("after_score") < min_score, "below_min"))
+    return j.select("path", "before_score", "after_score", F.array_compact(F.array(*reasons)).alias("reasons"), bad.alias("new_rules")).where(F.size("reasons") > 0)
 
 
 def wins(state: DataFrame, group: str, n: int = 5) -> DataFrame:

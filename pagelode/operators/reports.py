@@ -45,3 +45,47 @@ def chart_rows(drift: DataFrame) -> DataFrame:
 
 def score_colour(score: Column) -> Column:
     return F.when(score >= 70, "green").when(score >= 40, "amber").otherwise("red")
+
+
+def severity_counts(markdown: Column) -> Column:
+    """struct of how often each severity stands alone in a table cell or in a badge of a report."""
+    cells = []
+    for name in ("critical", "high", "medium", "low"):
+        cell = F.regexp_count(markdown, F.lit(rf"(?i)\|\s*{name}\s*\|"))
+        badge = F.regexp_count(markdown, F.lit(rf'(?i)class="[^"]*badge[^"]*"[^>]*>{name}'))
+        cells.append((cell + badge).cast("int").alias(name))
+    return F.struct(*cells)
+
+
+#: Ways in which a report gives its score, the first that fits counts.
+SCORES = (
+    r"(?i)(?:overall|total|score|rating)[:\s]*([0-9]{1,3}(?:\.[0-9]+)?)\s*(?:/\s*100|out of 100)?",
+    r"(?i)(?<![0-9.])([0-9]{1,3}(?:\.[0-9]+)?)\s*/\s*100",
+    r"(?i)(?<![0-9.])([0-9]{1,3}(?:\.[0-9]+)?)\s*out of\s*100",
+)
+
+
+def report_score(markdown: Column) -> Column:
+    """Overall score of a report, 0 to 100; null if it gives none."""
+    found = [F.regexp_extract(markdown, p, 1).try_cast("double") for p in SCORES]
+    return F.coalesce(*[F.when(x.between(0, 100), x) for x in found])
+
+
+def cell(value: Column, limit: int = 90) -> Column:
+    """A table cell of at most ``limit`` characters, on one line, with pipes escaped."""
+    flat = F.replace(F.regexp_replace(F.trim(value.cast("string")), r"\s+", " "), F.lit("|"), F.lit("\\|"))
+    return F.when(F.length(flat) > limit, F.concat(F.substring(flat, 1, limit - 1), F.lit("…"))).otherwise(flat)
+
+
+def shown_date(seconds: Column, time: bool = False) -> Column:
+    """Day of a unix time as 05 Jan 2026, with hours and minutes if wanted."""
+    return F.date_format(F.timestamp_seconds(seconds), "dd MMM yyyy HH:mm" if time else "dd MMM yyyy")
+
+
+def health_delta(snapshots: DataFrame, group: str) -> DataFrame:
+    """(group, latest, previous, delta) of the last two snapshots by ts; rows: group, ts, health."""
+    last = F.max(F.struct("ts", "health"))
+    newest = snapshots.groupBy(group).agg(last.alias("l"))
+    older = snapshots.join(newest, group).where(F.col("ts") < F.col("l.ts")).groupBy(group).agg(F.max(F.struct("ts", "health")).alias("p"))
+    out = newest.join(older, group, "left").select(group, F.col("l.health").alias("latest"), F.col("p.health").alias("previous"))
+    return out.withColumn("delta", F.round(F.col("latest") - F.col("previous"), 1))

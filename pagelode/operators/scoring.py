@@ -63,14 +63,14 @@ def _holds(types: Column, *names: str) -> Column:
 
 
 def page_type(records: DataFrame, key: list[str]) -> DataFrame:
-    """key, page_type, confidence, top_score over eight types; ties by name."""
+    """key, page_type, confidence, top_score and second_type over eight types; ties by name."""
     url, types = F.lower("url"), F.col("schema_types")
     text = F.lower(F.concat_ws(" ", "url", "title", F.array_join("h1", " "), F.array_join("h2", " ")))
     hit = lambda pattern, points: F.when(text.rlike(pattern), points).otherwise(0)
     when = lambda cond, points: F.when(cond, points).otherwise(0)
     scores = {
         "product": when(_holds(types, "Product", "Offer"), 4) + when(url.rlike("/(product|products|shop|store|p)/"), 2) + hit(r"\b(buy|shop|sale|price)\b", 1),
-        "comparison": hit(r"\b(vs|versus|alternative|alternatives|compare|comparison)\b|\bbest \w+", 4) + when(F.col("tables_total") > 0, 1),
+        "comparison": hit(r"\b(vs\.?|versus|alternatives?|compare|comparison|best\s+\w+)", 4) + when(F.col("tables_total") > 0, 1),
         "local": when(_holds(types, "LocalBusiness", "ProfessionalService"), 4) + when(url.rlike("/(location|locations|near-me|contact)/"), 2) + when(F.col("tel_links") > 0, 1),
         "tool": when(_holds(types, "WebApplication", "SoftwareApplication"), 4) + hit(r"\b(calculator|generator|checker|tool)\b", 3) + when(F.col("form_count") > 0, 1),
         "service": when(_holds(types, "Service", "ProfessionalService"), 4) + hit(r"\b(service|services|consulting|consultant|agency)\b", 2),
@@ -84,7 +84,7 @@ def page_type(records: DataFrame, key: list[str]) -> DataFrame:
     out = out.select(*key, ranked.alias("r"))
     top, second = -F.coalesce(F.get("r", F.lit(0))["neg"], F.lit(0)), -F.coalesce(F.get("r", F.lit(1))["neg"], F.lit(0))
     sure = F.when(F.size("r") == 0, "low").when((top >= 5) & (top - second >= 2), "high").when(top >= 3, "medium").otherwise("low")
-    return out.select(*key, F.coalesce(F.get("r", F.lit(0))["type"], F.lit("unknown")).alias("page_type"), sure.alias("confidence"), top.alias("top_score"))
+    return out.select(*key, F.coalesce(F.get("r", F.lit(0))["type"], F.lit("unknown")).alias("page_type"), sure.alias("confidence"), top.alias("top_score"), F.get("r", F.lit(1))["type"].alias("second_type"))
 
 
 def consensus(results: DataFrame, group: str) -> DataFrame:
@@ -100,10 +100,54 @@ def consensus(results: DataFrame, group: str) -> DataFrame:
     return top.select(group, F.col("page_type").alias("dominant"), "classified", share.alias("share"), sure.alias("confidence"), verdict.alias("verdict"))
 
 
-def alignment(target: Column, dominant: Column, verdict: Column) -> Column:
-    """Fit of a page's type with its results': 100 aligned, 70 partial, 35 mismatch; null without a basis."""
-    partial = (target == "hybrid") & dominant.isin("article", "landing") | (dominant == "hybrid") & target.isin("article", "landing")
-    return F.when(dominant.isNull() | (target == "unknown"), F.lit(None).cast("int")).when(verdict == "fragmented", F.lit(None).cast("int")).when(target == dominant, 100).when(partial, 70).otherwise(35)
+def fit(target: Column, dominant: Column, verdict: Column, second: Column | None = None) -> Column:
+    """How a page's type, and its second type if given, go with that of its results."""
+    second = F.lit(None).cast("string") if second is None else second
+    return (
+        F.when(F.coalesce(dominant, F.lit("unknown")) == "unknown", "unavailable")
+        .when(verdict == "fragmented", "mixed")
+        .when(target == dominant, "aligned")
+        .when(F.coalesce(second == dominant, F.lit(False)), "partially_aligned")
+        .otherwise("mismatch")
+    )
+
+
+def alignment(target: Column, dominant: Column, verdict: Column, second: Column | None = None) -> Column:
+    """Score of ``fit``: 100 aligned, 70 partial, 35 mismatch; null without a basis."""
+    status = fit(target, dominant, verdict, second)
+    return F.when(status == "aligned", 100).when(status == "partially_aligned", 70).when(status == "mismatch", 35)
+
+
+#: Types of results that an article page can't stand in for at all.
+FAR_FROM_ARTICLES = ("product", "tool", "local")
+
+
+def mismatch(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Recommendations for pages whose type differs from that of their results: key, rec_key, severity, confidence, finding.
+
+    rows: key, keyword, page_type, status, dominant, confidence (of the results). Weak evidence recommends nothing.
+    """
+    kind, expected = F.col("page_type"), F.col("dominant")
+    slug = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(F.nullif("keyword", F.lit("")), expected)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    severity = F.when((kind == "article") & expected.isin(*FAR_FROM_ARTICLES), "critical").otherwise("high")
+    found = rows.where((F.col("status") == "mismatch") & (F.col("confidence") != "low"))
+    return found.select(*key, F.concat(F.lit("page-type-"), slug).alias("rec_key"), severity.alias("severity"), "confidence", F.concat(F.lit("Page-type mismatch: "), kind, F.lit(" page for "), expected, F.lit(" SERP")).alias("finding"))
+
+
+def organic(found: DataFrame, key: list[str]) -> DataFrame:
+    """(key, place, url, title) of organic items of search responses (see ``payloads.serp_items``), the first of each (url, title)."""
+    i = F.col("item")
+    kind = F.lower(F.coalesce(F.try_variant_get(i, "$.type", "string"), F.lit("organic")))
+    url = F.coalesce(F.try_variant_get(i, "$.url", "string"), F.lit(""))
+    title = F.coalesce(F.try_variant_get(i, "$.title", "string"), F.try_variant_get(i, "$.title_tag", "string"), F.lit(""))
+    rows = found.where(kind == "organic").select(*key, "place", url.alias("url"), title.alias("title")).where("url <> '' or title <> ''")
+    return rows.groupBy(*key, "url", "title").agg(F.min("place").alias("place"))
+
+
+def features(found: DataFrame, key: list[str]) -> DataFrame:
+    """(key, feature, n): how often other kinds than organic stand in search responses."""
+    kind = F.lower(F.coalesce(F.try_variant_get("item", "$.type", "string"), F.lit("organic")))
+    return found.select(*key, kind.alias("feature")).where("feature <> 'organic'").groupBy(*key, "feature").agg(F.count("*").alias("n"))
 
 
 def keyword_candidate(h1: Column, title: Column) -> Column:
@@ -120,8 +164,9 @@ def spa_verdict(pages: DataFrame, key: list[str]) -> DataFrame:
     shell = F.lit(0)
     for marker in reversed(W.SHELL_MARKERS):
         at = F.instr(html, marker)
-        inner = F.regexp_extract(F.substring(html, at, F.length(html)), r"(?is)^(.*?)</div>", 1)
-        shell = F.when(at > 0, F.when(X.word_count(inner) < 10, 3).otherwise(0)).otherwise(shell)
+        rest = F.substring(html, at, F.length(html))
+        close = F.instr(rest, "</div>")  # a container that never closes says nothing
+        shell = F.when(at > 0, F.when((close > 0) & (X.word_count(F.substring(rest, F.lit(1), close - 1)) < 10), 3).otherwise(0)).otherwise(shell)
     marks = F.lit(0)
     for m in W.FRAMEWORK_MARKERS:
         marks = marks + F.when(F.contains(html, F.lit(m)), 1).otherwise(0)

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pagelode.functions import html as H
 from pagelode.functions import text as X
 from pagelode.functions import words as W
-from pagelode.operators import crawl, fixes, graph, history, logs, pages, recommendations, reports, scoring, visibility
+from pagelode.operators import crawl, fixes, graph, history, impact, logs, pages, recommendations, reports, scoring, visibility
 from pagelode.plans import inputs, oracle, rules
+from pagelode.operators.store import cut
 from pagelode.plans.inputs import read
 
 NATIVE = (
@@ -280,14 +281,14 @@ def citation_score(spark, sf_dir):
 
 @query
 def page_type(spark, sf_dir):
-    return scoring.page_type(visited(spark, sf_dir), ["page_id"])
+    return scoring.page_type(visited(spark, sf_dir), ["page_id"]).select("page_id", "page_type", "second_type", "confidence", "top_score")
 
 
 def typed_results(spark, sf_dir):
     """Pages as search results of the query that their host stands for."""
     r = visited(spark, sf_dir)
     t = scoring.page_type(r, ["page_id", "url"])
-    return t.select(X.netloc(F.col("url")).alias("host"), F.col("page_id").alias("position"), "page_type")
+    return t.select(X.netloc(F.col("url")).alias("host"), F.col("page_id").alias("position"), "page_type", "second_type")
 
 
 @query
@@ -299,7 +300,8 @@ def serp_consensus(spark, sf_dir):
 def serp_alignment(spark, sf_dir):
     t = typed_results(spark, sf_dir)
     c = scoring.consensus(t, "host").select("host", "dominant", "verdict")
-    return t.join(c, "host", "left").select(F.col("position").alias("page_id"), "page_type", "dominant", scoring.alignment(F.col("page_type"), F.col("dominant"), F.col("verdict")).alias("alignment"))
+    types = [F.col(x) for x in ("page_type", "dominant", "verdict", "second_type")]
+    return t.join(c, "host", "left").select(F.col("position").alias("page_id"), "page_type", "dominant", scoring.fit(*types).alias("status"), scoring.alignment(*types).alias("alignment"))
 
 
 @query
@@ -391,7 +393,8 @@ def impact_asof(spark, sf_dir):
     done = e.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
     seen = e.where("event_type = 'view'").select("user_id", "ts", "value")
     out = history.asof(done, seen, ["user_id"], "ts", "value")
-    return out.select("event_id", "user_id", "before", "after", history.impact(F.col("before"), F.col("after")).alias("verdict"))
+    verdict = F.when(F.col("before").isNull() | F.col("after").isNull(), "insufficient_data").otherwise(impact.by_page(F.col("before"), F.col("after")))
+    return out.select("event_id", "user_id", "before", "after", verdict.alias("verdict"))
 
 
 # -- recommendations
@@ -426,24 +429,33 @@ def rec_summary(spark, sf_dir):
 
 @query
 def rec_autoresolve(spark, sf_dir):
-    p = read(spark, sf_dir, "pages").where("page_id % 2 = 0").select("url")
+    p = read(spark, sf_dir, "pages").select("url")
     ran = spark.createDataFrame([(x,) for x in ("thin-content", "missing-h1", "title-too-long")], "rule_id string")
     open_recs = p.withColumn("rule_id", F.explode(F.array(*[F.lit(x) for x in ("thin-content", "missing-h1", "title-too-long", "not-run")])))
     return recommendations.auto_resolved(open_recs, p, ran, found(spark, sf_dir)).select("url", "rule_id")
 
 
+def file_versions(spark, sf_dir):
+    """Lint outcomes of all pages, as files before and after a change; pages are linted once."""
+    after = cut(linted(spark, sf_dir).select(F.col("page_id").alias("path"), "score", F.col("findings.rule_id").alias("rules")))
+    return after.withColumn("path", F.col("path") - 1), after
+
+
+@query
+def pr_compare(spark, sf_dir):
+    out = recommendations.compare(*file_versions(spark, sf_dir))
+    return out.withColumns({"new_rules": F.array_join("new_rules", "|"), "fixed_rules": F.array_join("fixed_rules", "|")})
+
+
 @query
 def pr_gate(spark, sf_dir):
-    after = linted(spark, sf_dir).select(F.col("page_id").alias("path"), "score", F.col("findings.rule_id").alias("rules"))
-    before = after.withColumn("path", F.col("path") - 1)
-    out = recommendations.gate(before, after, min_score=30)
+    out = recommendations.gate(*file_versions(spark, sf_dir), min_score=30)
     return out.select("path", "before_score", "after_score", F.array_join("reasons", "|").alias("reasons"), F.array_join("new_rules", "|").alias("new_rules"))
 
 
 @query
 def pr_summary(spark, sf_dir):
-    after = linted(spark, sf_dir).select(F.col("page_id").alias("path"), "score", F.col("findings.rule_id").alias("rules"))
-    return reports.change_table(recommendations.gate(after.withColumn("path", F.col("path") - 1), after, min_score=30))
+    return reports.change_table(recommendations.gate(*file_versions(spark, sf_dir), min_score=30))
 
 
 # -- ledgers
@@ -523,8 +535,13 @@ def patch_plan(spark, sf_dir):
 
 
 def queries():
-    return dict(QUERIES)
+    from pagelode.plans import more
+
+    return {**QUERIES, **more.QUERIES}
 
 
 def oracle_sql():
-    return {name: sql for name, sql in oracle.SQL.items() if name in QUERIES}
+    from pagelode.plans import more, oracle_more
+
+    known = {**QUERIES, **more.QUERIES}
+    return {name: sql for name, sql in {**oracle.SQL, **oracle_more.SQL}.items() if name in known}

@@ -28,12 +28,13 @@ def nodes(spark, sf_dir):
 
 
 def edges(spark, sf_dir):
-    """Three links from every page but each fifth, by arithmetic on its id; every target is a known page or a gap."""
+    """Three links from every page but each fifth, by arithmetic on its id; every target is a known page or a gap, and no link leads to each eleventh page."""
     p = read(spark, sf_dir, "pages").where("page_id % 5 <> 4").select(F.col("page_id").alias("src"))
     n = p.agg(F.max("src") + 2).first()[0]
     e = p.select("src", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("k"))
     anchor = F.element_at(F.array(*[F.lit(a) for a in ANCHORS]), ((F.col("src") + F.col("k")) % len(ANCHORS) + 1).cast("int"))
-    return e.select("src", ((F.col("src") * 7 + F.col("k") * F.col("k") * 3) % F.lit(n)).alias("dst"), anchor.alias("anchor"), F.col("k").alias("pos"))
+    to = (F.col("src") * 7 + F.col("k") * F.col("k") * 3) % F.lit(n)
+    return e.select("src", F.when(to % 11 == 3, to - 1).otherwise(to).alias("dst"), anchor.alias("anchor"), F.col("k").alias("pos"))
 
 
 def log_lines(spark, sf_dir):
@@ -89,3 +90,97 @@ def hops(spark, sf_dir):
     status = F.when(i % 6 == 0, 301).when(i % 6 == 1, 302).when(i % 11 == 5, 404).otherwise(200)
     location = F.when(i % 12 == 6, "").when(i % 6 == 0, F.concat(F.lit("u"), (i + 1).cast("string"))).when(i % 30 == 1, F.concat(F.lit("u"), (i - 1).cast("string"))).when(i % 6 == 1, F.concat(F.lit("u"), (i + 1).cast("string")))
     return read(spark, sf_dir, "pages").select(F.concat(F.lit("u"), n).alias("url"), status.alias("status"), F.coalesce(location, F.lit("")).alias("location"))
+
+
+def epoch(day: str) -> int:
+    """Seconds of a day's start."""
+    from datetime import datetime, timezone
+
+    return int(datetime.fromisoformat(day).replace(tzinfo=timezone.utc).timestamp())
+
+
+#: Years whose rankings are snapshots, taken on their last day.
+SNAPSHOT_YEARS = (1994, 1996, 1998)
+
+
+def ranking_snapshots(spark, sf_dir):
+    """(domain, ts, keyword, url, position, seq): parts of each supplier in three years; each thirteenth supplier has only the last."""
+    out = None
+    for year in SNAPSHOT_YEARS:
+        r = supplier_rankings(spark, sf_dir, year)
+        if year != SNAPSHOT_YEARS[-1]:
+            r = r.where("supplier % 13 <> 0")
+        part = F.regexp_extract("keyword", "([0-9]+)", 1).cast("long")
+        r = r.select(F.col("supplier").alias("domain"), F.lit(epoch(f"{year}-12-31")).alias("ts"), "keyword", F.concat(F.lit("u"), (part % 50).cast("string")).alias("url"), "position", part.alias("seq"))
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+def completed_recs(spark, sf_dir):
+    """(domain, id, url, status, updated, keyword, was, now): parts ranked in 1996 as recommendations, some for a keyword, some for a page, some for neither."""
+    r = supplier_rankings(spark, sf_dir, 1996).withColumn("part", F.regexp_extract("keyword", "([0-9]+)", 1).cast("long"))
+    p = F.col("part")
+    status = F.element_at(F.array(*[F.lit(s) for s in W.STATUSES]), (p % 5 + 1).cast("int"))
+    return r.select(
+        F.col("supplier").alias("domain"), p.alias("id"), F.when(p % 7 == 1, "").otherwise(F.concat(F.lit("u"), (p % 50).cast("string"))).alias("url"), status.alias("status"),
+        (F.lit(epoch("1996-07-01")) + (p * 37 % 1000) * DAY).alias("updated"), F.when(p % 3 != 0, F.col("keyword")).alias("keyword"),
+        F.col("position").alias("was"), F.when(p % 4 != 0, F.col("position") + (p % 11).cast("int")).alias("now"),
+    )
+
+
+def _cells(spark, sf_dir):
+    """Suppliers in groups of twenty, in order."""
+    s = F.col("s_suppkey")
+    return read(spark, sf_dir, "supplier").select(F.floor(s / 20).cast("long").alias("grp"), s.alias("k"), F.regexp_replace("s_name", "#", " ").alias("name"))
+
+
+def search_payloads(spark, sf_dir):
+    """(grp, payload): search responses of twenty items each, in two shapes; the items repeat some pages and hold overviews and other kinds."""
+    k = F.col("k")
+    kind = F.when(k % 20 == 7, "ai_overview").when(k % 5 == 4, "people_also_ask").when(k % 9 == 0, F.lit(None).cast("string")).otherwise("organic")
+    path = F.element_at(F.array(*[F.lit(x) for x in ("/blog/", "/shop/", "/contact/", "/x/", "/tool/")]), (F.col("grp") % 5 + 1).cast("int"))
+    url = F.when(k % 20 == 13, "").otherwise(F.concat(F.lit("https://s.example"), path, (k - k % 2).cast("string")))
+    references = F.when(k % 20 == 7, F.array(*[F.struct(F.concat(F.lit("d"), (k % m).cast("string"), F.lit(".example")).alias("domain")) for m in (3, 5, 4)]))
+    item = F.struct(kind.alias("type"), url.alias("url"), F.concat(F.lit("Item "), (k - k % 4).cast("string")).alias("title"), F.concat(F.lit("as "), F.col("name"), F.lit(" says")).alias("text"), references.alias("references"))
+    items = F.transform(F.array_sort(F.collect_list(F.struct("k", item.alias("i")))), lambda x: x["i"])  # twenty a group
+    g = _cells(spark, sf_dir).groupBy("grp").agg(items.alias("items"))
+    flat = F.to_json(F.struct(F.array(F.struct(F.lit(20000).alias("status_code"), F.array(F.struct("items")).alias("result"))).alias("tasks")))
+    failed = F.to_json(F.struct(F.array(F.struct(F.lit(40501).alias("status_code"), F.lit("bad field").alias("status_message"), F.array(F.struct("items")).alias("result"))).alias("tasks")))
+    return g.select("grp", F.when(F.col("grp") % 4 == 3, failed).otherwise(flat).alias("payload"))
+
+
+def ranking_payloads(spark, sf_dir):
+    """(grp, payload): ranking responses in two item shapes, with zero positions and items without a keyword."""
+    k = F.col("k")
+    flat = F.struct(F.when(k % 6 != 0, F.col("name")).alias("keyword"), (k % 3).cast("int").alias("position"), (k % 9).cast("int").alias("rank_group"), F.concat(F.lit("f"), k.cast("string")).alias("url"), F.when(k % 4 != 0, k * 10).alias("search_volume"))
+    deep = F.struct(
+        F.struct(F.col("name").alias("keyword"), F.struct((k * 7).alias("search_volume")).alias("keyword_info")).alias("keyword_data"),
+        F.struct(F.struct((k % 50).cast("int").alias("rank_group"), F.when(k % 5 != 0, F.concat(F.lit("n"), k.cast("string"))).alias("url")).alias("serp_item"), F.concat(F.lit("c"), k.cast("string")).alias("check_url")).alias("ranked_serp_element"),
+    )
+    text = F.when(F.col("grp") % 2 == 0, F.to_json(flat)).otherwise(F.to_json(deep))
+    items = F.transform(F.array_sort(F.collect_list(F.struct("k", text.alias("t")))), lambda x: x["t"])
+    g = _cells(spark, sf_dir).groupBy("grp").agg(F.array_join(items, ",").alias("items"))
+    return g.select("grp", F.concat(F.lit('{"result": [null, {"items": ['), "items", F.lit("]}]}")).alias("payload"))
+
+
+def backlink_payloads(spark, sf_dir):
+    """(k, payload): backlink responses whose numbers sit in the result, in an item, under other names, or nowhere."""
+    k = F.col("s_suppkey")
+    n = k.cast("string")
+    text = (
+        F.when(k % 5 == 0, F.concat(F.lit('{"result": [{"referring_domains": '), n, F.lit(', "backlinks": '), (k * 3).cast("string"), F.lit("}]}")))
+        .when(k % 5 == 1, F.concat(F.lit('{"result": [{"items": [{"x": 1}, {"refdomains": '), n, F.lit("}]}]}")))
+        .when(k % 5 == 2, F.concat(F.lit('{"result": ["none", {"backlinks": "many", "items": [{"total_count": '), n, F.lit('}, {"backlinks": 1}]}]}')))
+        .when(k % 5 == 3, F.concat(F.lit('{"result": [{"referring_domains": 0, "refdomains": '), n, F.lit(', "backlinks_count": 2.0}]}')))
+        .otherwise("{broken")
+    )
+    return read(spark, sf_dir, "supplier").select(k.alias("k"), text.alias("payload"))
+
+
+def volume_payloads(spark, sf_dir):
+    """(grp, payload): volumes of the names in groups of twenty, half of them nested, some missing."""
+    k = F.col("k")
+    flat, deep = F.to_json(F.struct(F.col("name").alias("keyword"), (k * 10).alias("search_volume"))), F.to_json(F.struct(F.col("name").alias("keyword"), F.struct((k * 9).alias("search_volume")).alias("keyword_info")))
+    text = F.when(k % 7 == 0, F.lit('{"keyword": "no volume"}')).when(k % 2 == 0, flat).otherwise(deep)
+    g = _cells(spark, sf_dir).groupBy("grp").agg(F.array_join(F.array_sort(F.collect_list(text)), ",").alias("items"))
+    return g.select("grp", F.concat(F.lit('{"result": [{"items": ['), "items", F.lit("]}]}")).alias("payload"))

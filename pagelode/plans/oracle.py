@@ -79,9 +79,9 @@ FOUND = (
 EDGES = """
 n AS (SELECT max(page_id) + 2 AS n FROM pages WHERE page_id % 5 <> 4),
 e AS (
-  SELECT page_id AS src, (page_id * 7 + k * k * 3) % (SELECT n FROM n) AS dst, k AS pos,
+  SELECT page_id AS src, t - CASE WHEN t % 11 = 3 THEN 1 ELSE 0 END AS dst, k AS pos,
          ['click here', 'Read more', 'Guide', 'Pricing', 'here'][(page_id + k) % 5 + 1] AS anchor
-  FROM pages, (SELECT unnest([1, 2, 3]) AS k) WHERE page_id % 5 <> 4
+  FROM (SELECT page_id, k, (page_id * 7 + k * k * 3) % (SELECT n FROM n) AS t FROM pages, (SELECT unnest([1, 2, 3]) AS k) WHERE page_id % 5 <> 4)
 ), kn AS (SELECT e.* FROM e WHERE dst IN (SELECT page_id FROM pages))"""
 BFS = """, w(node, depth) AS (
   SELECT page_id, 0 FROM pages WHERE page_id = 0
@@ -100,13 +100,13 @@ l AS (
 RANK = """
 {name} AS (
   SELECT 'part ' || l_partkey AS keyword, row_number() OVER (ORDER BY q DESC, l_partkey) AS position, CAST(q AS BIGINT) AS volume
-  FROM (SELECT l_partkey, sum(l_quantity) AS q FROM lineitem WHERE year(l_shipdate) = {year} GROUP BY 1 ORDER BY q DESC, l_partkey LIMIT 300)
+  FROM (SELECT l_partkey, sum(l_quantity) AS q FROM lineitem WHERE year(l_shipdate) = {year} GROUP BY 1)
 )"""
 RANKS = RANK.format(name="old", year=1998) + "," + RANK.format(name="new", year=1999)
 SUP = """
 {name} AS (
   SELECT l_suppkey AS supplier, 'part ' || l_partkey AS keyword, row_number() OVER (PARTITION BY l_suppkey ORDER BY q DESC, l_partkey) AS position, CAST(q AS BIGINT) AS volume
-  FROM (SELECT l_suppkey, l_partkey, sum(l_quantity) AS q FROM lineitem WHERE year(l_shipdate) = {year} AND l_suppkey < 20 GROUP BY 1, 2)
+  FROM (SELECT l_suppkey, l_partkey, sum(l_quantity) AS q FROM lineitem WHERE year(l_shipdate) = {year} GROUP BY 1, 2)
 )"""
 SUPS = SUP.format(name="old", year=1998) + "," + SUP.format(name="new", year=1999)
 CTR = "(CASE WHEN {p} <= 10 THEN [0.25, 0.13, 0.08, 0.055, 0.04, 0.03, 0.023, 0.018, 0.014, 0.01][greatest({p}, 1)] WHEN {p} <= 20 THEN 0.004 ELSE 0.001 END)::DOUBLE"
@@ -164,13 +164,13 @@ SQL = {
     "duplicate_titles": f"WITH {PAGES} SELECT title, count(*) AS n, min(page_id) AS first_page FROM r WHERE title <> '' GROUP BY title HAVING count(*) > 1",
     "status_distribution": "SELECT coalesce(CAST(CASE WHEN page_id % 17 = 3 THEN 404 WHEN page_id % 23 = 1 THEN NULL ELSE 200 END AS VARCHAR), 'None') AS status, count(*) AS n FROM pages GROUP BY 1",
     "sitemap_diff": "WITH s AS (SELECT DISTINCT rtrim(url, '/') AS url FROM pages WHERE page_id % 3 <> 0), c AS (SELECT DISTINCT rtrim(url, '/') AS url FROM pages WHERE page_id % 4 <> 0) SELECT url, 'left' AS side FROM (SELECT url FROM s EXCEPT SELECT url FROM c) UNION ALL SELECT url, 'right' FROM (SELECT url FROM c EXCEPT SELECT url FROM s)",
-    "near_dup_pairs": r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(left(text, 5000)), '[\p{L}\p{N}_]+') AS w FROM documents),
+    "near_dup_pairs": r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents),
         s AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM w)),
         n AS (SELECT doc_id, count(*) AS n, list_sort(list(g)) AS k FROM s GROUP BY 1), h AS (SELECT doc_id, n, k, min(doc_id) OVER (PARTITION BY k) AS head FROM n),
         q AS (SELECT s.doc_id, s.g, h.n FROM s JOIN h USING (doc_id) WHERE h.doc_id = h.head),
         p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM q a JOIN q b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2)
         SELECT a, b, c / (na + nb - c) AS similarity FROM p WHERE c / (na + nb - c) >= 0.9""",
-    "near_dup_classes": r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(left(text, 5000)), '[\p{L}\p{N}_]+') AS w FROM documents),
+    "near_dup_classes": r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents),
         s AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' ')))) AS k FROM w)
         SELECT head, count(*) AS n FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS head FROM s) GROUP BY head HAVING count(*) > 1""",
     "link_degree": f"WITH {EDGES} SELECT page_id AS node, (SELECT count(*) FROM kn WHERE dst = page_id) AS inlinks, (SELECT count(*) FROM e WHERE src = page_id) AS outlinks FROM pages",
@@ -196,17 +196,17 @@ SQL = {
     "drift_rankings": f"WITH {RANKS} SELECT coalesce(old.keyword, new.keyword) AS keyword, old.position AS was, new.position AS now, CASE WHEN old.position IS NULL THEN 'gained' WHEN new.position IS NULL THEN 'lost' WHEN old.position > new.position THEN 'up' WHEN old.position < new.position THEN 'down' ELSE 'same' END AS change, old.position - new.position AS delta FROM old FULL JOIN new ON old.keyword = new.keyword",
     "drift_stats": f"WITH {RANKS} SELECT count(*) FILTER (old.position IS NULL) AS gained, count(*) FILTER (new.position IS NULL) AS lost, count(*) FILTER (old.position > new.position) AS up, count(*) FILTER (old.position < new.position) AS down, count(*) FILTER (old.position = new.position) AS same FROM old FULL JOIN new ON old.keyword = new.keyword",
     "drift_scores": "WITH a AS (SELECT o_orderpriority AS k, count(*)::DOUBLE AS v FROM orders WHERE year(o_orderdate) = 1997 GROUP BY 1), b AS (SELECT o_orderpriority AS k, count(*)::DOUBLE AS v FROM orders WHERE year(o_orderdate) = 1998 GROUP BY 1) SELECT a.k AS pillar, a.v AS was, b.v AS now, b.v - a.v AS delta FROM a JOIN b ON a.k = b.k WHERE a.v <> b.v",
-    "health_trend": f"WITH h AS (SELECT date_part('week', ts)::INT AS snap, ['technical', 'content', 'authority', 'cwv', 'ai_search'][user_id % 5 + 1] AS pillar, CAST(count(*) AS DOUBLE) AS v FROM events GROUP BY ALL), g AS (SELECT snap, {half_up('sum(v * CASE pillar WHEN \'technical\' THEN 30 WHEN \'content\' THEN 25 WHEN \'authority\' THEN 20 WHEN \'cwv\' THEN 15 ELSE 10 END) / 100')} AS health FROM h GROUP BY snap) SELECT 'site' AS domain, snap, health, row_number() OVER (ORDER BY snap DESC) AS back, health - lag(health) OVER (ORDER BY snap) AS step FROM g",
+    "health_trend": f"WITH h AS (SELECT date_part('week', ts)::INT AS snap, ['technical', 'content', 'authority', 'cwv', 'ai_search'][user_id % 5 + 1] AS pillar, CAST(count(*) AS DOUBLE) AS v FROM events GROUP BY ALL), g AS (SELECT snap, round_even(sum(v * CASE pillar WHEN 'technical' THEN 30 WHEN 'content' THEN 25 WHEN 'authority' THEN 20 WHEN 'cwv' THEN 15 ELSE 10 END) / 100, 1) AS health FROM h GROUP BY snap) SELECT 'site' AS domain, snap, health, row_number() OVER (ORDER BY snap DESC) AS back, health - lag(health) OVER (ORDER BY snap) AS step FROM g",
     "forecast": f"WITH {RANKS} SELECT old.keyword, old.volume, new.position, CASE WHEN new.position IS NULL THEN 0 ELSE CAST(round_even(old.volume * {CTR.format(p='new.position')}, 0) AS BIGINT) END AS now_clicks, CAST(round_even(old.volume * 0.08::DOUBLE * 0.6::DOUBLE, 0) AS BIGINT) AS low, CAST(round_even(old.volume * 0.08::DOUBLE, 0) AS BIGINT) AS expected, CAST(round_even(old.volume * 0.08::DOUBLE * 1.4::DOUBLE, 0) AS BIGINT) AS high, greatest(0, CAST(round_even(old.volume * 0.08::DOUBLE, 0) AS BIGINT) - CASE WHEN new.position IS NULL THEN 0 ELSE CAST(round_even(old.volume * {CTR.format(p='new.position')}, 0) AS BIGINT) END) AS uplift FROM old LEFT JOIN new ON old.keyword = new.keyword",
     "rank_loss": f"WITH {SUPS}, j AS (SELECT old.supplier, old.keyword, old.position AS was, old.volume, new.position AS now FROM old LEFT JOIN new ON old.supplier = new.supplier AND old.keyword = new.keyword), k AS (SELECT *, CASE WHEN now IS NULL THEN CASE WHEN was <= 10 THEN 'high' ELSE 'medium' END WHEN now - was >= 10 THEN 'high' ELSE 'medium' END AS severity FROM j WHERE was <= 20 AND (now IS NULL OR now - was >= 5)) SELECT supplier, keyword, was, volume, now, severity, CAST(round_even(volume * {CTR.format(p='was')}, 0) AS BIGINT) AS clicks_at_risk, row_number() OVER (PARTITION BY supplier ORDER BY CASE severity WHEN 'high' THEN 0 ELSE 1 END, was, keyword) AS rank FROM k QUALIFY rank <= 10",
     "rank_recovery": f"WITH {SUPS} SELECT old.supplier, old.keyword, old.position AS was, new.position AS now FROM old JOIN new ON old.supplier = new.supplier AND old.keyword = new.keyword WHERE new.position <= old.position",
     "competitor_gain": f"WITH {SUPS}, g AS (SELECT supplier AS competitor, keyword FROM new WHERE supplier IN (SELECT supplier FROM old) AND (supplier, keyword) NOT IN (SELECT supplier, keyword FROM old)) SELECT competitor, count(*) AS gained, array_to_string(list_sort(list(keyword))[1:10], '|') AS examples FROM g GROUP BY 1 HAVING count(*) >= 3",
-    "impact_asof": "WITH c AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'), v AS (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'view' GROUP BY ALL), b AS (SELECT c.*, v.value AS before FROM c ASOF LEFT JOIN v ON c.user_id = v.user_id AND c.ts >= v.ts), a AS (SELECT c.event_id, v.value AS after FROM c ASOF LEFT JOIN v ON c.user_id = v.user_id AND c.ts < v.ts) SELECT event_id, user_id, before, after, CASE WHEN before IS NULL OR after IS NULL THEN 'insufficient_data' WHEN after < before THEN 'improved' WHEN after > before THEN 'worse' ELSE 'no_change' END AS verdict FROM b JOIN a USING (event_id)",
+    "impact_asof": "WITH c AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'), v AS (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'view' GROUP BY ALL), b AS (SELECT c.*, v.value AS before FROM c ASOF LEFT JOIN v ON c.user_id = v.user_id AND c.ts >= v.ts), a AS (SELECT c.event_id, v.value AS after FROM c ASOF LEFT JOIN v ON c.user_id = v.user_id AND c.ts < v.ts) SELECT event_id, user_id, before, after, CASE WHEN before IS NULL OR after IS NULL THEN 'insufficient_data' WHEN before - after > 0.95::DOUBLE THEN 'improved' WHEN before - after < -0.95::DOUBLE THEN 'worse' ELSE 'no_change' END AS verdict FROM b JOIN a USING (event_id)",
     "rec_ids": "SELECT page_id, left(sha1('example.com|' || url || '|lint|' || lower('Rule-' || (page_id % 7))), 12) AS rec_id FROM pages",
     "rec_priority": "WITH p AS (SELECT page_id, ['critical', 'high', 'medium', 'low'][page_id % 4 + 1] AS s, ['high', 'medium', 'low'][page_id % 3 + 1] AS c, (page_id * 37 % 2000)::DOUBLE AS clicks, page_id % 2 = 0 AS auto, page_id % 9 AS n FROM pages) SELECT page_id, floor(greatest(CASE s WHEN 'critical' THEN 5.0::DOUBLE WHEN 'high' THEN 4.0::DOUBLE WHEN 'medium' THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END, CASE WHEN clicks > 1 THEN least(5.0::DOUBLE, 1 + log10(clicks)) ELSE 0.0::DOUBLE END) * CASE c WHEN 'high' THEN 1.0::DOUBLE WHEN 'medium' THEN 0.8::DOUBLE ELSE 0.6::DOUBLE END * CASE WHEN auto THEN 1.25::DOUBLE ELSE 1.0::DOUBLE END * least(1 + 0.1::DOUBLE * (greatest(n, 1) - 1), 1.5::DOUBLE) * 100 + 0.5) / 100 AS priority FROM p",
     "rec_replay": f"WITH {RECS} SELECT * FROM st",
-    "rec_summary": f"WITH {RECS} SELECT count(*) AS total, " + ", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in ("open", "accepted", "done", "ignored", "resolved")) + ", " + ", ".join(f"count(*) FILTER (status IN ('open', 'accepted') AND severity = '{s}') AS actionable_{s}" for s in ("critical", "high", "medium", "low")) + " FROM st",
-    "rec_autoresolve": FOUND + " SELECT r.url, o.rule_id FROM (SELECT page_id, url FROM r WHERE page_id % 2 = 0) r CROSS JOIN (VALUES ('thin-content'), ('missing-h1'), ('title-too-long')) o(rule_id) WHERE (r.url, o.rule_id) NOT IN (SELECT r.url, f.rule_id FROM f JOIN r USING (page_id))",
+    "rec_summary": f"WITH {RECS} SELECT count(*) AS total, " + ", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in ("open", "accepted", "done", "ignored", "resolved")) + ", " + ", ".join(f"count(*) FILTER (status IN ('open', 'accepted') AND severity = '{s}') AS actionable_{s}" for s in ("critical", "high", "medium", "low")) + ", count(*) FILTER (status IN ('open', 'accepted')) AS actionable FROM st",
+    "rec_autoresolve": FOUND + " SELECT r.url, o.rule_id FROM (SELECT page_id, url FROM r) r CROSS JOIN (VALUES ('thin-content'), ('missing-h1'), ('title-too-long')) o(rule_id) WHERE (r.url, o.rule_id) NOT IN (SELECT r.url, f.rule_id FROM f JOIN r USING (page_id))",
     "cost_periods": f"WITH {LEDGER} SELECT sum(CASE WHEN now - ts <= 86400 THEN cost ELSE 0 END)::DOUBLE AS today, sum(CASE WHEN now - ts <= 604800 THEN cost ELSE 0 END)::DOUBLE AS week, sum(CASE WHEN now - ts <= 2592000 THEN cost ELSE 0 END)::DOUBLE AS month, sum(cost) AS all_time, count(*) AS calls FROM l, nw",
     "cost_by_command": f"WITH {LEDGER} SELECT command, sum(cost) AS cost, count(*) AS calls FROM l GROUP BY 1",
     "cache_fresh": f"WITH {LEDGER}, c AS (SELECT 'k' || event_id % 50 AS key, ['serp', 'volume', 'whois', 'ranked'][event_id % 4 + 1] AS command, ts AS created FROM l), m AS (SELECT key, command, max(created) AS created FROM c GROUP BY ALL) SELECT command, count(*) AS entries, count(*) FILTER (now - created <= CASE command WHEN 'serp' THEN 21600 WHEN 'volume' THEN 604800 WHEN 'whois' THEN 2592000 ELSE 86400 END) AS fresh_entries FROM m, nw GROUP BY command",
@@ -216,7 +216,7 @@ SQL = {
     "visibility_diff": "WITH c AS (SELECT conv_id, bool_or(instr(lower(text), 'the') > 0) FILTER (turn < 2) AS w, bool_or(instr(lower(text), 'and') > 0) FILTER (turn >= 1) AS n FROM conversations GROUP BY 1) SELECT conv_id, CASE WHEN NOT coalesce(w, false) AND coalesce(n, false) THEN 'gained' WHEN coalesce(w, false) AND NOT coalesce(n, false) THEN 'lost' WHEN coalesce(w, false) THEN 'kept' ELSE 'absent' END AS change FROM c",
     "meta_draft": r"WITH d AS (SELECT doc_id, CASE WHEN length(text) <= 155 THEN text ELSE regexp_replace(left(text, 155), '\s\S*$', '') END AS t FROM documents) SELECT doc_id, regexp_replace(t, '[ .,;:]+$', '') AS draft FROM d",
     "keyword_candidates": f"WITH {PAGES}, q AS (SELECT page_id, list_filter(regexp_extract_all(lower(coalesce(nullif(h1[1], ''), title)), '[A-Za-z0-9][A-Za-z0-9''-]*'), lambda w: w NOT IN ('the','a','an','and','or','for','with','to','of','in','on','your','our','best','guide','2025','2026')) AS w FROM r) SELECT page_id, nullif(array_to_string(w[1:4], ' '), '') AS keyword FROM q",
-    "pr_gate": FOUND + ", a AS (SELECT s.page_id, score, coalesce(list(rule_id) FILTER (rule_id IS NOT NULL), []) AS rules FROM s LEFT JOIN f USING (page_id) GROUP BY ALL), b AS (SELECT page_id - 1 AS page_id, score AS before_score, rules AS was FROM a), j AS (SELECT a.page_id AS path, before_score, score AS after_score, list_sort(list_filter(rules, lambda x: NOT list_contains(coalesce(was, []), x))) AS new FROM a LEFT JOIN b USING (page_id)) SELECT path, before_score, after_score, array_to_string(list_filter([CASE WHEN after_score < 30 THEN 'below_min' END, CASE WHEN before_score - after_score > 5 THEN 'dropped' END, CASE WHEN len(new) > 0 THEN 'new_findings' END], lambda x: x IS NOT NULL), '|') AS reasons, array_to_string(new, '|') AS new_rules FROM j WHERE after_score < 30 OR before_score - after_score > 5 OR len(new) > 0",
+    "pr_gate": FOUND + ", a AS (SELECT s.page_id, score, coalesce(list(rule_id) FILTER (rule_id IS NOT NULL), []) AS rules FROM s LEFT JOIN f USING (page_id) GROUP BY ALL), b AS (SELECT page_id - 1 AS page_id, score AS before_score, rules AS was FROM a), j AS (SELECT a.page_id AS path, before_score, score AS after_score, list_sort(list_filter(rules, lambda x: NOT list_contains(coalesce(was, []), x) AND list_contains(['" + "', '".join(i for i, _, s, _ in NATIVE_RULES if s in ("critical", "high")) + "'], x))) AS new FROM a LEFT JOIN b USING (page_id)) SELECT path, before_score, after_score, array_to_string(list_filter([CASE WHEN after_score < 30 THEN 'below_min' END, CASE WHEN before_score - after_score > 5 THEN 'dropped' END, CASE WHEN len(new) > 0 THEN 'new_findings' END], lambda x: x IS NOT NULL), '|') AS reasons, array_to_string(new, '|') AS new_rules FROM j WHERE after_score < 30 OR before_score - after_score > 5 OR len(new) > 0",
 }
 SQL["forecast_totals"] = f"SELECT count(*) AS keywords, {', '.join(f'sum({c}) AS {c}' for c in ('now_clicks', 'low', 'expected', 'high', 'uplift'))} FROM ({SQL['forecast']})"
 
@@ -226,7 +226,7 @@ MARKS = ("__NEXT_DATA__", "_next/", "data-reactroot", "data-react-helmet", "ng-a
 SHELLS = ('<div id="root"', '<div id="app"', '<div id="__next"', '<div id="__nuxt"', '<div id="svelte"')
 SQL["spa_verdict"] = (
     f"WITH {PAGES}, q AS (SELECT page_id, CASE "
-    + " ".join(f"WHEN contains(html, '{m}') THEN CASE WHEN len(regexp_extract_all(regexp_extract(substr(html, instr(html, '{m}')), '(?is)^(.*?)</div>', 1), '[\\p{{L}}\\p{{N}}_]+')) < 10 THEN 3 ELSE 0 END" for m in SHELLS)
+    + " ".join(f"WHEN contains(html, '{m}') THEN CASE WHEN contains(substr(html, instr(html, '{m}')), '</div>') AND len(regexp_extract_all(split_part(substr(html, instr(html, '{m}')), '</div>', 1), '[\\p{{L}}\\p{{N}}_]+')) < 10 THEN 3 ELSE 0 END" for m in SHELLS)
     + " ELSE 0 END AS shell, least(2, "
     + " + ".join(f"contains(html, '{m}')::INT" for m in MARKS)
     + r") AS marks, len(regexp_extract_all(visible, '[\p{L}\p{N}_]+')) AS words, length(html) > 10240 AS large, len(regexp_extract_all(html, '(?i)<a[\s>/]')) AS anchors, len(regexp_extract_all(html, '(?i)<script[\s>/]')) AS scripts FROM v),"
@@ -246,21 +246,21 @@ TYPES = (
     + " OR ".join(f"contains(x, '{p}')" for p in CTAS)
     + ")) AS ctas FROM r JOIN a USING (page_id)), p AS (SELECT page_id, host, unnest(["
     r"{'type': 'product', 's': regexp_matches(url, '/(product|products|shop|store|p)/')::INT * 2 + regexp_matches(text, '\b(buy|shop|sale|price)\b')::INT},"
-    r"{'type': 'comparison', 's': regexp_matches(text, '\b(vs|versus|alternative|alternatives|compare|comparison)\b|\bbest \w+')::INT * 4},"
+    r"{'type': 'comparison', 's': regexp_matches(text, '\b(vs\.?|versus|alternatives?|compare|comparison|best\s+\w+)')::INT * 4},"
     r"{'type': 'local', 's': regexp_matches(url, '/(location|locations|near-me|contact)/')::INT * 2},"
     r"{'type': 'tool', 's': regexp_matches(text, '\b(calculator|generator|checker|tool)\b')::INT * 3},"
     r"{'type': 'service', 's': regexp_matches(text, '\b(service|services|consulting|consultant|agency)\b')::INT * 2},"
     "{'type': 'article', 's': regexp_matches(url, '/(blog|article)/')::INT * 2},"
     "{'type': 'landing', 's': (ctas >= 2)::INT * 3 + (word_count > 0 AND word_count < 900)::INT}], recursive := true) FROM b),"
-    " k AS (SELECT page_id, type, s, row_number() OVER (PARTITION BY page_id ORDER BY s DESC, type) AS rk, lead(s, 1, 0) OVER (PARTITION BY page_id ORDER BY s DESC, type) AS nx FROM p),"
-    " ty AS (SELECT r.page_id, r.host, CASE WHEN s > 0 THEN type ELSE 'unknown' END AS page_type, CASE WHEN s >= 5 AND s - nx >= 2 THEN 'high' WHEN s >= 3 THEN 'medium' ELSE 'low' END AS confidence, s AS top_score FROM k JOIN r USING (page_id) WHERE rk = 1),"
+    " k AS (SELECT page_id, type, s, row_number() OVER (PARTITION BY page_id ORDER BY s DESC, type) AS rk, lead(s, 1, 0) OVER (PARTITION BY page_id ORDER BY s DESC, type) AS nx, lead(type) OVER (PARTITION BY page_id ORDER BY s DESC, type) AS second FROM p),"
+    " ty AS (SELECT r.page_id, r.host, CASE WHEN s > 0 THEN type ELSE 'unknown' END AS page_type, CASE WHEN s >= 5 AND s - nx >= 2 THEN 'high' WHEN s >= 3 THEN 'medium' ELSE 'low' END AS confidence, s AS top_score, CASE WHEN nx > 0 THEN second END AS second_type FROM k JOIN r USING (page_id) WHERE rk = 1),"
     " tc AS (SELECT host, page_type, count(*) AS n, min(page_id) AS f FROM ty WHERE page_type <> 'unknown' GROUP BY ALL),"
     " dm AS (SELECT host, page_type AS dominant, n, sum(n) OVER (PARTITION BY host) AS classified, floor(n / sum(n) OVER (PARTITION BY host) * 100 + 0.5) / 100 AS share, row_number() OVER (PARTITION BY host ORDER BY n DESC, f) AS rk FROM tc),"
     " co AS (SELECT host, dominant, classified, share, CASE WHEN classified >= 5 AND share >= 0.6 THEN 'high' WHEN classified >= 3 AND share >= 0.4 THEN 'medium' ELSE 'low' END AS confidence, CASE WHEN share >= 0.6 THEN 'strong_consensus' WHEN share >= 0.4 THEN 'mixed' ELSE 'fragmented' END AS verdict FROM dm WHERE rk = 1)"
 )
-SQL["page_type"] = TYPES + " SELECT page_id, page_type, confidence, top_score FROM ty"
+SQL["page_type"] = TYPES + " SELECT page_id, page_type, second_type, confidence, top_score FROM ty"
 SQL["serp_consensus"] = TYPES + " SELECT host, dominant, classified, share, confidence, verdict FROM co"
-SQL["serp_alignment"] = TYPES + " SELECT page_id, page_type, dominant, CASE WHEN dominant IS NULL OR page_type = 'unknown' OR verdict = 'fragmented' THEN NULL WHEN page_type = dominant THEN 100 WHEN page_type = 'hybrid' AND dominant IN ('article', 'landing') OR dominant = 'hybrid' AND page_type IN ('article', 'landing') THEN 70 ELSE 35 END AS alignment FROM ty LEFT JOIN co USING (host)"
+SQL["serp_alignment"] = TYPES + ", al AS (SELECT page_id, page_type, dominant, CASE WHEN dominant IS NULL THEN 'unavailable' WHEN verdict = 'fragmented' THEN 'mixed' WHEN page_type = dominant THEN 'aligned' WHEN coalesce(second_type = dominant, false) THEN 'partially_aligned' ELSE 'mismatch' END AS status FROM ty LEFT JOIN co USING (host)) SELECT page_id, page_type, dominant, status, CASE status WHEN 'aligned' THEN 100 WHEN 'partially_aligned' THEN 70 WHEN 'mismatch' THEN 35 END AS alignment FROM al"
 
 DRAFT = r"regexp_replace(CASE WHEN length({t}) <= 155 THEN {t} ELSE regexp_replace(left({t}, 155), '\s\S*$', '') END, '[ .,;:]+$', '')"
 ESC = "replace(replace(replace(replace(replace({t}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"

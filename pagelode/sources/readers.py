@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagelode.sources.payloads import location as normalise_location  # noqa: F401 - part of the readers' interface
 
 EVENTS = "domain string, ts long, type string, summary string, seq long"
 COSTS = "ts long, command string, cost double, detail string"
@@ -33,10 +34,16 @@ def snapshots(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return raw.withColumn("stamp", stamp).where("stamp <> ''").withColumn("ts", F.col("stamp").cast("long")).drop("stamp")
 
 
-def crawl_file(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+def text_encoding(spark: SparkSession, path: str) -> str:
+    """UTF-16 if the first file below ``path`` begins with its mark, else UTF-8."""
+    first = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 2).alias("b")).first()
+    return "UTF-16" if first and bytes(first["b"]) in (b"\xff\xfe", b"\xfe\xff") else "UTF-8"
+
+
+def crawl_file(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
     """Pages of a crawl document {summary, pages[]}."""
     schema = "pages array<struct<url string, status int, depth int, title string, internal_outlinks array<struct<url string, anchor string>>>>"
-    return spark.read.schema(schema).option("multiLine", "true").option("encoding", encoding).json(path).select(F.explode("pages").alias("p")).select("p.*")
+    return spark.read.schema(schema).option("multiLine", "true").option("encoding", encoding or text_encoding(spark, path)).json(path).select(F.explode("pages").alias("p")).select("p.*")
 
 
 def edges_of(pages: DataFrame) -> DataFrame:
@@ -95,11 +102,48 @@ def indexnow_payload(urls: DataFrame, host: str, key: str, limit: int = 1000) ->
     return grouped.select(F.to_json(F.struct(F.lit(host).alias("host"), F.lit(key).alias("key"), F.col("urlList"))).alias("body"), F.size("urlList").alias("n"))
 
 
-LOCATIONS = {"uk": "United Kingdom", "us": "United States", "usa": "United States", "de": "Germany", "fr": "France", "es": "Spain"}
+def submission_urls(given: DataFrame, listed: DataFrame, sitemap: DataFrame) -> DataFrame:
+    """(url) of all addresses to submit, from the call, a file and a sitemap, each once."""
+    trimmed = lambda d: d.select(F.trim(d.columns[0]).alias("url"))
+    return trimmed(given).unionByName(trimmed(listed)).unionByName(trimmed(sitemap)).where("url <> ''").distinct()
+
+
+def write_snapshot(rows: DataFrame, path: str, ts: int) -> int:
+    """Write a snapshot below ``path`` under its second; a taken second moves on to the next free one, which is returned."""
+    spark = rows.sparkSession
+    jvm = spark._jvm
+    while True:
+        to = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/ts={ts}")
+        if not to.getFileSystem(spark._jsc.hadoopConfiguration()).exists(to):
+            break
+        ts += 1
+    rows.withColumn("_saved_at", F.lit(ts)).write.parquet(f"{path.rstrip('/')}/ts={ts}")
+    return ts
+
+
+def write_json(rows: DataFrame, path: str) -> None:
+    """One JSON object a row."""
+    rows.write.mode("overwrite").json(path)
+
 
+def schedule_lines(command: str, daily: str = "0 7 * * *", weekly: str = "0 7 * * 1") -> list[str]:
+    """Lines of a scheduler's table that run a command's daily and weekly profile."""
+    return [f"{daily} {command} --profile daily", f"{weekly} {command} --profile weekly"]
 
-def normalise_location(column):
-    pairs = [v for k, x in LOCATIONS.items() for v in (F.lit(k), F.lit(x))]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), F.lower(F.trim(column))), F.trim(column))
 
+def project_problems(profiles: DataFrame) -> DataFrame:
+    """(client, problems) of profiles that fail their check: a missing address, no competitors, entities without name or type.
 
+    profiles: client, url, competitors array<string>, entities array<struct<name,type>>.
+    """
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    entities = F.coalesce("entities", F.array().cast("array<struct<name:string,type:string>>"))
+    found = F.array_compact(
+        F.array(
+            F.when(blank(F.col("url")), "site.url is missing"),
+            F.when(F.coalesce(F.size(F.filter("competitors", lambda c: ~blank(c))), F.lit(0)) <= 0, "competitors is empty"),
+            F.when(F.exists(entities, lambda e: blank(e["name"])), "an entity has no name"),
+            F.when(F.exists(entities, lambda e: blank(e["type"])), "an entity has no type"),
+        )
+    )
+    return profiles.select("client", found.alias("problems")).where(F.size("problems") > 0)
