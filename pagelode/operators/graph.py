@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelode.functions import words as W
+from pagelode.functions.text import once
 from pagelode.operators.store import cut
 
 
@@ -130,12 +131,13 @@ def near_duplicate_pairs(docs: DataFrame, words: int = 5, least: float = 0.9, sa
     """
     text = F.col("text") if sample is None else F.substring("text", 1, sample)
     tokens = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    w = docs.select(F.col("doc_id"), tokens.alias("w"))
-    last = F.greatest(F.size("w") - (words - 1), F.lit(1))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.array_join(F.slice("w", i, words), " "))))
+    # words are hashed once; a shingle is the hash of its words' hashes, missing ones at the end of a short text included
+    w = once(docs, ["doc_id"], {"w": F.transform(tokens, lambda t: F.xxhash64(t))})
+    last = F.greatest(F.size("w") - words, F.lit(0))
+    grams = F.sort_array(F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(words)], F.lit(0)))))
     sets = cut(w.select("doc_id", grams.alias("s")).withColumn("n", F.size("s")))
     # equal sets: their pairs are certain, and only the least document of each goes through the index
-    keyed = sets.withColumn("k", F.xxhash64(F.array_sort("s")))
+    keyed = sets.withColumn("k", F.xxhash64("s"))
     keyed = cut(keyed.join(keyed.groupBy("k").agg(F.min("doc_id").alias("head")), "k"))
     heads = keyed.where("doc_id = head")
     items = heads.select("doc_id", "n", F.explode("s").alias("g"))

@@ -116,7 +116,7 @@ def competitor_gains(previous: DataFrame, current: DataFrame, least: int = 3, ex
     known = previous.select("competitor").distinct()
     new = current.select("competitor", "keyword").join(previous.select("competitor", "keyword"), ["competitor", "keyword"], "left_anti").join(known, "competitor", "left_semi")
     r = F.row_number().over(Window.partitionBy("competitor").orderBy("keyword"))
-    return new.withColumn("r", r).groupBy("competitor").agg(F.count("*").alias("gained"), F.array_sort(F.collect_list(F.when(F.col("r") <= examples, F.col("keyword")))).alias("examples")).where(F.col("gained") >= least)
+    return new.withColumn("r", r).groupBy("competitor").agg(F.count("*").alias("gained"), F.sort_array(F.collect_list(F.when(F.col("r") <= examples, F.col("keyword")))).alias("examples")).where(F.col("gained") >= least)
 
 
 def cost_periods(ledger: DataFrame, now: int) -> DataFrame:

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelode.functions import words as W
+from pagelode.functions.text import once
+
+MARK = "\x01"
 
 
 def bot(agent: Column) -> Column:
@@ -20,20 +23,24 @@ def bot(agent: Column) -> Column:
 def parse(lines: DataFrame, column: str = "value") -> DataFrame:
     """Fields of combined-format lines; parsed is false for others. Blank lines are dropped."""
     line = F.col(column)
-    part = lambda i: F.regexp_extract(line, W.LOG_LINE, i)
     kept = [c for c in lines.columns if c != column]
-    request = part(2)
-    path = F.coalesce(F.try_element_at(F.split(request, " "), F.lit(2)), F.lit("/"))
-    return lines.where(F.trim(line) != "").select(
+    # one pass of the pattern yields all fields, parted by a mark that lines don't hold
+    fields = F.regexp_replace(F.translate(line, MARK, ""), rf"(?s){W.LOG_LINE}.*\z", MARK.join(["", "$1", "$2", "$3", "$6"]))
+    split = once(lines.where(F.trim(line) != ""), kept, {"_f": F.split(fields, MARK)})
+    parsed = F.size("_f") == 5
+    part = lambda i: F.when(parsed, F.get("_f", F.lit(i))).otherwise("")
+    split = once(split, kept, {"_f": F.col("_f"), "_path": F.coalesce(F.try_element_at(F.split(part(2), " "), F.lit(2)), F.lit("/"))})
+    path = F.col("_path")
+    return split.select(
         *kept,
-        line.rlike(W.LOG_LINE).alias("parsed"),
+        parsed.alias("parsed"),
         F.substring(part(1), 1, 11).alias("day"),
         F.try_to_timestamp(part(1), F.lit("dd/MMM/yyyy:HH:mm:ss Z")).alias("ts"),
         path.alias("path"),
         F.contains(path, F.lit("?")).alias("has_params"),
         part(3).alias("status"),
-        part(6).alias("agent"),
-        bot(part(6)).alias("bot"),
+        part(4).alias("agent"),
+        bot(part(4)).alias("bot"),
     )
 
 

@@ -143,7 +143,7 @@ def compare(before: DataFrame, after: DataFrame) -> DataFrame:
     b = before.select("path", F.col("score").alias("before_score"), F.col("rules").alias("was"))
     j = after.select("path", F.col("score").alias("after_score"), F.col("rules").alias("now")).join(b, "path", "left")
     was = F.coalesce("was", F.array().cast("array<string>"))
-    new, fixed = F.array_sort(F.array_except("now", was)), F.array_sort(F.array_except(was, F.col("now")))
+    new, fixed = F.sort_array(F.array_except("now", was)), F.sort_array(F.array_except(was, F.col("now")))
     return j.select("path", "before_score", "after_score", (F.col("after_score") - F.col("before_score")).alias("delta"), new.alias("new_rules"), fixed.alias("fixed_rules"))
 
 

@@ -80,7 +80,7 @@ def page_type(records: DataFrame, key: list[str]) -> DataFrame:
     out = records.select(*key, *[v.alias(f"_{k}") for k, v in scores.items()])
     out = out.withColumn("_hybrid", F.when((F.col("_article") >= 3) & (F.col("_landing") >= 3), F.greatest("_article", "_landing") + 1).otherwise(0))
     cells = F.array(*[F.struct((-F.col(f"_{k}")).alias("neg"), F.lit(k).alias("type")) for k in [*scores, "hybrid"]])
-    ranked = F.array_sort(F.filter(cells, lambda x: x["neg"] < 0))
+    ranked = F.sort_array(F.filter(cells, lambda x: x["neg"] < 0))
     out = out.select(*key, ranked.alias("r"))
     top, second = -F.coalesce(F.get("r", F.lit(0))["neg"], F.lit(0)), -F.coalesce(F.get("r", F.lit(1))["neg"], F.lit(0))
     sure = F.when(F.size("r") == 0, "low").when((top >= 5) & (top - second >= 2), "high").when(top >= 3, "medium").otherwise("low")

@@ -54,7 +54,7 @@ def overview(payloads: DataFrame, key: list[str], brand: str, domain: str, colum
         named = named | F.contains(texts, F.lit(name.lower()))
     domains = F.transform(F.coalesce(F.try_variant_get(shown, "$.references", "array<variant>"), F.array().cast("array<variant>")), lambda r: P.text(r, "$.domain"))
     present = shown.isNotNull()
-    return found.select(*key, present.alias("present"), F.when(present, named).alias("mentioned"), F.when(present, F.array_sort(F.array_distinct(F.array_compact(domains)))).alias("cited_domains"))
+    return found.select(*key, present.alias("present"), F.when(present, named).alias("mentioned"), F.when(present, F.sort_array(F.array_distinct(F.array_compact(domains)))).alias("cited_domains"))
 
 
 def sources(answers: DataFrame, key: str, body: str = "text") -> DataFrame:

@@ -142,7 +142,7 @@ def search_payloads(spark, sf_dir):
     url = F.when(k % 20 == 13, "").otherwise(F.concat(F.lit("https://s.example"), path, (k - k % 2).cast("string")))
     references = F.when(k % 20 == 7, F.array(*[F.struct(F.concat(F.lit("d"), (k % m).cast("string"), F.lit(".example")).alias("domain")) for m in (3, 5, 4)]))
     item = F.struct(kind.alias("type"), url.alias("url"), F.concat(F.lit("Item "), (k - k % 4).cast("string")).alias("title"), F.concat(F.lit("as "), F.col("name"), F.lit(" says")).alias("text"), references.alias("references"))
-    items = F.transform(F.array_sort(F.collect_list(F.struct("k", item.alias("i")))), lambda x: x["i"])  # twenty a group
+    items = F.transform(F.sort_array(F.collect_list(F.struct("k", item.alias("i")))), lambda x: x["i"])  # twenty a group
     g = _cells(spark, sf_dir).groupBy("grp").agg(items.alias("items"))
     flat = F.to_json(F.struct(F.array(F.struct(F.lit(20000).alias("status_code"), F.array(F.struct("items")).alias("result"))).alias("tasks")))
     failed = F.to_json(F.struct(F.array(F.struct(F.lit(40501).alias("status_code"), F.lit("bad field").alias("status_message"), F.array(F.struct("items")).alias("result"))).alias("tasks")))
@@ -158,7 +158,7 @@ def ranking_payloads(spark, sf_dir):
         F.struct(F.struct((k % 50).cast("int").alias("rank_group"), F.when(k % 5 != 0, F.concat(F.lit("n"), k.cast("string"))).alias("url")).alias("serp_item"), F.concat(F.lit("c"), k.cast("string")).alias("check_url")).alias("ranked_serp_element"),
     )
     text = F.when(F.col("grp") % 2 == 0, F.to_json(flat)).otherwise(F.to_json(deep))
-    items = F.transform(F.array_sort(F.collect_list(F.struct("k", text.alias("t")))), lambda x: x["t"])
+    items = F.transform(F.sort_array(F.collect_list(F.struct("k", text.alias("t")))), lambda x: x["t"])
     g = _cells(spark, sf_dir).groupBy("grp").agg(F.array_join(items, ",").alias("items"))
     return g.select("grp", F.concat(F.lit('{"result": [null, {"items": ['), "items", F.lit("]}]}")).alias("payload"))
 
@@ -182,5 +182,5 @@ def volume_payloads(spark, sf_dir):
     k = F.col("k")
     flat, deep = F.to_json(F.struct(F.col("name").alias("keyword"), (k * 10).alias("search_volume"))), F.to_json(F.struct(F.col("name").alias("keyword"), F.struct((k * 9).alias("search_volume")).alias("keyword_info")))
     text = F.when(k % 7 == 0, F.lit('{"keyword": "no volume"}')).when(k % 2 == 0, flat).otherwise(deep)
-    g = _cells(spark, sf_dir).groupBy("grp").agg(F.array_join(F.array_sort(F.collect_list(text)), ",").alias("items"))
+    g = _cells(spark, sf_dir).groupBy("grp").agg(F.array_join(F.sort_array(F.collect_list(text)), ",").alias("items"))
     return g.select("grp", F.concat(F.lit('{"result": [{"items": ['), "items", F.lit("]}]}")).alias("payload"))
