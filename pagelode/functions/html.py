@@ -40,6 +40,8 @@ FIELDS: list[tuple[str, T.DataType]] = [
 ]
 RECORD = T.StructType([T.StructField(n, t) for n, t in FIELDS])
 UNSEEN = ("script", "style", "noscript")
+#: Elements that count as a landmark only, if their role makes them one.
+ROLE_FIRST = ("a", "button", "table", "th", "iframe", "img")
 NUMBER = re.compile(r"\b[\d][\d.,]*%?\b")
 WORD = re.compile(r"\w+")
 
@@ -66,13 +68,12 @@ class Visitor(HTMLParser):
         self.button: dict | None = None
         self.inputs: list[tuple[str, bool]] = []
         self.labels: set[str] = set()
-        self.forms: list[int] = []
-        self.tables: list[bool] = []
+        self.fields = self.most_fields = 0
+        self.headed = False  # the table that opened last has a header cell
         self.ctas: list[tuple[str, int]] = []
         self.blocks: list[str] = []
-        self.jsonld = False
-        self.elements = 0
-        self.body_at: int | None = None
+        self.jsonld: list[str] | None = None
+        self.elements = self.body_at = 0
         self.para = 0  # 0: no h2 yet, 1: h2 seen, 2: inside its paragraph, 3: done
 
     # -- elements
@@ -80,7 +81,7 @@ class Visitor(HTMLParser):
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
         self.elements += 1
-        if tag == "body" and self.body_at is None:
+        if tag == "body":
             self.body_at = self.elements
         if tag not in ("img", "input", "meta", "link", "br", "hr"):
             self.open[tag] += 1
@@ -88,19 +89,22 @@ class Visitor(HTMLParser):
             self.ids[a["id"]] += 1
         if any(m in f"{a.get('id', '')} {a.get('class', '')} {a.get('src', '')}".lower() for m in W.LIVE_CHAT_MARKERS):
             self.flag.add("chat")
-        if re.fullmatch(r"\s*\d+\s*", a.get("tabindex", "")) and int(a["tabindex"]) > 0:
+        if re.fullmatch(r"\d+", a.get("tabindex", "")) and int(a["tabindex"]) > 0:
             self.n["tabindex"] += 1
+        role = {"main": "main", "navigation": "nav"}.get(a.get("role", "").lower())
         handle = getattr(self, f"on_{tag}", None)
-        if handle:
+        if role and tag in ROLE_FIRST:
+            self.flag.add(role)
+        elif handle:
             handle(a)
         elif re.fullmatch("h[1-6]", tag):
             self.heading(int(tag[1]))
         elif tag in ("ul", "ol"):
             self.n["list"] += 1
-        elif tag in ("main", "nav") or a.get("role", "").lower() in ("main", "navigation"):
-            self.flag.add("main" if tag == "main" or a.get("role", "").lower() == "main" else "nav")
-        if tag == "textarea" or tag == "select":
+        elif tag == "textarea" or tag == "select":
             self.field(a, tag)
+        elif tag in ("main", "nav") or role:
+            self.flag.add("main" if tag == "main" else role or tag)
 
     def heading(self, level: int):
         if self.level and level > self.level + 1:
@@ -126,15 +130,13 @@ class Visitor(HTMLParser):
     def on_p(self, a):
         if self.para == 1:
             self.para = 2
-        elif self.para == 2:
-            self.para = 3
 
     def on_meta(self, a):
         name = (a.get("name") or a.get("property", "")).lower()
         content = a.get("content", "").strip()
         if name:
             self.meta[name] = content
-        if name in ("article:published_time", "article:modified_time", "date", "datepublished", "datemodified", "last-modified"):
+        if name in W.DATE_NAMES:
             self.flag.add("dates")
         if name == "robots" and "noindex" in content.lower():
             self.flag.add("noindex")
@@ -154,16 +156,16 @@ class Visitor(HTMLParser):
             self.n["mixed"] += 1
 
     def unseen(self, a):
-        self.mixed(a.get("src", ""))
-        if "captcha" in a.get("src", "").lower():
+        src = a.get("src", "").lower()
+        self.mixed(src)
+        if any(m in src for m in W.CAPTCHA_MARKERS):
             self.flag.add("captcha")
 
     def on_script(self, a):
         self.n["script"] += 1
         self.unseen(a)
-        self.jsonld = a.get("type", "").lower().strip() == "application/ld+json"
-        if self.jsonld:
-            self.blocks.append("")
+        if a.get("type", "").lower() == "application/ld+json":
+            self.jsonld = []
 
     on_style = on_noscript = unseen
 
@@ -171,43 +173,43 @@ class Visitor(HTMLParser):
         self.n["img"] += 1
         if not a.get("alt", "").strip():
             self.n["noalt"] += 1
-        elif self.link is not None:
-            self.link["named"] = True
+        else:
+            for holder in (self.link, self.button):
+                if holder is not None:
+                    holder["named"] = True
         self.mixed(a.get("src", ""))
 
     def on_iframe(self, a):
         self.n["iframe"] += 1
         self.n["iframe_untitled"] += not a.get("title", "").strip()
-        if "captcha" in a.get("src", "").lower():
-            self.flag.add("captcha")
 
     def on_table(self, a):
-        self.tables.append(False)
+        self.n["table"] += 1
+        self.headed = False
 
     def on_th(self, a):
-        if self.tables:
-            self.tables[-1] = True
+        self.headed = True
 
     def on_form(self, a):
         self.n["form"] += 1
-        self.forms.append(0)
+        self.fields = 0
 
     def on_label(self, a):
         if a.get("for"):
-            self.labels.add(a["for"])
+            self.labels.add(a["for"].strip())
 
     def on_input(self, a):
         self.field(a, a.get("type", "text").lower())
 
     def field(self, a, kind: str):
-        if self.forms and self.open["form"]:
-            self.forms[-1] += 1
-        if kind not in ("hidden", "submit", "button", "reset", "image"):
+        self.fields += self.open["form"] > 0
+        if kind not in ("hidden", "submit", "button", "reset"):
             named = self.open["label"] > 0 or any(a.get(k, "").strip() for k in ("aria-label", "aria-labelledby", "title"))
-            self.inputs.append((a.get("id", ""), named))
+            self.inputs.append((a.get("id", "").strip(), named))
 
     def on_a(self, a):
-        self.link = {"href": a.get("href", "").strip(), "text": [], "named": bool(a.get("aria-label", "").strip())}
+        if a.get("href"):
+            self.link = {"href": a["href"], "text": [], "named": bool(a.get("aria-label", "").strip())}
         if "author" in a.get("rel", "").lower():
             self.flag.add("author")
 
@@ -220,11 +222,13 @@ class Visitor(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        self.elements += 1
         if self.open[tag] > 0:
             self.open[tag] -= 1
-        if tag == "script":
-            self.jsonld = False
+        if tag == "script" and self.jsonld is not None:
+            self.blocks.append("".join(self.jsonld))
+            self.jsonld = None
+        if tag == "form":
+            self.most_fields, self.fields = max(self.most_fields, self.fields), 0
         if tag == "p" and self.para == 2:
             self.para = 3
         if tag == "a" and self.link is not None:
@@ -243,9 +247,8 @@ class Visitor(HTMLParser):
             text = squeeze(" ".join(button["text"]))
             self.n["empty_button"] += not text and not button["named"]
             self.action(text)
-        if tag == "table" and self.tables:
-            self.n["table"] += 1
-            self.n["table_bare"] += not self.tables.pop()
+        if tag == "table":
+            self.n["table_bare"] += not self.headed
 
     def action(self, text: str):
         if text and any(p in text.lower() for p in W.CTA_PHRASES):
@@ -254,15 +257,15 @@ class Visitor(HTMLParser):
     # -- text
 
     def handle_data(self, data):
-        if self.jsonld:
-            self.blocks[-1] += data
+        if self.jsonld is not None:
+            self.jsonld.append(data)
             return
         if any(self.open[t] for t in UNSEEN):
             return
+        self.chunks["text"].append(data)
         text = data.strip()
         if not text:
             return
-        self.chunks["text"].append(text)
         for tag in ("title", "h1", "h2"):
             if self.open[tag]:
                 self.chunks[tag].append(data if tag == "title" else squeeze(text))
@@ -279,10 +282,11 @@ class Visitor(HTMLParser):
 
         def walk(x):
             if isinstance(x, dict):
-                kinds = x.get("@type")
-                found.extend(k for k in (kinds if isinstance(kinds, list) else [kinds]) if isinstance(k, str))
-                for v in x.values():
-                    walk(v)
+                for key, v in x.items():
+                    if key == "@type":
+                        found.extend(k for k in (v if isinstance(v, list) else [v]) if isinstance(k, str))
+                    else:
+                        walk(v)
             elif isinstance(x, list):
                 for v in x:
                     walk(v)
@@ -304,8 +308,7 @@ class Visitor(HTMLParser):
         host = host[1].lower() if host else ""
         external = sum(bool(m := re.match(r"https?://([^/?#]*)", x["href"], re.I)) and (not host or m[1].lower() != host) for x in self.links)
         types, n = self.types(), self.n
-        after_body = self.elements - (self.body_at or 0)
-        fold = (self.body_at or 0) + 0.4 * after_body
+        fold = self.body_at + 0.4 * max(self.elements - self.body_at, 1)
         description = self.meta.get("description", "")
         return {
             "title": title, "title_length": len(title), "meta_description": description, "meta_description_length": len(description),
@@ -321,13 +324,13 @@ class Visitor(HTMLParser):
             "mixed_content_count": n["mixed"], "form_inputs_unlabelled": sum(not named and i not in self.labels for i, named in self.inputs),
             "has_skip_link": "skip" in self.flag, "has_main": "main" in self.flag, "has_nav": "nav" in self.flag, "heading_skips": n["skip"],
             "duplicate_ids": sum(c - 1 for c in self.ids.values()), "empty_links": n["empty_link"], "empty_buttons": n["empty_button"],
-            "generic_link_texts": n["generic"], "tables_total": n["table"] + len(self.tables), "tables_without_th": n["table_bare"],
+            "generic_link_texts": n["generic"], "tables_total": n["table"], "tables_without_th": n["table_bare"],
             "iframes_total": n["iframe"], "iframes_missing_title": n["iframe_untitled"], "positive_tabindex": n["tabindex"],
-            "cta_count": len(self.ctas), "cta_above_fold": sum(at <= fold for _, at in self.ctas), "cta_texts": [t[:60] for t, _ in self.ctas],
+            "cta_count": len(self.ctas), "cta_above_fold": sum(at < fold for _, at in self.ctas), "cta_texts": [t[:60] for t, _ in self.ctas],
             "primary_cta_generic": bool(self.ctas) and self.ctas[0][0].lower() in W.GENERIC_CTAS,
-            "form_count": n["form"], "form_fields_max": max(self.forms, default=0), "form_has_captcha": "captcha" in self.flag, "tel_links": n["tel"],
+            "form_count": n["form"], "form_fields_max": self.most_fields, "form_has_captcha": "captcha" in self.flag, "tel_links": n["tel"],
             "trust_signal_count": sum(low.count(k) for k in W.TRUST_KEYWORDS), "urgency_signal_count": sum(low.count(k) for k in W.URGENCY_KEYWORDS),
-            "faq_present": "FAQPage" in types or any("faq" in h.lower() or "frequently asked" in h.lower() for h in self.chunks["h2"]),
+            "faq_present": "faqpage" in (t.lower() for t in types) or any("faq" in h.lower() or "frequently asked" in h.lower() for h in self.chunks["h2"]),
             "live_chat": "chat" in self.flag or any(m in low for m in W.LIVE_CHAT_MARKERS), "scripts_total": n["script"],
             "links": [{"href": x["href"], "anchor": x["anchor"]} for x in self.links],
         }

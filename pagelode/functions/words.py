@@ -36,6 +36,10 @@ LIVE_CHAT_MARKERS = (
     "live-chat", "live_chat", "chat-widget", "olark",
 )
 
+CAPTCHA_MARKERS = ("recaptcha", "hcaptcha", "turnstile")
+
+DATE_NAMES = ("article:published_time", "article:modified_time", "date", "dc.date")
+
 FRAMEWORK_MARKERS = (
     "__NEXT_DATA__", "_next/", "data-reactroot", "data-react-helmet",
     "ng-app", "ng-version", "data-v-", "__NUXT__", "_nuxt/", "__VUE__",

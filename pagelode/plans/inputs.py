@@ -184,3 +184,32 @@ def volume_payloads(spark, sf_dir):
     text = F.when(k % 7 == 0, F.lit('{"keyword": "no volume"}')).when(k % 2 == 0, flat).otherwise(deep)
     g = _cells(spark, sf_dir).groupBy("grp").agg(F.array_join(F.sort_array(F.collect_list(text)), ",").alias("items"))
     return g.select("grp", F.concat(F.lit('{"result": [{"items": ['), "items", F.lit("]}]}")).alias("payload"))
+
+
+def made_pages(spark, sf_dir):
+    """(k, url, html): parts as pages whose elements come and go with the part's number."""
+    k = F.col("p_partkey")
+    n = k.cast("string")
+
+    def when(m: int, r: int, text: str):
+        return F.when(k % m == r, text).otherwise("")
+
+    def times(m: int, text: str):
+        return F.repeat(F.lit(text), (k % m).cast("int"))
+
+    parts = [
+        F.when(k % 3 != 0, '<html lang=" en ">').otherwise("<html>"), F.lit("<head><title>Page "), n, F.lit("</title>"),
+        when(2, 0, '<meta name="viewport" content="w">'), when(3, 1, '<meta name="description" content=" About things ">'), when(4, 1, '<meta property="og:title" content="O">'),
+        when(5, 1, '<meta name="twitter:card" content="summary">'), when(6, 1, '<meta name="robots" content="index, NOINDEX">'), when(7, 1, '<meta name="author" content="Ann">'),
+        when(8, 1, '<link rel="canonical" href="/p">'), when(9, 1, '<link rel="stylesheet author" href="http://cdn/x.css">'), when(17, 1, '<meta name="dc.date" content="x">'),
+        when(10, 1, '<script type="application/ld+json">{"author": {"@type": "Person"}, "@type": ["Article", "FAQPage"], "datePublished": "x"}</script>'),
+        when(10, 2, '<script type="application/ld+json">{"@type": broken</script>'), when(13, 1, '<script src="https://x/hcaptcha.js">var guarantee = 1;</script>'),
+        F.lit("</head><body>"), when(4, 2, '<a href="#main">Skip to content</a>'), F.when(k % 3 != 2, "<nav></nav>").otherwise(""), F.when(k % 5 != 2, '<div role="main"></div>').otherwise(""),
+        times(3, "<h1>Alpha  <b>beta</b></h1>"), when(2, 1, "<h2>How it works</h2><p>one two <i>three</i></p><p>four</p>"), when(4, 3, "<h4>deep</h4>"), times(3, "<ul><li>x</li></ul>"),
+        times(4, '<img src="a" alt="ok">'), times(3, '<img src="http://b" alt=" ">'), times(3, '<a href="https://other.example/">Other</a>'), times(4, '<a href="/in">Here</a>'), times(2, '<a href="/e"> </a>'),
+        times(2, "<a>no target</a>"), times(3, '<a href="/e"><img src="c" alt="named"></a>'), when(6, 3, '<a href="TEL:123">Call us</a>'), times(3, "<button> </button>"), times(2, '<button aria-label="x"></button>'), times(3, "<button>Buy now</button>"),
+        times(3, "<table><tr><td>1</td></tr></table>"), times(2, "<table><tr><th>h</th></tr></table>"), times(2, '<iframe src="x"></iframe>'), times(3, '<iframe title="t"></iframe>'),
+        when(3, 0, '<form><input><input type="hidden"><label for=" e ">E</label><input id="e"><label>L <select></select></label><input type="submit"><textarea title="t"></textarea></form>'),
+        times(2, '<span tabindex="3"></span><span tabindex="-1"></span>'), times(4, '<i id="d"></i>'), times(2, "<time>t</time>"), times(3, "guarantee; "), times(2, "<p>last chance</p>"), when(11, 1, '<div class="x-intercom"></div>'),
+    ]
+    return read(spark, sf_dir, "part").select(k.alias("k"), F.lit("https://site.example/a").alias("url"), F.concat(*parts).alias("html"))

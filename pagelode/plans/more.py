@@ -358,6 +358,28 @@ def lint_all_rules(spark, sf_dir):
     return rules.lint(made_records(spark, sf_dir), rules.load_rules(), ["k"]).select("k", "score", "rules_run", "passed", "failed", F.array_join(F.col("findings.rule_id"), ",").alias("fired"))
 
 
+@query
+def page_features(spark, sf_dir):
+    """What the HTML visitor finds in made pages."""
+    from pagelode.functions import html
+
+    r = html.extract_pages(inputs.made_pages(spark, sf_dir))
+    lists = {c: F.array_join(c, "|") for c in ("h1", "h2", "schema_types", "cta_texts")}
+    links = F.array_join(F.transform("links", lambda x: F.concat(x["href"], F.lit(">"), x["anchor"])), "|")
+    return r.withColumns({**lists, "links": links}).drop("url", "title_length", "og_image", "number_density", "word_count", "scripts_total", "cta_above_fold")
+
+
+@query
+def fold_position(spark, sf_dir):
+    """Actions in the first two fifths of a made page's elements."""
+    from pagelode.functions import html
+
+    k = F.col("p_partkey")
+    body = F.concat(F.lit("<html><head></head><body>"), F.repeat(F.lit("<i></i>"), (k % 7).cast("int")), F.lit("<a href='/'>Buy</a>"), F.repeat(F.lit("<i></i>"), (k % 5).cast("int")), F.lit("<button>Go on</button><button>Try it</button>"), F.repeat(F.lit("<i></i>"), (k % 11).cast("int")))
+    r = html.extract_pages(read(spark, sf_dir, "part").select(k.alias("k"), F.lit("").alias("url"), body.alias("html")))
+    return r.select("k", "cta_count", "cta_above_fold")
+
+
 @query
 def lint_categories(spark, sf_dir):
     """Conversion and accessibility baselines: score and findings of the category's rules alone, zero findings included."""

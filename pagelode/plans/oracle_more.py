@@ -199,7 +199,27 @@ LADDER_SQL = (
     + " END AS criteria FROM s"
 )
 
+K = "p_partkey"
+FEATURES = {
+    "title": f"'Page ' || {K}", "meta_description": f"CASE WHEN {K} % 3 = 1 THEN 'About things' ELSE '' END", "meta_description_length": f"CASE WHEN {K} % 3 = 1 THEN 12 ELSE 0 END",
+    "meta_author": f"CASE WHEN {K} % 7 = 1 THEN 'Ann' ELSE '' END", "canonical": f"CASE WHEN {K} % 8 = 1 THEN '/p' ELSE '' END",
+    "h1": f"repeat('|Alpha|beta', ({K} % 3)::INT)[2:]", "h1_count": f"{K} % 3 * 2", "h2": f"CASE WHEN {K} % 2 = 1 THEN 'How it works' ELSE '' END", "h2_count": f"{K} % 2", "list_count": f"{K} % 3", "time_elements": f"{K} % 2",
+    "jsonld_has_dates": f"{K} % 10 = 1 OR {K} % 17 = 1", "has_rel_author": f"{K} % 9 = 1", "noindex": f"{K} % 6 = 1", "images_total": f"{K} % 4 + {K} % 3 * 2", "images_missing_alt": f"{K} % 3",
+    "schema_blocks": f"({K} % 10 IN (1, 2))::INT", "schema_types": f"CASE WHEN {K} % 10 = 1 THEN 'Person|Article|FAQPage' ELSE '' END", "has_viewport": f"{K} % 2 = 0", "html_lang": f"CASE WHEN {K} % 3 <> 0 THEN 'en' ELSE '' END",
+    "internal_link_count": f"({K} % 4 = 2)::INT + {K} % 4 + {K} % 2 + {K} % 3 + ({K} % 6 = 3)::INT", "external_link_count": f"{K} % 3",
+    "first_h2_para_words": f"CASE WHEN {K} % 2 = 1 THEN 3 ELSE 0 END", "first_h2_para_text": f"CASE WHEN {K} % 2 = 1 THEN 'one two three' ELSE '' END", "og_title": f"CASE WHEN {K} % 4 = 1 THEN 'O' ELSE '' END", "twitter_card": f"CASE WHEN {K} % 5 = 1 THEN 'summary' ELSE '' END",
+    "mixed_content_count": f"({K} % 9 = 1)::INT + {K} % 3", "form_inputs_unlabelled": f"({K} % 3 = 0)::INT", "has_skip_link": f"{K} % 4 = 2", "has_main": f"{K} % 5 <> 2", "has_nav": f"{K} % 3 <> 2",
+    "heading_skips": f"({K} % 4 = 3)::INT", "duplicate_ids": f"greatest({K} % 4 - 1, 0) ", "empty_links": f"{K} % 2", "empty_buttons": f"{K} % 3", "generic_link_texts": f"{K} % 4", "tables_total": f"{K} % 3 + {K} % 2", "tables_without_th": f"{K} % 3",
+    "iframes_total": f"{K} % 2 + {K} % 3", "iframes_missing_title": f"{K} % 2", "positive_tabindex": f"{K} % 2", "cta_count": f"({K} % 6 = 3)::INT + {K} % 3", "cta_texts": f"(CASE WHEN {K} % 6 = 3 THEN '|Call us' ELSE '' END || repeat('|Buy now', ({K} % 3)::INT))[2:]",
+    "primary_cta_generic": "false", "form_count": f"({K} % 3 = 0)::INT", "form_fields_max": f"CASE WHEN {K} % 3 = 0 THEN 6 ELSE 0 END", "form_has_captcha": f"{K} % 13 = 1", "tel_links": f"({K} % 6 = 3)::INT",
+    "trust_signal_count": f"{K} % 3", "urgency_signal_count": f"{K} % 2", "faq_present": f"{K} % 10 = 1", "live_chat": f"{K} % 11 = 1",
+    "links": f"(CASE WHEN {K} % 4 = 2 THEN '|#main>Skip to content' ELSE '' END || repeat('|https://other.example/>Other', ({K} % 3)::INT) || repeat('|/in>Here', ({K} % 4)::INT) || repeat('|/e>', ({K} % 2)::INT) || repeat('|/e>', ({K} % 3)::INT) || CASE WHEN {K} % 6 = 3 THEN '|TEL:123>Call us' ELSE '' END)[2:]",
+}
+
 SQL = {
+    "page_features": f"SELECT {K} AS k, " + ", ".join(f"{q} AS {c}" for c, q in FEATURES.items()) + " FROM part",
+    # elements up to each action, counted from the body on, against all of them
+    "fold_position": f"WITH p AS (SELECT {K} AS k, 1 + {K} % 7 AS a, 1 + {K} % 7 + {K} % 5 + 2 AS b, 1 + {K} % 7 + {K} % 5 + 2 + {K} % 11 AS n FROM part) SELECT k, 2 AS cta_count, (a / n < 0.4::DOUBLE)::INT + (b / n < 0.4::DOUBLE)::INT AS cta_above_fold FROM p",
     "impact_report": IMPACT + " SELECT domain, id, completed, verdict, list_position(['improved', 'worse', 'no_change', 'insufficient_data'], verdict)::INT AS rank FROM r",
     "impact_counts": IMPACT + " SELECT domain, count(*) AS evaluated, " + ", ".join(f"count(*) FILTER (verdict = '{v}') AS {v}" for v in ("improved", "worse", "no_change", "insufficient_data")) + " FROM r GROUP BY domain",
     "lint_save": SAVED + " SELECT (SELECT count(*) FROM ev WHERE event = 'raise') AS raised, (SELECT count(*) FROM ev WHERE kind = 'rec_reopened') AS reopened, (SELECT count(*) FROM ev WHERE kind = 'rec_status') AS resolved, (SELECT count(*) FROM (SELECT coalesce(ev.status, st.status) AS s FROM st FULL JOIN ev ON st.url = ev.url AND st.rule_id = ev.rule_id) WHERE s IN ('open', 'accepted')) AS open_total",

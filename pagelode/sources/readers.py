@@ -98,7 +98,7 @@ def indexnow_payload(urls: DataFrame, host: str, key: str, limit: int = 1000) ->
     listed = urls.select("url").where(F.col("url").isNotNull()).distinct()
     batch = F.pmod(F.xxhash64("url"), F.lit(64)).cast("int")
     numbered = listed.withColumn("cell", batch).withColumn("part", F.floor((F.row_number().over(Window.partitionBy("cell").orderBy("url")) - 1) / limit))
-    grouped = numbered.groupBy("cell", "part").agg(F.array_sort(F.collect_list("url")).alias("urlList"))
+    grouped = numbered.groupBy("cell", "part").agg(F.sort_array(F.collect_list("url")).alias("urlList"))
     return grouped.select(F.to_json(F.struct(F.lit(host).alias("host"), F.lit(key).alias("key"), F.col("urlList"))).alias("body"), F.size("urlList").alias("n"))
 
 
