@@ -84,20 +84,30 @@ def normal_url(url: Column) -> Column:
     return F.concat(scheme, F.lit("://"), netloc(url), F.when(rest == "", "/").otherwise(rest), query)
 
 
+def without_dots(path: Column) -> Column:
+    """A path whose . and .. segments are resolved; .. above the root is dropped."""
+    segments = F.split(path, "/")
+    none = F.array().cast("array<string>")
+    back = lambda a: F.when(F.size(a) > 1, F.slice(a, F.lit(1), F.size(a) - 1)).otherwise(a)
+    kept = F.aggregate(segments, none, lambda a, s: F.when(s == ".", a).when(s == "..", back(a)).otherwise(F.concat(a, F.array(s))))
+    open_end = F.when(F.element_at(segments, -1).isin(".", ".."), "/").otherwise("")
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), F.concat(F.array_join(kept, "/"), open_end)).otherwise(path)
+
+
 def joined_url(base: Column, href: Column) -> Column:
-    """href resolved against base, fragment dropped; dot segments stay as they are."""
+    """href resolved against base, dot segments included, fragment dropped."""
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1)
     host = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
     path = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     root = F.concat(scheme, F.lit("://"), host)
     h = F.regexp_replace(href, "#.*$", "")
+    folder = F.when(h.startswith("/"), "").when(path == "", "/").otherwise(F.regexp_replace(path, r"[^/]*$", ""))
     return (
         F.when(h == "", F.regexp_replace(base, "#.*$", ""))
         .when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), h)
         .when(h.startswith("//"), F.concat(scheme, F.lit(":"), h))
-        .when(h.startswith("/"), F.concat(root, h))
         .when(h.startswith("?"), F.concat(root, path, h))
-        .otherwise(F.concat(root, F.when(path == "", "/").otherwise(F.regexp_replace(path, r"[^/]*$", "")), h))
+        .otherwise(F.concat(root, without_dots(F.concat(folder, F.regexp_replace(h, r"\?.*$", ""))), F.regexp_extract(h, r"(\?.*)$", 1)))
     )
 
 

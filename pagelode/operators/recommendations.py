@@ -9,8 +9,8 @@ from pagelode.functions import words as W
 
 
 def make_id(domain: Column, url: Column, source: Column, anchor: Column) -> Column:
-    """Stable 12 hex digits; domain and anchor regardless of case."""
-    return F.substring(F.sha1(F.concat_ws("|", F.lower(domain), url, source, F.lower(anchor))), 1, 12)
+    """Stable 12 hex digits; domain and anchor regardless of case, blanks around any part left out."""
+    return F.substring(F.sha1(F.concat_ws("|", F.lower(F.trim(domain)), F.trim(url), F.trim(source), F.lower(F.trim(anchor)))), 1, 12)
 
 
 def priority(severity: Column, confidence: Column, est_clicks: Column, auto_fixable: Column, times_raised: Column) -> Column:
@@ -23,17 +23,36 @@ def priority(severity: Column, confidence: Column, est_clicks: Column, auto_fixa
 
 
 def normalise(recs: DataFrame) -> DataFrame:
-    """Unknown severities and confidences take their defaults; an empty finding is an error."""
-    severity = F.lower(F.col("severity"))
-    sure = F.lower(F.col("confidence"))
-    finding = F.trim(F.coalesce("finding", F.lit("")))
-    return recs.withColumns(
+    """Incoming recommendations with all fields of the store.
+
+    Missing ones take their defaults, unknown severities and confidences are
+    medium, the id follows from domain, url, source and key (else the finding);
+    an empty finding is an error. Fields that the input lacks count as missing.
+    """
+    have = lambda c, kind="string": F.col(c) if c in recs.columns else F.lit(None).cast(kind)
+    text = lambda c: F.trim(F.coalesce(have(c), F.lit("")))
+    severity, sure = F.lower(have("severity")), F.lower(have("confidence"))
+    found = recs.withColumns(
         {
+            "domain": F.lower(text("domain")),
+            "url": text("url"),
+            "source": F.coalesce(F.nullif(text("source"), F.lit("")), F.lit("manual")),
+            "key": text("key"),
+            "category": F.coalesce(have("category"), F.lit("general")),
             "severity": F.when(severity.isin(*W.SEVERITIES), severity).otherwise("medium"),
             "confidence": F.when(sure.isin("high", "medium", "low"), sure).otherwise("medium"),
-            "finding": F.when(finding == "", F.raise_error(F.lit("a recommendation needs a finding"))).otherwise(finding),
+            "finding": F.when(text("finding") == "", F.raise_error(F.lit("a recommendation needs a finding"))).otherwise(text("finding")),
+            "why": F.coalesce(have("why"), F.lit("")),
+            "fix": F.coalesce(have("fix"), F.lit("")),
+            "evidence": have("evidence"),
+            "auto_fixable": F.coalesce(have("auto_fixable", "boolean"), F.lit(False)),
+            "status": F.lit("open"),
+            "times_raised": F.lit(1),
+            "created": F.lit(0),
+            "updated": F.lit(0),
         }
     )
+    return found.withColumn("id", make_id(F.col("domain"), F.col("url"), F.col("source"), F.coalesce(F.nullif("key", F.lit("")), "finding")))
 
 
 #: Detail fields that a repeated raise refreshes where it says something.

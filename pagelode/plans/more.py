@@ -324,6 +324,92 @@ def entity_fields(spark, sf_dir):
     return fixes.entity_properties(e, "organization", "https://site.example/")
 
 
+HREFS = ("../a", "./b?x=1", "../../../c", "d/./e/../f", "?y=2", "#z", "/g/../h/", "//o.example/i", "mailto:m", "j/..", ".")
+
+
+@query
+def joined_links(spark, sf_dir):
+    from pagelode.functions import text as X
+
+    k = F.col("p_partkey")
+    return read(spark, sf_dir, "part").select(k.alias("k"), X.joined_url(F.concat(F.lit("https://s.example/p/q/r"), k.cast("string"), F.lit("?o=1#f")), picked(HREFS, k)).alias("target"))
+
+
+@query
+def name_keys(spark, sf_dir):
+    from pagelode.functions import text as X
+
+    name = F.concat(F.lit(" --"), F.upper("p_name"), F.lit("!? "), F.col("p_partkey").cast("string"), F.lit(" and a rather long tail of words that is cut --"))
+    domain = F.concat(F.lit(" Shop"), F.col("p_partkey").cast("string"), F.lit(".Example/x y "))
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), X.slug(name).alias("slug"), X.domain_key(domain).alias("domain"), history.cache_key(F.lit("serp"), F.col("p_name")).alias("key"))
+
+
+@query
+def rec_normalised(spark, sf_dir):
+    k = F.col("p_partkey")
+    rows = read(spark, sf_dir, "part").select(
+        k.alias("k"), F.lit(" Site.Example ").alias("domain"), F.when(k % 3 != 0, F.concat(F.lit(" u"), (k % 9).cast("string"))).alias("url"), F.when(k % 4 == 0, "Rule:x").when(k % 4 == 1, " ").alias("source"),
+        picked(("HIGH", "urgent", "low", None), k).alias("severity"), picked(("sure", "Low", None), k).alias("confidence"), F.concat(F.lit(" Finding "), (k % 5).cast("string"), F.lit(" ")).alias("finding"), F.when(k % 2 == 0, " Key ").alias("key"),
+    )
+    return recommendations.normalise(rows).select("k", "id", "domain", "url", "source", "severity", "confidence", "finding", "category", "auto_fixable", "status")
+
+
+@query
+def render_changes(spark, sf_dir):
+    """Pages before and after scripts ran: more words and schema types for some."""
+    k = F.col("p_partkey")
+    words = (k % 90 + 10).cast("int")
+    p = read(spark, sf_dir, "part")
+    raw = p.select("p_partkey", words.alias("word_count"), F.array(F.lit("WebPage")).alias("schema_types"))
+    shown = p.select("p_partkey", (words + k % 60).cast("int").alias("word_count"), F.when(k % 3 == 0, F.array(F.lit("WebPage"), F.lit("Product"))).otherwise(F.array(F.lit("WebPage"))).alias("schema_types"))
+    return pages.render_diff(raw, shown, "p_partkey").withColumn("only_rendered", F.array_join("only_rendered", "|"))
+
+
+@query
+def json_texts(spark, sf_dir):
+    i = F.col("conv_id").cast("string")
+    text = F.when(F.col("conv_id") % 9 == 0, "no json").otherwise(F.concat(F.lit('{"a": "x'), i, F.lit('", "b": [1, "y'), i, F.lit('", {"c": ["z", null]}], "d": {"e": "w"}}')))
+    return visibility.json_strings(read(spark, sf_dir, "conversations").select("conv_id").distinct().withColumn("body", text), "conv_id", "body")
+
+
+@query
+def json_log(spark, sf_dir):
+    """An append-only cost log with broken lines, written and read again."""
+    from pagelode.operators.store import fresh_path
+
+    to = fresh_path(spark, "log")
+    i = F.col("event_id")
+    good = F.to_json(F.struct(F.unix_timestamp("ts").alias("ts"), F.col("event_type").alias("command"), (i % 100 / 4).alias("cost"), F.lit("d").alias("detail")))
+    read(spark, sf_dir, "events").select(F.when(i % 7 == 0, "{broken").otherwise(good).alias("value")).write.text(to)
+    return readers.json_lines(spark, to, readers.COSTS).groupBy("command").agg(F.count("*").alias("n"), F.sum("cost").alias("cost"))
+
+
+@query
+def site_files(spark, sf_dir):
+    """Pages as files of a folder, written and read again; other files there are left alone."""
+    from pagelode.operators.store import fresh_path
+
+    to = fresh_path(spark, "site")
+    p = read(spark, sf_dir, "pages").where("page_id % 10 = 0").select(F.regexp_replace("html", "[\\r\\n]+", " ").alias("value"), (F.col("page_id") % 50).alias("part"))
+    p.where("part < 40").repartition(4, "part").write.partitionBy("part").text(to)
+    return readers.html_files(spark, to, "*.txt").select(F.regexp_extract("url", "part=([0-9]+)", 1).cast("int").alias("part"), F.regexp_count("html", F.lit("(?i)<title")).cast("long").alias("titles")).groupBy("part").agg(F.sum("titles").alias("titles"))
+
+
+@query
+def submission_bodies(spark, sf_dir):
+    """How many addresses the submission bodies of at most a hundred hold."""
+    p = read(spark, sf_dir, "pages").select("url")
+    return readers.indexnow_payload(p, "site.example", "key", 100).agg(F.sum("n").alias("urls"), (F.max("n") <= 100).alias("within"), F.count_if(~F.contains("body", F.lit('"host":"site.example"'))).alias("wrong"))
+
+
+@query
+def cost_windows(spark, sf_dir):
+    """Sliding weekly costs of a stream whose watermark has passed."""
+    from pagelode.streaming import streams
+
+    return streamed(spark, sf_dir, "costs", lambda s: streams.trailing_cost(as_log(s))).select(F.date_format("until", "yyyy-MM-dd").alias("until"), "cost", "calls")
+
+
 # -- all rules and the citation ladder over made records
 
 

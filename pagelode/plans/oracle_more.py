@@ -217,6 +217,15 @@ FEATURES = {
 }
 
 SQL = {
+    "joined_links": f"SELECT {K} AS k, ['https://s.example/p/a', 'https://s.example/p/q/b?x=1', 'https://s.example/c', 'https://s.example/p/q/d/f', 'https://s.example/p/q/r' || {K} || '?y=2', 'https://s.example/p/q/r' || {K} || '?o=1', 'https://s.example/h/', 'https://o.example/i', 'mailto:m', 'https://s.example/p/q/', 'https://s.example/p/q/'][{K} % 11 + 1] AS target FROM part",
+    "name_keys": f"SELECT {K} AS k, left(trim(regexp_replace(lower(' --' || p_name || '!? ' || {K} || ' and a rather long tail of words that is cut --'), '[^a-z0-9]+', '-', 'g'), '-'), 48) AS slug, 'shop' || {K} || '.example_x_y' AS domain, sha256('serp|' || p_name) AS key FROM part",
+    "rec_normalised": f"WITH r AS (SELECT {K} AS k, CASE WHEN {K} % 3 <> 0 THEN 'u' || {K} % 9 ELSE '' END AS url, CASE WHEN {K} % 4 = 0 THEN 'Rule:x' ELSE 'manual' END AS source, ['high', 'medium', 'low', 'medium'][{K} % 4 + 1] AS severity, ['medium', 'low', 'medium'][{K} % 3 + 1] AS confidence, 'Finding ' || {K} % 5 AS finding FROM part) SELECT k, left(sha1('site.example|' || url || '|' || source || '|' || CASE WHEN k % 2 = 0 THEN 'key' ELSE lower(finding) END), 12) AS id, 'site.example' AS domain, url, source, severity, confidence, finding, 'general' AS category, false AS auto_fixable, 'open' AS status FROM r",
+    "render_changes": f"WITH r AS (SELECT {K}, {K} % 90 + 10 AS raw_words, {K} % 90 + 10 + {K} % 60 AS rendered_words FROM part), q AS (SELECT *, floor(rendered_words / raw_words * 100 + 0.5) / 100 AS ratio FROM r) SELECT {K}, raw_words, rendered_words, ratio, CASE WHEN {K} % 3 = 0 THEN 'Product' ELSE '' END AS only_rendered, CASE WHEN ratio >= 1.5 THEN 'significant' ELSE 'minor' END AS verdict FROM q",
+    "json_texts": "WITH c AS (SELECT DISTINCT conv_id FROM conversations WHERE conv_id % 9 <> 0) SELECT conv_id, unnest([0, 1, 2, 3]) AS pos, unnest(['x' || conv_id, 'y' || conv_id, 'z', 'w']) AS value FROM c",
+    "json_log": "SELECT event_type AS command, count(*) AS n, sum(event_id % 100 / 4) AS cost FROM events WHERE event_id % 7 <> 0 GROUP BY 1",
+    "site_files": "SELECT (page_id % 50)::INT AS part, sum(len(regexp_extract_all(html, '(?i)<title'))) AS titles FROM pages WHERE page_id % 10 = 0 AND page_id % 50 < 40 GROUP BY 1",
+    "submission_bodies": "SELECT count(DISTINCT url) AS urls, true AS within, 0 AS wrong FROM pages",
+    "cost_windows": "WITH m AS (SELECT max(ts) - INTERVAL 1 DAY AS mark, min(ts)::DATE AS lo FROM events), d AS (SELECT unnest(generate_series(lo + 1, mark::DATE, INTERVAL 1 DAY)) AS until, mark FROM m) SELECT strftime(until, '%Y-%m-%d') AS until, sum(CAST(round(value * 100) AS BIGINT))::BIGINT AS cost, count(*) AS calls FROM d JOIN events ON ts < until AND ts >= until - INTERVAL 7 DAY WHERE until <= mark GROUP BY 1",
     "page_features": f"SELECT {K} AS k, " + ", ".join(f"{q} AS {c}" for c, q in FEATURES.items()) + " FROM part",
     # elements up to each action, counted from the body on, against all of them
     "fold_position": f"WITH p AS (SELECT {K} AS k, 1 + {K} % 7 AS a, 1 + {K} % 7 + {K} % 5 + 2 AS b, 1 + {K} % 7 + {K} % 5 + 2 + {K} % 11 AS n FROM part) SELECT k, 2 AS cta_count, (a / n < 0.4::DOUBLE)::INT + (b / n < 0.4::DOUBLE)::INT AS cta_above_fold FROM p",
