@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagelode.functions import text as X
 from pagelode.functions import words as W
 from pagelode.operators.impact import by_page as impact  # noqa: F401 - the verdict of values around a change
 
@@ -111,6 +112,33 @@ def recovered(open_losses: DataFrame, current: DataFrame, group: str) -> DataFra
     return open_losses.select(group, "keyword", "was").join(current.select(group, "keyword", F.col("position").alias("now")), [group, "keyword"]).where("now <= was")
 
 
+#: Competitors of a profile that a watch run looks at.
+WATCHED = 3
+
+
+def watched(competitors: Column) -> Column:
+    """The competitors of a profile that are watched, in its order."""
+    return F.slice(competitors, 1, WATCHED)
+
+
+def open_losses(recs: DataFrame, group: str) -> DataFrame:
+    """(group, id, keyword, was) of rank losses that a watch run raised and that aren't closed.
+
+    recs: group, id, source, key, status, keyword, was.
+    """
+    raised = (F.col("source") == "skill:watch") & F.startswith("key", F.lit("rank-loss-"))
+    return recs.where(raised & ~F.col("status").isin(*W.CLOSED) & F.col("keyword").isNotNull() & F.col("was").isNotNull()).select(group, "id", "keyword", "was")
+
+
+def loss_recommendations(losses: DataFrame, group: str) -> DataFrame:
+    """Rank losses as recommendations: (group, key, severity, finding)."""
+    slug = F.concat(F.lit("rank-loss-"), X.slug(F.col("keyword")))
+    quoted = F.concat(F.lit("'"), F.col("keyword"), F.lit("'"))
+    was, now = F.col("was").cast("string"), F.col("now").cast("string")
+    finding = F.when(F.col("now").isNull(), F.concat(F.lit("Ranking lost: "), quoted, F.lit(" (was "), was, F.lit(")"))).otherwise(F.concat(F.lit("Ranking dropped: "), quoted, F.lit(" "), was, F.lit(" → "), now))
+    return losses.select(group, slug.alias("key"), "severity", finding.alias("finding"))
+
+
 def competitor_gains(previous: DataFrame, current: DataFrame, least: int = 3, examples: int = 10) -> DataFrame:
     """Competitors seen before with ``least`` or more new keywords, and the first examples by name."""
     known = previous.select("competitor").distinct()

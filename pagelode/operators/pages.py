@@ -75,6 +75,21 @@ FETCHED = "url string, status int, content_type string, body string, headers map
 SECURITY = {"security_hsts": "strict-transport-security", "security_csp": "content-security-policy", "security_xfo": "x-frame-options", "security_xcto": "x-content-type-options"}
 
 
+def crawl_links(records: DataFrame) -> DataFrame:
+    """``records`` (url, links) with internal_outlinks array<struct(url, anchor)> and link counts as a crawl sees them.
+
+    Links resolve against the page; those on its host are internal, those on
+    another external, those without a host (mail, telephone) neither.
+    """
+    base = F.col("url")
+    absolute = F.transform("links", lambda x: F.struct(X.joined_url(base, x["href"]).alias("url"), F.substring(x["anchor"], 1, 120).alias("anchor")))
+    found = X.once(records, records.columns, {"_all": absolute})
+    host = X.netloc(base)
+    inside = F.filter("_all", lambda x: X.netloc(x["url"]) == host)
+    outside = F.filter("_all", lambda x: (X.netloc(x["url"]) != host) & (X.netloc(x["url"]) != ""))
+    return found.withColumns({"internal_outlinks": inside, "internal_link_count": F.size(inside), "external_link_count": F.size(outside)}).drop("_all")
+
+
 def with_security(records: DataFrame, headers: str = "headers") -> DataFrame:
     """``records`` with a field for each security header that the response had, whatever the case of its name."""
     names = F.transform(F.coalesce(F.map_keys(headers), F.array().cast("array<string>")), F.lower)

@@ -71,15 +71,36 @@ def report_score(markdown: Column) -> Column:
     return F.coalesce(*[F.when(x.between(0, 100), x) for x in found])
 
 
-def cell(value: Column, limit: int = 90) -> Column:
-    """A table cell of at most ``limit`` characters, on one line, with pipes escaped."""
-    flat = F.replace(F.regexp_replace(F.trim(value.cast("string")), r"\s+", " "), F.lit("|"), F.lit("\\|"))
-    return F.when(F.length(flat) > limit, F.concat(F.substring(flat, 1, limit - 1), F.lit("…"))).otherwise(flat)
+def cell(value: Column, limit: int = 0) -> Column:
+    """A table cell on one line, with pipes escaped, of at most ``limit`` characters if given; a dash if there is nothing."""
+    flat = F.trim(F.regexp_replace(F.replace(F.coalesce(value.cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")), r"\s+", " "))
+    short = F.when(F.length(flat) > limit, F.concat(F.rtrim(F.substring(flat, 1, limit - 1)), F.lit("…"))).otherwise(flat) if limit else flat
+    return F.coalesce(F.nullif(short, F.lit("")), F.lit("—"))
+
+
+def short_url(url: Column, limit: int = 48) -> Column:
+    """An address without its scheme, of at most ``limit`` characters."""
+    bare = F.regexp_replace(url, "^(https://)?(http://)?", "")
+    return F.when(F.length(bare) > limit, F.concat(F.substring(bare, 1, limit - 1), F.lit("…"))).otherwise(bare)
+
+
+def path_label(url: Column, limit: int = 28) -> Column:
+    """An address's path, / if it has none, of at most ``limit`` characters."""
+    path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    shown = F.when(path == "", "/").otherwise(path)
+    return F.when(F.length(shown) > limit, F.concat(F.substring(shown, 1, limit - 1), F.lit("…"))).otherwise(shown)
+
+
+def humanised(name: Column) -> Column:
+    """Words of a rule's name, the first one capitalised."""
+    words = F.lower(F.translate(name, "-_", "  "))
+    return F.concat(F.upper(F.substring(words, 1, 1)), F.substring(words, F.lit(2), F.length(words)))
 
 
 def shown_date(seconds: Column, time: bool = False) -> Column:
-    """Day of a unix time as 05 Jan 2026, with hours and minutes if wanted."""
-    return F.date_format(F.timestamp_seconds(seconds), "dd MMM yyyy HH:mm" if time else "dd MMM yyyy")
+    """Day of a unix time as 05 Jan 2026, with hours and minutes if wanted; a dash without a time."""
+    shown = F.date_format(F.timestamp_seconds(seconds), "dd MMM yyyy HH:mm" if time else "dd MMM yyyy")
+    return F.when(F.coalesce(seconds, F.lit(0)) == 0, "—").otherwise(shown)
 
 
 def health_delta(snapshots: DataFrame, group: str) -> DataFrame:

@@ -296,7 +296,7 @@ def report_figures(spark, sf_dir):
 def report_cells(spark, sf_dir):
     k = F.col("c_custkey")
     text = F.concat(F.lit("  a | b\n\n c  "), F.repeat(F.lit("xy "), (k % 60).cast("int")))
-    return read(spark, sf_dir, "customer").select(k.alias("k"), reports.cell(text).alias("cell"), reports.shown_date(k * 86400).alias("day"), reports.score_colour(k % 101).alias("colour"))
+    return read(spark, sf_dir, "customer").select(k.alias("k"), reports.cell(text, 90).alias("cell"), reports.cell(F.when(k % 3 == 0, " ")).alias("nothing"), reports.shown_date((k - 1) * 86400).alias("day"), reports.score_colour(k % 101).alias("colour"))
 
 
 @query
@@ -324,6 +324,44 @@ def entity_fields(spark, sf_dir):
     return fixes.entity_properties(e, "organization", "https://site.example/")
 
 
+@query
+def labels(spark, sf_dir):
+    i = F.col("page_id")
+    url = F.concat(picked(("https://", "http://", ""), i), F.lit("site.example"), F.repeat(F.lit("/part"), (i % 13).cast("int")), F.lit("?q=1"))
+    return read(spark, sf_dir, "pages").select("page_id", reports.short_url(url).alias("short"), reports.path_label(url).alias("path"), reports.humanised(F.concat(F.lit("missing-H1_of-"), i.cast("string"))).alias("name"))
+
+
+@query
+def crawl_links(spark, sf_dir):
+    """Links of made pages as a crawl sees them."""
+    from pagelode.functions import html
+
+    r = pages.crawl_links(html.extract_pages(inputs.made_pages(spark, sf_dir)).select("k", "url", "links"))
+    return r.select("k", "internal_link_count", "external_link_count", F.array_join(F.transform("internal_outlinks", lambda x: F.concat(x["url"], F.lit(">"), x["anchor"])), "|").alias("internal"))
+
+
+@query
+def loss_recs(spark, sf_dir):
+    return history.loss_recommendations(catalog.QUERIES["rank_loss"](spark, sf_dir), "supplier")
+
+
+@query
+def recovered_recs(spark, sf_dir):
+    """Rank losses among recommendations of all sources and statuses, resolved by the next year's rankings."""
+    old, new = catalog.suppliers(spark, sf_dir)
+    part = F.regexp_extract("keyword", "([0-9]+)", 1).cast("long")
+    recs = old.select("supplier", part.alias("id"), picked(("skill:watch", "rule:x"), part).alias("source"), F.concat(picked(("rank-loss-", "rank-loss-", "other-"), part), F.col("keyword")).alias("key"), picked(W.STATUSES, part).alias("status"), "keyword", F.when(part % 7 != 0, F.col("position")).alias("was"))
+    return history.recovered(history.open_losses(recs, "supplier"), new, "supplier")
+
+
+@query
+def search_console(spark, sf_dir):
+    k = F.col("p_partkey")
+    text = F.concat(F.lit('{"rows": [{"keys": ["q'), k.cast("string"), F.lit('", "/p"], "clicks": '), (k % 9).cast("string"), F.lit(', "impressions": 10, "ctr": 0.5, "position": 1.5}, {"keys": ["r"]}]}'))
+    rows = read(spark, sf_dir, "part").select(k.alias("k"), F.when(k % 5 == 0, F.lit('{"rows": null}')).otherwise(text).alias("payload"))
+    return payloads.search_rows(payloads.opened(rows))
+
+
 HREFS = ("../a", "./b?x=1", "../../../c", "d/./e/../f", "?y=2", "#z", "/g/../h/", "//o.example/i", "mailto:m", "j/..", ".")
 
 

@@ -217,6 +217,11 @@ FEATURES = {
 }
 
 SQL = {
+    "labels": "WITH u AS (SELECT page_id, 'site.example' || repeat('/part', (page_id % 13)::INT) || '?q=1' AS b, CASE WHEN page_id % 3 = 2 OR page_id % 13 = 0 THEN '' ELSE repeat('/part', (page_id % 13)::INT) END AS p FROM pages), s AS (SELECT *, CASE WHEN p = '' THEN '/' ELSE p END AS q FROM u) SELECT page_id, CASE WHEN length(b) > 48 THEN left(b, 47) || '…' ELSE b END AS short, CASE WHEN length(q) > 28 THEN left(q, 27) || '…' ELSE q END AS path, 'Missing h1 of ' || page_id AS name FROM s",
+    "crawl_links": f"SELECT {K} AS k, ({K} % 4 = 2)::INT + {K} % 4 + {K} % 2 + {K} % 3 AS internal_link_count, {K} % 3 AS external_link_count, (CASE WHEN {K} % 4 = 2 THEN '|https://site.example/a>Skip to content' ELSE '' END || repeat('|https://site.example/in>Here', ({K} % 4)::INT) || repeat('|https://site.example/e>', ({K} % 2 + {K} % 3)::INT))[2:] AS internal FROM part",
+    "loss_recs": "SELECT supplier, 'rank-loss-' || replace(keyword, ' ', '-') AS key, severity, CASE WHEN now IS NULL THEN 'Ranking lost: ' || chr(39) || keyword || chr(39) || ' (was ' || was || ')' ELSE 'Ranking dropped: ' || chr(39) || keyword || chr(39) || ' ' || was || ' → ' || now END AS finding FROM (" + BASE["rank_loss"] + ")",
+    "recovered_recs": "SELECT supplier, keyword, was, now FROM (SELECT *, split_part(keyword, ' ', 2)::BIGINT AS p FROM (" + BASE["rank_recovery"] + ")) WHERE p % 2 = 0 AND p % 3 <> 2 AND p % 5 < 2 AND p % 7 <> 0",
+    "search_console": f"SELECT {K} AS k, unnest(['q' || {K}, 'r']) AS query, unnest(['/p', NULL]) AS page, unnest([({K} % 9)::DOUBLE, NULL]) AS clicks, unnest([10::DOUBLE, NULL]) AS impressions, unnest([0.5::DOUBLE, NULL]) AS ctr, unnest([1.5::DOUBLE, NULL]) AS position FROM part WHERE {K} % 5 <> 0",
     "joined_links": f"SELECT {K} AS k, ['https://s.example/p/a', 'https://s.example/p/q/b?x=1', 'https://s.example/c', 'https://s.example/p/q/d/f', 'https://s.example/p/q/r' || {K} || '?y=2', 'https://s.example/p/q/r' || {K} || '?o=1', 'https://s.example/h/', 'https://o.example/i', 'mailto:m', 'https://s.example/p/q/', 'https://s.example/p/q/'][{K} % 11 + 1] AS target FROM part",
     "name_keys": f"SELECT {K} AS k, left(trim(regexp_replace(lower(' --' || p_name || '!? ' || {K} || ' and a rather long tail of words that is cut --'), '[^a-z0-9]+', '-', 'g'), '-'), 48) AS slug, 'shop' || {K} || '.example_x_y' AS domain, sha256('serp|' || p_name) AS key FROM part",
     "rec_normalised": f"WITH r AS (SELECT {K} AS k, CASE WHEN {K} % 3 <> 0 THEN 'u' || {K} % 9 ELSE '' END AS url, CASE WHEN {K} % 4 = 0 THEN 'Rule:x' ELSE 'manual' END AS source, ['high', 'medium', 'low', 'medium'][{K} % 4 + 1] AS severity, ['medium', 'low', 'medium'][{K} % 3 + 1] AS confidence, 'Finding ' || {K} % 5 AS finding FROM part) SELECT k, left(sha1('site.example|' || url || '|' || source || '|' || CASE WHEN k % 2 = 0 THEN 'key' ELSE lower(finding) END), 12) AS id, 'site.example' AS domain, url, source, severity, confidence, finding, 'general' AS category, false AS auto_fixable, 'open' AS status FROM r",
@@ -259,7 +264,7 @@ SQL = {
     "sitemap_urls": "SELECT page_id::VARCHAR AS source, 'https://c/' || page_id AS url FROM pages WHERE page_id % 3 = 0 UNION ALL SELECT page_id::VARCHAR, 'https://b/' || page_id FROM pages WHERE page_id % 3 <> 0 UNION ALL SELECT page_id::VARCHAR, 'https://b/x' FROM pages WHERE page_id % 3 <> 0",
     "mixed_depths": "SELECT node, inlinks, 5 + least(14.0::DOUBLE, sqrt(inlinks) * 2.2::DOUBLE) AS size FROM (" + BASE["hubs_topk"].replace("LIMIT 15", "LIMIT 16") + ")",
     "report_figures": "SELECT s_suppkey AS k, CASE WHEN s_suppkey % 4 = 3 THEN NULL WHEN s_suppkey % 4 = 2 THEN CASE WHEN s_suppkey % 130 < 100 THEN s_suppkey % 130 + 0.5::DOUBLE END WHEN s_suppkey % 130 <= 100 THEN (s_suppkey % 130)::DOUBLE END AS score, (s_suppkey % 3)::INT AS critical, (s_suppkey % 4)::INT AS high, (s_suppkey % 2)::INT AS medium, 1 AS low FROM supplier",
-    "report_cells": r"WITH t AS (SELECT c_custkey AS k, 'a \| b c' || repeat(' xy', (c_custkey % 60)::INT) AS t FROM customer) SELECT k, CASE WHEN length(t) > 90 THEN left(t, 89) || '…' ELSE t END AS cell, strftime(DATE '1970-01-01' + k::INT, '%d %b %Y') AS day, CASE WHEN k % 101 >= 70 THEN 'green' WHEN k % 101 >= 40 THEN 'amber' ELSE 'red' END AS colour FROM t",
+    "report_cells": r"WITH t AS (SELECT c_custkey AS k, 'a \| b c' || repeat(' xy', (c_custkey % 60)::INT) AS t FROM customer) SELECT k, CASE WHEN length(t) > 90 THEN rtrim(left(t, 89)) || '…' ELSE t END AS cell, '—' AS nothing, CASE WHEN k = 1 THEN '—' ELSE strftime(DATE '1970-01-01' + (k - 1)::INT, '%d %b %Y') END AS day, CASE WHEN k % 101 >= 70 THEN 'green' WHEN k % 101 >= 40 THEN 'amber' ELSE 'red' END AS colour FROM t",
     "profile_problems": "WITH p AS (SELECT s_suppkey AS client, list_filter([CASE WHEN s_suppkey % 2 = 1 THEN 'site.url is missing' END, CASE WHEN s_suppkey % 4 = 0 THEN 'competitors is empty' END, CASE WHEN s_suppkey % 3 = 0 THEN 'an entity has no name' END, CASE WHEN s_suppkey % 5 = 0 THEN 'an entity has no type' END], lambda x: x IS NOT NULL) AS l FROM supplier) SELECT client, array_to_string(l, '|') AS problems FROM p WHERE len(l) > 0",
     "submission_urls": "SELECT DISTINCT url FROM pages WHERE page_id % 2 = 0 OR page_id % 3 = 0 OR page_id % 5 = 0",
     "entity_fields": "SELECT replace(s_name, '#', ' ') AS name, NULL::VARCHAR AS description, 'https://a,https://b' AS sameAs, 'https://site.example' AS url, NULL::VARCHAR AS jobTitle FROM supplier WHERE s_suppkey % 3 = 2 ORDER BY s_suppkey LIMIT 1",

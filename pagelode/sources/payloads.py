@@ -207,3 +207,30 @@ def request(command: str, **given) -> list[dict]:
         else:
             task[field] = source
     return [task]
+
+
+def analytics_request(command: str, **given) -> dict:
+    """Body of a request to the search console, field data or analytics services."""
+    if command == "pagespeed":
+        return {"url": given["url"], "strategy": given.get("strategy", "mobile")}
+    if command in ("crux", "crux-history"):
+        return {"formFactor": given.get("form_factor", "PHONE"), "origin" if given.get("origin") else "url": given["target"]}
+    if command == "gsc-queries":
+        return {"startDate": given["start"], "endDate": given["end"], "dimensions": ["query", "page"], "rowLimit": given.get("limit", 100)}
+    if command == "gsc-inspect":
+        return {"inspectionUrl": given["url"], "siteUrl": given["site"]}
+    if command == "gsc-sitemaps":
+        return {}
+    if command == "ga4-organic":
+        channel = {"filter": {"fieldName": "sessionDefaultChannelGroup", "stringFilter": {"value": "Organic Search"}}}
+        metrics = [{"name": n} for n in ("sessions", "engagedSessions", "conversions")]
+        return {"dateRanges": [{"startDate": given["start"], "endDate": given["end"]}], "dimensions": [{"name": "landingPagePlusQueryString"}], "metrics": metrics, "dimensionFilter": channel, "limit": given.get("limit", 100)}
+    raise ValueError(f"unknown command {command!r}")
+
+
+def search_rows(payloads: DataFrame, column: str = "payload") -> DataFrame:
+    """(..., query, page, clicks, impressions, ctr, position) of saved search console responses."""
+    kept = [c for c in payloads.columns if c != column]
+    rows = payloads.select(*kept, F.explode(_list(F.col(column), "$.rows")).alias("r"))
+    value = lambda name: F.try_variant_get("r", f"$.{name}", "double").alias(name)
+    return rows.select(*kept, F.try_variant_get("r", "$.keys[0]", "string").alias("query"), F.try_variant_get("r", "$.keys[1]", "string").alias("page"), *[value(n) for n in ("clicks", "impressions", "ctr", "position")])
