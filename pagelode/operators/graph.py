@@ -26,7 +26,9 @@ def orphans(nodes: DataFrame, edges: DataFrame, start) -> DataFrame:
 
 def depths(nodes: DataFrame, edges: DataFrame, start, max_depth: int | None = None) -> DataFrame:
     """(node, depth) of what links reach from start, within ``max_depth`` levels if given; each level joins only its frontier and drops what was seen."""
-    steps = cut(edges.join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst").distinct())
+    # links lie by their source once and for all, so each level moves only its frontier
+    known = edges.join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst")
+    steps = cut(known.repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), "src").distinct())
     seen = cut(nodes.where(F.col("node") == start).select("node", F.lit(0).alias("depth")))
     frontier = seen
     for d in count(1) if max_depth is None else range(1, max_depth + 1):
