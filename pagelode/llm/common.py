@@ -50,15 +50,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows of ``df`` from Parquet files in the shared folder; smaller than a checkpoint."""
+    to = fresh_path(df.sparkSession, name)
+    df.write.parquet(to)
+    return df.sparkSession.read.schema(df.schema).parquet(to)
+
+
 @contextmanager
-def arrow_rows(spark: SparkSession, rows: int):
-    """Arrow batches of at most ``rows`` rows for what is executed inside; rows that carry whole sets are large."""
-    before = spark.conf.get(ARROW_ROWS)
-    spark.conf.set(ARROW_ROWS, str(rows))
+def held(spark: SparkSession, **settings: str):
+    """Session settings, dots written as __, for what is executed inside."""
+    settings = {k.replace("__", "."): v for k, v in settings.items()}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(ARROW_ROWS, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def arrow_rows(spark: SparkSession, rows: int):
+    """Arrow batches of at most ``rows`` rows for what is executed inside; rows that carry whole sets are large."""
+    return held(spark, **{ARROW_ROWS: str(rows)})
 
 
 Batches = Iterator[pa.RecordBatch]

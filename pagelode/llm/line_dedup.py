@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelode.llm.common import cut, lower_ascii, over_texts, partitions
+from pagelode.llm.common import cut, lower_ascii, over_texts, partitions, written
 
 MIN_KEY = 10
 BLANKS = " \t\n\x0b\x0c\r"
@@ -137,7 +137,8 @@ def line_dedup(docs: DataFrame, min_key: int = MIN_KEY) -> DataFrame:
     """
     spark = docs.sparkSession
     order = ["h1", "h2", "doc_id", "pos"]
-    runs = cut(hashed_lines(docs, min_key).repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order))
+    # written first: finding the ranges would work all lines out a second time
+    runs = cut(written(hashed_lines(docs, min_key), "lines").repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order))
     ends = runs.mapInArrow(_ends, "part long, f1 long, f2 long, fdoc long, l1 long, l2 long, ldoc long").collect()  # a row per partition
     late = runs.mapInArrow(_late(chained(ends)), "doc_id long, th long, pos int")
     gone = late.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("gone"))
