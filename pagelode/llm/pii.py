@@ -147,7 +147,7 @@ def base_spans(text: Column, kind: str) -> Column:
 def with_base(docs: DataFrame) -> DataFrame:
     """(doc_id, text, base): text non-null, base sorted by start and kind."""
     out = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return out.withColumn("base", F.array_sort(F.concat(*[base_spans(F.col("text"), k) for k in KINDS])))
+    return out.withColumn("base", F.sort_array(F.concat(*[base_spans(F.col("text"), k) for k in KINDS])))
 
 
 def words(text: Column) -> Column:
@@ -214,7 +214,7 @@ def sensitive_spans(docs: DataFrame, **thresholds) -> DataFrame:
         .join(small_side(terms, count, BROADCAST_KEYS // 4), "term")
         .distinct()
         .groupBy("row")
-        .agg(F.array_sort(F.collect_list("term")).alias("found"))  # distinct words of one text
+        .agg(F.sort_array(F.collect_list("term")).alias("found"))  # distinct words of one text
     )
     held = cut(held)
     joined = keyed.join(small_side(held, held.count(), BROADCAST_KEYS // 10), "row", "left")
@@ -226,7 +226,7 @@ def sensitive_spans(docs: DataFrame, **thresholds) -> DataFrame:
     every = F.flatten(F.transform(F.col("found"), placed))
     apart = F.filter(every, lambda s: ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     spans = F.transform(apart, lambda s: F.struct(s["start"].alias("start"), F.lit(len(KINDS)).alias("ord"), s["end"].alias("end"), s["value"].alias("value")))
-    return joined.withColumn("terms", F.when(F.col("found").isNotNull(), F.array_sort(spans)).otherwise(F.array()).cast(SPAN)).drop("found", "row")
+    return joined.withColumn("terms", F.when(F.col("found").isNotNull(), F.sort_array(spans)).otherwise(F.array()).cast(SPAN)).drop("found", "row")
 
 
 def count_of(spans: Column, kind: str) -> Column:
@@ -237,7 +237,7 @@ def count_of(spans: Column, kind: str) -> Column:
 def listed(spans: Column) -> Column:
     """kind:start:end of all spans by start, then kind, joined by commas."""
     name = lambda s: F.element_at(F.array(*[F.lit(k) for k in (*KINDS, "term")]), s["ord"] + 1)
-    return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", name(s), s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return F.array_join(F.transform(F.sort_array(spans), lambda s: F.concat_ws(":", name(s), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
 def sanitised(found: DataFrame) -> DataFrame:
@@ -249,5 +249,5 @@ def sanitised(found: DataFrame) -> DataFrame:
         more = F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, s["start"] - a["at"]), mark)
         return F.when(s["start"] >= a["at"], F.struct(more.alias("out"), s["end"].alias("at"))).otherwise(a)
 
-    folded = F.aggregate(F.array_sort(F.concat("base", "terms")), start, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
+    folded = F.aggregate(F.sort_array(F.concat("base", "terms")), start, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
     return found.withColumn("clean", folded)
