@@ -8,9 +8,9 @@ mean, the least and the greatest difference of the blocks, and how well the
 text compresses at all, go through a logistic curve fitted on labelled rows,
 which gives a calibrated score.
 
-Learning uses at most ``bound`` labelled rows of each label value and of these
-at most DICT_BYTES of text for each dictionary (documented parameters); scores
-read whole texts of all rows.
+Learning uses at most ``bound`` labelled rows of each label value, LEARN_BYTES
+of text in all, and of these at most DICT_BYTES for each dictionary (documented
+parameters); scores read whole texts of all rows.
 
 Defined results: a null text scores like the empty one, the calibrated score of
 no difference; repeated rows score alike; with only one label value every score
@@ -28,12 +28,14 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from pagelode.llm.common import over_texts
 
 BOUND = 2500
 DICT_SIZE = 64 << 10
 DICT_BYTES = 6 << 20
+LEARN_BYTES = 128 << 20
 SAMPLE_BYTES = 4096
 BLOCK = 1024
 LEVEL = 1
@@ -143,8 +145,14 @@ def learn_rows(rows: list[tuple[int, str, int]]) -> dict:
 
 
 def learn(sample: DataFrame) -> dict:
-    """Model from (doc_id, text, quality 0/1) rows, a bounded sample."""
-    return learn_rows([(r["doc_id"], r["text"], r["quality"]) for r in sample.select("doc_id", "text", "quality").where("quality in (0, 1)").toLocalIterator()])
+    """Model from (doc_id, text, quality 0/1) rows, a bounded sample, taken in order of a hash up to LEARN_BYTES."""
+    rows, size = [], 0
+    for r in sample.select("doc_id", "text", "quality").where("quality in (0, 1)").orderBy(F.xxhash64("doc_id"), "doc_id").toLocalIterator():
+        size += len(r["text"].encode())
+        if rows and size > LEARN_BYTES:
+            break
+        rows.append((r["doc_id"], r["text"], r["quality"]))
+    return learn_rows(rows)
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
