@@ -56,7 +56,13 @@ def op6_pii(spark, sf_dir):
     """Personal data of every document: counts and places of the base kinds, and all spans with disclosing terms."""
     found = pii.sensitive_spans(documents(spark, sf_dir))
     counts = [pii.count_of(F.col("base"), kind).alias(f"n_{kind}") for kind in pii.KINDS]
-    return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.concat("base", "terms")).alias("spans"))
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"),
+        pii.listed(F.concat("base", "terms")).alias("spans"),
+        (F.size("base") + F.size("terms")).cast("long").alias("n_spans"),
+    )
 
 
 def op7_toxicity(spark, sf_dir):
