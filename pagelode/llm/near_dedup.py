@@ -14,15 +14,14 @@ than LONG_LIST is not paired. A similar pair that shares only such values must
 hold LEAST_SHARED of them in either sketch, so only documents with that many
 (or all, for smaller sets) go on; they fall into regions connected by long-list
 values, and a region is cut into blocks of like set sizes. First every block is
-compared with itself and with a representative of its class and of the classes
-beside it, which ships each set once and links most of a group of near copies.
-Documents of a region's largest component need no further links among
-themselves; only the others are then compared, block by block, with each other
-and with it. Exact intersections of two blocks come from one matrix product,
+compared with itself and with the region's representative, which ships each set
+once and links most of a group of near copies. Documents connected with the
+representative need no further links among themselves; only the others are then
+compared, block by block, with each other and with those. Exact intersections of two blocks come from one matrix product,
 and what leaves it is a spanning forest of the links found, never the pairs.
 
-Classes are linked by label propagation with pointer jumping on tables; no
-link or label reaches the driver. Inside, a distinct set is a node with a
+Components come from partitions contracted on their own, then from large and
+small stars on tables; no link or label reaches the driver. Inside, a distinct set is a node with a
 number of its own; ids come back at the end.
 
 Defined results: a document without words (or a null text) has no shingles and
@@ -50,6 +49,8 @@ SHARE = (75, 100)
 K = 32
 LEAST_SHARED = 10
 LONG_LIST = 64
+#: Edges that one task contracts at most.
+EDGE_ROWS = 200_000
 #: Rows with a value that occurs more often don't meet in one task.
 HOT_VALUE = 1024
 #: Documents and set members of a block at most.
@@ -186,29 +187,75 @@ def forest(n: int, pairs: np.ndarray) -> list[tuple[int, int]]:
 
 def _block_links(share: tuple[int, int]):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        """Links of a work item as a spanning forest (a, b, starred); documents connected with the representative hang on it, starred."""
         ids = np.array(table.column("node").to_pylist(), np.int64)
         side = np.array(table.column("side").to_pylist(), np.int64)
         sets = [np.frombuffer(x, np.uint64) for x in table.column("members").to_pylist()]
-        left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)  # 0: one block against itself
-        if not len(left) or not len(right):
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        both = intersections([sets[i] for i in left], [sets[i] for i in right])
-        size = np.array([len(s) for s in sets], np.float32)
-        linked = share[1] * both >= share[0] * (size[left][:, None] + size[right][None, :] - both)
-        x, y = np.nonzero(linked)
-        pairs = np.stack([left[x], right[y]], 1)
-        edges = forest(len(ids), pairs[pairs[:, 0] != pairs[:, 1]])
-        return pa.table({"a": pa.array([int(ids[i]) for i, _ in edges], pa.int64()), "b": pa.array([int(ids[j]) for _, j in edges], pa.int64())})
+        left, right = np.flatnonzero(side != 2), np.flatnonzero((side != 1) & (side != 3))  # 0: one block against itself, 3: its representative
+        edges: list[tuple[int, int]] = []
+        if len(left) and len(right):
+            both = intersections([sets[i] for i in left], [sets[i] for i in right])
+            size = np.array([len(s) for s in sets], np.float32)
+            linked = share[1] * both >= share[0] * (size[left][:, None] + size[right][None, :] - both)
+            x, y = np.nonzero(linked)
+            pairs = np.stack([left[x], right[y]], 1)
+            edges = forest(len(ids), pairs[pairs[:, 0] != pairs[:, 1]])
+        chief = np.flatnonzero(side == 3)
+        around = _reached(len(ids), edges, int(chief[0])) if len(chief) else set()
+        plain = [(int(ids[i]), int(ids[j])) for i, j in edges if i not in around]
+        starred = [(int(ids[i]), int(ids[chief[0]])) for i in sorted(around)]
+        a, b = zip(*plain, *starred, strict=True) if plain or starred else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "starred": pa.array([False] * len(plain) + [True] * len(starred), pa.bool_())})
 
     return run
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _reached(n: int, edges: list[tuple[int, int]], start: int) -> set[int]:
+    """What ``edges`` connect with start, itself included."""
+    beside: list[list[int]] = [[] for _ in range(n)]
+    for i, j in edges:
+        beside[i].append(j)
+        beside[j].append(i)
+    found, waiting = {start}, [start]
+    while waiting:
+        for j in beside[waiting.pop()]:
+            if j not in found:
+                found.add(j)
+                waiting.append(j)
+    return found
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of a partition as stars around the least node of each of its components."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while (up := parent.setdefault(top, top)) != top:
+            top = up
+        while parent[x] != top:
+            parent[x], x = top, parent[x]
+        return top
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    stars = [(x, top) for x in parent if (top := root(x)) != x]
+    for at in range(0, len(stars), 50_000):
+        a, b = zip(*stars[at : at + 50_000], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def components(edges: DataFrame, edge_rows: int = EDGE_ROWS) -> DataFrame:
     """(id, label) of every end of (a, b) edges: label is the least id reachable.
 
-    Each round hangs larger neighbours and the node itself onto its least
+    Partitions of at most ``edge_rows`` edges, a bounded piece of work, are
+    contracted to stars on their own. What spans partitions then goes through
+    rounds in which each node hangs larger neighbours and itself onto its least
     neighbour, then least neighbours onto each other (large and small stars),
-    until nothing changes; stars shrink the number of edges and the depth.
+    until nothing changes; edges that fit one partition need no round.
     """
 
     def star(e: DataFrame, large: bool) -> DataFrame:
@@ -226,9 +273,11 @@ def components(edges: DataFrame) -> DataFrame:
     def fingerprint(e: DataFrame):
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    before = None
-    mark = fingerprint(now)
+    found = cut(edges.select("a", "b").where("a <> b"))
+    parts = max(1, -(-found.count() // edge_rows))
+    packed = found.coalesce(1) if parts == 1 else found.repartition(parts)
+    now = cut(packed.mapInArrow(_contracted, "a long, b long"))
+    mark, before = fingerprint(now) if parts > 1 else None, None
     while mark != before:
         before = mark
         now = cut(star(star(now, True), False))
@@ -262,7 +311,7 @@ def _near_dedup(texts: DataFrame, words: int, share: tuple[int, int], k: int, le
     lists = _lists(heads, max(hot_value, long_list))
     short_lists = lists.where(F.col("count") <= long_list)
     members = F.collect_list(F.struct("n", "node"))
-    short = short_lists.groupBy("v").agg(F.array_sort(members).alias("nodes"))  # at most long_list each
+    short = short_lists.groupBy("v").agg(F.sort_array(members).alias("nodes"))  # at most long_list each
     firsts = short.select(F.posexplode("nodes").alias("i", "x"), "nodes")
     pairs = firsts.select("x", F.explode(F.slice("nodes", F.col("i") + 2, F.size("nodes"))).alias("y"))
     pairs = (
@@ -272,7 +321,7 @@ def _near_dedup(texts: DataFrame, words: int, share: tuple[int, int], k: int, le
     )
     sa = heads.select(F.col("node").alias("a"), F.col("sketch").alias("sa"))
     sb = heads.select(F.col("node").alias("b"), F.col("sketch").alias("sb"))
-    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
+    union = F.slice(F.sort_array(F.array_union("sa", "sb")), 1, k)
     shared = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
     need = F.least(F.lit(least_shared), F.ceil(F.size(union) * (least_shared / k)))
     likely = cut(pairs.join(sa, "a").join(sb, "b").where(shared >= need).select("a", "b"))
@@ -340,49 +389,53 @@ def _linked_in_regions(sets: DataFrame, long_lists: DataFrame, heavy: DataFrame,
     cls = F.floor(F.log(F.col("n")) / F.log(F.lit(base)) + 1e-9).cast("int")
     sized = cut(heavy.join(_regions(long_lists, heavy), "node").withColumn("cls", cls))
     room = F.greatest(F.lit(16), F.least(F.lit(block_docs), F.floor(F.lit(BLOCK_MEMBERS) / F.pow(F.lit(base), F.col("cls") + 1)))).cast("int")
-    sets = cut(sets)
 
-    def blocked(of: DataFrame, extra: list[str]) -> tuple[DataFrame, DataFrame]:
-        """Nodes with the number of their block, and the number of blocks of each class."""
-        by = ["region", *extra, "cls"]
-        classes = cut(of.groupBy(*by).agg(F.count("*").alias("n_nodes"), F.min("node").alias("first")).withColumn("blocks", F.ceil(F.col("n_nodes") / room).cast("int")))
-        found = of.join(small_side(classes, classes.count(), BROADCAST_KEYS // 4), by)
-        return found.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), classes
+    def classes_of(of: DataFrame, by: list[str]) -> DataFrame:
+        """Classes with their number of blocks and a node."""
+        sums = of.groupBy(*by).agg(F.count("*").alias("n_nodes"), F.min("node").alias("first"))
+        return cut(sums.withColumn("blocks", F.ceil(F.col("n_nodes") / room).cast("int")))
+
+    def blocked(of: DataFrame, classes: DataFrame, by: list[str]) -> DataFrame:
+        """Nodes with the number of their block."""
+        found = of.join(small_side(classes.select(*by, "blocks"), classes.count(), BROADCAST_KEYS // 4), by)
+        return found.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
 
     def compared(dealt: DataFrame) -> DataFrame:
-        """Links within work items: (item..., node, side) rows; side 1 against side 2, side 0 on both."""
+        """Links within work items: (item..., node, side) rows; side 1 against side 2, side 0 on both, side 3 against all but itself."""
         by = [c for c in dealt.columns if c not in ("node", "side")]
-        return dealt.join(sets, "node").groupBy(*by).applyInArrow(_block_links(share), "a long, b long")
-
-    # every block with itself and with representatives of its class and of those beside it
-    own, classes = blocked(sized, [])
-    near = F.explode(F.array(F.col("cls") - 1, F.col("cls"), F.col("cls") + 1))
-    first = classes.select("region", F.col("first").alias("node"), near.alias("cls"))
-    every = classes.select("region", "cls", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    visiting = first.join(every, ["region", "cls"]).select("region", "cls", "block", "node")
-    item = own.select("region", "cls", "block", "node").unionByName(visiting).distinct().withColumn("side", F.lit(0))
-    links = cut(compared(item))
-
-    # a region's largest component needs no more links inside; the others meet each other and it
-    label = components(links).withColumnRenamed("id", "node")
-    marked = sized.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    biggest = marked.groupBy("region", "label").count().groupBy("region").agg(F.max(F.struct("count", "label")).alias("m"), F.sum("count").alias("total"))
-    # regions of one block have met already, and a region in one component is done
-    open_ = cut(biggest.where("m.count < total").select("region", F.col("m.label").alias("most")))
-    if open_.isEmpty():
-        return links
-    marked = marked.join(small_side(open_, open_.count(), BROADCAST_KEYS // 4), "region")
-    parted, classes = blocked(marked.withColumn("apart", (F.col("label") != F.col("most")).cast("int")).select("region", "apart", "cls", "node"), ["apart"])
+        dealt = cut(dealt)
+        return sets.join(small_side(dealt, dealt.count(), BROADCAST_KEYS // 4), "node").groupBy(*by).applyInArrow(_block_links(share), "a long, b long, starred boolean")
+
+    # every block with itself, and with its region's representative where sizes allow a link
+    by = ["region", "cls"]
+    classes = classes_of(sized, by)
+    chief = classes.groupBy("region").agg(F.max(F.struct("n_nodes", "cls", "first")).alias("m")).select("region", F.col("m.cls").alias("chief_cls"), F.col("m.first").alias("node"))
+    every = classes.join(chief, "region").where(F.abs(F.col("cls") - F.col("chief_cls")) <= 1)
+    visits = every.select("region", "cls", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "node", F.lit(3).alias("side"))
+    item = blocked(sized, classes, by).select("region", "cls", "block", "node", F.lit(0).alias("side"))
+    links = cut(compared(item.join(chief.select("node"), "node", "left_anti").select(item.columns).unionByName(visits)))
+
+    single = classes.groupBy("region").agg(F.sum("blocks").alias("n")).where("n = 1").select("region")
+
+    # what hangs on a region's representative needs no more links inside; the others meet each other and it
+    settled = links.where("starred").select(F.col("a").alias("node"), F.lit(0).alias("apart")).distinct()
+    marked = cut(sized.join(settled, "node", "left").withColumn("apart", F.coalesce("apart", F.lit(1))))
+    by = ["region", "apart", "cls"]
+    classes = classes_of(marked, by)
+    # the blocks of documents that are apart are items with each block of the classes around them
     others = classes.select("region", F.col("apart").alias("apart2"), F.col("cls").alias("cls2"), F.col("blocks").alias("blocks2"))
-    mine = ["region", "apart", "cls", "block"]
-    # each block of documents that are apart is an item with each block of the classes around it
+    mine, theirs = [*by, "block"], ["apart2", "cls2", "block2"]
     left = classes.where("apart = 1").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*mine)
     facing = left.join(others, "region").where(F.abs(F.col("cls") - F.col("cls2")) <= 1).withColumn("block2", F.explode(F.sequence(F.lit(0), F.col("blocks2") - 1)))
-    # a pair of blocks that are both apart is one item, by order
+    # a pair of blocks that are both apart is one item, by order; regions of one block have met already
     facing = facing.where((F.col("apart2") == 0) | (F.struct("cls", "block") <= F.struct(F.col("cls2").alias("cls"), F.col("block2").alias("block"))))
-    facing = cut(facing.select(*mine, "apart2", "cls2", "block2"))
-    key = [*mine, "apart2", "cls2", "block2"]
+    facing = cut(facing.join(single, "region", "left_anti").select(*mine, *theirs))
+    if facing.isEmpty():
+        return links.select("a", "b")
+    parted = blocked(marked.select("region", "apart", "cls", "node"), classes, by)
     same = (F.col("apart2") == 1) & (F.col("cls") == F.col("cls2")) & (F.col("block") == F.col("block2"))
-    one = parted.select(*mine, "node").join(facing, mine).select(*key, "node", F.when(same, 0).otherwise(1).alias("side"))
-    two = parted.select("region", F.col("apart").alias("apart2"), F.col("cls").alias("cls2"), F.col("block").alias("block2"), "node").join(facing.where(~same), ["region", "apart2", "cls2", "block2"])
-    return links.unionByName(compared(one.unionByName(two.select(*key, "node", F.lit(2).alias("side")))))
+    columns = [*mine, *theirs]
+    one = parted.select(*mine, "node").join(facing, mine).select(*columns, "node", F.when(same, 0).otherwise(1).alias("side"))
+    two = parted.select("region", F.col("apart").alias("apart2"), F.col("cls").alias("cls2"), F.col("block").alias("block2"), "node").join(facing.where(~same), ["region", *theirs])
+    more = compared(one.unionByName(two.select(*columns, "node", F.lit(2).alias("side"))))
+    return links.select("a", "b").unionByName(more.select("a", "b"))

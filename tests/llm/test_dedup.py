@@ -125,6 +125,7 @@ def test_near_dedup_matches_brute_force(spark, corpus, odd):
     assert near(df) == expected
     # short lists and tiny blocks send the hot group through regions and block pairs
     assert near(df, long_list=6, block_docs=16) == expected
+    assert near(df, long_list=3, block_docs=16, hot_value=4) == expected
 
 
 def test_shingle_rules():
@@ -137,8 +138,9 @@ def test_shingle_rules():
 
 def test_components_of_chain_and_ring(spark):
     edges = [(i, i + 1) for i in range(20, 60)] + [(1, 5), (5, 9), (9, 1), (7, 7)]
-    got = {r.id: r.label for r in near_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {**{i: 20 for i in range(20, 61)}, 1: 1, 5: 1, 9: 1}
+    for rows in (100, 7):  # contracted in one partition, and in several with rounds between them
+        got = {r.id: r.label for r in near_dedup.components(spark.createDataFrame(edges, "a long, b long"), rows).collect()}
+        assert got == {**{i: 20 for i in range(20, 61)}, 1: 1, 5: 1, 9: 1}
 
 
 def test_sharding_by_longest_processing_time(spark, corpus, odd):
