@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,6 +86,17 @@ def normal_url(url: Column) -> Column:
     return F.concat(scheme, F.lit("://"), netloc(url), F.when(rest == "", "/").otherwise(rest), query)
 
 
+def meta_content(html: Column, name: str) -> Column:
+    """Content of the last meta element of a name or property; empty if there is none."""
+    found = F.regexp_extract_all(html, F.lit(rf"""(?is)<meta\s[^>]*?(?:name|property)="{re.escape(name)}"[^>]*?\scontent="([^"]*)\""""), F.lit(1))
+    return F.trim(F.coalesce(F.try_element_at(found, F.lit(-1)), F.lit("")))
+
+
+def mixed_content(html: Column) -> Column:
+    """How many scripts, images and links load from plain http."""
+    return F.regexp_count(html, F.lit(r"""(?is)<(?:(?:script|style|noscript|img)\b[^>]*?\ssrc|link\b[^>]*?\shref)="http://""")).cast("int")
+
+
 def without_dots(path: Column) -> Column:
     """A path whose . and .. segments are resolved; .. above the root is dropped."""
     segments = F.split(path, "/")

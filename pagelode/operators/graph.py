@@ -122,6 +122,11 @@ def canonical_audit(traces: DataFrame, sites: DataFrame) -> DataFrame:
     return j.withColumn("v", verdict).groupBy("site").agg(overall.alias("overall"), F.count_if(~good).alias("failures"), F.count_if(F.col("v") == "redirect_chain").alias("chains"))
 
 
+def near_duplicate_report(pairs: DataFrame) -> DataFrame:
+    """Pairs with similarity to two decimals, the most similar first."""
+    return pairs.withColumn("similarity", F.bround("similarity", 2)).orderBy(F.desc("similarity"), "a", "b")
+
+
 def near_duplicate_pairs(docs: DataFrame, words: int = 5, least: float = 0.9, sample: int | None = 5000) -> tuple[DataFrame, DataFrame]:
     """((a, b, similarity), (doc_id, head)): pairs of distinct shingle sets, and which document stands for each.
 

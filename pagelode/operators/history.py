@@ -159,6 +159,12 @@ def expired(cache: DataFrame, now: int, days: int) -> DataFrame:
     return cache.where(F.lit(now) - F.col("created") > days * 86400)
 
 
+def running_cost(ledger: DataFrame) -> DataFrame:
+    """(command, day, cost, total): daily cost and the running total of each command; days are summed before they meet."""
+    days = ledger.groupBy("command", F.floor(F.col("ts") / 86400).alias("day")).agg(F.sum("cost").alias("cost"))
+    return days.withColumn("total", F.sum("cost").over(Window.partitionBy("command").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)))
+
+
 def cost_by_command(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("command").agg(F.sum("cost").alias("cost"), F.count("*").alias("calls"))
 

@@ -139,6 +139,27 @@ def cache_expired(spark, sf_dir):
     return history.expired(l, catalog.latest(l, "created"), 7).groupBy("command").agg(F.count("*").alias("n"))
 
 
+@query
+def drift_sections(spark, sf_dir):
+    """Metrics of three sections, of which both versions have a value and the values differ."""
+    line = read(spark, sf_dir, "lineitem")
+
+    def side(year):
+        parts = {"scores": (read(spark, sf_dir, "orders"), "o_orderdate", "o_orderpriority"), "backlinks": (line, "l_shipdate", "l_linestatus"), "mentions": (line, "l_shipdate", "l_returnflag")}
+        out = None
+        for section, (rows, day, key) in parts.items():
+            part = rows.where(F.year(day) == year).groupBy(F.lit(section).alias("section"), F.col(key).alias("key")).agg(F.count("*").cast("double").alias("value"))
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    return history.drift_values(side(1997), side(1998), ["section", "key"])
+
+
+@query
+def cost_running(spark, sf_dir):
+    return history.running_cost(inputs.ledger(spark, sf_dir))
+
+
 # -- API responses
 
 
@@ -493,6 +514,45 @@ def page_features(spark, sf_dir):
     return r.withColumns({**lists, "links": links}).drop("url", "title_length", "og_image", "number_density", "word_count", "scripts_total", "cta_above_fold")
 
 
+@query
+def page_meta(spark, sf_dir):
+    """Meta elements and mixed content of made pages in native columns."""
+    from pagelode.functions import text as X
+
+    h = F.col("html")
+    names = {"meta_description": "description", "og_title": "og:title", "twitter_card": "twitter:card", "meta_author": "author"}
+    return inputs.made_pages(spark, sf_dir).select("k", *[X.meta_content(h, n).alias(c) for c, n in names.items()], F.contains(F.lower(X.meta_content(h, "robots")), F.lit("noindex")).alias("noindex"), X.mixed_content(h).alias("mixed_content_count"))
+
+
+@query
+def patch_effect(spark, sf_dir):
+    """Findings that the machine patch of a missing viewport or language solves in made pages, and whether the score is no worse."""
+    p = inputs.made_pages(spark, sf_dir).select(F.col("k").alias("page_id"), "url", "html")
+    before = catalog.cut(catalog.rules.lint(pages.native_record(p), catalog.native_rules(), ["page_id"]))
+    found = before.select("page_id", F.explode("findings").alias("f")).select("page_id", F.col("f.rule_id").alias("rule_id")).where(F.col("rule_id").isin("missing-viewport", "missing-html-lang"))
+    plan = fixes.patch_plan(found, p.select("page_id", F.lit("en").alias("lang")), "page_id")
+    patched = p.join(plan, "page_id").select(F.struct("page_id", "rule_id").alias("page_id"), "url", fixes.apply_patch(F.col("html"), F.col("rule_id"), F.col("patch")).alias("html"))
+    after = catalog.rules.lint(pages.native_record(patched), catalog.native_rules(), ["page_id"]).select("page_id.*", F.col("score").alias("after"), F.col("failed").alias("left"))
+    return after.join(before.select("page_id", F.col("score").alias("before"), "failed"), "page_id").select(F.col("page_id").alias("k"), "rule_id", (F.col("failed") - F.col("left")).cast("int").alias("solved"), (F.col("after") >= F.col("before")).alias("no_worse"))
+
+
+@query
+def json_walk(spark, sf_dir):
+    """All values of JSON documents, through SQL."""
+    from pagelode.functions import walker
+
+    walker.register(spark)
+    i = F.col("conv_id").cast("string")
+    text = F.when(F.col("conv_id") % 9 == 0, "no json").otherwise(F.concat(F.lit('{"a": "x'), i, F.lit('", "b": [1, true, {"c": null}]}')))
+    rows = read(spark, sf_dir, "conversations").select("conv_id").distinct().withColumn("body", text)
+    return spark.sql("SELECT conv_id, w.path, w.kind, w.value FROM {rows}, LATERAL walk_json(body) w", rows=rows)
+
+
+@query
+def near_dup_report(spark, sf_dir):
+    return graph.near_duplicate_report(catalog.QUERIES["near_dup_pairs"](spark, sf_dir))
+
+
 @query
 def fold_position(spark, sf_dir):
     """Actions in the first two fifths of a made page's elements."""

@@ -217,6 +217,12 @@ FEATURES = {
 }
 
 SQL = {
+    "drift_sections": "WITH v AS (SELECT 'scores' AS section, o_orderpriority AS key, year(o_orderdate) AS y FROM orders UNION ALL SELECT 'backlinks', l_linestatus, year(l_shipdate) FROM lineitem UNION ALL SELECT 'mentions', l_returnflag, year(l_shipdate) FROM lineitem), g AS (SELECT section, key, y, count(*)::DOUBLE AS n FROM v GROUP BY ALL) SELECT a.section, a.key, a.n AS was, b.n AS now, b.n - a.n AS delta FROM g a JOIN g b ON a.section = b.section AND a.key = b.key AND a.y = 1997 AND b.y = 1998 WHERE a.n <> b.n",
+    "cost_running": f"WITH {LEDGER}, d AS (SELECT command, ts // 86400 AS day, sum(cost)::BIGINT AS cost FROM l GROUP BY ALL) SELECT command, day, cost, sum(cost) OVER (PARTITION BY command ORDER BY day)::BIGINT AS total FROM d",
+    "page_meta": f"SELECT {K} AS k, " + ", ".join(f"{FEATURES[c]} AS {c}" for c in ("meta_description", "og_title", "twitter_card", "meta_author", "noindex", "mixed_content_count")) + " FROM part",
+    "patch_effect": f"WITH v AS (SELECT {K} AS k, unnest(['missing-viewport', 'missing-html-lang']) AS rule_id FROM part) SELECT k, rule_id, 1 AS solved, true AS no_worse FROM v WHERE CASE rule_id WHEN 'missing-viewport' THEN k % 2 <> 0 ELSE k % 3 = 0 END",
+    "json_walk": "WITH c AS (SELECT DISTINCT conv_id FROM conversations WHERE conv_id % 9 <> 0) SELECT conv_id, unnest(['$', '$.a', '$.b', '$.b[0]', '$.b[1]', '$.b[2]', '$.b[2].c']) AS path, unnest(['object', 'string', 'array', 'number', 'boolean', 'object', 'null']) AS kind, unnest([NULL, 'x' || conv_id, NULL, '1', 'true', NULL, NULL]) AS value FROM c",
+    "near_dup_report": "SELECT a, b, round_even(similarity, 2) AS similarity FROM (" + BASE["near_dup_pairs"] + ")",
     "labels": "WITH u AS (SELECT page_id, 'site.example' || repeat('/part', (page_id % 13)::INT) || '?q=1' AS b, CASE WHEN page_id % 3 = 2 OR page_id % 13 = 0 THEN '' ELSE repeat('/part', (page_id % 13)::INT) END AS p FROM pages), s AS (SELECT *, CASE WHEN p = '' THEN '/' ELSE p END AS q FROM u) SELECT page_id, CASE WHEN length(b) > 48 THEN left(b, 47) || '…' ELSE b END AS short, CASE WHEN length(q) > 28 THEN left(q, 27) || '…' ELSE q END AS path, 'Missing h1 of ' || page_id AS name FROM s",
     "crawl_links": f"SELECT {K} AS k, ({K} % 4 = 2)::INT + {K} % 4 + {K} % 2 + {K} % 3 AS internal_link_count, {K} % 3 AS external_link_count, (CASE WHEN {K} % 4 = 2 THEN '|https://site.example/a>Skip to content' ELSE '' END || repeat('|https://site.example/in>Here', ({K} % 4)::INT) || repeat('|https://site.example/e>', ({K} % 2 + {K} % 3)::INT))[2:] AS internal FROM part",
     "loss_recs": "SELECT supplier, 'rank-loss-' || replace(keyword, ' ', '-') AS key, severity, CASE WHEN now IS NULL THEN 'Ranking lost: ' || chr(39) || keyword || chr(39) || ' (was ' || was || ')' ELSE 'Ranking dropped: ' || chr(39) || keyword || chr(39) || ' ' || was || ' → ' || now END AS finding FROM (" + BASE["rank_loss"] + ")",
