@@ -19,7 +19,6 @@ the first language in order; without labelled rows every text is
 from __future__ import annotations
 
 import re
-import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,13 +33,22 @@ BOUND = 1500
 ROUNDS = 8
 REJECT_QUANTILE = 0.001
 CHUNK = 1 << 20
-#: Runs of anything but letters (categories L*); numerals such as halves and superscripts count as word characters, so they are named.
-NOT_LETTERS = re.compile(r"[\W\d_%s]+" % "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal()))
+NOT_WORDS = re.compile(r"[\W\d_]+")
+
+
+def letters_of(text: str) -> str:
+    """The text's letters (categories L*), lower-cased, each run of anything else as one space."""
+    kept = NOT_WORDS.sub(" ", text.lower())
+    # halves, superscripts and the like count as word characters; few texts hold any
+    numerals = "".join(c for c in set(kept) if c != " " and not c.isalpha())
+    if numerals:
+        kept = re.sub(f"[{re.escape(numerals)}]", " ", kept)
+    return " ".join(kept.split())
 
 
 def gram_counts(text: str) -> np.ndarray | None:
     """Counts of hashed byte trigrams of the whole text; None if it has no letter."""
-    letters = NOT_LETTERS.sub(" ", text.lower()).strip()
+    letters = letters_of(text)
     if not letters:
         return None
     raw = np.frombuffer(f" {letters} ".encode(), np.uint8)
