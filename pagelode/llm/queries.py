@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from pagelode.llm import bpe, decontamination, exact_dedup, language_id, line_dedup, near_dedup, pii, quality, sharding, toxicity
+from pagelode.llm import bpe, centroids, decontamination, exact_dedup, language_id, line_dedup, near_dedup, pii, prefix_trie, quality, sharding, toxicity
 from pagelode.llm.common import documents, learning_sample, remainder, table
 
 
@@ -103,6 +103,16 @@ def op10_near_dedup(spark, sf_dir):
     return near_dedup.near_dedup(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op12_prefix_trie(spark, sf_dir):
+    """Every node of the trie of prefixes that rebuilt conversations share."""
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_centroids(spark, sf_dir):
+    """Every vector with its cluster after ten rounds over eight centroids."""
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))[0]
+
+
 def queries():
     return {
         "op1_sharding": op1_sharding,
@@ -115,6 +125,8 @@ def queries():
         "op8_line_dedup": op8_line_dedup,
         "op9_decontamination": op9_decontamination,
         "op10_near_dedup": op10_near_dedup,
+        "op12_prefix_trie": op12_prefix_trie,
+        "op13_centroids": op13_centroids,
     }
 
 
@@ -150,5 +162,65 @@ FROM m GROUP BY doc_id
 """
 
 
+#: CRC-32 of the decimal id, bit by bit.
+CRC32_OF_ID = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda r, i: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)), 4294967295)"""
+
+OP12_SQL = f"""
+WITH o AS (
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(role) || ':' || role || text)) AS p
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)
+), c AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base, {CRC32_OF_ID} % 9 AS h FROM (SELECT DISTINCT conv_id FROM o)
+), r AS (
+  SELECT c.conv_id, 0 AS part, p, role, text FROM c JOIN o ON o.conv_id = c.base AND p <= h
+  UNION ALL SELECT c.conv_id, 1, p, role, text FROM c JOIN o USING (conv_id) WHERE p > h
+), t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, p) AS d, strlen(text) AS bytes, sha256(strlen(role) || ':' || role || text) AS step FROM r
+), x AS (
+  SELECT conv_id, d, bytes, sha256(string_agg(step, ',') OVER (PARTITION BY conv_id ORDER BY d)) AS prefix FROM t
+  UNION ALL SELECT conv_id, 0, 0, '' FROM c
+), m AS (
+  SELECT conv_id, d, bytes, min(conv_id) OVER (PARTITION BY d, prefix) AS node, max(d) OVER (PARTITION BY conv_id) = d AS ended FROM x
+), n AS (
+  SELECT node, d, count(*) AS n_convs, any_value(bytes) AS bytes,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ended), '')) AS ends_sha256
+  FROM m GROUP BY node, d
+), e AS (SELECT n.node, n.d, up.node AS parent FROM n JOIN m up ON up.conv_id = n.node AND up.d = n.d - 1
+), k AS (SELECT parent AS node, d - 1 AS d, count(*) AS n_children FROM e GROUP BY ALL
+), s AS (
+  SELECT above.node, above.d, sum((n.n_convs - 1) * n.bytes) AS saved, count(*) FILTER (WHERE n_children IS NULL) AS n_leaves
+  FROM n LEFT JOIN k USING (node, d) JOIN m above ON above.conv_id = n.node AND above.d <= n.d GROUP BY ALL
+)
+SELECT n.node AS conv_id, n.d::BIGINT AS depth, e.parent AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0)::BIGINT AS n_children,
+       s.n_leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, n.ends_sha256
+FROM n JOIN s USING (node, d) LEFT JOIN e USING (node, d) LEFT JOIN k USING (node, d)
+"""
+
+
+def centroids_sql(k: int = 8, rounds: int = 10) -> str:
+    """Lloyd's rounds written out, one pair of steps a round."""
+    steps = [
+        """kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), x AS MATERIALIZED (SELECT row, unnest(v) AS a, generate_subscripts(v, 1) AS i FROM kept)""",
+        f"""c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY rank NULLS LAST, v) - 1 AS c, unnest(v) AS b, generate_subscripts(v, 1) AS i
+  FROM (SELECT sha256('3:' || vec_id) AS rank, v FROM kept ORDER BY rank NULLS LAST, v LIMIT {k})
+)""",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"d{r} AS (SELECT row, c, sum((a - b) * (a - b)) AS d FROM x JOIN c{r} USING (i) GROUP BY row, c)")
+        steps.append(f"a{r} AS MATERIALIZED (SELECT row, c, d FROM d{r} QUALIFY row_number() OVER (PARTITION BY row ORDER BY d, c) = 1)")
+        if r < rounds:
+            mean = f"SELECT c, i, sum(a) AS s, count(*) AS n FROM x JOIN a{r} USING (row) GROUP BY c, i"
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT c, i, coalesce((s - ((s % n) + n) % n) // n, b)::BIGINT AS b FROM c{r} LEFT JOIN ({mean}) USING (c, i))")
+    last = f"""h AS (SELECT c, sha256(string_agg(b::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY c)
+SELECT vec_id, c::INT AS cluster, d::BIGINT AS distance, sum(d) OVER (PARTITION BY c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, centroid_sha256
+FROM a{rounds} JOIN kept USING (row) JOIN h USING (c)"""
+    return "WITH " + ",\n".join([*steps, last])
+
+
 def oracle_sql():
-    return {"op4_exact_dedup": OP4_SQL, "op8_line_dedup": OP8_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op8_line_dedup": OP8_SQL, "op12_prefix_trie": OP12_SQL, "op13_centroids": centroids_sql()}
