@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from pagelode.llm import bpe, centroids, decontamination, exact_dedup, language_id, line_dedup, near_dedup, pii, prefix_trie, quality, sharding, toxicity
+from pagelode.llm import bpe, centroids, decontamination, exact_dedup, language_id, line_dedup, near_dedup, pii, prefix_trie, quality, sharding, token_files, toxicity
 from pagelode.llm.common import documents, learning_sample, remainder, table
 
 
@@ -103,6 +103,12 @@ def op10_near_dedup(spark, sf_dir):
     return near_dedup.near_dedup(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op11_token_files(spark, sf_dir):
+    """Token ids of every document from the coded files they were written to."""
+    found = token_files.round_trip(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op12_prefix_trie(spark, sf_dir):
     """Every node of the trie of prefixes that rebuilt conversations share."""
     return prefix_trie.trie(table(spark, sf_dir, "conversations"))
@@ -125,6 +131,7 @@ def queries():
         "op8_line_dedup": op8_line_dedup,
         "op9_decontamination": op9_decontamination,
         "op10_near_dedup": op10_near_dedup,
+        "op11_token_files": op11_token_files,
         "op12_prefix_trie": op12_prefix_trie,
         "op13_centroids": op13_centroids,
     }
