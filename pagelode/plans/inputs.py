@@ -149,6 +149,16 @@ def search_payloads(spark, sf_dir):
     return g.select("grp", F.when(F.col("grp") % 4 == 3, failed).otherwise(flat).alias("payload"))
 
 
+def nested_payloads(spark, sf_dir):
+    """(grp, payload): the groups' search responses below up to thirteen further results, each with an item of its own."""
+    def wrap(inner, level):
+        own = F.concat(F.lit('{"items": [{"url": "/'), F.col("grp").cast("string"), F.lit("/"), level.cast("string"), F.lit('"}, 7], "'))
+        return F.concat(own, F.when(level % 2 == 0, 'result": [').otherwise('tasks": [null, ['), inner, F.when(level % 2 == 0, "]}").otherwise("]]}"))
+
+    levels = F.when(F.col("grp") % 14 > 0, F.sequence(F.lit(1), (F.col("grp") % 14).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return search_payloads(spark, sf_dir).select("grp", F.aggregate(levels, F.col("payload"), wrap).alias("payload"))
+
+
 def ranking_payloads(spark, sf_dir):
     """(grp, payload): ranking responses in two item shapes, with zero positions and items without a keyword."""
     k = F.col("k")

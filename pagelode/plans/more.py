@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pagelode.functions import words as W
@@ -196,6 +197,14 @@ def search_items(spark, sf_dir):
     return payloads.serp_items(payloads.opened(inputs.search_payloads(spark, sf_dir)), ["grp"])
 
 
+@query
+def serp_nested(spark, sf_dir):
+    """Addresses of the items of deep responses, numbered in the order in which a response reads."""
+    found = payloads.serp_items(payloads.opened(inputs.nested_payloads(spark, sf_dir)), ["grp"])
+    at = F.row_number().over(Window.partitionBy("grp").orderBy("place"))
+    return found.select("grp", at.cast("int").alias("nr"), F.try_variant_get("item", "$.url", "string").alias("url"))
+
+
 @query
 def serp_features(spark, sf_dir):
     return scoring.features(search_items(spark, sf_dir), ["grp"])

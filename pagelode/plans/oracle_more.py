@@ -258,6 +258,7 @@ SQL = {
     "payload_volumes": f"WITH {CELLS} SELECT name AS keyword, CASE WHEN k % 3 = 0 THEN 5 WHEN k % 7 = 0 THEN NULL WHEN k % 2 = 0 THEN k * 10 ELSE k * 9 END::DOUBLE AS volume FROM ce",
     "payload_errors": f"WITH {CELLS} SELECT DISTINCT grp, 40501 AS status_code, 'bad field' AS message FROM ce WHERE grp % 4 = 3",
     "ai_overviews": f"WITH {CELLS}, o AS (SELECT grp, k, name, array_to_string(list_sort(list_distinct(['d' || k % 3 || '.example', 'd' || k % 5 || '.example', 'd' || k % 4 || '.example'])), '|') AS d FROM ce WHERE k % 20 = 7) SELECT g.grp, o.grp IS NOT NULL AS present, CASE WHEN o.grp IS NOT NULL THEN name = 'Supplier 000000027' OR contains(d, 'd3.example') END AS mentioned, d AS cited_domains FROM (SELECT DISTINCT grp FROM ce) g LEFT JOIN o USING (grp)",
+    "serp_nested": SEARCH + ", w AS (SELECT grp, unnest(range(1, grp % 14 + 1)) AS level FROM (SELECT DISTINCT grp FROM ce)) SELECT grp, (grp % 14 - level + 1)::INT AS nr, '/' || grp || '/' || level AS url FROM w UNION ALL SELECT grp, (grp % 14 + row_number() OVER (PARTITION BY grp ORDER BY k))::INT, url FROM it",
     "serp_features": SEARCH + " SELECT grp, kind AS feature, count(*) AS n FROM it WHERE kind <> 'organic' GROUP BY ALL",
     "serp_organic": SEARCH + " SELECT grp, url, title FROM og",
     "serp_types": TYPED + " SELECT grp, dominant, classified, share, confidence, verdict FROM cv",

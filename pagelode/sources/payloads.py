@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagelode.functions.walker import ResponseItems
+
 OK = 20000
 
 
@@ -85,29 +87,13 @@ def merged_volumes(wanted: DataFrame, snapshot: DataFrame, fetched: DataFrame) -
     return wanted.select("keyword").distinct().join(have, "keyword", "left").join(fetched.select("keyword", F.col("volume").alias("got")), "keyword", "left").select("keyword", F.coalesce("had", "got").alias("volume"))
 
 
-def serp_items(payloads: DataFrame, key: list[str], depth: int = 4, column: str = "payload") -> DataFrame:
-    """(key, place, item): members of every items list below result, results and tasks, down to ``depth`` such steps.
+def serp_items(payloads: DataFrame, key: list[str], column: str = "payload") -> DataFrame:
+    """(key, place, item): members of every items list below result, results and tasks, however deep.
 
-    place is the path of list positions, so rows sort in document order.
+    place is the path of steps, so rows sort in document order.
     """
-    node = payloads.select(*key, F.col(column).alias("node"), F.array().cast("array<int>").alias("place"))
-    out = None
-    for level in range(depth + 1):
-        found = node.select(*key, "place", F.posexplode(_list(F.col("node"), "$.items")).alias("pos", "item"))
-        found = found.select(*key, F.concat("place", F.array(F.lit(-1), "pos")).alias("place"), "item")
-        out = found if out is None else out.unionByName(found)
-        if level < depth:
-            below = F.concat(*[_children(F.col("node"), name) for name in ("result", "results", "tasks")])
-            node = node.select(*key, "place", F.posexplode(below).alias("pos", "node")).select(*key, F.concat("place", F.array("pos")).alias("place"), "node")
-    return out.where(F.schema_of_variant("item").startswith("OBJECT"))
-
-
-def _children(node: Column, name: str) -> Column:
-    """A member's elements if it is a list, lists in it opened once, else the member itself."""
-    one = F.try_variant_get(node, f"$.{name}", "variant")
-    many = F.try_variant_get(node, f"$.{name}", "array<variant>")
-    inner = F.flatten(F.transform(many, lambda x: F.coalesce(F.try_variant_get(x, "$", "array<variant>"), F.array(x))))
-    return F.coalesce(inner, F.when(one.isNotNull(), F.array(one)), F.array().cast("array<variant>"))
+    found = payloads.select(*key, F.to_json(column).alias("_document")).lateralJoin(ResponseItems(F.col("_document").outer()))
+    return found.select(*key, "place", F.try_parse_json("item").alias("item"))
 
 
 def task_errors(payloads: DataFrame, key: list[str], column: str = "payload") -> DataFrame:

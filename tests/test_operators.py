@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pagelode.functions import text as X
 from pagelode.operators import fixes, graph, history, logs, pages, recommendations, scoring, visibility
 from pagelode.plans import catalog, inputs
-from pagelode.sources import readers
+from pagelode.sources import payloads, readers
 
 
 def one(spark, column, **values):
@@ -275,3 +275,17 @@ def test_depth_beyond_fifty_links(spark):
     nodes = spark.range(n).withColumnRenamed("id", "node")
     edges = spark.range(n - 1).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
     assert graph.depths(nodes, edges, 0).agg(F.max("depth")).first()[0] == n - 1
+
+
+def test_response_items_at_any_depth(spark):
+    import json
+
+    node = {"items": [{"url": "last"}, 3, None]}
+    for level in range(12):
+        node = {"items": [{"url": f"own {level}"}], "results": [[node], "text"], "tasks": {"items": [{"url": f"task {level}"}]}}
+    rows = [(1, json.dumps(node)), (2, "no json"), (3, None), (4, json.dumps([node["tasks"], [[node["tasks"]]]])), (5, json.dumps({"items": {"url": "no list"}}))]
+    found = payloads.serp_items(payloads.opened(spark.createDataFrame(rows, "grp int, payload string")), ["grp"])
+    got = {}
+    for r in found.orderBy("grp", "place").select("grp", F.to_json("item").alias("i")).collect():
+        got.setdefault(r.grp, []).append(json.loads(r.i)["url"])
+    assert got == {1: [*(f"own {n}" for n in range(11, -1, -1)), "last", *(f"task {n}" for n in range(12))], 4: ["task 11"] * 2}
