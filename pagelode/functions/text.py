@@ -3,13 +3,25 @@
 from __future__ import annotations
 
 import re
+from functools import cache, wraps
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}_]+"
 
 
+def kept(make):
+    """``make``, its columns kept for each connection to Spark: building a large one takes thousands of calls."""
+
+    @cache
+    def of(gateway, *args):
+        return make(*args)
+
+    return wraps(make)(lambda *args: of(SparkContext._active_spark_context._gateway, *args))
+
+
 def once(df: DataFrame, keep: list[str], made: dict[str, Column]) -> DataFrame:
     """``keep`` and the ``made`` columns, each worked out once a row.
 
@@ -151,6 +163,19 @@ def total_occurrences(text: Column, phrases) -> Column:
     return out
 
 
+def phrase_count(text: Column, phrases) -> Column:
+    """Occurrences of all phrases together, in one pass; a phrase that begins a longer one counts beside it. No phrase may overlap itself."""
+    longest_first = sorted(phrases, key=lambda p: (-len(p), p))
+    first = "".join(sorted({re.escape(p[0]) for p in phrases}))
+    found = F.regexp_extract_all(text, F.lit(f"(?=[{first}])(?=({'|'.join(map(re.escape, longest_first))}))"), F.lit(1))
+    more = {p: sum(p.startswith(q) for q in phrases) for p in phrases}
+    out = F.size(found)
+    for p, n in more.items():
+        if n > 1:
+            out = out + (n - 1) * F.size(F.filter(found, lambda x: x == F.lit(p)))
+    return out
+
+
 def half_even(x: Column, digits: int = 0) -> Column:
     return F.bround(x, digits)
 

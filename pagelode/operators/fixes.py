@@ -15,17 +15,27 @@ def meta_draft(text: Column, limit: int = 155) -> Column:
     return F.regexp_replace(F.when(short, text).otherwise(cut), r"[ .,;:]+\z", "")
 
 
+def titled(text: Column) -> Column:
+    """Every run of letters with a capital first letter, the rest small."""
+    runs = F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 10_000))), "")
+
+
 def breadcrumb(url: Column) -> Column:
-    """BreadcrumbList JSON of a URL's path segments."""
+    """BreadcrumbList of a URL: the site as Home, then its path segments."""
     root = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     parts = F.filter(F.split(path, "/"), lambda p: p != "")
 
-    def item(p: Column, i: Column) -> Column:
-        name = F.initcap(F.replace(F.replace(F.regexp_replace(p, r"\.[a-z]+$", ""), F.lit("-"), F.lit(" ")), F.lit("_"), F.lit(" ")))
-        return F.struct(F.lit("ListItem").alias("type"), (i + 1).alias("position"), name.alias("name"), F.concat(root, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i + 1), "/")).alias("item"))
+    def item(position, name, address):
+        return F.struct(F.lit("ListItem").alias("@type"), position.alias("position"), name.alias("name"), address.alias("item"))
+
+    def step(p: Column, i: Column) -> Column:
+        name = F.trim(F.translate(p, "-_", "  "))
+        return item(i + 2, F.when(name == "", "Page").otherwise(titled(name)), F.concat(root, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i + 1), "/")))
 
-    return F.transform(parts, item)
+    items = F.concat(F.array(item(F.lit(1), F.lit("Home"), root)), F.transform(parts, step))
+    return F.struct(F.lit("https://schema.org").alias("@context"), F.lit("BreadcrumbList").alias("@type"), items.alias("itemListElement"))
 
 
 def escaped(text: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagelode.functions import html as H
+from pagelode.functions import tags as T
 from pagelode.functions import text as X
 from pagelode.functions import words as W
 from pagelode.operators import crawl, fixes, graph, history, impact, logs, pages, recommendations, reports, scoring, visibility
@@ -12,18 +13,6 @@ from pagelode.plans import inputs, oracle, rules
 from pagelode.operators.store import cut
 from pagelode.plans.inputs import read
 
-NATIVE = (
-    "missing-main-landmark", "missing-nav-landmark", "thin-content", "very-thin-content", "missing-h1", "missing-h2", "multiple-h1",
-    "canonical-relative", "missing-canonical", "page-not-https", "missing-html-lang", "few-internal-links", "no-external-links",
-    "meta-description-too-long", "meta-description-too-short", "missing-meta-description", "missing-title", "title-too-long",
-    "title-too-short", "missing-viewport", "missing-jsonld",
-)
-
-
-def native_rules():
-    return [r for r in rules.load_rules() if r.id in NATIVE]
-
-
 def records(spark, sf_dir):
     return pages.native_record(read(spark, sf_dir, "pages"))
 
@@ -33,7 +22,8 @@ def visited(spark, sf_dir):
 
 
 def linted(spark, sf_dir):
-    return rules.lint(records(spark, sf_dir), native_rules(), ["page_id", "url"])
+    """All pages under all rules; saved pages have no response headers, so their security fields count as missing."""
+    return rules.lint(T.page_records(read(spark, sf_dir, "pages")).withColumn("status", F.lit(200)), rules.load_rules(), ["page_id", "url"])
 
 
 def found(spark, sf_dir):

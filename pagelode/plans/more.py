@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from pagelode.functions import tags
 from pagelode.functions import words as W
 from pagelode.operators import fixes, graph, history, impact, pages, recommendations, reports, scoring, visibility
 from pagelode.plans import catalog, inputs
@@ -41,20 +42,17 @@ def impact_counts(spark, sf_dir):
 
 
 def lint_state(spark, sf_dir):
-    """Rule findings raised earlier: two of three pairs of page and native rule, in all statuses."""
-    rules = spark.createDataFrame([(n, r.id) for n, r in enumerate(catalog.native_rules())], "n int, rule_id string")
+    """Rule findings raised earlier: two of three pairs of page and rule, in all statuses."""
     i = F.col("page_id") + F.col("n")
-    pairs = read(spark, sf_dir, "pages").select("page_id", "url").join(F.broadcast(rules), F.lit(True))  # the catalogue's rules beside each page
+    pairs = read(spark, sf_dir, "pages").select("page_id", "url", F.posexplode(F.array(*[F.lit(r.id) for r in catalog.rules.load_rules()])).alias("n", "rule_id"))
     return pairs.where(i % 3 != 0).select("url", "rule_id", picked(W.STATUSES, i).alias("status"))
 
 
 def saved_run(spark, sf_dir):
-    """State before, and the events of saving a run of the first twelve rules over two of three pages."""
-    ran = [r.id for r in catalog.native_rules()][:12]
-    linted = read(spark, sf_dir, "pages").where("page_id % 3 <> 1")
-    found = catalog.found(spark, sf_dir).where((F.col("page_id") % 3 != 1) & F.col("rule_id").isin(*ran))
+    """State before, and the events of saving a run of all rules over all pages."""
+    ran = spark.createDataFrame([(r.id,) for r in catalog.rules.load_rules()], "rule_id string")
     state = lint_state(spark, sf_dir)
-    return state, recommendations.save_lint(state, found, linted, spark.createDataFrame([(x,) for x in ran], "rule_id string"))
+    return state, recommendations.save_lint(state, catalog.found(spark, sf_dir), read(spark, sf_dir, "pages"), ran)
 
 
 @query
@@ -458,8 +456,8 @@ def site_files(spark, sf_dir):
     from pagelode.operators.store import fresh_path
 
     to = fresh_path(spark, "site")
-    p = read(spark, sf_dir, "pages").where("page_id % 10 = 0").select(F.regexp_replace("html", "[\\r\\n]+", " ").alias("value"), (F.col("page_id") % 50).alias("part"))
-    p.where("part < 40").repartition(4, "part").write.partitionBy("part").text(to)
+    p = read(spark, sf_dir, "pages").select(F.regexp_replace("html", "[\\r\\n]+", " ").alias("value"), (F.col("page_id") % 50).alias("part"))
+    p.repartition("part").write.partitionBy("part").text(to)
     return readers.html_files(spark, to, "*.txt").select(F.regexp_extract("url", "part=([0-9]+)", 1).cast("int").alias("part"), F.regexp_count("html", F.lit("(?i)<title")).cast("long").alias("titles")).groupBy("part").agg(F.sum("titles").alias("titles"))
 
 
@@ -537,11 +535,11 @@ def page_meta(spark, sf_dir):
 def patch_effect(spark, sf_dir):
     """Findings that the machine patch of a missing viewport or language solves in made pages, and whether the score is no worse."""
     p = inputs.made_pages(spark, sf_dir).select(F.col("k").alias("page_id"), "url", "html")
-    before = catalog.cut(catalog.rules.lint(pages.native_record(p), catalog.native_rules(), ["page_id"]))
+    before = catalog.cut(catalog.rules.lint(tags.page_records(p), catalog.rules.load_rules(local=True), ["page_id"]))
     found = before.select("page_id", F.explode("findings").alias("f")).select("page_id", F.col("f.rule_id").alias("rule_id")).where(F.col("rule_id").isin("missing-viewport", "missing-html-lang"))
     plan = fixes.patch_plan(found, p.select("page_id", F.lit("en").alias("lang")), "page_id")
     patched = p.join(plan, "page_id").select(F.struct("page_id", "rule_id").alias("page_id"), "url", fixes.apply_patch(F.col("html"), F.col("rule_id"), F.col("patch")).alias("html"))
-    after = catalog.rules.lint(pages.native_record(patched), catalog.native_rules(), ["page_id"]).select("page_id.*", F.col("score").alias("after"), F.col("failed").alias("left"))
+    after = catalog.rules.lint(tags.page_records(patched), catalog.rules.load_rules(local=True), ["page_id"]).select("page_id.*", F.col("score").alias("after"), F.col("failed").alias("left"))
     return after.join(before.select("page_id", F.col("score").alias("before"), "failed"), "page_id").select(F.col("page_id").alias("k"), "rule_id", (F.col("failed") - F.col("left")).cast("int").alias("solved"), (F.col("after") >= F.col("before")).alias("no_worse"))
 
 

@@ -40,40 +40,132 @@ r AS (
   FROM v
 )"""
 
-#: id, severity weight, SQL condition, in load order within the severities.
-NATIVE_RULES = [
-    ("missing-main-landmark", "accessibility", "medium", "NOT has_main"),
-    ("missing-nav-landmark", "accessibility", "low", "NOT has_nav"),
-    ("thin-content", "content", "high", "word_count < 300"),
-    ("very-thin-content", "content", "critical", "word_count < 100"),
-    ("missing-h1", "headings", "critical", "len(h1) = 0"),
-    ("missing-h2", "headings", "medium", "h2_count = 0"),
-    ("multiple-h1", "headings", "high", "len(h1) > 1"),
+LACKS = "NOT coalesce(list_contains(list_transform(schema_types, lambda x: lower(x)), '{0}'), false)"
+ZERO = "coalesce({0}, 0) = 0"
+BLANK = "coalesce({0}, '') = ''"
+#: id, category, severity and when it fires, as the rules are documented; in load order.
+RULES = (
+    *((i, "accessibility", s, f"coalesce({c}, 0) >= 1") for i, s, c in (("duplicate-id", "high", "duplicate_ids"), ("empty-button", "high", "empty_buttons"), ("empty-link", "high", "empty_links"), ("form-input-unlabelled", "high", "form_inputs_unlabelled"), ("generic-link-text", "low", "generic_link_texts"), ("heading-order-skip", "medium", "heading_skips"), ("iframe-missing-title", "medium", "iframes_missing_title"))),
+    *((i, "accessibility", s, f"NOT coalesce({c}, false)") for i, s, c in (("missing-main-landmark", "medium", "has_main"), ("missing-nav-landmark", "low", "has_nav"), ("missing-skip-link", "medium", "has_skip_link"))),
+    ("positive-tabindex", "accessibility", "medium", "coalesce(positive_tabindex, 0) >= 1"),
+    ("table-missing-headers", "accessibility", "medium", "coalesce(tables_without_th, 0) >= 1"),
+    ("thin-content", "content", "high", "coalesce(word_count, 0) < 300"),
+    ("very-thin-content", "content", "critical", "coalesce(word_count, 0) < 100"),
+    ("competing-ctas", "cro", "medium", "coalesce(cta_count, 0) >= 7"),
+    ("form-has-captcha", "cro", "low", "coalesce(form_has_captcha, false)"),
+    ("generic-primary-cta", "cro", "medium", "coalesce(primary_cta_generic, false)"),
+    ("high-form-friction", "cro", "high", "coalesce(form_fields_max, 0) >= 6"),
+    ("missing-contact-option", "cro", "low", ZERO.format("tel_links")),
+    ("missing-faq", "cro", "low", "NOT coalesce(faq_present, false)"),
+    ("missing-trust-signals", "cro", "high", ZERO.format("trust_signal_count")),
+    ("no-cta-above-fold", "cro", "high", ZERO.format("cta_above_fold")),
+    ("no-cta", "cro", "critical", ZERO.format("cta_count")),
+    ("no-urgency-signal", "cro", "low", ZERO.format("urgency_signal_count")),
+    ("missing-h1", "headings", "critical", ZERO.format("h1_count")),
+    ("missing-h2", "headings", "medium", ZERO.format("h2_count")),
+    ("multiple-h1", "headings", "high", "coalesce(h1_count, 0) > 1"),
+    ("images-missing-alt", "images", "high", "coalesce(images_missing_alt, 0) >= 1"),
     ("canonical-relative", "indexability", "medium", "starts_with(canonical, '/')"),
+    ("fetch-status-error", "indexability", "critical", "status <> 200"),
+    ("js-content-gap", "indexability", "high", "coalesce(js_content_ratio, 0) >= 1.5"),
     ("missing-canonical", "indexability", "medium", "canonical = ''"),
+    ("page-noindex", "indexability", "high", "coalesce(noindex, false)"),
     ("page-not-https", "indexability", "medium", "NOT contains(lower(url), 'https://')"),
-    ("missing-html-lang", "international", "medium", "html_lang = ''"),
-    ("few-internal-links", "links", "low", "internal_link_count < 3"),
-    ("no-external-links", "links", "low", "links - internal_link_count = 0"),
-    ("meta-description-too-long", "metadata", "low", "length(meta_description) > 170"),
-    ("meta-description-too-short", "metadata", "low", "length(meta_description) < 70"),
-    ("missing-meta-description", "metadata", "high", "meta_description = ''"),
-    ("missing-title", "metadata", "critical", "title = ''"),
-    ("title-too-long", "metadata", "medium", "length(title) > 65"),
-    ("title-too-short", "metadata", "low", "length(title) < 30"),
-    ("missing-viewport", "mobile", "high", "NOT has_viewport"),
-    ("missing-jsonld", "schema", "high", "schema_blocks = 0"),
-]
+    ("missing-html-lang", "international", "medium", BLANK.format("html_lang")),
+    ("few-internal-links", "links", "low", "coalesce(internal_link_count, 0) < 3"),
+    ("no-external-links", "links", "low", ZERO.format("external_link_count")),
+    ("meta-description-too-long", "metadata", "low", "coalesce(meta_description_length, 0) > 170"),
+    ("meta-description-too-short", "metadata", "low", "coalesce(meta_description_length, 0) < 70"),
+    ("missing-meta-description", "metadata", "high", BLANK.format("meta_description")),
+    ("missing-title", "metadata", "critical", BLANK.format("title")),
+    ("title-too-long", "metadata", "medium", "coalesce(title_length, 0) > 65"),
+    ("title-too-short", "metadata", "low", "coalesce(title_length, 0) < 30"),
+    ("missing-viewport", "mobile", "high", "NOT coalesce(has_viewport, false)"),
+    ("missing-article-schema", "schema", "low", LACKS.format("article")),
+    ("missing-breadcrumb-schema", "schema", "low", LACKS.format("breadcrumblist")),
+    ("missing-jsonld", "schema", "high", ZERO.format("schema_blocks")),
+    ("missing-organization-schema", "schema", "low", LACKS.format("organization")),
+    ("missing-csp", "security", "low", "NOT coalesce(security_csp, false)"),
+    ("missing-hsts", "security", "low", "NOT coalesce(security_hsts, false)"),
+    ("mixed-content", "security", "high", "coalesce(mixed_content_count, 0) >= 1"),
+    ("missing-og-title", "social", "low", BLANK.format("og_title")),
+    ("missing-twitter-card", "social", "low", BLANK.format("twitter_card")),
+)
 WEIGHT = {"critical": 25, "high": 15, "medium": 8, "low": 3}
 
+LEGACY = r"regexp_replace({t}, '&(copy|middot|quot|lt|gt|nbsp|laquo|raquo|amp)([^;a-z]|$)', '&\1;\2', 'g')"
+TRUST = ("guarantee", "money-back", "money back", "refund", "warranty", "testimonial", "testimonials", "reviews", "reviewed", "rated", "stars", "trusted by", "as seen", "certified", "accredited", "award", "secure checkout", "ssl secure", "verified", "trustpilot", "feefo", "google reviews", "years of experience", "years in business")
+URGENT = ("limited time", "limited offer", "ends soon", "offer ends", "% off", "sale ends", "last chance", "countdown", "today only", "expires", "only a few left", "selling fast")
+CALLS = ("get started", "sign up", "signup", "register", "buy now", "buy", "shop", "order", "book", "book a demo", "book a consultation", "book a call", "demo", "request a demo", "get a quote", "get quote", "quote", "contact us", "contact", "call us", "call now", "phone", "download", "subscribe", "join", "try", "start free", "free trial", "add to cart", "add to basket", "checkout", "enquire", "enquiry", "apply", "claim", "get my", "schedule", "reserve", "submit", "send")
+
+
+def listed(words):
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def tags(name, more="", where="true"):
+    """Opening tags of a name, as a list, for which ``where`` holds of x."""
+    return rf"list_filter(regexp_extract_all(clean, '(?is)<{name}\b[^>]*>'), lambda x: {where})"
+
+
+def having(name, attribute, value=None):
+    test = f"regexp_matches(x, '(?is)\\s{attribute}\\s*=\\s*\"" + ("[^\"]*[^\"\\s][^\"]*\"')" if value is None else f"{value}\"')")
+    return tags(name, where=test), tags(name, where=f"NOT {test}")
+
+
+def occurrences(words):
+    return f"list_sum(list_transform({listed(words)}, lambda w: (length(low) - length(replace(low, w, ''))) // length(w)))::BIGINT"
+
+
+# the rules' fields of every page, by patterns over the whole page and, for calls to action, over its tags in order
+RECORD = rf"""
+, cv AS (SELECT page_id, url, html, host, clean, hrefs, {unesc(LEGACY.format(t="regexp_replace(clean, '(<[^>]*>)+', ' ', 'g')"))} AS visible FROM v),
+tk AS (SELECT page_id, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos FROM (SELECT page_id, regexp_extract_all(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)(<script\b[^>]*>).*?</script>', '\1', 'g'), '<[^>]*>|[^<]+') AS toks FROM pages)),
+el AS (SELECT *, sum(CASE WHEN regexp_matches(tok, '^<[a-zA-Z]') THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY pos) AS seen,
+  max(CASE WHEN regexp_matches(tok, '(?is)^<a\b[^>]*\shref="[^"]+"|^<button\b') THEN pos END) OVER (PARTITION BY page_id ORDER BY pos) AS opened FROM tk),
+bd AS (SELECT page_id, coalesce(max(seen) FILTER (regexp_matches(tok, '(?i)^<body\b')), 0) AS body, max(seen) AS total FROM el GROUP BY ALL),
+ca AS (SELECT c.page_id, c.pos, c.seen, {squeeze(unesc("coalesce(string_agg(t.tok, ' ' ORDER BY t.pos) FILTER (NOT starts_with(t.tok, '<')), '')"))} AS said
+  FROM el c JOIN el t ON t.page_id = c.page_id AND t.pos BETWEEN c.opened AND c.pos WHERE regexp_matches(c.tok, '(?i)^</(a|button)\s*>') GROUP BY ALL),
+cc AS (SELECT page_id, count(*) AS cta_count, count(*) FILTER (seen < body + 0.4::DOUBLE * greatest(total - body, 1)) AS cta_above_fold, lower(arg_min(said, pos)) IN ('submit', 'click here', 'go', 'send', 'ok', 'more', 'learn more') AS primary_cta_generic
+  FROM ca JOIN bd USING (page_id) WHERE len(list_filter({listed(CALLS)}, lambda w: contains(lower(said), w))) > 0 GROUP BY ALL),
+q AS (SELECT *, lower(visible) AS low,
+    list_filter(list_transform(regexp_extract_all(clean, '(?is)<[a-z][^>]*?\sid="([^"]*)"', 1), lambda x: x), lambda x: x <> '') AS ids,
+    list_transform(regexp_extract_all(clean, '(?is)<a\b[^>]*?\shref="[^"]+"[^>]*>(.*?)</a\s*>', 1), lambda x: {squeeze(unesc(NOTAGS.format(t="x")))}) AS anchors,
+    list_transform(regexp_extract_all(clean, '(?i)<h([1-6])\b', 1), lambda x: x::INT) AS levels,
+    regexp_extract_all(html, '(?is)<script\b[^>]*application/ld\+json[^>]*>(.*?)</script', 1) AS blocks,
+    regexp_replace(clean, '(?is)<label\b.*?</label\s*>', ' ', 'g') AS unlabelled FROM cv),
+lr AS (
+  SELECT q.page_id, q.url, 200 AS status, NULL::DOUBLE AS js_content_ratio, NULL::BOOLEAN AS security_csp, NULL::BOOLEAN AS security_hsts,
+    r.title, length(r.title) AS title_length, r.html_lang, len(r.h1) AS h1_count, r.h2_count, r.internal_link_count, r.links - r.internal_link_count AS external_link_count, r.canonical, r.has_viewport,
+    trim(r.meta_description) AS meta_description, length(trim(r.meta_description)) AS meta_description_length,
+    len(regexp_extract_all(visible, '[\p{{L}}\p{{N}}_]+')) AS word_count, len(ids) - len(list_distinct(ids)) AS duplicate_ids,
+    len(list_filter(regexp_extract_all(clean, '(?is)<button\b[^>]*>.*?</button\s*>'), lambda x: trim({NOTAGS.format(t="x")}) = '' AND NOT contains(x, 'aria-label'))) AS empty_buttons,
+    len(list_filter(regexp_extract_all(clean, '(?is)<a\b[^>]*?\shref="[^"]+"[^>]*>.*?</a\s*>'), lambda x: trim({NOTAGS.format(t="x")}) = '' AND NOT regexp_matches(x, '(?is)aria-label="[^"]|alt="[^"]*[^"\s]'))) AS empty_links,
+    len(list_filter(regexp_extract_all(unlabelled, '(?is)<(?:input|textarea|select)\b[^>]*>'), lambda x: NOT regexp_matches(x, '(?i)type="(hidden|submit|button|reset)"|aria-label|title=') AND NOT contains(clean, 'for="' || regexp_extract(x, '(?i)id="([^"]+)"', 1) || '"'))) AS form_inputs_unlabelled,
+    len(list_filter(anchors, lambda x: lower(x) IN ('click here', 'here', 'read more', 'more', 'learn more', 'link', 'this', 'this page', 'find out more', 'see more', 'view more'))) AS generic_link_texts,
+    len(list_filter(range(2, len(levels) + 1), lambda i: levels[i] > levels[i - 1] + 1)) AS heading_skips,
+    len({having("iframe", "title")[1]}) AS iframes_missing_title, r.has_main OR len({having("[a-z]+", "role", "main")[0]}) > 0 AS has_main, r.has_nav OR len({having("[a-z]+", "role", "navigation")[0]}) > 0 AS has_nav,
+    regexp_matches(clean, '(?is)<a\b[^>]*\shref="#[^>]*>[^<]*skip') AS has_skip_link, len({having("[a-z]+", "tabindex", "0*[1-9][0-9]*")[0]}) AS positive_tabindex,
+    len(list_filter(regexp_extract_all(clean, '(?is)<table\b.*?</table\s*>'), lambda x: NOT regexp_matches(x, '(?i)<th\b'))) AS tables_without_th,
+    coalesce(cta_count, 0) AS cta_count, coalesce(cta_above_fold, 0) AS cta_above_fold, coalesce(primary_cta_generic, false) AS primary_cta_generic,
+    regexp_matches(html, '(?is)<(script|style|noscript)\b[^>]*src="[^"]*(recaptcha|hcaptcha|turnstile)') AS form_has_captcha,
+    coalesce(list_max(list_transform(regexp_extract_all(clean, '(?is)<form\b.*?</form\s*>'), lambda x: len(regexp_extract_all(x, '(?i)<(input|textarea|select)\b')))), 0) AS form_fields_max,
+    len(list_filter(hrefs, lambda x: starts_with(lower(x), 'tel:'))) AS tel_links, {occurrences(TRUST)} AS trust_signal_count, {occurrences(URGENT)} AS urgency_signal_count,
+    contains(lower(array_to_string(blocks, ' ')), '"faqpage"') OR regexp_matches(clean, '(?is)<h2\b[^>]*>[^<]*(faq|frequently asked)') AS faq_present,
+    len({having("img", "alt")[1]}) AS images_missing_alt, regexp_matches(clean, '(?is)<meta\b[^>]*name="robots"[^>]*noindex') AS noindex, len(blocks) AS schema_blocks,
+    flatten(list_transform(blocks, lambda b: regexp_extract_all(b, '"@type"\s*:\s*"([^"]*)"', 1))) AS schema_types,
+    len(regexp_extract_all(html, '(?is)<(?:(?:script|style|noscript|img)\b[^>]*?\ssrc|link\b[^>]*?\shref)="http://')) AS mixed_content_count,
+    regexp_extract(clean, '(?is)<meta\b[^>]*(?:name|property)="og:title"[^>]*content="([^"]*)"', 1) AS og_title, regexp_extract(clean, '(?is)<meta\b[^>]*(?:name|property)="twitter:card"[^>]*content="([^"]*)"', 1) AS twitter_card
+  FROM q JOIN r USING (page_id) LEFT JOIN cc USING (page_id)
+)"""
+
 FOUND = (
     "WITH "
     + PAGES
+    + RECORD
     + ", f AS ("
-    + " UNION ALL ".join(
-        f"SELECT page_id, '{i}' AS rule_id, '{c}' AS category, '{s}' AS severity, {WEIGHT[s]} AS weight FROM r WHERE {q}" for i, c, s, q in NATIVE_RULES
-    )
-    + "), s AS (SELECT r.page_id, r.url, greatest(0, 100 - coalesce(sum(weight), 0)) AS score, count(rule_id) AS failed FROM r LEFT JOIN f USING (page_id) GROUP BY ALL)"
+    + " UNION ALL ".join(f"SELECT page_id, '{i}' AS rule_id, '{c}' AS category, '{s}' AS severity, {WEIGHT[s]} AS weight FROM lr WHERE {q}" for i, c, s, q in RULES)
+    + "), s AS (SELECT lr.page_id, lr.url, greatest(0, 100 - coalesce(sum(weight), 0)) AS score, count(rule_id) AS failed FROM lr LEFT JOIN f USING (page_id) GROUP BY ALL)"
 )
 
 EDGES = """
@@ -216,7 +308,7 @@ SQL = {
     "visibility_diff": "WITH c AS (SELECT conv_id, bool_or(instr(lower(text), 'the') > 0) FILTER (turn < 2) AS w, bool_or(instr(lower(text), 'and') > 0) FILTER (turn >= 1) AS n FROM conversations GROUP BY 1) SELECT conv_id, CASE WHEN NOT coalesce(w, false) AND coalesce(n, false) THEN 'gained' WHEN coalesce(w, false) AND NOT coalesce(n, false) THEN 'lost' WHEN coalesce(w, false) THEN 'kept' ELSE 'absent' END AS change FROM c",
     "meta_draft": r"WITH d AS (SELECT doc_id, CASE WHEN length(text) <= 155 THEN text ELSE regexp_replace(left(text, 155), '\s\S*$', '') END AS t FROM documents) SELECT doc_id, regexp_replace(t, '[ .,;:]+$', '') AS draft FROM d",
     "keyword_candidates": f"WITH {PAGES}, q AS (SELECT page_id, list_filter(regexp_extract_all(lower(coalesce(nullif(h1[1], ''), title)), '[A-Za-z0-9][A-Za-z0-9''-]*'), lambda w: w NOT IN ('the','a','an','and','or','for','with','to','of','in','on','your','our','best','guide','2025','2026')) AS w FROM r) SELECT page_id, nullif(array_to_string(w[1:4], ' '), '') AS keyword FROM q",
-    "pr_gate": FOUND + ", a AS (SELECT s.page_id, score, coalesce(list(rule_id) FILTER (rule_id IS NOT NULL), []) AS rules FROM s LEFT JOIN f USING (page_id) GROUP BY ALL), b AS (SELECT page_id - 1 AS page_id, score AS before_score, rules AS was FROM a), j AS (SELECT a.page_id AS path, before_score, score AS after_score, list_sort(list_filter(rules, lambda x: NOT list_contains(coalesce(was, []), x) AND list_contains(['" + "', '".join(i for i, _, s, _ in NATIVE_RULES if s in ("critical", "high")) + "'], x))) AS new FROM a LEFT JOIN b USING (page_id)) SELECT path, before_score, after_score, array_to_string(list_filter([CASE WHEN after_score < 30 THEN 'below_min' END, CASE WHEN before_score - after_score > 5 THEN 'dropped' END, CASE WHEN len(new) > 0 THEN 'new_findings' END], lambda x: x IS NOT NULL), '|') AS reasons, array_to_string(new, '|') AS new_rules FROM j WHERE after_score < 30 OR before_score - after_score > 5 OR len(new) > 0",
+    "pr_gate": FOUND + ", a AS (SELECT s.page_id, score, coalesce(list(rule_id) FILTER (rule_id IS NOT NULL), []) AS rules FROM s LEFT JOIN f USING (page_id) GROUP BY ALL), b AS (SELECT page_id - 1 AS page_id, score AS before_score, rules AS was FROM a), j AS (SELECT a.page_id AS path, before_score, score AS after_score, list_sort(list_filter(rules, lambda x: NOT list_contains(coalesce(was, []), x) AND list_contains(['" + "', '".join(i for i, _, s, _ in RULES if s in ("critical", "high")) + "'], x))) AS new FROM a LEFT JOIN b USING (page_id)) SELECT path, before_score, after_score, array_to_string(list_filter([CASE WHEN after_score < 30 THEN 'below_min' END, CASE WHEN before_score - after_score > 5 THEN 'dropped' END, CASE WHEN len(new) > 0 THEN 'new_findings' END], lambda x: x IS NOT NULL), '|') AS reasons, array_to_string(new, '|') AS new_rules FROM j WHERE after_score < 30 OR before_score - after_score > 5 OR len(new) > 0",
 }
 SQL["forecast_totals"] = f"SELECT count(*) AS keywords, {', '.join(f'sum({c}) AS {c}' for c in ('now_clicks', 'low', 'expected', 'high', 'uplift'))} FROM ({SQL['forecast']})"
 
@@ -271,12 +363,29 @@ SQL["patch_plan"] = (
     + f" WHEN 'missing-meta-description' THEN '<meta name=\"description\" content=\"' || {ESC.format(t="nullif(m, '')")} || '\">' WHEN 'missing-title' THEN '<title>' || {ESC.format(t="nullif(h, '')")} || '</title>' END AS patch FROM j)"
     + " SELECT page_id, rule_id, patch, patch IS NULL AS skipped FROM o"
 )
-SQL["breadcrumb_json"] = (
-    "WITH p AS (SELECT page_id, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) AS root, list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') AS parts FROM pages),"
-    " i AS (SELECT page_id, root, parts, list_transform(range(1, len(parts) + 1), lambda k: '{\"type\":\"ListItem\",\"position\":' || k || ',\"name\":\"' || array_to_string(list_transform(string_split(replace(replace(regexp_replace(parts[k], '\\.[a-z]+$', ''), '-', ' '), '_', ' '), ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ') || '\",\"item\":\"' || root || '/' || array_to_string(parts[1:k], '/') || '\"}') AS items FROM p)"
-    " SELECT page_id, '[' || array_to_string(items, ',') || ']' AS breadcrumb FROM i"
+CRUMBS = (
+    "p AS (SELECT page_id, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) AS root, list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') AS parts FROM pages),"
+    " nm AS (SELECT page_id, root, parts, list_transform(parts, lambda p: trim(translate(p, '-_', '  '))) AS names FROM p),"
+    " i AS (SELECT page_id, list_transform(range(1, len(parts) + 1), lambda k: '{\"@type\":\"ListItem\",\"position\":' || (k + 1) || ',\"name\":\"' || CASE WHEN names[k] = '' THEN 'Page' ELSE array_to_string(list_transform(regexp_extract_all(lower(names[k]), '\\p{L}+|[^\\p{L}]+'), lambda w: upper(left(w, 1)) || substr(w, 2)), '') END || '\",\"item\":\"' || root || '/' || array_to_string(parts[1:k], '/') || '\"}') AS items, root FROM nm),"
+    " cr AS (SELECT page_id, '{\"@context\":\"https://schema.org\",\"@type\":\"BreadcrumbList\",\"itemListElement\":[' || array_to_string(list_prepend('{\"@type\":\"ListItem\",\"position\":1,\"name\":\"Home\",\"item\":\"' || root || '\"}', items), ',') || ']}' AS breadcrumb FROM i)"
+)
+SQL["breadcrumb_json"] = "WITH " + CRUMBS + " SELECT * FROM cr"
+SQL["patch_plan"] = (
+    SQL["patch_plan"].replace(" SELECT page_id, rule_id, patch, patch IS NULL AS skipped FROM o", ", " + CRUMBS)
+    + " SELECT page_id, rule_id, patch, patch IS NULL AS skipped FROM o UNION ALL SELECT page_id, rule_id, '<script type=\"application/ld+json\">' || breadcrumb || '</script>', false FROM f JOIN cr USING (page_id) WHERE rule_id = 'missing-breadcrumb-schema'"
 )
 
+# the rules that need no fetch, worst first
+LOCAL = [(n, i, s) for n, (i, _, s, _) in enumerate(RULES) if i not in ("page-not-https", "missing-csp", "missing-hsts")]
+SQL["lint_full"] = (
+    FOUND
+    + ", ru AS (SELECT unnest(["
+    + ", ".join(f"'{i}'" for _, i, _ in LOCAL)
+    + "]) AS rule_id, unnest(["
+    + ", ".join(str(1000 * list(WEIGHT).index(s) + n) for n, _, s in LOCAL)
+    + f"]) AS place) SELECT lr.page_id, greatest(0, 100 - coalesce(sum(weight), 0)) AS score, {len(LOCAL)} AS rules_run, {len(LOCAL)} - count(rule_id) AS passed, count(rule_id) AS failed, coalesce(string_agg(rule_id, ',' ORDER BY place), '') AS fired"
+    + " FROM lr LEFT JOIN (SELECT * FROM f JOIN ru USING (rule_id)) x USING (page_id) GROUP BY lr.page_id"
+)
 SQL["lint_annotations"] = FOUND + " SELECT r.url AS file, '::' || CASE WHEN severity IN ('critical', 'high') THEN 'error' WHEN severity = 'medium' THEN 'warning' ELSE 'notice' END || ' file=' || replace(replace(replace(r.url, '%', '%25'), ':', '%3A'), ',', '%2C') || ',title=' || rule_id || '::' || category || ' ' || rule_id AS line FROM f JOIN r USING (page_id)"
 SQL["pr_summary"] = "SELECT path, '| ' || path || ' | ' || coalesce(before_score::VARCHAR, 'new') || ' | ' || after_score || ' | ' || CASE WHEN before_score IS NULL THEN '' WHEN after_score > before_score THEN '+' || (after_score - before_score) ELSE (after_score - before_score)::VARCHAR END || ' | ' || replace(reasons, '|', ', ') || ' |' AS line FROM (" + SQL["pr_gate"] + ")"
 SQL["drift_chart"] = "SELECT upper(left(label, 1)) || substr(label, 2) AS label, value FROM (UNPIVOT (" + SQL["drift_stats"] + ") ON COLUMNS(*) INTO NAME label VALUE value)"

@@ -1,6 +1,6 @@
 """DuckDB twins of the further queries."""
 
-from pagelode.plans.oracle import FOUND, LEDGER, NATIVE_RULES, RANK, RECS, SQL as BASE
+from pagelode.plans.oracle import BLANK, FOUND, LEDGER, RANK, RECS, RULES, WEIGHT, ZERO, SQL as BASE
 
 SEC = "CAST(epoch(DATE '{d}') AS BIGINT)"
 
@@ -39,16 +39,16 @@ j AS (
 )"""
 
 STATE = (
-    "ru AS (SELECT unnest([" + ", ".join(f"'{i}'" for i, *_ in NATIVE_RULES) + "]) AS rule_id, unnest(range(" + str(len(NATIVE_RULES)) + ")) AS n), "
+    "ru AS (SELECT unnest([" + ", ".join(f"'{i}'" for i, *_ in RULES) + "]) AS rule_id, unnest(range(" + str(len(RULES)) + ")) AS n), "
     "st AS (SELECT url, rule_id, n, page_id, ['open', 'accepted', 'done', 'ignored', 'resolved'][(page_id + n) % 5 + 1] AS status FROM pages, ru WHERE (page_id + n) % 3 <> 0), "
 )
 SAVED = (
     FOUND
     + ", "
     + STATE
-    + "fd AS (SELECT r.url, f.rule_id FROM f JOIN r USING (page_id) JOIN ru USING (rule_id) WHERE page_id % 3 <> 1 AND n < 12), "
+    + "fd AS (SELECT r.url, f.rule_id FROM f JOIN r USING (page_id)), "
     "ev AS (SELECT fd.url, fd.rule_id, 'raise' AS event, CASE WHEN status IS NULL THEN 'rec_raised' WHEN status IN ('done', 'resolved') THEN 'rec_reopened' ELSE 'raised_again' END AS kind, CASE WHEN status IS NULL OR status IN ('done', 'resolved') THEN 'open' ELSE status END AS status FROM fd LEFT JOIN st USING (url, rule_id)"
-    " UNION ALL SELECT url, rule_id, 'status', 'rec_status', 'resolved' FROM st WHERE status IN ('open', 'accepted') AND page_id % 3 <> 1 AND n < 12 AND (url, rule_id) NOT IN (SELECT url, rule_id FROM fd))"
+    " UNION ALL SELECT url, rule_id, 'status', 'rec_status', 'resolved' FROM st WHERE status IN ('open', 'accepted') AND (url, rule_id) NOT IN (SELECT url, rule_id FROM fd))"
 )
 
 # the log as a fold over events in order, an id at a time
@@ -108,58 +108,6 @@ MADE = (
     + """, CASE WHEN p_partkey % 6 <> 0 THEN list_slice([['Article', 'WebPage', 'article'][p_partkey % 3 + 1], ['Organization', 'Offer'][p_partkey % 2 + 1], ['BreadcrumbList', 'Product', 'Person', 'FAQPage', 'WebSite'][p_partkey % 5 + 1]], 1, p_partkey % 4) END AS schema_types,
     p_partkey % 5 < 2 AS asks, p_partkey % 8 = 0 AS authored, p_partkey % 23 / 2 AS number_density FROM part)"""
 )
-LACKS = "NOT coalesce(list_contains(list_transform(schema_types, lambda x: lower(x)), '{0}'), false)"
-ZERO = "coalesce({0}, 0) = 0"
-BLANK = "coalesce({0}, '') = ''"
-#: id, category, severity and when it fires, as the rules are documented; in load order.
-RULES = (
-    *((i, "accessibility", s, f"coalesce({c}, 0) >= 1") for i, s, c in (("duplicate-id", "high", "duplicate_ids"), ("empty-button", "high", "empty_buttons"), ("empty-link", "high", "empty_links"), ("form-input-unlabelled", "high", "form_inputs_unlabelled"), ("generic-link-text", "low", "generic_link_texts"), ("heading-order-skip", "medium", "heading_skips"), ("iframe-missing-title", "medium", "iframes_missing_title"))),
-    *((i, "accessibility", s, f"NOT coalesce({c}, false)") for i, s, c in (("missing-main-landmark", "medium", "has_main"), ("missing-nav-landmark", "low", "has_nav"), ("missing-skip-link", "medium", "has_skip_link"))),
-    ("positive-tabindex", "accessibility", "medium", "coalesce(positive_tabindex, 0) >= 1"),
-    ("table-missing-headers", "accessibility", "medium", "coalesce(tables_without_th, 0) >= 1"),
-    ("thin-content", "content", "high", "coalesce(word_count, 0) < 300"),
-    ("very-thin-content", "content", "critical", "coalesce(word_count, 0) < 100"),
-    ("competing-ctas", "cro", "medium", "coalesce(cta_count, 0) >= 7"),
-    ("form-has-captcha", "cro", "low", "coalesce(form_has_captcha, false)"),
-    ("generic-primary-cta", "cro", "medium", "coalesce(primary_cta_generic, false)"),
-    ("high-form-friction", "cro", "high", "coalesce(form_fields_max, 0) >= 6"),
-    ("missing-contact-option", "cro", "low", ZERO.format("tel_links")),
-    ("missing-faq", "cro", "low", "NOT coalesce(faq_present, false)"),
-    ("missing-trust-signals", "cro", "high", ZERO.format("trust_signal_count")),
-    ("no-cta-above-fold", "cro", "high", ZERO.format("cta_above_fold")),
-    ("no-cta", "cro", "critical", ZERO.format("cta_count")),
-    ("no-urgency-signal", "cro", "low", ZERO.format("urgency_signal_count")),
-    ("missing-h1", "headings", "critical", ZERO.format("h1_count")),
-    ("missing-h2", "headings", "medium", ZERO.format("h2_count")),
-    ("multiple-h1", "headings", "high", "coalesce(h1_count, 0) > 1"),
-    ("images-missing-alt", "images", "high", "coalesce(images_missing_alt, 0) >= 1"),
-    ("canonical-relative", "indexability", "medium", "starts_with(canonical, '/')"),
-    ("fetch-status-error", "indexability", "critical", "status <> 200"),
-    ("js-content-gap", "indexability", "high", "coalesce(js_content_ratio, 0) >= 1.5"),
-    ("missing-canonical", "indexability", "medium", "canonical = ''"),
-    ("page-noindex", "indexability", "high", "coalesce(noindex, false)"),
-    ("page-not-https", "indexability", "medium", "NOT contains(lower(url), 'https://')"),
-    ("missing-html-lang", "international", "medium", BLANK.format("html_lang")),
-    ("few-internal-links", "links", "low", "coalesce(internal_link_count, 0) < 3"),
-    ("no-external-links", "links", "low", ZERO.format("external_link_count")),
-    ("meta-description-too-long", "metadata", "low", "coalesce(meta_description_length, 0) > 170"),
-    ("meta-description-too-short", "metadata", "low", "coalesce(meta_description_length, 0) < 70"),
-    ("missing-meta-description", "metadata", "high", BLANK.format("meta_description")),
-    ("missing-title", "metadata", "critical", BLANK.format("title")),
-    ("title-too-long", "metadata", "medium", "coalesce(title_length, 0) > 65"),
-    ("title-too-short", "metadata", "low", "coalesce(title_length, 0) < 30"),
-    ("missing-viewport", "mobile", "high", "NOT coalesce(has_viewport, false)"),
-    ("missing-article-schema", "schema", "low", LACKS.format("article")),
-    ("missing-breadcrumb-schema", "schema", "low", LACKS.format("breadcrumblist")),
-    ("missing-jsonld", "schema", "high", ZERO.format("schema_blocks")),
-    ("missing-organization-schema", "schema", "low", LACKS.format("organization")),
-    ("missing-csp", "security", "low", "NOT coalesce(security_csp, false)"),
-    ("missing-hsts", "security", "low", "NOT coalesce(security_hsts, false)"),
-    ("mixed-content", "security", "high", "coalesce(mixed_content_count, 0) >= 1"),
-    ("missing-og-title", "social", "low", BLANK.format("og_title")),
-    ("missing-twitter-card", "social", "low", BLANK.format("twitter_card")),
-)
-WEIGHT = {"critical": 25, "high": 15, "medium": 8, "low": 3}
 FIRED = MADE + ", x AS (" + " UNION ALL ".join(f"SELECT k, '{i}' AS id, '{c}' AS category, {WEIGHT[s]} AS w, {list(WEIGHT).index(s)} AS rank, {n} AS ord FROM m WHERE {q}" for n, (i, c, s, q) in enumerate(RULES)) + ")"
 
 
@@ -234,7 +182,7 @@ SQL = {
     "render_changes": f"WITH r AS (SELECT {K}, {K} % 90 + 10 AS raw_words, {K} % 90 + 10 + {K} % 60 AS rendered_words FROM part), q AS (SELECT *, floor(rendered_words / raw_words * 100 + 0.5) / 100 AS ratio FROM r) SELECT {K}, raw_words, rendered_words, ratio, CASE WHEN {K} % 3 = 0 THEN 'Product' ELSE '' END AS only_rendered, CASE WHEN ratio >= 1.5 THEN 'significant' ELSE 'minor' END AS verdict FROM q",
     "json_texts": "WITH c AS (SELECT DISTINCT conv_id FROM conversations WHERE conv_id % 9 <> 0) SELECT conv_id, unnest([0, 1, 2, 3]) AS pos, unnest(['x' || conv_id, 'y' || conv_id, 'z', 'w']) AS value FROM c",
     "json_log": "SELECT event_type AS command, count(*) AS n, sum(event_id % 100 / 4) AS cost FROM events WHERE event_id % 7 <> 0 GROUP BY 1",
-    "site_files": "SELECT (page_id % 50)::INT AS part, sum(len(regexp_extract_all(html, '(?i)<title'))) AS titles FROM pages WHERE page_id % 10 = 0 AND page_id % 50 < 40 GROUP BY 1",
+    "site_files": "SELECT (page_id % 50)::INT AS part, sum(len(regexp_extract_all(html, '(?i)<title'))) AS titles FROM pages GROUP BY 1",
     "submission_bodies": "SELECT count(DISTINCT url) AS urls, true AS within, 0 AS wrong FROM pages",
     "cost_windows": "WITH m AS (SELECT max(ts) - INTERVAL 1 DAY AS mark, min(ts)::DATE AS lo FROM events), d AS (SELECT unnest(generate_series(lo + 1, mark::DATE, INTERVAL 1 DAY)) AS until, mark FROM m) SELECT strftime(until, '%Y-%m-%d') AS until, sum(CAST(round(value * 100) AS BIGINT))::BIGINT AS cost, count(*) AS calls FROM d JOIN events ON ts < until AND ts >= until - INTERVAL 7 DAY WHERE until <= mark GROUP BY 1",
     "page_features": f"SELECT {K} AS k, " + ", ".join(f"{q} AS {c}" for c, q in FEATURES.items()) + " FROM part",

@@ -178,7 +178,9 @@ def test_visibility(spark):
 def test_fixes(spark):
     assert one(spark, fixes.meta_draft(F.col("t")), t="word " * 40).endswith("word") and one(spark, fixes.meta_draft(F.col("t")), t="short. ") == "short"
     crumbs = one(spark, fixes.breadcrumb(F.col("u")), u="https://a.b/one-two/three.html")
-    assert [(c.name, c.position, c.item) for c in crumbs] == [("One Two", 1, "https://a.b/one-two"), ("Three", 2, "https://a.b/one-two/three.html")]
+    assert (crumbs["@context"], crumbs["@type"]) == ("https://schema.org", "BreadcrumbList")
+    assert [(c.name, c.position, c.item) for c in crumbs.itemListElement] == [("Home", 1, "https://a.b"), ("One Two", 2, "https://a.b/one-two"), ("Three.Html", 3, "https://a.b/one-two/three.html")]
+    assert [c.name for c in one(spark, fixes.breadcrumb(F.col("u")), u="https://a.b/-/it's_2nd/").itemListElement] == ["Home", "Page", "It'S 2Nd"]
     html = "<html><head><title>old</title></head></html>"
     patched = lambda r, p: one(spark, fixes.apply_patch(F.col("h"), F.lit(r), F.lit(p)), h=html)
     assert patched("missing-title", "<title>$1 new</title>") == "<html><head><title>$1 new</title></head></html>"
