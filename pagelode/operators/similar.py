@@ -1,0 +1,176 @@
+"""Classes of near-duplicate texts in output and shuffles that grow with the texts, not with their pairs.
+
+Sets of word shingles are never stored: an index of their prefixes is, and sets
+are worked out again for the texts of candidate pairs only.
+
+* A prefix filter: of a set of n shingles in any common order, two sets of
+  similarity t or more share one of the first n - ceil(t * n) + 1. The order puts
+  heavy shingles, those with very long lists in the index so far, last.
+* Lists are split by size class: sizes of similar sets differ by a factor of
+  1 / t at most, so a set meets its own class and the next one only.
+* Lists aren't paired. In each round some members of every open list, its
+  pivots, meet all others, and what is alike is joined into classes. A pivot has
+  met its whole list and leaves it; a list whose members are of one class is
+  done. So a list of near copies takes one pivot, and only lists whose members
+  stay apart take many rounds, with twice as many pivots each time.
+
+No link is lost: every pair that shares a list is compared, or already stands in
+one class. Work grows with the square only in lists of texts that share rare
+shingles and are yet not alike.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from pagelode.functions.text import once
+from pagelode.operators.store import cut, fresh_path
+
+#: Entries above which a list is heavy, and heavy shingles that are known at most (16 bytes each in every task).
+HEAVY, KNOWN = 200, 200_000
+#: Passes that look for heavy shingles, and pivots of a list in the first round.
+PASSES, PIVOTS = 3, 2
+#: Rows of a side that may be broadcast.
+SMALL = 500_000
+
+
+def shingle_sets(docs: DataFrame, words: int = 5, sample: int | None = None) -> DataFrame:
+    """(doc_id, s): sorted distinct hashes of word shingles; a shorter text is one shingle, and so is one without words."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    text = text if sample is None else F.substring(text, 1, sample)
+    tokens = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    w = once(docs, ["doc_id"], {"w": F.transform(tokens, lambda t: F.xxhash64(t))})
+    last = F.greatest(F.size("w") - words, F.lit(0))
+    grams = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(words)], F.lit(0)))
+    return once(w, ["doc_id"], {"s": F.sort_array(F.array_distinct(grams))})
+
+
+def size_class(n: Column, least: float) -> Column:
+    """Sizes of one class differ by less than a factor of 1 / least."""
+    return F.floor(F.log(n) / -math.log(least)).cast("int")
+
+
+def prefixes(sets: DataFrame, heavy: np.ndarray, least: float) -> DataFrame:
+    """(doc_id, n, g): the shingles of each set that its index entry needs, heavy ones only where others don't suffice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = batch.column("s")
+            sizes = np.diff(s.offsets.to_numpy())
+            flat = s.flatten().to_numpy()
+            known = np.zeros(len(flat), bool)
+            if len(heavy):
+                known = heavy[np.searchsorted(heavy, flat).clip(0, len(heavy) - 1)] == flat
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            order = np.lexsort((flat, known, row))
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            need = sizes - np.ceil(least * sizes - 1e-9).astype(np.int64) + 1
+            taken = order[place < need[row]]
+            taken_rows = row[taken]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(taken_rows)), pa.array(sizes[taken_rows].astype(np.int32)), pa.array(flat[taken])], ["doc_id", "n", "g"])
+
+    return sets.mapInArrow(run, f"doc_id {sets.schema['doc_id'].dataType.simpleString()}, n int, g long")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    to = fresh_path(df.sparkSession, name)
+    df.write.parquet(to)
+    return df.sparkSession.read.schema(df.schema).parquet(to)
+
+
+def lists(sets: DataFrame, heads: DataFrame, least: float) -> DataFrame:
+    """(g, z, doc_id, n, own): index entries of the heads; z is the size class of a list, own whether it's the entry's or the one below."""
+    heavy = np.zeros(0, np.int64)
+    for _ in range(PASSES):
+        index = stored(prefixes(sets, heavy, least).join(heads, "doc_id", "left_semi"), "prefixes")
+        counts = index.groupBy("g").count()
+        limit = max(HEAVY, index.count() // KNOWN)  # so at most KNOWN shingles are above it
+        fresh = np.array([r["g"] for r in counts.where(F.col("count") > limit).select("g").collect()], np.int64)
+        more = np.union1d(heavy, fresh)
+        if len(more) == len(heavy) or len(more) > KNOWN:
+            break
+        heavy = more
+    z = size_class(F.col("n"), least)
+    both = F.explode(F.array(F.struct(z.alias("z"), F.lit(True).alias("own")), F.struct((z - 1).alias("z"), F.lit(False).alias("own"))))
+    return index.select("g", "doc_id", "n", both.alias("x")).select("g", "x.z", "doc_id", "n", "x.own")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, least: float, words: int, sample: int | None) -> DataFrame:
+    """(a, b) of the pairs whose sets are alike, worked out from their texts."""
+    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    known = docs.select("doc_id", "text").join(_small(ids), "doc_id", "left_semi")
+    sets = stored(shingle_sets(known, words, sample), "sets")
+    a, b = (sets.select(F.col("doc_id").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
+    same = F.size(F.array_intersect("sa", "sb"))
+    union = F.size("sa") + F.size("sb") - same
+    return pairs.join(a, "a").join(b, "b").where(same / union >= least).select("a", "b")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """(node, label): the least node that each node of ``edges`` (a, b) reaches.
+
+    Large and small stars by turns: every node's greater neighbours, then its
+    smaller ones, are linked to the least of them, until nothing changes.
+    """
+    edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    while True:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.withColumnRenamed("m", "b"))
+        after = cut(small.where("a <> b").distinct())
+        if after.exceptAll(edges).isEmpty() and edges.exceptAll(after).isEmpty():
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+        edges = after
+
+
+def near_duplicate_classes(docs: DataFrame, words: int = 5, least: float = 0.9, sample: int | None = None, pivots: int = PIVOTS) -> DataFrame:
+    """(doc_id, head, class_id) of every document.
+
+    head is the least document with the same set, class_id the least one that a
+    chain of similar sets reaches. Null and empty texts have equal sets.
+    """
+    sets = shingle_sets(docs.select("doc_id", "text"), words, sample)
+    keys = stored(sets.select("doc_id", F.xxhash64("s").alias("k"), F.xxhash64(F.lit(1), "s").alias("l")), "keys")
+    firsts = stored(keys.groupBy("k", "l").agg(F.min("doc_id").alias("head")), "heads")
+    heads = firsts.select(F.col("head").alias("doc_id"))
+    rest = stored(lists(sets, heads, least), "lists")
+    labels, share = heads.select("doc_id", F.col("doc_id").alias("label")), pivots
+    while True:
+        rest = rest.join(labels, "doc_id").select("g", "z", "doc_id", "n", "own", "label")
+        open_lists = rest.groupBy("g", "z").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.bool_or("own").alias("owned")).where("lo <> hi and owned").select("g", "z")
+        rest = stored(rest.join(open_lists, ["g", "z"], "left_semi"), "lists")
+        if rest.isEmpty():
+            break
+        # pivots: the least member by turns of each of ``share`` cells of a list, of its rarer classes first
+        crowds = rest.groupBy("g", "z", "label").agg(F.count("*").alias("size"))
+        largest = crowds.groupBy("g", "z").agg(F.max_by("label", "size").alias("most"))
+        cell = F.pmod(F.xxhash64(F.lit(share), "doc_id"), F.lit(share))
+        outside = rest.join(largest, ["g", "z"]).withColumn("inside", F.col("label") == F.col("most"))
+        chosen = outside.groupBy("g", "z", cell.alias("cell")).agg(F.min(F.when(~F.col("inside"), F.col("doc_id"))).alias("p"), F.min("doc_id").alias("q"))
+        chosen = chosen.select("g", "z", F.coalesce("p", "q" if share <= pivots else "p").alias("pivot")).where("pivot is not null")
+        met = rest.select("g", "z", F.col("doc_id").alias("pivot"), F.col("n").alias("pn"), F.col("own").alias("powned"), F.col("label").alias("plabel"))
+        chosen = stored(chosen.join(met, ["g", "z", "pivot"]), "pivots")
+        near = (F.least("n", "pn") >= F.lit(least) * F.greatest("n", "pn")) & (F.col("own") | F.col("powned"))
+        pairs = rest.join(chosen, ["g", "z"]).where((F.col("doc_id") != F.col("pivot")) & (F.col("label") != F.col("plabel")) & near)
+        pairs = stored(pairs.select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")).distinct(), "pairs")
+        links = stored(verified(pairs, docs, least, words, sample), "links")
+        la, lb = (labels.select(F.col("doc_id").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
+        joined = connected(links.join(la, "a").join(lb, "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
+        joined = joined.select(F.col("node").alias("label"), F.col("label").alias("to"))
+        labels = stored(labels.join(joined, "label", "left").select("doc_id", F.coalesce("to", "label").alias("label")), "labels")
+        rest = rest.join(chosen.select("g", "z", F.col("pivot").alias("doc_id")), ["g", "z", "doc_id"], "left_anti").drop("label")
+        share *= 2
+    found = keys.join(firsts, ["k", "l"]).select("doc_id", "head")
+    return found.join(labels.select(F.col("doc_id").alias("head"), F.col("label").alias("class_id")), "head").select("doc_id", "head", "class_id")

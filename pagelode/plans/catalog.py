@@ -8,7 +8,7 @@ from pagelode.functions import html as H
 from pagelode.functions import tags as T
 from pagelode.functions import text as X
 from pagelode.functions import words as W
-from pagelode.operators import crawl, fixes, graph, history, impact, logs, pages, recommendations, reports, scoring, visibility
+from pagelode.operators import crawl, fixes, graph, history, impact, logs, pages, recommendations, reports, scoring, similar, visibility
 from pagelode.plans import inputs, oracle, rules
 from pagelode.operators.store import cut
 from pagelode.plans.inputs import read
@@ -143,6 +143,12 @@ def near_dup_classes(spark, sf_dir):
     return heads.groupBy("head").agg(F.count("*").alias("n")).where("n > 1")
 
 
+@query
+def near_dup_groups(spark, sf_dir):
+    """Every document with the least one of the same shingles and of its class of similar ones."""
+    return similar.near_duplicate_classes(read(spark, sf_dir, "documents"))
+
+
 @query
 def crawl_order(spark, sf_dir):
     """Crawl of the derived link graph, without a budget; addresses that begin with 7 are closed to robots."""

@@ -375,6 +375,12 @@ SQL["patch_plan"] = (
     + " SELECT page_id, rule_id, patch, patch IS NULL AS skipped FROM o UNION ALL SELECT page_id, rule_id, '<script type=\"application/ld+json\">' || breadcrumb || '</script>', false FROM f JOIN cr USING (page_id) WHERE rule_id = 'missing-breadcrumb-schema'"
 )
 
+SQL["near_dup_groups"] = (
+    "WITH RECURSIVE pr AS (" + SQL["near_dup_pairs"] + "), hd AS (" + SQL["near_dup_classes"].replace("SELECT head, count(*) AS n FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS head FROM s) GROUP BY head HAVING count(*) > 1", "SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS head FROM s")
+    + "), ed AS (SELECT a, b FROM pr UNION ALL SELECT b, a FROM pr), re(node, far) AS (SELECT DISTINCT head, head FROM hd UNION SELECT re.node, ed.b FROM re JOIN ed ON ed.a = re.far),"
+    + " cl AS (SELECT node, min(far) AS class_id FROM re GROUP BY node) SELECT doc_id, head, class_id FROM hd JOIN cl ON node = head"
+)
+
 # the rules that need no fetch, worst first
 LOCAL = [(n, i, s) for n, (i, _, s, _) in enumerate(RULES) if i not in ("page-not-https", "missing-csp", "missing-hsts")]
 SQL["lint_full"] = (

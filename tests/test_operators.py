@@ -291,3 +291,54 @@ def test_response_items_at_any_depth(spark):
     for r in found.orderBy("grp", "place").select("grp", F.to_json("item").alias("i")).collect():
         got.setdefault(r.grp, []).append(json.loads(r.i)["url"])
     assert got == {1: [*(f"own {n}" for n in range(11, -1, -1)), "last", *(f"task {n}" for n in range(12))], 4: ["task 11"] * 2}
+
+
+def classes_by_hand(rows, least=0.9, words=5):
+    import re
+
+    sets = {}
+    for i, t in rows:
+        w = re.findall(r"\w+", (t or "").lower())
+        sets[i] = frozenset(tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1)))
+    label = {i: i for i in sets}
+    heads = {}
+    for i in sorted(sets):
+        heads.setdefault(sets[i], i)
+        for j in sorted(sets):
+            if j < i and label[i] != label[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= least:
+                lo, hi = sorted((label[i], label[j]))
+                label = {k: lo if v == hi else v for k, v in label.items()}
+    return {(i, heads[sets[i]], label[i]) for i in sets}
+
+
+def test_near_duplicate_classes(spark, monkeypatch):
+    """Chains of near copies, exact copies, cut and empty texts, and lists that need several rounds."""
+    import random
+
+    from pagelode.operators import similar
+
+    rnd = random.Random(3)
+    words = [f"w{i}" for i in range(300)]
+    bases = [[rnd.choice(words) for _ in range(120)] for _ in range(4)]
+    rows = []
+    for i in range(160):
+        t = list(rnd.choice(bases))
+        for _ in range(rnd.choice([0, 0, 1, 1, 1, 2, 3])):
+            t[rnd.randrange(len(t))] = rnd.choice(words)
+        t = t[: rnd.randrange(1, 120)] if rnd.random() < 0.1 else t
+        rows.append((i, None if i % 37 == 0 else "" if i % 41 == 0 else " ".join(t)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = classes_by_hand(rows)
+    assert {tuple(r) for r in similar.near_duplicate_classes(docs).collect()} == want
+    assert len({c for *_, c in want}) > 10 and any(h != c for _, h, c in want)
+    monkeypatch.setattr(similar, "HEAVY", 4)
+    assert {tuple(r) for r in similar.near_duplicate_classes(docs.limit(90), pivots=1).collect()} == classes_by_hand(rows[:90])
+
+
+def test_connected_labels(spark):
+    from pagelode.operators import similar
+
+    edges = [(i, i + 1) for i in range(1, 40)] + [(100, k) for k in range(101, 130)] + [(7, 7), (130, 129), (200, 201)]
+    got = {r.node: r.label for r in similar.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 1 for i in range(2, 41)}, **{k: 100 for k in range(101, 131)}, 201: 200}
+    assert similar.connected(spark.createDataFrame([], "a long, b long")).count() == 0
