@@ -107,6 +107,14 @@ def released(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
     return outer
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """``name``, with underscores behind it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelode.llm.common import cut, lower_ascii, over_texts, partitions, written
+from pagelode.llm.common import cut, lower_ascii, over_texts, partitions, unused, written
 
 MIN_KEY = 10
 BLANKS = " \t\n\x0b\x0c\r"
@@ -172,8 +172,9 @@ def apply_bitmaps(docs: DataFrame, maps: DataFrame, dropped: str = "n_dropped",
         raise ValueError(f"docs has columns named {sorted(taken)}")
     maps = cut(maps)
     size = maps.agg(F.coalesce(F.sum(F.octet_length("keep_bitmap") + ROW_BYTES), F.lit(0))).first()[0]
-    side = maps.select(F.col("doc_id").alias("__doc"), F.col("th").alias("__th"), F.col("n_dropped").alias(dropped), F.col("keep_bitmap").alias(bitmap))
-    found = (F.col("doc_id") == F.col("__doc")) & (text_hash(F.col("text")) == F.col("__th"))
-    joined = docs.join(F.broadcast(side) if size <= BROADCAST_BYTES else side, found, "left").drop("__doc", "__th")
+    doc, th = unused("__doc", docs), unused("__th", docs)
+    side = maps.select(F.col("doc_id").alias(doc), F.col("th").alias(th), F.col("n_dropped").alias(dropped), F.col("keep_bitmap").alias(bitmap))
+    found = (F.col("doc_id") == F.col(doc)) & (text_hash(F.col("text")) == F.col(th))
+    joined = docs.join(F.broadcast(side) if size <= BROADCAST_BYTES else side, found, "left").drop(doc, th)
     names = joined.columns
     return over_texts(joined, _applied(names.index("text"), names.index(bitmap)), joined.schema)

@@ -217,3 +217,21 @@ def test_sharding_is_the_plain_schedule_over_all_groups(spark, corpus):
     for r in got:
         mine[r.shard] += r["size"]
     assert sorted(mine.values()) == sorted(load)
+
+
+def test_stages_take_columns_of_any_name(spark):
+    """Columns named like what the operators and the pipeline work with pass through unchanged."""
+    import corpus_pipeline
+
+    names = ["__doc", "__th", "toxicity_score", "lines_dropped", "lines_kept", "n_dropped_", "k0", "k1", "th", "score", "node", "maybe", "key"]
+    rows = [(i, f"a line that stays alone {i}\nthe same long line everywhere", "en", "s", None, *(f"{n}{i}" for n in names)) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    for stage in (corpus_pipeline.drop_repeated_lines, corpus_pipeline.keep_one_of_near_copies):
+        got = stage(spark, docs, "/root/testdata/sf0.001")
+        assert got.columns == docs.columns
+        for r in got.collect():
+            assert [r[n] for n in names] == [f"{n}{r.doc_id}" for n in names]
+    cut = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()}
+    assert cut == {i: f"a line that stays alone {i}" + ("\nthe same long line everywhere" if i == 0 else "") for i in range(6)}
+    kept = corpus_pipeline.drop_toxic(spark, docs, "/root/testdata/sf0.001")
+    assert kept.columns == docs.columns and kept.count() == 6
