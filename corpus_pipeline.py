@@ -14,17 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelode.llm import bpe, decontamination, line_dedup, near_dedup, queries, toxicity
-from pagelode.llm.common import BROADCAST_KEYS, cut, documents, fresh_path, small_side, table
+from pagelode.llm.common import BROADCAST_KEYS, cut, documents, fresh_path, small_side, table, unused
 
 TOXIC = 0.5
-#: Columns of the pipeline's own, which no input is expected to have.
-SCORE, DROPPED, BITMAP = "__pipeline_toxicity", "__pipeline_dropped", "__pipeline_bitmap"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays below TOXIC; null, empty and wordless texts score 0 and stay, repeated rows score alike."""
     model = queries.toxicity_model(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, SCORE).where(F.col(SCORE) < TOXIC).select(*docs.columns)
+    score = unused("toxicity_score", docs)
+    return toxicity.score(docs, model, score).where(F.col(score) < TOXIC).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,19 +33,22 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     rows without an id stay as they are; lines repeated within the document
     that keeps them, or in rows that share its id, stay.
     """
-    done = line_dedup.apply_bitmaps(docs, line_dedup.line_dedup(docs), DROPPED, BITMAP)
+    dropped, bitmap = unused("lines_dropped", docs), unused("lines_kept", docs)
+    done = line_dedup.apply_bitmaps(docs, line_dedup.line_dedup(docs), dropped, bitmap)
     if "n_chars" in docs.columns:
-        cut_short = F.col(BITMAP).isNotNull()
+        cut_short = F.col(bitmap).isNotNull()
         done = done.withColumn("n_chars", F.when(cut_short, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return done.select(*docs.columns)
 
 
 def without(docs: DataFrame, gone: DataFrame, *by) -> DataFrame:
-    """Rows of ``docs`` without a match in ``gone``, whose columns k0, k1, ... face ``by``; nulls match nulls."""
+    """Rows of ``docs`` without a match in ``gone``, whose columns face ``by`` one by one; nulls match nulls."""
     gone = cut(gone.distinct())
-    on = by[0].eqNullSafe(F.col("k0"))
-    for i, key in enumerate(by[1:], 1):
-        on = on & key.eqNullSafe(F.col(f"k{i}"))
+    facing = [unused(f"gone{i}", docs) for i in range(len(by))]
+    gone = gone.toDF(*facing)
+    on = by[0].eqNullSafe(F.col(facing[0]))
+    for key, name in zip(by[1:], facing[1:], strict=True):
+        on = on & key.eqNullSafe(F.col(name))
     columns = docs.columns
     return docs.join(small_side(gone, gone.count(), BROADCAST_KEYS // 2), on, "left_anti").select(*columns)
 
@@ -54,14 +56,14 @@ def without(docs: DataFrame, gone: DataFrame, *by) -> DataFrame:
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each class of near copies; documents without words all stay, and so do rows without an id unless their class has one."""
     found = near_dedup.near_dedup(docs).where(~F.col("kept"))
-    return without(docs, found.select(F.col("doc_id").alias("k0"), F.col("th").alias("k1")), docs["doc_id"], F.xxhash64(docs["text"]))
+    return without(docs, found.select("doc_id", "th"), docs["doc_id"], F.xxhash64(docs["text"]))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a copy of a benchmark item; null and empty texts stay, and without items all do."""
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text")  # matches go by row
     found = decontamination.contaminated(keyed, table(spark, sf_dir, "benchmark"))
-    return without(docs, found.select(F.col("doc_id").alias("k0")), F.xxhash64(docs["doc_id"], docs["text"]))
+    return without(docs, found.select("doc_id"), F.xxhash64(docs["doc_id"], docs["text"]))
 
 
 def encode_checked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
