@@ -8,8 +8,8 @@ are worked out again for the texts of candidate pairs only.
   heavy shingles, those with very long lists in the index so far, last.
 * Lists are split by size class: sizes of similar sets differ by a factor of
   1 / t at most, so a set meets its own class and the next one only.
-* Lists aren't paired. In each round some members of every open list, its
-  pivots, meet all others, and what is alike is joined into classes. A pivot has
+* Only lists of a few members are paired. Of a longer one some members in each
+  round, its pivots, meet all others, and what is alike is joined into classes. A pivot has
   met its whole list and leaves it; a list whose members are of one class is
   done. So a list of near copies takes one pivot, and only lists whose members
   stay apart take many rounds, with twice as many pivots each time.
@@ -35,7 +35,9 @@ from pagelode.operators.store import cut, fresh_path
 #: Entries above which a list is heavy, and heavy shingles that are known at most (16 bytes each in every task).
 HEAVY, KNOWN = 200, 200_000
 #: Passes that look for heavy shingles, and pivots of a list in the first round.
-PASSES, PIVOTS = 3, 2
+PASSES, PIVOTS = 3, 4
+#: Members of a list that is paired as a whole.
+FEW = 12
 #: Rows of a side that may be broadcast.
 SMALL = 500_000
 
@@ -153,13 +155,12 @@ def near_duplicate_classes(docs: DataFrame, words: int = 5, least: float = 0.9,
         rest = stored(rest.join(open_lists, ["g", "z"], "left_semi"), "lists")
         if rest.isEmpty():
             break
-        # pivots: the least member by turns of each of ``share`` cells of a list, of its rarer classes first
+        # pivots: all members of a short list; of a long one the least of each of ``share`` cells outside its largest class
         crowds = rest.groupBy("g", "z", "label").agg(F.count("*").alias("size"))
-        largest = crowds.groupBy("g", "z").agg(F.max_by("label", "size").alias("most"))
-        cell = F.pmod(F.xxhash64(F.lit(share), "doc_id"), F.lit(share))
-        outside = rest.join(largest, ["g", "z"]).withColumn("inside", F.col("label") == F.col("most"))
-        chosen = outside.groupBy("g", "z", cell.alias("cell")).agg(F.min(F.when(~F.col("inside"), F.col("doc_id"))).alias("p"), F.min("doc_id").alias("q"))
-        chosen = chosen.select("g", "z", F.coalesce("p", "q" if share <= pivots else "p").alias("pivot")).where("pivot is not null")
+        totals = crowds.groupBy("g", "z").agg(F.max_by("label", "size").alias("most"), F.sum("size").alias("members"))
+        known = rest.join(totals, ["g", "z"])
+        cell = F.when(F.col("members") <= FEW, F.xxhash64("doc_id")).otherwise(F.pmod(F.xxhash64(F.lit(share), "doc_id"), F.lit(share)))
+        chosen = known.where((F.col("members") <= FEW) | (F.col("label") != F.col("most"))).groupBy("g", "z", cell.alias("cell")).agg(F.min("doc_id").alias("pivot")).select("g", "z", "pivot").distinct()
         met = rest.select("g", "z", F.col("doc_id").alias("pivot"), F.col("n").alias("pn"), F.col("own").alias("powned"), F.col("label").alias("plabel"))
         chosen = stored(chosen.join(met, ["g", "z", "pivot"]), "pivots")
         near = (F.least("n", "pn") >= F.lit(least) * F.greatest("n", "pn")) & (F.col("own") | F.col("powned"))

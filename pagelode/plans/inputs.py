@@ -223,3 +223,32 @@ def made_pages(spark, sf_dir):
         times(2, '<span tabindex="3"></span><span tabindex="-1"></span>'), times(4, '<i id="d"></i>'), times(2, "<time>t</time>"), times(3, "guarantee; "), times(2, "<p>last chance</p>"), when(11, 1, '<div class="x-intercom"></div>'),
     ]
     return read(spark, sf_dir, "part").select(k.alias("k"), F.lit("https://site.example/a").alias("url"), F.concat(*parts).alias("html"))
+
+
+def fetches(spark, sf_dir):
+    """(save, url, status, body, headers, final_url): pages as two saves of a crawl fetched them."""
+    i = F.col("page_id")
+    kind = F.when(i % 5 == 0, "application/pdf").otherwise("text/html; charset=utf-8")
+    headers = F.when(i % 2 == 0, F.create_map(F.lit("Content-Type"), kind, F.lit("STRICT-Transport-Security"), F.lit("max-age=1"))).otherwise(F.create_map(F.lit("content-type"), kind))
+    final = F.when(i % 4 == 0, F.concat("url", F.lit("#end")))
+    return read(spark, sf_dir, "pages").select((1 + i % 2).alias("save"), "url", F.when(i % 17 == 3, 404).otherwise(200).alias("status"), F.col("html").alias("body"), headers.alias("headers"), final.alias("final_url"))
+
+
+def site_versions(spark, sf_dir):
+    """Two versions of a site's files (path, digest, content): some files get the next page's text, some go, some are new."""
+    i = F.col("page_id")
+    p = read(spark, sf_dir, "pages").select("page_id", "html")
+    old = p.select(F.concat(F.lit("p/"), i.cast("string")).alias("path"), F.col("html").alias("content"))
+    following = p.select((i - 1).alias("page_id"), F.col("html").alias("later"))
+    kept = p.where(i % 11 != 5).join(following, "page_id", "left").select(F.concat(F.lit("p/"), i.cast("string")).alias("path"), F.when(i % 3 == 0, F.coalesce("later", "html")).otherwise(F.col("html")).alias("content"))
+    new = p.where(i % 13 == 1).select(F.concat(F.lit("new/"), i.cast("string")).alias("path"), F.col("html").alias("content"))
+    return tuple(v.select("path", F.sha2("content", 256).alias("digest"), F.col("content").cast("binary").alias("content")) for v in (old, kept.unionByName(new)))
+
+
+def response_batches(spark, sf_dir):
+    """(batch, key, command, body, cost, detail, ts): events as paid responses in three batches."""
+    i = F.col("event_id")
+    return read(spark, sf_dir, "events").select(
+        (i % 3).alias("batch"), F.concat_ws("-", "event_type", (F.col("user_id") % 50).cast("string")).alias("key"), F.col("event_type").alias("command"), F.concat(F.lit("body "), i.cast("string")).alias("body"),
+        (i % 100 / 4).alias("cost"), F.repeat(F.lit("d"), (i % 150).cast("int")).alias("detail"), F.unix_timestamp("ts").alias("ts"),
+    )

@@ -665,3 +665,107 @@ def stream_replay(spark, sf_dir):
         return streams.replay_stream(e)
 
     return streamed(spark, sf_dir, "replay", build, "id").withColumn("id", F.col("id").cast("long"))
+
+
+# -- saved fetches, versions, caches and the watch job
+
+
+def saved_fetches(spark, sf_dir):
+    """Folder with two saves of fetched pages."""
+    from pagelode.operators.store import fresh_path
+    from pagelode.sources.fetched import save_fetches
+
+    to, rows = fresh_path(spark, "fetches"), inputs.fetches(spark, sf_dir)
+    for save in (1, 2):
+        save_fetches(rows.where(F.col("save") == save), to, save)
+    return to
+
+
+@query
+def fetched_pages(spark, sf_dir):
+    """Pages as a crawl saved them, with their security fields."""
+    from pagelode.sources.fetched import fetched
+
+    rows = pages.with_security(fetched(spark, saved_fetches(spark, sf_dir)))
+    return rows.select("save", "url", "status", "content_type", "final_url", F.length("body").alias("chars"), F.size("headers").alias("n_headers"), "security_hsts", "security_csp")
+
+
+@query
+def fetched_stream(spark, sf_dir):
+    """Saves read as a stream that stops after the first one and goes on with the second."""
+    from pagelode.operators.store import fresh_path
+    from pagelode.sources.fetched import fetched, save_fetches
+
+    folder, out, rows = fresh_path(spark, "fetches"), fresh_path(spark, "fetched"), inputs.fetches(spark, sf_dir)
+    for save in (1, 2):
+        save_fetches(rows.where(F.col("save") == save), folder, save)
+        stream = fetched(spark, folder, stream=True).writeStream.format("parquet").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start(f"{out}/rows")
+        stream.awaitTermination()
+    return spark.read.parquet(f"{out}/rows").groupBy("save", "status", "content_type").agg(F.count("*").alias("n"), F.sum(F.length("body")).alias("chars"))
+
+
+@query
+def lint_changed(spark, sf_dir):
+    """New, fixed and carried findings between two versions of the pages' files."""
+    from pagelode.operators import versions
+
+    before, after = inputs.site_versions(spark, sf_dir)
+    return versions.lint_changes(before, after, catalog.cut(versions.lint_files(before)))[0]
+
+
+def filled_cache(spark, sf_dir):
+    """A cache that took three batches, one of them twice."""
+    from pagelode.operators.responses import ResponseCache
+    from pagelode.operators.store import fresh_path
+
+    cache, rows = ResponseCache(spark, fresh_path(spark, "responses")), inputs.response_batches(spark, sf_dir)
+    for batch in (0, 1, 2, 1):
+        cache.apply(batch, rows.where(F.col("batch") == batch))
+    return cache
+
+
+@query
+def cache_latest(spark, sf_dir):
+    return filled_cache(spark, sf_dir).responses().select("key", "command", "body", "cost", "ts")
+
+
+@query
+def cache_ledger(spark, sf_dir):
+    return filled_cache(spark, sf_dir).ledger().groupBy("batch", "command").agg(F.count("*").alias("n"), F.sum("cost").alias("cost"), F.sum(F.length("detail")).alias("detail_chars"))
+
+
+def watched(spark, sf_dir):
+    """Folder of a watch job over the events, one of whose checks fails and one has nothing to do."""
+    from pagelode.operators.store import fresh_path
+    from pagelode.streaming import watch
+
+    folder = fresh_path(spark, "watch")
+
+    def unknown_shape(rows):
+        raise ValueError("shape not recognised")
+
+    checks = {
+        "backlinks": unknown_shape,
+        "competitors": lambda rows: None,
+        "counts": lambda rows: rows.groupBy("event_type").agg(F.count("*").alias("n"), F.sum((F.col("value") * 100).cast("long")).alias("cents")),
+        "users": lambda rows: rows.select("user_id").distinct().agg(F.count("*").alias("users")),
+    }
+    schema = read(spark, sf_dir, "events").schema
+    watch.watch(spark.readStream.schema(schema).parquet(f"{sf_dir.rstrip('/')}/events.parquet*"), checks, folder)
+    return folder
+
+
+@query
+def watch_runs(spark, sf_dir):
+    """What became of each check of the watch job."""
+    from pagelode.streaming import watch
+
+    return watch.runs(spark, watched(spark, sf_dir))
+
+
+@query
+def watch_counts(spark, sf_dir):
+    """The result of a check that ran beside a failed one."""
+    from pagelode.streaming import watch
+
+    return watch.results(spark, watched(spark, sf_dir), "counts").groupBy("event_type").agg(F.sum("n").alias("n"), F.sum("cents").alias("cents"))

@@ -232,3 +232,18 @@ SQL = {
     "stream_sessions": "WITH w AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM events), g AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS born FROM events), s AS (SELECT user_id, ts, sum(born) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM g), e AS (SELECT user_id, no, count(*) AS n, max(ts) + INTERVAL 30 MINUTE AS stop FROM s GROUP BY ALL) SELECT user_id, count(*) AS sessions, sum(n)::BIGINT AS events FROM e, w WHERE stop <= mark GROUP BY user_id",
     "stream_replay": BASE["rec_replay"],
 }
+
+FETCHED = "WITH t AS (SELECT page_id AS i, 1 + page_id % 2 AS save, url, CASE WHEN page_id % 17 = 3 THEN 404 ELSE 200 END AS status, CASE WHEN page_id % 5 = 0 THEN 'application/pdf' ELSE 'text/html; charset=utf-8' END AS content_type, html FROM pages)"
+SQL["fetched_pages"] = FETCHED + " SELECT save, url, status, content_type, CASE WHEN i % 4 = 0 THEN url || '#end' ELSE url END AS final_url, length(html)::INT AS chars, CASE WHEN i % 2 = 0 THEN 2 ELSE 1 END AS n_headers, i % 2 = 0 AS security_hsts, false AS security_csp FROM t"
+SQL["fetched_stream"] = FETCHED + " SELECT save, status, content_type, count(*) AS n, sum(length(html))::BIGINT AS chars FROM t GROUP BY ALL"
+SQL["lint_changed"] = (
+    FOUND
+    + ", lf AS (SELECT page_id, rule_id FROM f WHERE rule_id NOT IN ('page-not-https', 'missing-csp', 'missing-hsts')), nx AS (SELECT page_id, CASE WHEN page_id % 3 = 0 AND page_id + 1 IN (SELECT page_id FROM pages) THEN page_id + 1 ELSE page_id END AS source FROM pages),"
+    " o AS (SELECT 'p/' || page_id AS path, rule_id FROM lf), n AS (SELECT 'p/' || nx.page_id AS path, rule_id FROM nx JOIN lf ON lf.page_id = source WHERE nx.page_id % 11 <> 5 UNION ALL SELECT 'new/' || page_id, rule_id FROM lf WHERE page_id % 13 = 1)"
+    " SELECT path, rule_id, CASE WHEN o.rule_id IS NULL THEN 'new' WHEN n.rule_id IS NULL THEN 'fixed' ELSE 'carried' END AS state FROM (SELECT path, rule_id, 1 AS w FROM o) o FULL JOIN n USING (path, rule_id)"
+).replace("CASE WHEN o.rule_id IS NULL THEN 'new' WHEN n.rule_id IS NULL THEN 'fixed'", "CASE WHEN w IS NULL THEN 'new' WHEN v IS NULL THEN 'fixed'").replace("FULL JOIN n USING", "FULL JOIN (SELECT path, rule_id, 1 AS v FROM n) n USING")
+RESPONSES = "WITH b AS (SELECT event_id % 3 AS batch, event_type || '-' || user_id % 50 AS key, event_type AS command, 'body ' || event_id AS body, event_id % 100 / 4 AS cost, least(event_id % 150, 120) AS chars, floor(epoch(ts))::BIGINT AS ts FROM events)"
+SQL["cache_latest"] = RESPONSES + " SELECT key, command, body, cost, ts FROM b QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts DESC, batch DESC, command DESC, body DESC) = 1"
+SQL["cache_ledger"] = RESPONSES + " SELECT batch, command, count(*) AS n, sum(cost) AS cost, sum(chars)::BIGINT AS detail_chars FROM b GROUP BY ALL"
+SQL["watch_runs"] = "SELECT 0::BIGINT AS batch, unnest(['backlinks', 'competitors', 'counts', 'users']) AS check_name, unnest(['failed', 'skipped', 'done', 'done']) AS state, unnest(['shape not recognised', NULL, NULL, NULL]) AS error WHERE EXISTS (SELECT 1 FROM events)"
+SQL["watch_counts"] = "SELECT event_type, count(*) AS n, sum(trunc(value * 100)::BIGINT)::BIGINT AS cents FROM events GROUP BY event_type"
