@@ -769,3 +769,11 @@ def watch_counts(spark, sf_dir):
     from pagelode.streaming import watch
 
     return watch.results(spark, watched(spark, sf_dir), "counts").groupBy("event_type").agg(F.sum("n").alias("n"), F.sum("cents").alias("cents"))
+
+
+@query
+def page_layout(spark, sf_dir):
+    """Where the pages of the link graph stand in its drawing."""
+    from pagelode.operators import layout
+
+    return layout.layout(catalog.QUERIES["bfs_parents"](spark, sf_dir), catalog.QUERIES["unreachable"](spark, sf_dir), catalog.QUERIES["link_degree"](spark, sf_dir).select("node", "inlinks"))

@@ -247,3 +247,11 @@ SQL["cache_latest"] = RESPONSES + " SELECT key, command, body, cost, ts FROM b Q
 SQL["cache_ledger"] = RESPONSES + " SELECT batch, command, count(*) AS n, sum(cost) AS cost, sum(chars)::BIGINT AS detail_chars FROM b GROUP BY ALL"
 SQL["watch_runs"] = "SELECT 0::BIGINT AS batch, unnest(['backlinks', 'competitors', 'counts', 'users']) AS check_name, unnest(['failed', 'skipped', 'done', 'done']) AS state, unnest(['shape not recognised', NULL, NULL, NULL]) AS error WHERE EXISTS (SELECT 1 FROM events)"
 SQL["watch_counts"] = "SELECT event_type, count(*) AS n, sum(trunc(value * 100)::BIGINT)::BIGINT AS cents FROM events GROUP BY event_type"
+SQL["page_layout"] = (
+    "WITH RECURSIVE pa AS (" + BASE["bfs_parents"] + "), dg AS (" + BASE["link_degree"] + "), un AS (" + BASE["unreachable"] + "),"
+    " rk AS (SELECT pa.*, row_number() OVER (PARTITION BY parent ORDER BY inlinks DESC, node) - 1 AS i, count(*) OVER (PARTITION BY parent) AS n FROM pa JOIN dg USING (node) WHERE depth > 0),"
+    " la(node, depth, centre, span) AS (SELECT node, depth, 2 * pi() / n * i, 2 * pi() / n * 0.9::DOUBLE FROM rk WHERE depth = 1 UNION ALL SELECT rk.node, rk.depth, centre - span / 2 + span / n * (i + 0.5::DOUBLE), span / n FROM la JOIN rk ON rk.parent = la.node),"
+    " pl AS (SELECT node, depth, centre, 150 + 130 * depth AS radius FROM la UNION ALL SELECT node, 0, 0, 0 FROM pa WHERE depth = 0"
+    " UNION ALL SELECT node, -1, 2 * pi() * (row_number() OVER (ORDER BY node) - 1) / count(*) OVER (), 150 + 130 * ((SELECT max(depth) FROM pa) + 1) FROM un)"
+    " SELECT node, depth, 550 + radius * cos(centre) AS x, 550 + radius * sin(centre) AS y FROM pl"
+)

@@ -342,3 +342,22 @@ def test_connected_labels(spark):
     got = {r.node: r.label for r in similar.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 1 for i in range(2, 41)}, **{k: 100 for k in range(101, 131)}, 201: 200}
     assert similar.connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_layout_of_a_hub_and_its_children(spark):
+    import math
+
+    from pagelode.operators import layout
+
+    tree = [("home", 0, None), *((f"k{n:03}", 1, "home") for n in range(200)), ("deep a", 2, "k007"), ("deep b", 2, "k007"), ("deeper", 3, "deep b")]
+    links = spark.createDataFrame([("k007", 9), ("k100", 5), ("deep b", 3), ("deep a", 1)], "node string, inlinks long")
+    lost = spark.createDataFrame([("z",), ("y",)], "node string")
+    got = {r.node: (r.depth, r.x, r.y) for r in layout.layout(spark.createDataFrame(tree, "node string, depth int, parent string"), lost, links).collect()}
+    order = ["k007", "k100", *(f"k{n:03}" for n in range(200) if n not in (7, 100))]
+    step = 2 * math.pi / 200
+    angles = {n: (1, step * i) for i, n in enumerate(order)}
+    angles |= {"deep b": (2, -step * 0.9 / 4), "deep a": (2, step * 0.9 / 4), "deeper": (3, -step * 0.9 / 4)}
+    want = {n: (d, 550 + (150 + 130 * d) * math.cos(a), 550 + (150 + 130 * d) * math.sin(a)) for n, (d, a) in angles.items()}
+    want |= {"home": (0, 550, 550), "y": (-1, 550 + 670, 550), "z": (-1, 550 - 670, 550)}
+    assert set(got) == set(want)
+    assert all(got[n][0] == want[n][0] and got[n][1:] == pytest.approx(want[n][1:]) for n in want)
