@@ -76,6 +76,11 @@ def forecast(volumes: DataFrame, rankings: DataFrame, target: int = 3) -> DataFr
     return j.select("keyword", "volume", "position", now.alias("now_clicks"), e["low"].alias("low"), e["expected"].alias("expected"), e["high"].alias("high")).withColumn("uplift", F.greatest(F.lit(0), F.col("expected") - F.col("now_clicks")))
 
 
+def by_volume(rows: DataFrame) -> DataFrame:
+    """Forecast rows, the most searched first; equal volumes by keyword."""
+    return rows.orderBy(F.desc("volume"), "keyword")
+
+
 def forecast_totals(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("keywords"), *[F.sum(c).alias(c) for c in ("now_clicks", "low", "expected", "high", "uplift")])
 

@@ -354,7 +354,7 @@ def forecast_rows(spark, sf_dir):
 
 @query
 def forecast(spark, sf_dir):
-    return forecast_rows(spark, sf_dir)
+    return history.by_volume(forecast_rows(spark, sf_dir))
 
 
 @query

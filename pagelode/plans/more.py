@@ -652,19 +652,32 @@ def stream_sessions(spark, sf_dir):
     return streamed(spark, sf_dir, "sessions", lambda s: streams.sessions(as_log(s))).groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("events"))
 
 
+def as_recommendations(source):
+    raised = F.col("event_type").isin("error", "view", "signup")
+    status = F.when(raised, F.lit("")).otherwise(picked((*W.STATUSES, "bogus"), F.col("event_id")))
+    severity = F.when(raised, picked(W.SEVERITIES, F.col("event_id"))).otherwise("")
+    return source.select(F.col("user_id").cast("string").alias("id"), F.col("event_id").alias("seq"), F.unix_timestamp("ts").alias("ts"), F.when(raised, "raise").otherwise("status").alias("event"), status.alias("status"), severity.alias("severity"))
+
+
 @query
 def stream_replay(spark, sf_dir):
     from pagelode.streaming import streams
 
-    def build(source):
-        kind = F.col("event_type")
-        raised = kind.isin("error", "view", "signup")
-        status = F.when(raised, F.lit("")).otherwise(picked((*W.STATUSES, "bogus"), F.col("event_id")))
-        severity = F.when(raised, picked(W.SEVERITIES, F.col("event_id"))).otherwise("")
-        e = source.select(F.col("user_id").cast("string").alias("id"), F.col("event_id").alias("seq"), F.unix_timestamp("ts").alias("ts"), F.when(raised, "raise").otherwise("status").alias("event"), status.alias("status"), severity.alias("severity"))
-        return streams.replay_stream(e)
+    return streamed(spark, sf_dir, "replay", lambda s: streams.replay_stream(as_recommendations(s)), "id").withColumn("id", F.col("id").cast("long"))
+
+
+@query
+def stream_timeline(spark, sf_dir):
+    """What each event does to its recommendation, as a stream with a state for each key tells it."""
+    from pagelode.streaming import streams
 
-    return streamed(spark, sf_dir, "replay", build, "id").withColumn("id", F.col("id").cast("long"))
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return streamed(spark, sf_dir, "timeline", lambda s: streams.timeline_stream(as_recommendations(s))).withColumn("id", F.col("id").cast("long"))
+    finally:
+        spark.conf.set(provider, before)
 
 
 # -- saved fetches, versions, caches and the watch job

@@ -255,3 +255,10 @@ SQL["page_layout"] = (
     " UNION ALL SELECT node, -1, 2 * pi() * (row_number() OVER (ORDER BY node) - 1) / count(*) OVER (), 150 + 130 * ((SELECT max(depth) FROM pa) + 1) FROM un)"
     " SELECT node, depth, 550 + radius * cos(centre) AS x, 550 + radius * sin(centre) AS y FROM pl"
 )
+SQL["stream_timeline"] = (
+    "WITH RECURSIVE e AS (SELECT user_id AS id, event_id AS seq, floor(epoch(ts))::BIGINT AS ts, event_type IN ('error', 'view', 'signup') AS raised, ['open', 'accepted', 'done', 'ignored', 'resolved', 'bogus'][event_id % 6 + 1] AS given, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS nr FROM events),"
+    " w(id, nr, seq, ts, kind, status) AS (SELECT DISTINCT id, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::VARCHAR, NULL::VARCHAR FROM e UNION ALL SELECT e.id, e.nr, e.seq, e.ts,"
+    " CASE WHEN raised THEN CASE WHEN status IS NULL THEN 'rec_raised' WHEN status IN ('done', 'resolved') THEN 'rec_reopened' ELSE 'raised_again' END WHEN status IS NOT NULL AND given <> 'bogus' THEN 'rec_status' END,"
+    " CASE WHEN raised THEN CASE WHEN status IS NULL OR status IN ('done', 'resolved') THEN 'open' ELSE status END WHEN status IS NOT NULL AND given <> 'bogus' THEN given ELSE status END"
+    " FROM w JOIN e ON e.id = w.id AND e.nr = w.nr + 1) SELECT id, seq, ts, kind, status FROM w WHERE kind IS NOT NULL"
+)

@@ -60,3 +60,42 @@ def replay_stream(events: DataFrame) -> DataFrame:
             yield pd.DataFrame([(key[0], status, raised, created, updated, severity)], columns=["id", "status", "times_raised", "created", "updated", "severity"])
 
     return events.groupBy("id").applyInPandasWithState(step, STATE, "status string, times_raised long, created long, updated long, severity string", "update", GroupStateTimeout.NoTimeout)
+
+
+TIMELINE = "id string, seq long, ts long, kind string, status string"
+
+
+def timeline_stream(events: DataFrame) -> DataFrame:
+    """What each event of the recommendation log does to its recommendation (TIMELINE), emitted as it happens.
+
+    kind: rec_raised, rec_reopened, raised_again or rec_status; events without
+    effect (a status of nothing raised, an unknown status) emit nothing. The
+    state of a key is its status alone. Needs Spark's RocksDB state store.
+    """
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+    class Timeline(StatefulProcessor):
+        def init(self, handle):
+            self.status = handle.getValueState("status", "status string")
+
+        def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803 - Spark's names
+            known = self.status.get()
+            status = known[0] if known else None
+            out = []
+            for r in pd.concat(list(rows)).sort_values("seq").itertuples():
+                kind = None
+                if r.event == "raise":
+                    kind = "rec_raised" if status is None else "rec_reopened" if status in ("done", "resolved") else "raised_again"
+                    status = status if kind == "raised_again" else "open"
+                elif r.event == "status" and status is not None and r.status in W.STATUSES:
+                    kind, status = "rec_status", r.status
+                if kind:
+                    out.append((key[0], int(r.seq), int(r.ts), kind, status))
+            if status is not None:
+                self.status.update((status,))
+            yield pd.DataFrame(out, columns=["id", "seq", "ts", "kind", "status"])
+
+        def close(self):
+            pass
+
+    return events.groupBy("id").transformWithStateInPandas(Timeline(), TIMELINE, "Append", "none")

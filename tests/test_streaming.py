@@ -39,3 +39,19 @@ def test_replay_stream_equals_batch(spark, tmp_path):
     last = {r.id: (r.status, r.times_raised, r.created, r.updated, r.severity) for r in out.collect()}
     batch = {str(r.id): (r.status, r.times_raised, r.created, r.updated, r.severity) for r in recommendations.replay(events, ["id"]).collect()}
     assert last == batch
+
+
+def test_timeline_stream_goes_on_from_its_state(spark, tmp_path):
+    """Events of one key over several runs of the stream: each run goes on where the last one stopped."""
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    kinds, at = "id string, seq long, ts long, event string, status string", str(tmp_path)
+    try:
+        for n, rows in enumerate(([("a", 1, 1, "raise", ""), ("b", 2, 2, "status", "done")], [("a", 3, 3, "status", "done"), ("a", 4, 4, "status", "bogus")], [("a", 5, 5, "raise", ""), ("b", 6, 6, "raise", ""), ("a", 7, 7, "raise", None)])):
+            spark.createDataFrame(rows, kinds).coalesce(1).write.mode("append").parquet(f"{at}/in")
+            streams.timeline_stream(spark.readStream.schema(kinds).parquet(f"{at}/in")).writeStream.format("parquet").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start(f"{at}/out").awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    got = [(r.id, r.seq, r.kind, r.status) for r in spark.read.parquet(f"{at}/out").orderBy("seq").collect()]
+    assert got == [("a", 1, "rec_raised", "open"), ("a", 3, "rec_status", "done"), ("a", 5, "rec_reopened", "open"), ("b", 6, "rec_raised", "open"), ("a", 7, "raised_again", "open")]
