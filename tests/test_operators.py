@@ -138,6 +138,15 @@ def test_page_types_and_consensus(spark):
     assert one(spark, scoring.keyword_candidate(F.array(F.col("t")), F.lit("")), t="Coffee Grinder Guide") == "coffee grinder"
 
 
+def test_saved_counts_events_of_pages_that_share_an_address_once(spark):
+    state = spark.createDataFrame([("u", "a", "done"), ("u", "a", "ignored"), ("u", "b", "open"), ("v", "c", "accepted")], "url string, rule_id string, status string")
+    found = spark.createDataFrame([("u", "a"), ("w", "d")], "url string, rule_id string")
+    ran = spark.createDataFrame([("a",), ("b",), ("d",)], "rule_id string")
+    events = recommendations.save_lint(state, found, spark.createDataFrame([("u",), ("w",)], "url string"), ran)
+    # a is raised beside both its states: reopened and ignored; with two states each, the reopened one is open twice
+    assert tuple(recommendations.saved(state, events).first()) == (3, 1, 1, 4)
+
+
 def test_a_word_of_a_page_type_begins_behind_any_letter_but_ascii(spark):
     """As in the twins, whose word boundary knows ASCII letters only."""
     schema = "url string, title string, h1 array<string>, h2 array<string>, schema_types array<string>, tables_total int, tel_links int, form_count int, time_elements int, meta_author string, cta_count int, word_count int"
