@@ -196,6 +196,11 @@ def volume_payloads(spark, sf_dir):
     return g.select("grp", F.concat(F.lit('{"result": [{"items": ['), "items", F.lit("]}]}")).alias("payload"))
 
 
+def spread_parts(spark, sf_dir):
+    """(p_partkey) of all parts, dealt over all tasks: a part makes a page a hundred times its size, and few files hold the parts."""
+    return read(spark, sf_dir, "part").select("p_partkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+
+
 def made_pages(spark, sf_dir):
     """(k, url, html): parts as pages whose elements come and go with the part's number."""
     k = F.col("p_partkey")
@@ -222,7 +227,7 @@ def made_pages(spark, sf_dir):
         when(3, 0, '<form><input><input type="hidden"><label for=" e ">E</label><input id="e"><label>L <select></select></label><input type="submit"><textarea title="t"></textarea></form>'),
         times(2, '<span tabindex="3"></span><span tabindex="-1"></span>'), times(4, '<i id="d"></i>'), times(2, "<time>t</time>"), times(3, "guarantee; "), times(2, "<p>last chance</p>"), when(11, 1, '<div class="x-intercom"></div>'),
     ]
-    return read(spark, sf_dir, "part").select(k.alias("k"), F.lit("https://site.example/a").alias("url"), F.concat(*parts).alias("html"))
+    return spread_parts(spark, sf_dir).select(k.alias("k"), F.lit("https://site.example/a").alias("url"), F.concat(*parts).alias("html"))
 
 
 def fetches(spark, sf_dir):

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pagelode.functions import tags
 from pagelode.functions import words as W
 from pagelode.operators import fixes, graph, history, impact, pages, recommendations, reports, scoring, visibility
 from pagelode.plans import catalog, inputs
@@ -534,12 +533,14 @@ def page_meta(spark, sf_dir):
 @query
 def patch_effect(spark, sf_dir):
     """Findings that the machine patch of a missing viewport or language solves in made pages, and whether the score is no worse."""
+    from pagelode.functions import html
+
     p = inputs.made_pages(spark, sf_dir).select(F.col("k").alias("page_id"), "url", "html")
-    before = catalog.cut(catalog.rules.lint(tags.page_records(p), catalog.rules.load_rules(local=True), ["page_id"]))
+    before = catalog.cut(catalog.rules.lint(html.extract_pages(p), catalog.rules.load_rules(local=True), ["page_id"]))
     found = before.select("page_id", F.explode("findings").alias("f")).select("page_id", F.col("f.rule_id").alias("rule_id")).where(F.col("rule_id").isin("missing-viewport", "missing-html-lang"))
     plan = fixes.patch_plan(found, p.select("page_id", F.lit("en").alias("lang")), "page_id")
     patched = p.join(plan, "page_id").select(F.struct("page_id", "rule_id").alias("page_id"), "url", fixes.apply_patch(F.col("html"), F.col("rule_id"), F.col("patch")).alias("html"))
-    after = catalog.rules.lint(tags.page_records(patched), catalog.rules.load_rules(local=True), ["page_id"]).select("page_id.*", F.col("score").alias("after"), F.col("failed").alias("left"))
+    after = catalog.rules.lint(html.extract_pages(patched), catalog.rules.load_rules(local=True), ["page_id"]).select("page_id.*", F.col("score").alias("after"), F.col("failed").alias("left"))
     return after.join(before.select("page_id", F.col("score").alias("before"), "failed"), "page_id").select(F.col("page_id").alias("k"), "rule_id", (F.col("failed") - F.col("left")).cast("int").alias("solved"), (F.col("after") >= F.col("before")).alias("no_worse"))
 
 
@@ -567,7 +568,7 @@ def fold_position(spark, sf_dir):
 
     k = F.col("p_partkey")
     body = F.concat(F.lit("<html><head></head><body>"), F.repeat(F.lit("<i></i>"), (k % 7).cast("int")), F.lit("<a href='/'>Buy</a>"), F.repeat(F.lit("<i></i>"), (k % 5).cast("int")), F.lit("<button>Go on</button><button>Try it</button>"), F.repeat(F.lit("<i></i>"), (k % 11).cast("int")))
-    r = html.extract_pages(read(spark, sf_dir, "part").select(k.alias("k"), F.lit("").alias("url"), body.alias("html")))
+    r = html.extract_pages(inputs.spread_parts(spark, sf_dir).select(k.alias("k"), F.lit("").alias("url"), body.alias("html")))
     return r.select("k", "cta_count", "cta_above_fold")
 
 
