@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelode.functions import words as W
-from pagelode.functions.text import once
 from pagelode.operators.store import cut
 
 
@@ -125,36 +124,3 @@ def canonical_audit(traces: DataFrame, sites: DataFrame) -> DataFrame:
 def near_duplicate_report(pairs: DataFrame) -> DataFrame:
     """Pairs with similarity to two decimals, the most similar first."""
     return pairs.withColumn("similarity", F.bround("similarity", 2)).orderBy(F.desc("similarity"), "a", "b")
-
-
-def near_duplicate_pairs(docs: DataFrame, words: int = 5, least: float = 0.9, sample: int | None = 5000) -> tuple[DataFrame, DataFrame]:
-    """((a, b, similarity), (doc_id, head)): pairs of distinct shingle sets, and which document stands for each.
-
-    Sets come from the first ``sample`` characters, as the page crawl compares them, or from whole texts if it is None.
-
-    An inverted index with a prefix filter: of a set's shingles in order of
-    rarity only the first n - ceil(least * n) + 1 are indexed, which no pair at
-    the threshold can avoid; candidates are then counted on full sets.
-    """
-    text = F.col("text") if sample is None else F.substring("text", 1, sample)
-    tokens = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    # words are hashed once; a shingle is the hash of its words' hashes, missing ones at the end of a short text included
-    w = once(docs, ["doc_id"], {"w": F.transform(tokens, lambda t: F.xxhash64(t))})
-    last = F.greatest(F.size("w") - words, F.lit(0))
-    grams = F.sort_array(F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(words)], F.lit(0)))))
-    sets = cut(w.select("doc_id", grams.alias("s")).withColumn("n", F.size("s")))
-    # equal sets: their pairs are certain, and only the least document of each goes through the index
-    keyed = sets.withColumn("k", F.xxhash64("s"))
-    keyed = cut(keyed.join(keyed.groupBy("k").agg(F.min("doc_id").alias("head")), "k"))
-    heads = keyed.where("doc_id = head")
-    items = heads.select("doc_id", "n", F.explode("s").alias("g"))
-    freq = items.groupBy("g").count()
-    ranked = items.join(freq.where("count > 1"), "g").withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy("count", "g")))
-    unique = items.join(freq.where("count = 1"), "g", "left_semi").groupBy("doc_id").count().withColumnRenamed("count", "alone")
-    indexed = ranked.join(unique, "doc_id", "left").where(F.col("r") + F.coalesce("alone", F.lit(0)) <= F.col("n") - F.ceil(F.col("n") * least) + 1).select("doc_id", "n", "g")
-    a, b = indexed.toDF("a", "na", "g"), indexed.toDF("b", "nb", "g")
-    candidates = a.join(b, "g").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= least * F.greatest("na", "nb"))).select("a", "b").distinct()
-    sa, sb = heads.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), heads.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    scored = candidates.join(sa, "a").join(sb, "b").select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("similarity")).where(F.col("similarity") >= least)
-    return scored, keyed.select("doc_id", "head")

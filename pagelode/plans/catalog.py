@@ -134,12 +134,12 @@ def sitemap_diff(spark, sf_dir):
 
 @query
 def near_dup_pairs(spark, sf_dir):
-    return graph.near_duplicate_pairs(read(spark, sf_dir, "documents"), sample=None)[0]
+    return similar.near_duplicate_pairs(read(spark, sf_dir, "documents"), sample=None)[0]
 
 
 @query
 def near_dup_classes(spark, sf_dir):
-    heads = graph.near_duplicate_pairs(read(spark, sf_dir, "documents"), sample=None)[1]
+    heads = similar.near_duplicate_pairs(read(spark, sf_dir, "documents"), sample=None)[1]
     return heads.groupBy("head").agg(F.count("*").alias("n")).where("n > 1")
 
 

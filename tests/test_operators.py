@@ -378,3 +378,16 @@ def test_layout_of_a_hub_and_its_children(spark):
     want |= {"home": (0, 550, 550), "y": (-1, 550 + 670, 550), "z": (-1, 550 - 670, 550)}
     assert set(got) == set(want)
     assert all(got[n][0] == want[n][0] and got[n][1:] == pytest.approx(want[n][1:]) for n in want)
+
+
+def test_pairs_move_prefixes_and_not_whole_sets(spark):
+    """Texts that nothing is like cost a few index entries, and all pairs are still found."""
+    from pagelode.operators import similar
+
+    rows = [(n, " ".join(f"w{n}x{k}" for k in range(200))) for n in range(40)] + [(40, "w0x0 other " + " ".join(f"w0x{k}" for k in range(2, 200))), (41, None), (42, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs, heads = similar.near_duplicate_pairs(docs, sample=None)
+    assert [(r.a, r.b, round(r.similarity, 4)) for r in pairs.collect()] == [(0, 40, round(194 / 198, 4))]
+    assert {(r.doc_id, r.head) for r in heads.collect()} == {(n, n) for n in range(42)} | {(42, 41)}
+    sets = similar.shingle_sets(docs)
+    assert similar.prefix_index(sets, docs.select("doc_id"), 0.9).count() == 41 * 20 + 2
