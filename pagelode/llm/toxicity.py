@@ -24,7 +24,9 @@ toxic texts aren't learned. Each pattern's weight starts from a prior and
 follows the labelled rows.
 
 Learning uses at most ``bound`` labelled rows of each label value (a documented
-parameter); scores cover whole texts of all rows. Each learned stem covers a
+parameter); scores cover whole texts of all rows. Where that leaves out more
+clean rows than toxic ones, each sampled clean row counts for those it stands
+for, so a stem's share of toxic documents is that of all labelled rows. Each learned stem covers a
 hundredth of the toxic rows or more, so there are at most a hundred of them.
 
 Defined results: null, empty and wordless texts score 0; repeated rows score
@@ -245,14 +247,14 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([count[1][s] for s in part], pa.int64()), pa.array([count[0][s] for s in part], pa.int64())], ["stem", "pos", "neg"])
 
 
-def learn(sample: DataFrame) -> dict:
-    """Model from labelled (doc_id, text, toxic 0/1) rows, a bounded sample."""
+def learn(sample: DataFrame, clean: float = 1.0) -> dict:
+    """Model from labelled (doc_id, text, toxic 0/1) rows, a bounded sample in which a clean row stands for ``clean`` times as many rows as a toxic one."""
     sample = cut(sample.select("doc_id", "text", "toxic"))
     positives = sample.where("toxic = 1").count()
     least = max(4, positives // 100)
     totals = over_texts(sample, _counts, "stem string, pos long, neg long").groupBy("stem").sum("pos", "neg").toDF("stem", "pos", "neg")
-    rows = totals.where(f"pos >= {least} and pos >= {PRECISION} * (pos + neg)").collect()  # stems of at most ``bound`` rows, each in a hundredth of them
-    negative = {r["stem"]: r["neg"] for r in rows}
+    rows = totals.where(f"pos >= {least} and pos >= {PRECISION} * (pos + {clean!r}D * neg)").collect()  # stems of at most ``bound`` rows, each in a hundredth of them
+    negative = {r["stem"]: r["neg"] * clean for r in rows}
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -285,7 +287,7 @@ def learn(sample: DataFrame) -> dict:
 
     seen = over_texts(sample, outcome, "kind string, toxic long").where("kind is not null").groupBy("kind").agg({"toxic": "sum", "*": "count"}).toDF("kind", "toxic", "n").collect()
     for r in seen:
-        kinds[r["kind"]] = (r["toxic"] + PRIOR[r["kind"]] * PRIOR_ROWS) / (r["n"] + PRIOR_ROWS)
+        kinds[r["kind"]] = (r["toxic"] + PRIOR[r["kind"]] * PRIOR_ROWS) / (r["toxic"] + (r["n"] - r["toxic"]) * clean + PRIOR_ROWS)
     return model
 
 

@@ -165,6 +165,18 @@ def test_toxicity_learns_stems(spark, odd, none):
     assert blank["stems"] == {} and blank["kinds"] == toxicity.PRIOR
 
 
+def test_toxicity_of_a_thinned_sample(spark, monkeypatch):
+    """Clean rows that the sample leaves out still count: a stem that many of them hold isn't learned."""
+    monkeypatch.setattr(toxicity, "BOUND", 60)
+    toxic = [(i, "a loser wrote it" if i % 2 else "los vequez son", 1) for i in range(60)]
+    clean = [(i, "los nombres de la casa" if i % 5 == 0 else "plain words of a house", 0) for i in range(60, 2060)]
+    docs = spark.createDataFrame(toxic + clean, "doc_id long, text string, toxic int")
+    model = queries.toxicity_model(docs, docs.select("doc_id", "toxic"))
+    assert "los" not in model["stems"] and model["stems"]
+    scored = toxicity.score(docs, model)
+    assert scored.where("toxic = 0 and score >= 0.5").count() == 0 and scored.where("toxic = 1 and score < 0.5").count() == 0
+
+
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
