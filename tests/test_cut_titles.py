@@ -6,7 +6,7 @@ import pytest
 from pagelode.plans import catalog
 from tests.test_catalog import SF, TWINS
 
-NAMES = ["lint_findings", "lint_full", "lint_scores"]
+NAMES = ["lint_changed", "lint_findings", "lint_full", "lint_scores"]
 
 
 @pytest.fixture(scope="module")
