@@ -7,6 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagelode.operators.store import never_broadcast
+
 
 def meta_draft(text: Column, limit: int = 155) -> Column:
     """A description of at most ``limit`` characters, cut at a word, without a trailing mark."""
@@ -59,7 +61,7 @@ def patch_plan(found: DataFrame, values: DataFrame, key: str) -> DataFrame:
     """(key, rule_id, patch, skipped): resolved patches of fired rules that have one; a missing value skips the patch."""
     table = found.sparkSession.createDataFrame(sorted(TEMPLATES.items()), "rule_id string, template string")
     names = [c for c in values.columns if c != key]
-    j = found.select(key, "rule_id").join(F.broadcast(table), "rule_id").join(values, key)
+    j = found.select(key, "rule_id").join(F.broadcast(table), "rule_id").join(never_broadcast(values), key)
     patch = F.col("template")
     for n in names:
         mark, v = F.lit("{{" + n + "}}"), F.nullif(F.col(n), F.lit(""))

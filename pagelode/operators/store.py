@@ -28,3 +28,8 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def cut(df: DataFrame) -> DataFrame:
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def never_broadcast(df: DataFrame) -> DataFrame:
+    """``df`` for joins with tables that grow with it: Spark takes a page that an expression makes for 20 bytes, and would send all of them through the driver."""
+    return df.hint("merge")

@@ -534,14 +534,15 @@ def page_meta(spark, sf_dir):
 def patch_effect(spark, sf_dir):
     """Findings that the machine patch of a missing viewport or language solves in made pages, and whether the score is no worse."""
     from pagelode.functions import html
+    from pagelode.operators.store import never_broadcast
 
     p = inputs.made_pages(spark, sf_dir).select(F.col("k").alias("page_id"), "url", "html")
     before = catalog.cut(catalog.rules.lint(html.extract_pages(p), catalog.rules.load_rules(local=True), ["page_id"]))
     found = before.select("page_id", F.explode("findings").alias("f")).select("page_id", F.col("f.rule_id").alias("rule_id")).where(F.col("rule_id").isin("missing-viewport", "missing-html-lang"))
     plan = fixes.patch_plan(found, p.select("page_id", F.lit("en").alias("lang")), "page_id")
-    patched = p.join(plan, "page_id").select(F.struct("page_id", "rule_id").alias("page_id"), "url", fixes.apply_patch(F.col("html"), F.col("rule_id"), F.col("patch")).alias("html"))
+    patched = never_broadcast(p).join(plan, "page_id").select(F.struct("page_id", "rule_id").alias("page_id"), "url", fixes.apply_patch(F.col("html"), F.col("rule_id"), F.col("patch")).alias("html"))
     after = catalog.rules.lint(html.extract_pages(patched), catalog.rules.load_rules(local=True), ["page_id"]).select("page_id.*", F.col("score").alias("after"), F.col("failed").alias("left"))
-    return after.join(before.select("page_id", F.col("score").alias("before"), "failed"), "page_id").select(F.col("page_id").alias("k"), "rule_id", (F.col("failed") - F.col("left")).cast("int").alias("solved"), (F.col("after") >= F.col("before")).alias("no_worse"))
+    return after.join(never_broadcast(before.select("page_id", F.col("score").alias("before"), "failed")), "page_id").select(F.col("page_id").alias("k"), "rule_id", (F.col("failed") - F.col("left")).cast("int").alias("solved"), (F.col("after") >= F.col("before")).alias("no_worse"))
 
 
 @query

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from pagelode.operators import crawl, fixes, graph, impact, recommendations, scoring
+from pagelode.plans import catalog
 from pagelode.sources import payloads, readers
 
 
@@ -84,3 +85,10 @@ def test_saving_a_run_twice_changes_nothing_more(spark):
 
 def test_entry_point_lists_optional_queries():
     assert len(__spark_entry__.queries()) > 100
+
+
+def test_patch_effect_sends_no_pages_through_the_driver(spark):
+    found = catalog.queries()["patch_effect"](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastExchange") <= 1  # the templates of patches
+    assert plan.count("SortMergeJoin") == 3
